@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ostiary.functions import geometry as g
 
@@ -51,17 +51,17 @@ def context_features(
     }
 
 
-def feature_vector() -> Column:
-    """13 doubles in FEATURE_NAMES order from a branch row; a missing context key gives a NULL element,
-    which the feature rule reports."""
-    path = F.col("path")
-    length = g.path_length(path)
-    chord = g.distance(g.xyz(g.last(path)), g.xyz(F.get(path, F.lit(0))))
+def with_feature_vector(branches: DataFrame, name: str = "vector") -> DataFrame:
+    """Add the 13 doubles in FEATURE_NAMES order; a missing context key gives a NULL element, which the
+    feature rule reports. The path length is its own projection because two features use it."""
+    measured = branches.withColumn("_length", g.path_length(F.col("path")))
+    chord = g.distance(g.xyz(g.last(F.col("path"))), g.xyz(F.get("path", F.lit(0))))
     geometry = [
-        F.col("radius_mm"), F.col("mean_vesselness"), F.col("evidence_score"), length,
-        g.distance(g.xyz("seed"), g.xyz("ostium")), length / F.greatest(chord, F.lit(0.001)),
+        F.col("radius_mm"), F.col("mean_vesselness"), F.col("evidence_score"), F.col("_length"),
+        g.distance(g.xyz("seed"), g.xyz("ostium")), F.col("_length") / F.greatest(chord, F.lit(0.001)),
     ]
-    return F.array(*geometry, *[F.col("features")[name] for name in CONTEXT_FEATURES])
+    context = [F.col("features")[key] for key in CONTEXT_FEATURES]
+    return measured.withColumn(name, F.array(*geometry, *context)).drop("_length")
 
 
 def logistic_score(vector: Column, model: LogisticModel) -> Column:

@@ -101,16 +101,15 @@ def _augment(pairs: DataFrame, keys: list[str]) -> DataFrame:
         free_edges = scale.checkpoint(tagged.filter(F.col("_held").isNull()).drop("_held"))
         lefts = edges.select(*keys, "_left").distinct()
         reach = lefts.join(held, [*keys, "_left"], "left_anti").select(
-            *keys, "_left", F.lit(0.0).alias("_cost"), F.lit(None).cast("bigint").alias("_from"))
+            *keys, "_left", F.lit(0.0).alias("_cost"))
         reach = scale.checkpoint(reach)
         while True:
             offered = reach.join(free_edges, [*keys, "_left"]).groupBy(*keys, "_right").agg(
                 F.min(F.struct((F.col("_cost") + F.col("distance")).alias("_cost"), F.col("_left"))).alias("_best"))
             back = offered.join(held, [*keys, "_right"]).select(
-                *keys, held["_left"], (F.col("_best._cost") - F.col("distance")).alias("_cost"),
-                F.col("_best._left").alias("_from"))
+                *keys, held["_left"], (F.col("_best._cost") - F.col("distance")).alias("_cost"))
             merged = scale.checkpoint(reach.unionByName(back).groupBy(*keys, "_left").agg(
-                F.min_by(F.struct("_cost", "_from"), F.col("_cost")).alias("_best")).select(*keys, "_left", "_best.*"))
+                F.min("_cost").alias("_cost")))
             before = reach.select(*keys, "_left", F.col("_cost").alias("_old"))
             moved = merged.join(before, [*keys, "_left"], "left").filter(
                 F.col("_old").isNull() | (F.col("_cost") < F.col("_old") - 1e-9))
@@ -150,7 +149,7 @@ def match_one_to_one(
     """
     by = by or ["case_id"]
     check_tolerances(tolerances)
-    pairs = candidate_pairs(predictions, references, max(tolerances), by)
+    pairs = scale.checkpoint(candidate_pairs(predictions, references, max(tolerances), by))
     listed = F.filter(F.array(*[F.lit(float(t)) for t in sorted(set(tolerances))]), lambda t: F.col("distance") <= t)
     expanded = pairs.select(*by, F.explode(listed).alias("tolerance_mm"), "_left", "_right", "distance")
     chosen = _choose(expanded, [*by, "tolerance_mm"], case_pairs, component_pairs)

@@ -2,7 +2,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ostiary.functions.features import LogisticModel, feature_vector
+from ostiary.functions.features import LogisticModel, with_feature_vector
 from ostiary.plans import workflow as w
 from ostiary.plans.catalog import query, r4, sr4
 from ostiary.sources import adapters as a
@@ -76,7 +76,7 @@ def score_before_merge(spark, folder):
     "SELECT case_id, instance_id, " + ", ".join(
         sr4(f"({text})::DOUBLE", f"f{i:02d}") for i, text in enumerate(FEATURE_SQL)) + " FROM cand", "cand"))
 def features(spark, folder):
-    rows = a.candidates(spark, folder).withColumn("v", feature_vector())
+    rows = with_feature_vector(a.candidates(spark, folder), "v")
     return rows.select("case_id", "instance_id", *[r4(F.get("v", F.lit(i)), f"f{i:02d}") for i in range(13)])
 
 

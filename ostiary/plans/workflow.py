@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from ostiary.functions.features import LogisticModel, feature_vector, logistic_score
+from ostiary.functions.features import LogisticModel, logistic_score, with_feature_vector
 from ostiary.operators.suppress import suppress
 
 MERGE_DISTANCE_MM = 3.0
@@ -23,7 +23,8 @@ def union_profiles(strict: DataFrame, review: DataFrame, order: str = "ord") ->
 
 
 def score_candidates(branches: DataFrame, model: LogisticModel) -> DataFrame:
-    return branches.withColumn("score", logistic_score(feature_vector(), model))
+    vectors = with_feature_vector(branches, "_vector")
+    return vectors.withColumn("score", logistic_score(F.col("_vector"), model)).drop("_vector")
 
 
 def threshold_filter(scored: DataFrame, threshold: float) -> DataFrame:
