@@ -131,20 +131,27 @@ def nearest_on_path(p: Triple, path: Column) -> Column:
     """struct(distance, position) of the closest position on a polyline; position is index + fraction.
 
     The strict comparison keeps the lowest segment on ties. One vertex gives its distance at position 0;
-    an empty path gives NULL.
+    an empty path gives NULL. The steps are separate transforms because lambdas do not share
+    subexpressions: each step names the values the next one uses more than once.
     """
-    segments = F.transform(
-        F.zip_with(
-            F.slice(path, 1, F.greatest(F.size(path) - 1, F.lit(1))),
-            F.slice(path, 2, F.greatest(F.size(path) - 1, F.lit(0))),
-            lambda a, b: F.struct(a.alias("a"), F.coalesce(b, a).alias("b")),
-        ),
-        lambda s, i: F.struct(
-            segment_projection(p, xyz(s["a"]), xyz(s["b"]))[1].alias("distance"),
-            (i + segment_projection(p, xyz(s["a"]), xyz(s["b"]))[0]).alias("position"),
-        ),
-    )
-    return F.when(F.size(path) > 0, F.array_min(segments))
+    count = F.greatest(F.size(path) - 1, F.lit(1))
+    starts = F.slice(path, 1, count)
+    ends = F.slice(path, 2, F.greatest(F.size(path) - 1, F.lit(0)))
+    vectors = F.zip_with(starts, ends, lambda a, b: F.struct(
+        (F.coalesce(b["x"], a["x"]) - a["x"]).alias("x"), (F.coalesce(b["y"], a["y"]) - a["y"]).alias("y"),
+        (F.coalesce(b["z"], a["z"]) - a["z"]).alias("z"),
+        (p[0] - a["x"]).alias("px"), (p[1] - a["y"]).alias("py"), (p[2] - a["z"]).alias("pz")))
+    fractions = F.transform(vectors, lambda v: F.struct(
+        v.alias("v"), F.try_divide(v["px"] * v["x"] + v["py"] * v["y"] + v["pz"] * v["z"],
+                                   v["x"] * v["x"] + v["y"] * v["y"] + v["z"] * v["z"]).alias("t")))
+    clamped = F.transform(fractions, lambda f: F.struct(
+        f["v"].alias("v"), F.coalesce(F.least(F.lit(1.0), F.greatest(F.lit(0.0), f["t"])), F.lit(0.0)).alias("t")))
+    gaps = F.transform(clamped, lambda f: F.struct(
+        (f["v"]["px"] - f["t"] * f["v"]["x"]).alias("x"), (f["v"]["py"] - f["t"] * f["v"]["y"]).alias("y"),
+        (f["v"]["pz"] - f["t"] * f["v"]["z"]).alias("z"), f["t"].alias("t")))
+    found = F.transform(gaps, lambda d, i: F.struct(
+        F.sqrt(d["x"] * d["x"] + d["y"] * d["y"] + d["z"] * d["z"]).alias("distance"), (i + d["t"]).alias("position")))
+    return F.when(F.size(path) > 0, F.array_min(found))
 
 
 def path_chord_angle(path: Column, direction: Triple) -> Column:

@@ -39,6 +39,29 @@ def pairs_within(
     return joined.filter(near).withColumn(name, gap).drop(*CELL)
 
 
+def keep_within(
+    left: DataFrame, right: DataFrame, by: list[str], left_point: str, right_point: str, radius: float,
+    inclusive: bool = True, found: bool = True,
+) -> DataFrame:
+    """Left rows with (``found``) or without any right row in reach.
+
+    The distance test sits inside the semi or anti join, which stops at the first hit and emits no pairs.
+    """
+    size = 3.0 * radius
+    own = [F.floor(axis / size).alias(cell) for axis, cell in zip(g.xyz(left_point), CELL)]
+    copies = right.select(*by, F.col(right_point).alias("_there")).distinct()
+    copies = copies.withColumn("_cell", F.explode(_cells_touched(F.col("_there"), radius, size)))
+    copies = copies.select(*[F.col(name).alias(f"_r_{name}") for name in by], "_there", *[
+        F.col(f"_cell.{cell}").alias(f"_r{cell}") for cell in CELL])
+    gap = g.distance(g.xyz(left_point), g.xyz("_there"))
+    condition = (gap <= radius) if inclusive else (gap < radius)
+    for name in by:
+        condition = condition & (F.col(name) == F.col(f"_r_{name}"))
+    for cell in CELL:
+        condition = condition & (F.col(cell) == F.col(f"_r{cell}"))
+    return left.select("*", *own).join(copies, condition, "left_semi" if found else "left_anti").drop(*CELL)
+
+
 def nearest_within(
     points: DataFrame, members: DataFrame, by: list[str], key: list[str], point: str, member: str, radius: float,
 ) -> DataFrame:
