@@ -21,12 +21,13 @@ def query(name: str, sql: str | None = None):
 
 
 def r4(value: Column | str, name: str | None = None, digits: int = 4) -> Column:
-    """Four decimals at the query edge, where two engines are compared; adding zero turns -0.0 into 0.0."""
+    """Decimals at the query edge, where two engines are compared. The tiny shift moves exact halves, which the
+    engines round differently, off the border; adding zero turns -0.0 into 0.0."""
     label = name or (value if isinstance(value, str) else None)
     value = F.col(value) if isinstance(value, str) else value
-    rounded = F.round(value, digits) + F.lit(0.0)
+    rounded = F.round(value + 10.0 ** -(digits + 3), digits) + F.lit(0.0)
     return rounded.alias(label) if label else rounded
 
 
 def sr4(expression: str, name: str, digits: int = 4) -> str:
-    return f"round({expression}, {digits}) + 0.0 AS {name}"
+    return f"round({expression} + 1e-{digits + 3}, {digits}) + 0.0 AS {name}"

@@ -69,7 +69,7 @@ RATIO_SQL = ", ".join([
     sr4("{t} / nullif({t} + {p}, 0)", "precision"), sr4("{t} / nullif({t} + {n}, 0)", "recall"),
     sr4("2 * {t} / nullif(2 * {t} + {p} + {n}, 0)", "f1")])
 TOTALS_SQL = """count(*) AS cases, CAST(sum(tp) AS BIGINT) AS tp, CAST(sum(fp) AS BIGINT) AS fp, CAST(sum(fn) AS BIGINT) AS fn,
-    round(avg(abs(fp - fn)), 4) + 0.0 AS count_mae, count(*) FILTER (fp = fn) AS exact_count_cases,
+    round(avg(abs(fp - fn)) + 1e-7, 4) + 0.0 AS count_mae, count(*) FILTER (fp = fn) AS exact_count_cases,
     count(*) FILTER (fp > fn) AS overcount_cases, count(*) FILTER (fp < fn) AS undercount_cases,
     count(*) FILTER (tp + fn = 0) AS negative_cases, count(*) FILTER (tp + fn = 0 AND fp > 0) AS negative_cases_with_fp,
     CAST(coalesce(sum(fp) FILTER (tp + fn = 0), 0) AS BIGINT) AS negative_fp, """ + RATIO_SQL.format(
@@ -123,7 +123,7 @@ def match(spark, folder):
 
 
 @query("match_at_tolerances", a.oracle(
-    "SELECT tolerance_mm, case_id, prediction_id, reference_id, round(ostium_error_mm, 4) + 0.0 AS ostium_error_mm FROM matched",
+    "SELECT tolerance_mm, case_id, prediction_id, reference_id, round(ostium_error_mm + 1e-7, 4) + 0.0 AS ostium_error_mm FROM matched",
     "pred", "ref", extra=matching_sql([2.0, 3.0, 5.0])))
 def match_tolerances(spark, folder):
     return match_one_to_one(*sides(spark, folder), [2.0, 3.0, 5.0]).select(

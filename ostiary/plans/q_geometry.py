@@ -258,8 +258,8 @@ RAYS = """SELECT vec_id, i AS ray, embedding[1 + i * 2] * 100::DOUBLE AS first,
 
 @query("first_crossing", a.oracle(f"""
     SELECT vec_id, ray, CASE WHEN 12 + first <= 10 THEN NULL WHEN 8 + second <= 10
-      THEN round(0.25 * (12 + first - 10) / ((12 + first) - (8 + second)), 4) + 0.0
-      ELSE round(0.25 + 0.25 * (8 + second - 10) / (8 + second + 40), 4) + 0.0 END AS crossing_mm FROM rays""", extra={"rays": RAYS}))
+      THEN round(0.25 * (12 + first - 10) / ((12 + first) - (8 + second)) + 1e-7, 4) + 0.0
+      ELSE round(0.25 + 0.25 * (8 + second - 10) / (8 + second + 40) + 1e-7, 4) + 0.0 END AS crossing_mm FROM rays""", extra={"rays": RAYS}))
 def first_crossing(spark, folder):
     return pl.first_crossing(rays(spark, folder), 10.0).select("vec_id", "ray", r4("crossing_mm"))
 
@@ -273,7 +273,7 @@ def rays(spark, folder):
 
 
 @query("cross_section_radius", a.oracle(f"""
-    SELECT vec_id, CASE WHEN count(d) >= 12 AND NOT bool_or(low) THEN round(median(d) / 2, 4) + 0.0 END AS radius_mm FROM (
+    SELECT vec_id, CASE WHEN count(d) >= 12 AND NOT bool_or(low) THEN round(median(d) / 2 + 1e-7, 4) + 0.0 END AS radius_mm FROM (
       SELECT p.vec_id, p.c + q.c AS d, p.low OR q.low AS low FROM crossed p JOIN crossed q ON q.vec_id = p.vec_id AND q.ray = p.ray + 16)
     GROUP BY 1""", extra={"rays": RAYS, "crossed": """SELECT vec_id, ray, 12 + first <= -15 AS low, CASE WHEN 12 + first <= -15 THEN NULL
       WHEN 8 + second <= -15 THEN 0.25 * (12 + first + 15) / ((12 + first) - (8 + second))

@@ -28,11 +28,11 @@ SPLIT_SQL = {
 METRIC_SQL = """count(*) AS reviewed_candidates, count(*) FILTER (score >= {t} AND label = 'confirmed') AS tp,
     count(*) FILTER (score >= {t} AND label <> 'confirmed') AS fp, count(*) FILTER (score < {t} AND label = 'confirmed') AS fn,
     count(*) FILTER (score < {t} AND label <> 'confirmed') AS tn,
-    round(avg((score - (label = 'confirmed')::INT) ** 2), 4) + 0.0 AS brier_score,
-    round(count(*) FILTER (score >= {t} AND label = 'confirmed') / nullif(count(*) FILTER (score >= {t}), 0), 4) + 0.0 AS precision,
-    round(count(*) FILTER (score >= {t} AND label = 'confirmed') / nullif(count(*) FILTER (label = 'confirmed'), 0), 4) + 0.0 AS recall,
+    round(avg((score - (label = 'confirmed')::INT) ** 2) + 1e-7, 4) + 0.0 AS brier_score,
+    round(count(*) FILTER (score >= {t} AND label = 'confirmed') / nullif(count(*) FILTER (score >= {t}), 0) + 1e-7, 4) + 0.0 AS precision,
+    round(count(*) FILTER (score >= {t} AND label = 'confirmed') / nullif(count(*) FILTER (label = 'confirmed'), 0) + 1e-7, 4) + 0.0 AS recall,
     round(coalesce(2 * count(*) FILTER (score >= {t} AND label = 'confirmed')
-      / nullif(count(*) FILTER (score >= {t}) + count(*) FILTER (label = 'confirmed'), 0), 0), 4) + 0.0 AS f1"""
+      / nullif(count(*) FILTER (score >= {t}) + count(*) FILTER (label = 'confirmed'), 0), 0) + 1e-7, 4) + 0.0 AS f1"""
 
 
 def metric_columns():
@@ -156,7 +156,7 @@ CURVE = {
     "val": "SELECT score, label FROM scored JOIN split USING (case_id) WHERE partition = 'validation'",
     "trn": "SELECT score, label FROM scored JOIN split USING (case_id) WHERE partition = 'train'",
 }
-BEST = """SELECT round(t, 4) + 0.0 AS threshold, tp, fp, fn, round(f1, 4) + 0.0 AS f1 FROM (
+BEST = """SELECT round(t + 1e-7, 4) + 0.0 AS threshold, tp, fp, fn, round(f1 + 1e-7, 4) + 0.0 AS f1 FROM (
     SELECT *, coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0) AS f1 FROM (
       SELECT t, count(*) FILTER (score >= t AND label = 'confirmed') AS tp, count(*) FILTER (score >= t AND label <> 'confirmed') AS fp,
         count(*) FILTER (score < t AND label = 'confirmed') AS fn FROM ts, val GROUP BY t))

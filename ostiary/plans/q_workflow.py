@@ -59,7 +59,7 @@ def decision_log(spark, folder):
 
 
 @query("score_before_merge", a.oracle("""
-    SELECT s.case_id, s.instance_id, s.profile, round(s.score, 4) + 0.0 AS score,
+    SELECT s.case_id, s.instance_id, s.profile, round(s.score + 1e-7, 4) + 0.0 AS score,
       CASE WHEN s.score < 0.35 THEN 'below_threshold' WHEN p.no IS NOT NULL THEN 'retained' ELSE 'merged' END AS decision,
       CASE WHEN p.no IS NOT NULL THEN printf('branch_%03d', p.no) END AS output_instance_id,
       CASE WHEN m.no IS NOT NULL THEN printf('branch_%03d', m.no) END AS suppressor_instance_id
@@ -81,7 +81,7 @@ def features(spark, folder):
 
 
 @query("threshold_filter", a.oracle("""
-    SELECT case_id, instance_id, round(score, 4) + 0.0 AS score FROM scored WHERE score >= 0.35""",
+    SELECT case_id, instance_id, round(score + 1e-7, 4) + 0.0 AS score FROM scored WHERE score >= 0.35""",
     "cand", extra={"scored": SCORED}))
 def threshold_filter(spark, folder):
     scored = w.score_candidates(a.candidates(spark, folder), MODEL)
@@ -99,7 +99,7 @@ def decision_counts(spark, folder):
 
 
 @query("strict_only", a.oracle("""
-    SELECT case_id, instance_id, round(score, 4) + 0.0 AS score FROM scored
+    SELECT case_id, instance_id, round(score + 1e-7, 4) + 0.0 AS score FROM scored
     WHERE score >= 0.35 AND profile = 'strict'""", "cand", extra={"scored": SCORED}))
 def strict_only(spark, folder):
     return w.strict_only(profiles(spark, folder)[0], MODEL).select("case_id", "instance_id", r4("score"))
