@@ -62,7 +62,8 @@ def is_finite(value: Column) -> Column:
 
 
 def last(items: Column) -> Column:
-    return F.try_element_at(items, F.lit(-1))
+    # get() rather than try_element_at(): the latter breaks Spark's code generation for non-null arrays.
+    return F.get(items, F.size(items) - 1)
 
 
 def mirror_xy(a: Triple) -> Triple:

@@ -38,14 +38,11 @@ def plane_slice(cells: DataFrame, axis: str, index: int, level: float, width: fl
     return cells.filter(F.col(axis) == index).withColumn("shown", F.least(F.lit(255.0), F.greatest(F.lit(0.0), shown)))
 
 
-def _median(rows: DataFrame, value: str, name: str, limit: int | None) -> DataFrame:
-    return exact_percentiles(rows, CASE, value, {name: 0.5}, limit)
-
-
-def _median_and_mad(rows: DataFrame, prefix: str, limit: int | None) -> DataFrame:
-    median = _median(rows, "value", f"{prefix}median", limit)
+def _median_and_mad(rows: DataFrame, prefix: str, limit: int | None, large: bool) -> DataFrame:
+    median = exact_percentiles(rows, CASE, "value", {f"{prefix}median": 0.5}, limit, large)
     spread = rows.join(median, CASE).withColumn("_gap", F.abs(F.col("value") - F.col(f"{prefix}median")))
-    return median.join(_median(spread, "_gap", f"{prefix}gap", limit), CASE).withColumn(
+    gap = exact_percentiles(spread, CASE, "_gap", {f"{prefix}gap": 0.5}, limit, large)
+    return median.join(gap, CASE).withColumn(
         f"{prefix}mad", F.col(f"{prefix}gap") * 1.4826).drop(f"{prefix}gap")
 
 
@@ -57,10 +54,11 @@ def intensity_window(
     Core cells lie at least 2 mm inside the parent (or the whole parent when fewer than 20 do); background
     cells lie 8 to 16 mm outside. ``native_spacing`` holds the largest scan spacing per case.
     """
+    large = scale.has_large_group(cells, CASE, limit or scale.TASK_GROUP_ROWS)  # bounds both cell subsets
     deep = cells.groupBy(*CASE).agg(F.count_if(F.col("inside") >= 2).alias("_deep"))
     core = cells.join(deep, CASE).filter(F.when(F.col("_deep") >= 20, F.col("inside") >= 2).otherwise(F.col("parent")))
     background = cells.filter(F.col("outside").between(8, 16))
-    stats = _median_and_mad(core, "", limit).join(_median_and_mad(background, "background_", limit), CASE, "left").join(
+    stats = _median_and_mad(core, "", limit, large).join(_median_and_mad(background, "background_", limit, large), CASE, "left").join(
         native_spacing, CASE)
     median, mad = F.col("median"), F.col("mad")
     bg = F.coalesce("background_median", "median")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ostiary import scale
 from ostiary.functions import geometry as g
 from ostiary.operators.matching import match_one_to_one
 from ostiary.operators.ordering import exact_percentiles, join_all
@@ -75,13 +76,21 @@ def summarize_by(metrics: DataFrame, group: str) -> DataFrame:
 def error_stats(
     matches: DataFrame, by: list[str] | None = None, errors: list[str] | None = None, limit: int | None = None,
 ) -> DataFrame:
-    """Mean, median and p95 of the matched errors; NULL errors (unknown radii) are left out."""
+    """Mean, median and p95 of the matched errors; NULL errors (unknown radii) are left out.
+
+    One aggregate when every group fits a task; otherwise the written matches are ranked once per error.
+    """
     by = by or []
     errors = errors or ERRORS
-    frames = [matches.groupBy(*by).agg(F.count("*").alias("matches"), *[F.avg(e).alias(f"{e}_mean") for e in errors])]
-    frames += [
-        exact_percentiles(matches, by, e, {f"{e}_median": 0.5, f"{e}_p95": 0.95}, limit) for e in errors
-    ]
+    limit = limit or scale.TASK_GROUP_ROWS
+    matches = scale.checkpoint(matches.select(*by, *errors))
+    plain = [F.count("*").alias("matches"), *[F.avg(e).alias(f"{e}_mean") for e in errors]]
+    if not scale.has_large_group(matches, by, limit):
+        for e in errors:
+            plain += [F.percentile(e, 0.5).alias(f"{e}_median"), F.percentile(e, 0.95).alias(f"{e}_p95")]
+        return matches.groupBy(*by).agg(*plain)
+    frames = [matches.groupBy(*by).agg(*plain)] + [
+        exact_percentiles(matches, by, e, {f"{e}_median": 0.5, f"{e}_p95": 0.95}, limit, large=True) for e in errors]
     return join_all(frames, by)
 
 

@@ -51,15 +51,19 @@ def rank_within(df: DataFrame, by: list[str], order: list, name: str, limit: int
 
 def exact_percentiles(
     df: DataFrame, by: list[str], value: str, wanted: dict[str, float], limit: int | None = None,
+    large: bool | None = None,
 ) -> DataFrame:
     """Linearly interpolated percentiles per group; NULL values are ignored.
 
     Large groups are reduced to distinct values with counts, and the values at the wanted positions are
-    picked from running counts, so no buffer ever holds a whole group.
+    picked from running counts, so no buffer ever holds a whole group. ``large`` passes on a size check that
+    the caller already made.
     """
     limit = limit or scale.TASK_GROUP_ROWS
     present = df.filter(F.col(value).isNotNull())
-    if not scale.has_large_group(present, by, limit):
+    if large is None:
+        large = scale.has_large_group(present, by, limit)
+    if not large:
         return present.groupBy(*by).agg(*[F.percentile(value, p).alias(name) for name, p in wanted.items()])
     counts = present.groupBy(*by, value).agg(F.count("*").alias("_n"))
     ranked = running_totals(counts, by, [F.col(value)], {"_upto": F.col("_n")}, limit)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from ostiary import scale
 from ostiary.operators.ordering import exact_percentiles
 from ostiary.operators.polyline import CHUNK, nearest_on_polyline
 
@@ -33,7 +34,8 @@ def ring_radii(vertices: DataFrame, samples: DataFrame, by: list[str], key: list
     """Median distance of the vertices nearest to each centre-line sample, gaps filled."""
     assigned = nearest_on_polyline(vertices, samples, by, key).select(
         *by, F.floor(F.col("position") + 0.5).alias("seq"), "nearest_mm")
-    medians = exact_percentiles(assigned, [*by, "seq"], "nearest_mm", {"radius": 0.5}, limit)
+    large = scale.has_large_group(vertices, by, limit or scale.TASK_GROUP_ROWS)  # bounds every ring of the case
+    medians = exact_percentiles(assigned, [*by, "seq"], "nearest_mm", {"radius": 0.5}, limit, large)
     rings = samples.select(*by, F.col("seq").cast("bigint").alias("seq")).join(medians, [*by, "seq"], "left")
     return fill_gaps(rings, by, "radius")
 
@@ -47,19 +49,23 @@ def trimmed_range(
     around = centres.select(*by, F.explode(F.sequence(
         F.floor(F.col("seq") + 0.5) - window, F.floor(F.col("seq") + 0.5) + window)).alias("seq")).distinct()
     wanted = {"low": low, "high": high}
-    trimmed = exact_percentiles(rings.join(around, [*by, "seq"], "left_anti"), by, "radius", wanted, limit)
-    whole = exact_percentiles(rings, by, "radius", wanted, limit).withColumnsRenamed({"low": "_low", "high": "_high"})
+    rings = scale.checkpoint(rings)  # read by both ranges and the result
+    large = scale.has_large_group(rings, by, limit or scale.TASK_GROUP_ROWS)
+    trimmed = exact_percentiles(rings.join(around, [*by, "seq"], "left_anti"), by, "radius", wanted, limit, large)
+    whole = exact_percentiles(rings, by, "radius", wanted, limit, large).withColumnsRenamed({"low": "_low", "high": "_high"})
     ranges = whole.join(trimmed, by, "left").select(*by, F.coalesce("low", "_low").alias("low"), F.coalesce("high", "_high").alias("high"))
     span = F.greatest(F.col("high") - F.col("low"), F.lit(1e-6))
     return rings.join(ranges, by).withColumn("scaled", (F.col("radius") - F.col("low")) / span)
 
 
 def next_progress(stops: DataFrame, current: DataFrame, by: list[str], forward: bool = True) -> DataFrame:
-    """First stop ahead of (or last one behind) the current progress; NULL at either end."""
-    here = current.select(*by, F.col("progress").alias("_at"))
+    """First stop ahead of (or last one behind) the current progress; NULL at either end.
+
+    ``current`` holds one row per case, so the join adds one value to each stop."""
+    here = current.select(*by, F.col("progress").alias("current"))
     joined = here.join(stops.select(*by, "progress"), by, "left")
     if forward:
-        found = F.min(F.when(F.col("progress") > F.col("_at") + 1e-4, F.col("progress")))
+        found = F.min(F.when(F.col("progress") > F.col("current") + 1e-4, F.col("progress")))
     else:
-        found = F.max(F.when(F.col("progress") < F.col("_at") - 1e-4, F.col("progress")))
-    return joined.groupBy(*by, "_at").agg(found.alias("next_progress")).withColumnRenamed("_at", "current")
+        found = F.max(F.when(F.col("progress") < F.col("current") - 1e-4, F.col("progress")))
+    return joined.groupBy(*by, "current").agg(found.alias("next_progress"))

@@ -23,9 +23,9 @@ def tolerance_report(
     cases: DataFrame, predictions: DataFrame, references: DataFrame, tolerances: list[float] | None = None,
 ) -> DataFrame:
     """Summary, negative controls and matched-error statistics per tolerance."""
-    per_case, matches = evaluate(cases, predictions, references, tolerances or TOLERANCES_MM)
-    matches = scale.checkpoint(matches)  # read by the counts and by each error statistic
-    per_case = m.case_confusion(cases, predictions, references, matches, tolerances or TOLERANCES_MM)
+    tolerances = tolerances or TOLERANCES_MM
+    matches = scale.checkpoint(match_one_to_one(predictions, references, tolerances))  # read by counts and errors
+    per_case = m.case_confusion(cases, predictions, references, matches, tolerances)
     stats = m.error_stats(matches, ["tolerance_mm"]).drop("matches")
     return m.summarize(per_case, ["tolerance_mm"]).join(stats, "tolerance_mm", "left")
 

@@ -351,14 +351,13 @@ def fill_gaps(spark, folder):
 
 
 def _next_sql(extreme: str, test: str) -> str:
-    return a.oracle(f"""SELECT c.case_id, c.ord, {sr4(f'{extreme}(CASE WHEN {test} THEN s.discount END)', 'next_progress')}
-        FROM cand c JOIN cand s ON s.case_id = c.case_id GROUP BY 1, 2""", "cand")
+    return a.oracle(f"""SELECT c.case_id, {sr4(f'{extreme}(CASE WHEN {test} THEN s.discount END)', 'next_progress')}
+        FROM cand c JOIN cand s ON s.case_id = c.case_id WHERE c.ord = 1 GROUP BY 1""", "cand")
 
 
 def _next(spark, folder, forward):
     rows = a.candidates(spark, folder).select("case_id", "ord", (F.col("features")["arc_position"] / 10).alias("progress"))
-    found = rings.next_progress(rows.select("case_id", "progress"), rows.select("case_id", "progress").distinct(), ["case_id"], forward)
-    return rows.join(found.withColumnRenamed("current", "progress"), ["case_id", "progress"]).select("case_id", "ord", r4("next_progress"))
+    return rings.next_progress(rows, rows.filter("ord = 1"), ["case_id"], forward).select("case_id", r4("next_progress"))
 
 
 @query("next_progress", _next_sql("min", "s.discount > c.discount + 1e-4"))

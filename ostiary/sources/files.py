@@ -78,8 +78,9 @@ def build_manifest(files: DataFrame, attributes: DataFrame, key: str = "case_id"
     """Per case a name-sorted map of file → sha256, with the case's attributes. Digests are taken before the
     shuffle, so file contents never move."""
     digests = files.select(key, "name", F.sha2("content", 256).alias("sha256"))
-    maps = digests.groupBy(key).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("name", "sha256")))).alias("files"))
-    return attributes.join(maps, key, "left")
+    parts = _record_parts(digests, [key], ["name"], RECORD_ROWS)
+    maps = parts.groupBy(key, "part").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("name", "sha256")))).alias("files"))
+    return attributes.join(maps.drop("part"), key, "left")
 
 
 def _record_parts(rows: DataFrame, by: list[str], order: list[str], rows_per_record: int) -> DataFrame:
