@@ -107,7 +107,7 @@ def _augment(pairs: DataFrame, keys: list[str]) -> DataFrame:
             offered = reach.join(free_edges, [*keys, "_left"]).groupBy(*keys, "_right").agg(
                 F.min(F.struct((F.col("_cost") + F.col("distance")).alias("_cost"), F.col("_left"))).alias("_best"))
             back = offered.join(held, [*keys, "_right"]).select(
-                *keys, held["_left"], (F.col("_best._cost") - F.col("distance")).alias("_cost"))
+                *keys, "_left", (F.col("_best._cost") - F.col("distance")).alias("_cost"))
             merged = scale.checkpoint(reach.unionByName(back).groupBy(*keys, "_left").agg(
                 F.min("_cost").alias("_cost")))
             before = reach.select(*keys, "_left", F.col("_cost").alias("_old"))
