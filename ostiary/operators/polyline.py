@@ -189,6 +189,19 @@ def first_crossing(profiles: DataFrame, level: Column | float, step: float = 0.2
     return profiles.withColumn("crossing_mm", F.when(at >= 2, crossing)).withColumn("starts_low", at == 1)
 
 
+def wall_crossing(connectors: DataFrame, gap_fraction: float = 0.0) -> DataFrame:
+    """Position (sample index + fraction) where a connector's signed distance first reaches zero.
+
+    NULL when it starts inside, never gets there, or more than ``gap_fraction`` of the samples up to the
+    crossing lie outside the ``supported`` cells.
+    """
+    at = F.array_position(F.transform("samples", lambda s: s <= 0), True).cast("int")
+    before, after = F.get("samples", at - 2), F.get("samples", at - 1)
+    open_part = F.size(F.filter(F.slice("supported", 1, F.greatest(at, F.lit(0))), lambda ok: ~ok)) / F.greatest(at, F.lit(1))
+    position = (at - 2) + F.try_divide(before, before - after)
+    return connectors.withColumns({"unsupported": open_part, "crossing_at": F.when((at >= 2) & (open_part <= gap_fraction), position)})
+
+
 def cross_section_radius(crossings: DataFrame, by: list[str], half: int = 16, needed: int = 12) -> DataFrame:
     """Half the median of opposite-ray diameters; NULL with too few pairs or a ray that starts low.
 
