@@ -39,18 +39,20 @@ def pick_alias(fields: Column, aliases: list[str]) -> tuple[Column, Column]:
     return F.try_element_at(fields, key), key
 
 
-def to_vector(text: Column) -> Column:
-    """A JSON list of three or an object with x, y, z as a point; NULL unless all three are finite numbers."""
-    listed = F.from_json(text, "array<double>", {"mode": "PERMISSIVE"})
-    named = F.from_json(text, "struct<x:double,y:double,z:double>")
-    from_list = F.when(F.size(listed) == 3, F.struct(*[
-        F.get(listed, F.lit(i)).alias(axis) for i, axis in enumerate("xyz")]))
-    vector = F.when(F.startswith(F.ltrim(text), F.lit("[")), from_list).otherwise(named)
-    finite = F.lit(True)
-    for axis in "xyz":
-        part = vector[axis]
-        finite = finite & part.isNotNull() & ~F.isnan(part) & (F.abs(part) < F.lit(float("inf")))
-    return F.when(finite, vector)
+def parsed_vector(text: Column) -> tuple[Column, Column]:
+    """(list form, object form) of a JSON vector, parsed at most once each.
+
+    Store both as columns before calling :func:`to_vector`, which reads them several times."""
+    listed = F.startswith(F.ltrim(text), F.lit("["))
+    return (F.when(listed, F.from_json(text, "array<double>")),
+            F.when(~listed, F.from_json(text, "struct<x:double,y:double,z:double>")))
+
+
+def to_vector(listed: Column, named: Column) -> Column:
+    """A point from three list items or from x, y, z; NULL unless all three are finite numbers."""
+    parts = F.coalesce(listed, F.array(*[named[axis] for axis in "xyz"]))
+    usable = (F.size(parts) == 3) & F.forall(parts, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < F.lit(float("inf"))))
+    return F.when(usable, F.struct(*[F.get(parts, F.lit(i)).alias(axis) for i, axis in enumerate("xyz")]))
 
 
 def has_voxel_hint(text: Column) -> Column:

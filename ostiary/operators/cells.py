@@ -277,30 +277,30 @@ def max_projection(cells: DataFrame, axis: str) -> DataFrame:
 def relocate_root(roots: DataFrame, cells: DataFrame, spacing: float = 1.0, maximum: float = 6.0) -> DataFrame:
     """Move each root along supported non-parent cells to the nearest one that touches the parent.
 
-    A breadth-first walk over faces of at most floor(maximum / spacing) steps, all roots together; the
-    frontier is one join per step. ``relocated`` is NULL when no contact is near enough.
+    The walk starts at the contact cells and spreads outwards over faces, at most floor(maximum / spacing)
+    steps: every lumen cell learns its nearest contact (ties to the smallest z, y, x) once, and all roots
+    then look theirs up. The work depends on the cells only. ``relocated`` is NULL when nothing is near.
     """
-    by, key = CASE, ["root_id"]
-    lumen = cells.filter(F.col("support") & ~F.col("parent") & ~F.col("excluded"))
-    # Face neighbours of parent cells that are lumen cells.
-    marked = cells.filter(F.col("support") | F.col("parent"))
-    pairs = neighbour_pairs(marked, by, 6)
-    parents = cells.filter("parent").select(*by, *[F.col(a).alias(f"n{a}") for a in Z])
-    contact = pairs.join(parents, [*by, "nz", "ny", "nx"], "left_semi").select(*by, *Z).distinct()
-    steps = scale.checkpoint(pairs.join(lumen.select(*by, *Z), [*by, *Z], "left_semi").join(
-        lumen.select(*by, *[F.col(a).alias(f"n{a}") for a in Z]), [*by, "nz", "ny", "nx"], "left_semi"))
-    contact = scale.checkpoint(contact.join(lumen.select(*by, *Z), [*by, *Z], "left_semi"))
-    frontier = scale.checkpoint(roots.select(*by, *key, *Z).join(lumen.select(*by, *Z), [*by, *Z], "left_semi").withColumn("steps", F.lit(0)))
-    seen = frontier
+    by = CASE
+    cells = scale.checkpoint(cells.filter(F.col("support") | F.col("parent")).select(*by, *Z, "support", "parent", "excluded"))
+    lumen = cells.filter(F.col("support") & ~F.col("parent") & ~F.col("excluded")).select(*by, *Z)
+    turned = {a: f"n{a}" for a in Z}
+    pairs = neighbour_pairs(cells, by, 6)
+    inside = pairs.join(lumen, [*by, *Z], "left_semi")
+    parents = cells.filter("parent").select(*by, *Z).withColumnsRenamed(turned)
+    steps = scale.checkpoint(inside.join(lumen.withColumnsRenamed(turned), [*by, *turned.values()], "left_semi"))
+    contact = inside.join(parents, [*by, *turned.values()], "left_semi").select(*by, *Z).distinct()
+    seen = scale.checkpoint(contact.select(*by, *Z, F.struct(*Z).alias("relocated"), F.lit(0).alias("steps")))
+    frontier = seen
     for step in range(1, int(maximum / spacing + 1e-9) + 1):
-        moved = frontier.join(steps, [*by, *Z]).select(*by, *key, *[F.col(f"n{a}").alias(a) for a in Z]).distinct()
-        frontier = scale.checkpoint(moved.join(seen, [*by, *key, *Z], "left_anti").withColumn("steps", F.lit(step)))
+        reached = frontier.join(steps, [*by, *Z]).groupBy(*by, *turned.values()).agg(F.min("relocated").alias("relocated"))
+        fresh = reached.select(*by, *[F.col(f"n{a}").alias(a) for a in Z], "relocated", F.lit(step).alias("steps"))
+        frontier = scale.checkpoint(fresh.join(seen, [*by, *Z], "left_anti"))
         if frontier.isEmpty():
             break
         seen = seen.unionByName(frontier)
-    ends = seen.join(contact, [*by, *Z], "left_semi").groupBy(*by, *key).agg(F.min(F.struct("steps", *Z)).alias("_e")).select(
-        *by, *key, F.struct(*[F.col(f"_e.{a}").alias(a) for a in Z]).alias("relocated"), (F.col("_e.steps") * spacing).alias("walk_mm"))
-    return roots.join(ends, [*by, *key], "left")
+    found = seen.select(*by, *Z, "relocated", (F.col("steps") * spacing).alias("walk_mm"))
+    return roots.join(found, [*by, *Z], "left")
 
 
 def follows_root(branches: DataFrame, roots: DataFrame) -> DataFrame:

@@ -40,7 +40,8 @@ def _star(links: DataFrame, by: list[str], large: bool) -> DataFrame:
         joined = links.join(lowest, [*by, "u"])
         moved = joined.select(*by, F.col("v").alias("u"), F.col("m").alias("v")).unionByName(
             lowest.select(*by, "u", F.col("m").alias("v")))
-    return moved.filter("u <> v").distinct()
+    moved = moved.filter("u <> v")
+    return moved if large else moved.distinct()  # the small step that follows removes repeats
 
 
 def offsets(connectivity: int) -> list[tuple[int, int, int]]:
@@ -85,9 +86,9 @@ def neighbour_count(cells: DataFrame, by: list[str], connectivity: int = 26) ->
 
 def label_cells(cells: DataFrame, by: list[str], connectivity: int = 26) -> DataFrame:
     """``by, z, y, x, component``: the component is the smallest member as struct(z, y, x)."""
-    pairs = neighbour_pairs(cells, by, connectivity, both=False)
+    members = scale.checkpoint(cells.select(*by, *Z))
+    pairs = neighbour_pairs(members, by, connectivity, both=False)
     edges = pairs.select(*by, F.struct(*Z).alias("a"),
                          F.struct(F.col("nz").alias("z"), F.col("ny").alias("y"), F.col("nx").alias("x")).alias("b"))
     labels = connected_components(edges, by).select(*by, "node.*", "component")
-    members = cells.select(*by, *Z)
     return members.join(labels, [*by, *Z], "left").withColumn("component", F.coalesce("component", F.struct(*Z)))

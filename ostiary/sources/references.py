@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ostiary.functions import geometry as g, naming as n
 
@@ -91,14 +91,19 @@ def normalize_references(raw: DataFrame, headers: DataFrame | None = None) -> Da
         *rows.columns, *[key.alias(f"k_{field}") for field, (_, key) in picked.items()],
         *[value.alias(f"t_{field}") for field, (value, _) in picked.items()], voxel_key.alias("voxel_key"))
     use_voxel_key = F.col("t_ostium_xyz_mm").isNull()
+    texts = {"ostium": F.coalesce("t_ostium_xyz_mm", F.try_element_at("entry", F.col("voxel_key"))),
+             "seed": F.col("t_seed_xyz_mm"), "direction": F.col("t_direction_xyz")}
     rows = rows.select(
         "record", "case_id", "case_value", "rejected", "no_list", "index", "entry", *[f"k_{f}" for f in picked],
         "t_radius_mm", F.col("t_instance_id"), use_voxel_key.alias("from_voxel_key"),
         (F.when(use_voxel_key, F.lit(True)).otherwise(F.col("voxel_space"))).alias("voxel"),
         F.col("t_ostium_xyz_mm").isNull().alias("_no_ostium_key"), "voxel_key",
-        n.to_vector(F.coalesce("t_ostium_xyz_mm", F.try_element_at("entry", F.col("voxel_key")))).alias("ostium"),
-        n.to_vector(F.col("t_seed_xyz_mm")).alias("seed"), F.col("t_seed_xyz_mm").isNotNull().alias("seed_given"),
-        n.to_vector(F.col("t_direction_xyz")).alias("direction"), F.col("t_direction_xyz").isNotNull().alias("direction_given"))
+        *[column.alias(f"{form}_{name}") for name, text in texts.items()
+          for form, column in zip(("listed", "named"), n.parsed_vector(text))],
+        F.col("t_seed_xyz_mm").isNotNull().alias("seed_given"), F.col("t_direction_xyz").isNotNull().alias("direction_given"))
+    rows = rows.select(
+        *[c for c in rows.columns if not c.startswith(("listed_", "named_"))],
+        *[n.to_vector(F.col(f"listed_{name}"), F.col(f"named_{name}")).alias(name) for name in texts])
     if headers is not None:
         rows = rows.join(headers.select("case_id", F.struct("origin", "spacing", "direction").alias("h")), "case_id", "left")
     else:
@@ -150,13 +155,16 @@ def normalize_references(raw: DataFrame, headers: DataFrame | None = None) -> Da
 
 
 def suffix_duplicate_ids(rows: DataFrame, by: list[str] | None = None) -> DataFrame:
-    """If any id repeats inside a record, every id of that record gets its position as ``_%03d``."""
+    """If any id repeats inside a record, every id of that record gets its position as ``_%03d``.
+
+    A record is one JSON object that came from one row, so a window over it stays small."""
     by = by or ["record"]
-    repeated = rows.filter(F.col("instance_id").isNotNull()).groupBy(*by, "instance_id").agg(
-        F.count("*").alias("n")).filter("n > 1").select(*by).distinct().withColumn("_dup", F.lit(True))
+    copies = F.count("instance_id").over(Window.partitionBy(*by, "instance_id"))
     position = F.format_string("_%03d", F.col("index") + 1)
-    return rows.join(repeated, by, "left").withColumn("instance_id", F.when(
-        F.col("_dup"), F.concat("instance_id", position)).otherwise(F.col("instance_id"))).drop("_dup")
+    counted = rows.withColumn("_copies", copies)
+    repeated = F.max("_copies").over(Window.partitionBy(*by)) > 1
+    return counted.withColumn("instance_id", F.when(repeated, F.concat("instance_id", position)).otherwise(
+        F.col("instance_id"))).drop("_copies")
 
 
 def reference_problems(rows: DataFrame) -> DataFrame:
