@@ -9,7 +9,10 @@ from __future__ import annotations
 import math
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.types import ArrayType, DoubleType
 
 from ostiary import scale
 from ostiary.functions import geometry as g
@@ -210,8 +213,6 @@ def slice_curve(cells: DataFrame, spacing: float = 1.0) -> DataFrame:
     snapped = placed.join(centres, [*CASE, "level"]).groupBy(*CASE, "level").agg(
         F.min(F.struct(gap.alias("gap"), *Z)).alias("_s")).select(*CASE, "level", *[F.col(f"_s.{a}").cast("double").alias(a) for a in Z])
     # Levels can have holes, so the order along the curve is the count of levels below; levels are few per case.
-    from pyspark.sql import Window
-
     ordered = snapped.withColumn("seq", F.row_number().over(Window.partitionBy(*CASE).orderBy("level")) - 1)
     smooth = smooth_series(ordered, CASE, Z, max(1.0, 2 / spacing)).withColumnsRenamed({a: f"s{a}" for a in Z})
     joined = ordered.join(smooth, [*CASE, "seq"])
@@ -220,27 +221,26 @@ def slice_curve(cells: DataFrame, spacing: float = 1.0) -> DataFrame:
     return checked.select(*CASE, "level", *[F.when(F.col("_in"), F.col(f"s{a}")).otherwise(F.col(a)).alias(a) for a in Z])
 
 
-def principal_axis(points: DataFrame, by: list[str], sweeps: int = 12) -> DataFrame:
+@F.pandas_udf(ArrayType(DoubleType()))
+def _leading_direction(xx: pd.Series, xy: pd.Series, xz: pd.Series, yy: pd.Series, yz: pd.Series, zz: pd.Series) -> pd.Series:
+    """Eigenvector of the largest eigenvalue for a batch of symmetric 3 x 3 matrices."""
+    stacked = np.stack([np.stack(row, axis=-1) for row in ((xx, xy, xz), (xy, yy, yz), (xz, yz, zz))], axis=-2)
+    return pd.Series(list(np.linalg.eigh(stacked)[1][:, :, -1]))
+
+
+def _axes(points: DataFrame, by: list[str]) -> DataFrame:
+    sums = points.groupBy(*by).agg(F.count("*").alias("n"), *[
+        F.covar_pop(a, b).alias(f"_{a}{b}") for i, a in enumerate("xyz") for b in "xyz"[i:]])
+    found = sums.withColumn("_d", _leading_direction("_xx", "_xy", "_xz", "_yy", "_yz", "_zz"))
+    return found.select(*by, "n", g.point(*[F.get("_d", F.lit(i)) for i in range(3)]).alias("axis"))
+
+
+def principal_axis(points: DataFrame, by: list[str]) -> DataFrame:
     """First principal direction of each group with the range of projections on it; its sign is arbitrary.
 
-    Six covariance sums combine map-side. The 3 x 3 eigenvector comes from squaring the matrix repeatedly
-    (2^sweeps power steps) on one row per group.
+    Six covariance sums combine map-side; the eigenvector is taken from one row per group, in Arrow batches.
     """
-    sums = points.groupBy(*by).agg(F.count("*").alias("n"), *[
-        F.covar_pop(a, b).alias(f"m{i}{j}") for i, a in enumerate("xyz") for j, b in enumerate("xyz") if i <= j])
-    matrix = {(i, j): F.col(f"m{min(i, j)}{max(i, j)}") for i in range(3) for j in range(3)}
-    rows = sums
-    for _ in range(sweeps):
-        top = F.greatest(*[F.abs(matrix[i, j]) for i in range(3) for j in range(i, 3)], F.lit(1e-300))
-        rows = rows.withColumn("_top", top)
-        rows = rows.withColumns({f"m{i}{j}": F.col(f"m{i}{j}") / F.col("_top") for i in range(3) for j in range(i, 3)})
-        rows = rows.withColumns({f"n{i}{j}": sum((matrix[i, k] * matrix[k, j] for k in range(3)), F.lit(0.0)) for i in range(3) for j in range(i, 3)})
-        rows = rows.withColumns({f"m{i}{j}": F.col(f"n{i}{j}") for i in range(3) for j in range(i, 3)})
-    # The column with the largest diagonal entry points along the axis.
-    pick = F.when((matrix[0, 0] >= matrix[1, 1]) & (matrix[0, 0] >= matrix[2, 2]), 0).when(matrix[1, 1] >= matrix[2, 2], 1).otherwise(2)
-    rows = rows.withColumn("_pick", pick)
-    column = [F.when(F.col("_pick") == 0, matrix[i, 0]).when(F.col("_pick") == 1, matrix[i, 1]).otherwise(matrix[i, 2]) for i in range(3)]
-    axes = rows.select(*by, "n", g.point(*column).alias("_c")).select(*by, "n", g.point(*g.unit(g.xyz("_c"))).alias("axis"))
+    axes = _axes(points, by)
     along = g.dot(g.cols("x", "y", "z"), g.xyz("axis"))
     ranges = points.join(axes.select(*by, "axis"), by).groupBy(*by).agg(F.min(along).alias("low"), F.max(along).alias("high"))
     return axes.join(ranges, by)
@@ -258,7 +258,7 @@ def parent_angle(probes: DataFrame, members: DataFrame, by: list[str], key: list
         copies = copies.withColumn(f"_c{i}", F.explode(F.sequence(F.floor((axis - box) / size), F.floor((axis + box) / size))))
     inside = reduce(lambda p, q: p & q, [F.abs(F.col(a) - c) <= box for a, c in zip("xyz", g.xyz("point"))])
     near = copies.join(own, [*by, "_c0", "_c1", "_c2"]).filter(inside)
-    axes = principal_axis(near, [*by, *key]).filter("n >= 3").select(*by, *key, "axis")
+    axes = _axes(near, [*by, *key]).filter("n >= 3").select(*by, *key, "axis")
     cosine = F.least(F.lit(1.0), F.abs(g.dot(g.xyz("axis"), g.xyz("direction"))))
     return probes.join(axes, [*by, *key], "left").withColumn("parent_angle", F.coalesce(F.degrees(F.acos(cosine)), F.lit(90.0))).drop("axis")
 
@@ -315,8 +315,6 @@ def add_recovered(candidates: DataFrame, relocated: DataFrame, cap: int, broad:
 
     The cap keeps existing candidates first, then additions in candidate order.
     """
-    from pyspark.sql import Window
-
     usable = relocated.filter((F.col("reason") == "disconnected_ostium") & (F.col("volume_mm3") <= broad) & F.col("relocated").isNotNull())
     fresh = usable.select("case_id", "rank", *[F.col(f"relocated.{a}").alias(a) for a in Z], "quality", "volume_mm3")
     first = fresh.groupBy("case_id", *Z).agg(F.min(F.struct("rank", "quality", "volume_mm3")).alias("_f")).select("case_id", *Z, "_f.*")
