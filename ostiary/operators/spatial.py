@@ -2,20 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from ostiary.functions import geometry as g
 
 CELL = ["_c0", "_c1", "_c2"]
 
 
-def _cells_touched(point: Column, radius: float, size: float) -> Column:
-    """Every grid cell a ball around the point reaches: one or two per axis for size >= 2 * radius."""
-    axes = [
-        F.sequence(F.floor((axis - radius) / size), F.floor((axis + radius) / size)) for axis in g.xyz(point)
-    ]
-    return F.flatten(F.transform(axes[0], lambda i: F.flatten(F.transform(axes[1], lambda j: F.transform(
-        axes[2], lambda k: F.struct(i.alias("_c0"), j.alias("_c1"), k.alias("_c2")))))))
+def _copy_to_cells(rows: DataFrame, point: str, radius: float, size: float) -> DataFrame:
+    """Copy each row to every grid cell a ball around its point reaches: one or two per axis for
+    size >= 2 * radius."""
+    for cell, axis in zip(CELL, g.xyz(point)):
+        reached = F.sequence(F.floor((axis - radius) / size), F.floor((axis + radius) / size))
+        rows = rows.withColumn(cell, F.explode(reached))
+    return rows
 
 
 def pairs_within(
@@ -31,8 +31,7 @@ def pairs_within(
     """
     size = 3.0 * radius
     own = [F.floor(axis / size).alias(cell) for axis, cell in zip(g.xyz(left_point), CELL)]
-    copies = right.withColumn("_cell", F.explode(_cells_touched(F.col(right_point), radius, size)))
-    copies = copies.select(*right.columns, "_cell.*")
+    copies = _copy_to_cells(right, right_point, radius, size)
     joined = left.select("*", *own).join(copies, [*by, *CELL])
     gap = g.distance(g.xyz(left_point), g.xyz(right_point))
     near = gap <= radius if inclusive else gap < radius
@@ -50,9 +49,8 @@ def keep_within(
     size = 3.0 * radius
     own = [F.floor(axis / size).alias(cell) for axis, cell in zip(g.xyz(left_point), CELL)]
     copies = right.select(*by, F.col(right_point).alias("_there")).distinct()
-    copies = copies.withColumn("_cell", F.explode(_cells_touched(F.col("_there"), radius, size)))
-    copies = copies.select(*[F.col(name).alias(f"_r_{name}") for name in by], "_there", *[
-        F.col(f"_cell.{cell}").alias(f"_r{cell}") for cell in CELL])
+    copies = _copy_to_cells(copies, "_there", radius, size).select(
+        *[F.col(name).alias(f"_r_{name}") for name in by], "_there", *[F.col(cell).alias(f"_r{cell}") for cell in CELL])
     gap = g.distance(g.xyz(left_point), g.xyz("_there"))
     condition = (gap <= radius) if inclusive else (gap < radius)
     for name in by:

@@ -87,17 +87,13 @@ def _cells(point: Column, size: float) -> list[Column]:
     return [F.floor(axis / size).alias(f"_c{i}") for i, axis in enumerate(g.xyz(point))]
 
 
-def _around(reach: int) -> Column:
-    """Neighbour cell columns ``_c0.._c2`` moved by every offset up to ``reach`` per axis."""
-    steps = F.sequence(F.lit(-reach), F.lit(reach))
-    return F.flatten(F.transform(steps, lambda i: F.flatten(F.transform(steps, lambda j: F.transform(
-        steps, lambda k: F.struct(
-            (F.col("_c0") + i).alias("_c0"), (F.col("_c1") + j).alias("_c1"), (F.col("_c2") + k).alias("_c2"),
-        ))))))
-
-
 def _spread(df: DataFrame, reach: int, keep: list[str]) -> DataFrame:
-    return df.select(*keep, F.explode(_around(reach)).alias("_n")).select(*keep, "_n.*")
+    """Copy each row to all cells up to ``reach`` away per axis; the offsets are one constant array."""
+    steps = range(-reach, reach + 1)
+    offsets = F.array(*[F.struct(*[F.lit(v).alias(f"o{axis}") for axis, v in enumerate((i, j, k))])
+                        for i in steps for j in steps for k in steps])
+    copied = df.select(*keep, *CELL, F.explode(offsets).alias("_o"))
+    return copied.select(*keep, *[(F.col(cell) + F.col(f"_o.o{axis}")).alias(cell) for axis, cell in enumerate(CELL)])
 
 
 CELL = ["_c0", "_c1", "_c2"]
