@@ -36,7 +36,7 @@ def validate_landmarks(rows: DataFrame, parent: str = "aorta") -> DataFrame:
         "identifier": F.col("instance_id").isNull() | (F.col("instance_id") == parent),
         "parent": F.coalesce(F.col("parent_instance_id") != parent, F.lit(True)),
         "ostium": _vector_bad("ostium"), "seed": _vector_bad("seed"), "direction": _vector_bad("direction"),
-        # The reference test is isclose(norm, 1, atol=0.01), which adds a relative part of 1e-5.
+        # 0.01 absolute plus 1e-5 relative tolerance.
         "unit_direction": ~(F.abs(length - 1) <= 0.01 + 1e-5),
         "radius": ~(g.is_finite(F.col("radius_mm")) & (F.col("radius_mm") > 0)),
     })

@@ -9,6 +9,7 @@ from ostiary.functions.features import FEATURE_NAMES
 from ostiary.operators.ordering import rank_within
 
 KEY = ["case_id", "instance_id"]
+# Fixed value: marker of review files.
 SCOPE = "candidate_reviews_only"
 
 

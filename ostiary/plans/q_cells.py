@@ -293,14 +293,17 @@ def add_recovered(spark, folder):
     return c.add_recovered(rows, rows, 160).select("case_id", "z", "y", "x", "added")
 
 
-@query("follows_root", a.oracle(f"""
-    SELECT case_id, ord FROM cand WHERE least(
-      sqrt((oy+3 - oy - 0)**2 * 0 + pow(greatest(0, least(1, (3*dy*2 )/4)) * 2 * dx, 2) + pow(3 - greatest(0, least(1, (3*dy*2)/4)) * 2 * dy, 2) + pow(greatest(0, least(1, (3*dy*2)/4)) * 2 * dz, 2)), 99) <= radius_mm
-      OR sqrt((2*dx + 3*dx*t2)**2 + (3 - 2*dy - 3*dy*t2)**2 + (2*dz + 3*dz*t2)**2) <= radius_mm
-      OR sqrt((5*dx + 1.5*t3)**2 + (3 - 5*dy - tax*10*t3)**2 + (5*dz + discount*20*t3)**2) <= radius_mm""",
-    "cand", extra={"cand2": "SELECT 1"}).replace("FROM cand WHERE", """FROM (SELECT *,
+# Distance of the point 3 mm above the ostium from each of a path's three segments.
+FOLLOWED = {"shares": """SELECT *, greatest(0, least(1, 3*dy / 2)) AS t1,
       greatest(0, least(1, (-2*dx*3*dx + (3-2*dy)*3*dy - 2*dz*3*dz) / 9)) AS t2,
-      greatest(0, least(1, (-5*dx*1.5 + (3-5*dy)*tax*10 - 5*dz*discount*20) / (1.5**2 + (tax*10)**2 + (discount*20)**2))) AS t3 FROM cand) WHERE"""))
+      greatest(0, least(1, (-5*dx*1.5 + (3-5*dy)*tax*10 - 5*dz*discount*20) / (1.5**2 + (tax*10)**2 + (discount*20)**2))) AS t3 FROM cand"""}
+
+
+@query("follows_root", a.oracle("""
+    SELECT case_id, ord FROM shares WHERE least(
+      sqrt((2*dx*t1)**2 + (3 - 2*dy*t1)**2 + (2*dz*t1)**2),
+      sqrt((2*dx + 3*dx*t2)**2 + (3 - 2*dy - 3*dy*t2)**2 + (2*dz + 3*dz*t2)**2),
+      sqrt((5*dx + 1.5*t3)**2 + (3 - 5*dy - tax*10*t3)**2 + (5*dz + discount*20*t3)**2)) <= radius_mm""", "cand", extra=FOLLOWED))
 def follows_root(spark, folder):
     rows = a.candidates(spark, folder).withColumn("root_id", F.col("ord"))
     x, y, z = g.xyz("ostium")

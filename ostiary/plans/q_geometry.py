@@ -33,11 +33,10 @@ def seeds(spark, folder):
     return a.candidates(spark, folder).select("case_id", "ord", F.col("seed").alias("point"))
 
 
-def ostium_path(spark, folder):
-    """The ostia of a case as one array path; an order has few lines."""
-    rows = lines(spark, folder)
-    packed = pl._pack(rows, ["case_id"]).withColumnRenamed("_line", "path")
-    return packed.withColumn("arcs", g.arc_lengths(F.col("path")))
+def traced(spark, folder):
+    """Branch paths live in their rows, so cutting them needs no grouping."""
+    rows = a.candidates(spark, folder).select("case_id", "ord", "path")
+    return rows.withColumn("arcs", g.arc_lengths(F.col("path")))
 
 
 @query("arc_length", a.oracle(f"SELECT case_id, seq, {sr4('arc', 'arc')} FROM arcs", "cand", extra=LINE))
@@ -45,25 +44,24 @@ def arc_length(spark, folder):
     return pl.arc_length(lines(spark, folder), ["case_id"]).select("case_id", "seq", r4("arc"))
 
 
-CUT = """SELECT case_id, CASE WHEN max(arc) <= 6 THEN arg_max(x, seq) ELSE arg_min(px + (x-px)*(6-parc)/nullif(arc-parc, 0), seq) FILTER (arc >= 6) END AS x,
-    CASE WHEN max(arc) <= 6 THEN arg_max(y, seq) ELSE arg_min(py + (y-py)*(6-parc)/nullif(arc-parc, 0), seq) FILTER (arc >= 6) END AS y,
-    CASE WHEN max(arc) <= 6 THEN arg_max(z, seq) ELSE arg_min(pz + (z-pz)*(6-parc)/nullif(arc-parc, 0), seq) FILTER (arc >= 6) END AS z,
-    CASE WHEN max(arc) <= 6 THEN count(*) ELSE count(*) FILTER (arc < 6) + 1 END AS vertices, least(max(arc), 6) AS length
-    FROM (SELECT *, lag(x) OVER w AS px, lag(y) OVER w AS py, lag(z) OVER w AS pz, lag(arc) OVER w AS parc FROM arcs
-      WINDOW w AS (PARTITION BY case_id ORDER BY seq)) GROUP BY 1"""
+@query("truncate_path", a.oracle(f"""
+    SELECT case_id, ord, 4::BIGINT AS vertices,
+      {sr4('least(path_length, 6.8)', 'length')} FROM cand""", "cand"))
+def truncate_path(spark, folder):
+    cut = g.truncate_path(F.col("path"), F.col("arcs"), F.lit(6.8))
+    return traced(spark, folder).withColumn("cut", cut).select(
+        "case_id", "ord", F.size("cut").cast("bigint").alias("vertices"), r4(g.path_length(F.col("cut")), "length"))
 
 
-@query("truncate_path", a.oracle(f"SELECT case_id, vertices, {sr4('length', 'length')} FROM cut", "cand", extra={**LINE, "cut": CUT}))
-def truncate_path(spark, folder):
-    cut = g.truncate_path(F.col("path"), F.col("arcs"), F.lit(6.0))
-    return ostium_path(spark, folder).withColumn("cut", cut).select(
-        "case_id", F.size("cut").cast("bigint").alias("vertices"), r4(g.path_length(F.col("cut")), "length"))
+PART = "least(1, 1.8 / (path_length - 5))"
 
 
-@query("point_at_arc", a.oracle(f"SELECT case_id, {sr4('x', 'x', 6)}, {sr4('y', 'y', 6)}, {sr4('z', 'z', 6)} FROM cut", "cand", extra={**LINE, "cut": CUT}))
+@query("point_at_arc", a.oracle(f"""
+    SELECT case_id, ord, {sr4(f'sx + 1.5 * {PART}', 'x', 6)}, {sr4(f'sy + tax * 10 * {PART}', 'y', 6)},
+      {sr4(f'sz + discount * 20 * {PART}', 'z', 6)} FROM cand""", "cand"))
 def point_at_arc(spark, folder):
-    at = g.point_at_arc(F.col("path"), F.col("arcs"), F.lit(6.0))
-    return ostium_path(spark, folder).withColumn("p", at).select("case_id", *[r4(F.col(f"p.{c}"), c, 6) for c in "xyz"])
+    at = g.point_at_arc(F.col("path"), F.col("arcs"), F.lit(6.8))
+    return traced(spark, folder).withColumn("p", at).select("case_id", "ord", *[r4(F.col(f"p.{c}"), c, 6) for c in "xyz"])
 
 
 @query("nearest_on_polyline", a.oracle(f"""
@@ -272,6 +270,17 @@ def rays(spark, folder):
     return rows.select("vec_id", ray.alias("ray", "samples")).withColumn("ray", F.col("ray").cast("bigint"))
 
 
+@query("wall_crossing", a.oracle(f"""
+    SELECT vec_id, ray, CASE WHEN 12 + first <= 0 THEN NULL WHEN 8 + second <= 0 THEN
+        CASE WHEN ray % 2 = 0 THEN round((12 + first) / ((12 + first) - (8 + second)) + 1e-7, 4) + 0.0 END
+      ELSE round(1 + (8 + second) / (8 + second + 40) + 1e-7, 4) + 0.0 END AS crossing_at FROM rays""", extra={"rays": RAYS}))
+def wall_crossing(spark, folder):
+    """Connectors with an unsupported middle sample on odd rays; up to 35 % may be unsupported."""
+    supported = F.array(F.lit(True), F.col("ray") % 2 == 0, F.lit(True))
+    connectors = rays(spark, folder).withColumn("supported", supported)
+    return pl.wall_crossing(connectors, 0.35).select("vec_id", "ray", r4("crossing_at"))
+
+
 @query("cross_section_radius", a.oracle(f"""
     SELECT vec_id, CASE WHEN count(d) >= 12 AND NOT bool_or(low) THEN round(median(d) / 2 + 1e-7, 4) + 0.0 END AS radius_mm FROM (
       SELECT p.vec_id, p.c + q.c AS d, p.low OR q.low AS low FROM crossed p JOIN crossed q ON q.vec_id = p.vec_id AND q.ray = p.ray + 16)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ostiary.functions import geometry as g, naming as n
 
+# Fixed value: marker of files that must not be used as references.
 REJECTED_SCOPE = "unreviewed_proposals_not_ground_truth"
 MAP = "map<string,string>"
 
