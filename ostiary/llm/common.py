@@ -84,12 +84,13 @@ class _Ids(dict):
 class WordMemo:
     """One row of numbers per distinct word, computed once per worker for as long as it is remembered.
 
-    ``compute(words)`` returns an array with one row per word. The memo starts anew when it holds MEMO_WORDS words
+    ``compute(words)`` returns an array with one row per word. The memo starts anew when it holds ``most`` words
     or MEMO_BYTES bytes of them; values do not depend on what it holds.
     """
 
-    def __init__(self, compute: Callable[[list], np.ndarray]) -> None:
+    def __init__(self, compute: Callable[[list], np.ndarray], most: int = MEMO_WORDS) -> None:
         self.compute = compute
+        self.most = most
         self.ids = _Ids()
         self.rows: np.ndarray | None = None
 
@@ -112,7 +113,7 @@ class WordMemo:
         return self.rows
 
     def trim(self) -> None:
-        if len(self.ids) > MEMO_WORDS or self.ids.bytes > MEMO_BYTES:
+        if len(self.ids) > self.most or self.ids.bytes > MEMO_BYTES:
             self.ids, self.rows = _Ids(), None
 
     def reduce(self, docs: Iterable[list], maxima: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
