@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ostiary.llm import common, langid, toxicity
+from ostiary.llm import common, langid, suffix_tree, toxicity
 from ostiary.llm.registry import query, table
 
 
@@ -33,3 +33,10 @@ def toxicity_scores(spark: SparkSession, folder: str) -> DataFrame:
     model = toxicity.fit(toxicity_examples(docs, table(spark, folder, "labels")))
     held_out = (common.crc_remainder("doc_id", 3) == 1).alias("held_out")
     return toxicity.score(docs.select("doc_id", "text", held_out), model).drop("text")
+
+
+@query("op1_lm_scoring")
+def likelihoods(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    held_out = common.crc_remainder("doc_id", 10) == 0
+    return suffix_tree.score(docs.select("doc_id", "text", held_out.alias("held_out")), docs.filter(~held_out).select("text"))
