@@ -7,6 +7,7 @@ characters for each label, chosen by a hash of the text, each different text onc
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 
@@ -22,8 +23,8 @@ _SHARE = 1 << 20
 
 
 def words_of(text: str) -> list[str]:
-    """Runs of letters, lower-cased."""
-    return WORD.findall(text.lower())
+    """Runs of letters, lower-cased and composed: a letter typed with a separate accent is the same letter."""
+    return WORD.findall(unicodedata.normalize("NFC", text).lower())
 
 
 def sample(labelled: DataFrame, max_docs: int, max_chars: int) -> tuple[DataFrame, list]:

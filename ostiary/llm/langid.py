@@ -20,8 +20,11 @@ MAX_DOCS = 4_000
 MAX_CHARS = 20_000_000
 # Deviations shrink with the root of the length, up to so many characters.
 STEADY = 2_000
-# A text is rejected beyond so many times the largest deviation of the held-back texts.
+# A text is rejected beyond so many times the largest deviation of the held-back texts, and only when its cross-entropy
+# is further than this share of the way from the language's own to that of evenly spread letters: texts that mix
+# languages stay.
 SLACK = 1.5
+LEAST_WAY = 0.65
 FIELDS = "lang_pred string, score double, cross_entropy double, rejected boolean"
 
 
@@ -99,7 +102,8 @@ def identify(docs: DataFrame, model: LanguageModel, text: str = "text") -> DataF
         best = sums.argmin(1)
         known = sizes > 0
         entropy = sums[np.arange(len(best)), best] / np.maximum(sizes, 1)
-        limit = m.usual[best] + SLACK * m.spread[best] / np.sqrt(np.clip(sizes, 1, STEADY))
+        limit = m.usual[best] + np.maximum(SLACK * m.spread[best] / np.sqrt(np.clip(sizes, 1, STEADY)),
+                                           LEAST_WAY * np.maximum(-m.model.base - m.usual[best], 0))
         score = np.where(known, _shares(sums, m.heat)[np.arange(len(best)), best], 0.0)
         return [pa.array([m.languages[b] if k else "und" for b, k in zip(best, known)]), score,
                 pa.array(entropy, mask=~known), ~known | (entropy > limit)]
