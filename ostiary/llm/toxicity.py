@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, functions as F
 from ostiary.llm import common, kneser_ney, labelled
 
 ORDER = 5
-SHARED = 2
+SHARED = 1
 MAX_DOCS = 20_000
 MAX_CHARS = 60_000_000
 THRESHOLD = 0.7
