@@ -162,7 +162,9 @@ def components(docs: DataFrame, doc_id: str = "doc_id", fp: str = "fp", radius:
     members = common.checkpoint(nodes.join(joined, "fp"))
     least = members.groupBy("component").agg(F.min("least").alias("component_id"))
     of_members = members.join(least, "component").select("fp", "component_id")
-    return nodes.join(of_members, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"), "docs")
+    # written, so that a later join with the documents reads it through a shuffle of its own and a fingerprint that very
+    # many documents share can be split
+    return common.checkpoint(nodes.join(of_members, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"), "docs"))
 
 
 def one_per_group(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", radius: int = RADIUS) -> DataFrame:
