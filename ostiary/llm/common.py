@@ -12,6 +12,7 @@ from pyspark.sql.types import StructType
 
 from ostiary import scale
 
+SLICE_ROWS = 1_000
 # Words gathered from consecutive documents before values are looked up together.
 CHUNK_WORDS = 400_000
 # Distinct words, and bytes of them, that one Python worker remembers before it starts anew.
@@ -47,6 +48,13 @@ def bytes_of(batch: pa.RecordBatch, column: str) -> list[bytes]:
     return [x or b"" for x in values.to_pylist()]
 
 
+def slices(batches: Iterable[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:
+    """The same rows in smaller batches: what is built beside a batch stays small."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def with_columns(docs: DataFrame, fields: str, compute: Callable[[pa.RecordBatch], Iterable]) -> DataFrame:
     """``docs`` with the columns ``fields`` (DDL) that ``compute`` returns for each Arrow batch, in order.
 
@@ -59,7 +67,7 @@ def with_columns(docs: DataFrame, fields: str, compute: Callable[[pa.RecordBatch
     order = [f.name for f in kept]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             if batch.num_rows:
                 new = [x if isinstance(x, (pa.Array, pa.ChunkedArray)) else pa.array(x) for x in compute(batch)]
                 yield pa.RecordBatch.from_arrays([batch.column(n) for n in order] + new, names=order + [f.name for f in added])

@@ -95,7 +95,7 @@ def cut(docs: DataFrame, tokenizer: str, max_tokens: int = MAX_TOKENS, doc_id: s
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = tokens.encoder(tokenizer)
-        for batch in batches:
+        for batch in common.slices(batches):
             columns: list[list] = [[] for _ in range(5)]
             parts = []
             for doc, found in zip(batch.column("doc_id").to_pylist(), encoder.encode(common.bytes_of(batch, "text"))):

@@ -98,7 +98,7 @@ def write(docs: DataFrame, folder: str, tokenizer: str, vocabulary: int = 1 << 1
         encoder = tokens.encoder(tokenizer)
         offset = row = 0
         out = None
-        for batch in batches:
+        for batch in common.slices(batches):
             ids = [NULL_ID if i is None else i for i in batch.column("doc_id").to_pylist()]
             parts, counts = [], []
             for i, found in zip(ids, encoder.encode(common.bytes_of(batch, "text"))):
