@@ -15,6 +15,7 @@ FIELD_ALIASES = {
     "radius_mm": ["radius_mm", "radius", "r_mm", "diameter_mm"],
 }
 VOXEL_HINTS = ["voxel", "ijk", "index", "vox"]
+# Fixed value: names that denote a case by number.
 CASE_PATTERN = r"(?i)\A(subject|subj|case|orig|mask|s|c)?[_-]?0*[0-9]+(\.nii(\.gz)?)?\z"
 
 

@@ -17,7 +17,7 @@ from pyspark.sql.types import ArrayType, DoubleType
 from ostiary import scale
 from ostiary.functions import geometry as g
 from ostiary.operators.graph import Z, label_cells, neighbour_count, neighbour_pairs
-from ostiary.operators.ordering import exact_percentiles
+from ostiary.operators.ordering import exact_percentiles, rank_within
 from ostiary.operators.polyline import smooth_series
 from ostiary.operators.spatial import pairs_within
 
@@ -43,7 +43,8 @@ def plane_slice(cells: DataFrame, axis: str, index: int, level: float, width: fl
 
 def _median_and_mad(rows: DataFrame, prefix: str, limit: int | None, large: bool) -> DataFrame:
     median = exact_percentiles(rows, CASE, "value", {f"{prefix}median": 0.5}, limit, large)
-    spread = rows.join(median, CASE).withColumn("_gap", F.abs(F.col("value") - F.col(f"{prefix}median")))
+    median = scale.checkpoint(median)
+    spread = scale.per_group(rows, median, CASE).withColumn("_gap", F.abs(F.col("value") - F.col(f"{prefix}median")))
     gap = exact_percentiles(spread, CASE, "_gap", {f"{prefix}gap": 0.5}, limit, large)
     return median.join(gap, CASE).withColumn(
         f"{prefix}mad", F.col(f"{prefix}gap") * 1.4826).drop(f"{prefix}gap")
@@ -59,7 +60,7 @@ def intensity_window(
     """
     large = scale.has_large_group(cells, CASE, limit or scale.TASK_GROUP_ROWS)  # bounds both cell subsets
     deep = cells.groupBy(*CASE).agg(F.count_if(F.col("inside") >= 2).alias("_deep"))
-    core = cells.join(deep, CASE).filter(F.when(F.col("_deep") >= 20, F.col("inside") >= 2).otherwise(F.col("parent")))
+    core = scale.per_group(cells, deep, CASE).filter(F.when(F.col("_deep") >= 20, F.col("inside") >= 2).otherwise(F.col("parent")))
     background = cells.filter(F.col("outside").between(8, 16))
     stats = _median_and_mad(core, "", limit, large).join(_median_and_mad(background, "background_", limit, large), CASE, "left").join(
         native_spacing, CASE)
@@ -89,7 +90,7 @@ def percentile_normalize(cells: DataFrame, value: str, p: float = 0.995, limit:
     near = cells.filter((F.col("outside") > 0) & (F.col("outside") <= 15))
     peak = exact_percentiles(near, CASE, value, {"_peak": p}, limit)
     scaled = F.col(value) / F.greatest(F.col("_peak"), F.lit(1e-6))
-    return cells.join(peak, CASE, "left").withColumn("normalized", F.greatest(F.lit(0.0), F.least(F.lit(1.0), scaled))).drop("_peak")
+    return scale.per_group(cells, peak, CASE, "left").withColumn("normalized", F.greatest(F.lit(0.0), F.least(F.lit(1.0), scaled))).drop("_peak")
 
 
 def roi_bounds(cells: DataFrame, headers: DataFrame, margin: float) -> DataFrame:
@@ -160,7 +161,7 @@ def blob_roots(labelled: DataFrame, k: int, separation: float = 4.0, root_depth:
     quality = F.col("radius") * (F.col("tubular") + 0.3)
     near = F.col("outside") <= root_depth
     walls = labelled.groupBy(*by).agg(F.bool_or(near).alias("_walled"))
-    open_cells = labelled.join(walls, by).filter(near | ~F.col("_walled")).select(*by, *Z, quality.alias("quality"))
+    open_cells = scale.per_group(labelled, walls, by).filter(near | ~F.col("_walled")).select(*by, *Z, quality.alias("quality"))
     if k > 1:
         open_cells = scale.checkpoint(open_cells)
     picked = None
@@ -174,7 +175,7 @@ def blob_roots(labelled: DataFrame, k: int, separation: float = 4.0, root_depth:
         if number + 1 < k:
             taken = best.select(*by, *[F.col(a).alias(f"t_{a}") for a in Z])
             gap = F.sqrt(reduce(lambda p, q: p + q, [F.pow((F.col(a) - F.col(f"t_{a}")) * F.lit(float(spacing)), F.lit(2.0)) for a in Z]))
-            open_cells = scale.checkpoint(open_cells.join(taken, by).filter(gap >= separation).select(*open_cells.columns))
+            open_cells = scale.checkpoint(scale.per_group(open_cells, taken, by).filter(gap >= separation).select(*open_cells.columns))
     return picked
 
 
@@ -206,7 +207,7 @@ def slice_curve(cells: DataFrame, spacing: float = 1.0) -> DataFrame:
     parent = cells.filter("parent")
     axis = _boxes(parent, CASE).select(*CASE, _longest_axis().alias("axis"))
     level = F.when(F.col("axis") == "z", F.col("z")).when(F.col("axis") == "y", F.col("y")).otherwise(F.col("x"))
-    placed = parent.join(axis, CASE).withColumn("level", level)
+    placed = scale.per_group(parent, axis, CASE).withColumn("level", level)
     weight = F.pow(F.col("inside"), F.lit(2.0))
     centres = placed.groupBy(*CASE, "level").agg(*[(F.sum(F.col(a) * weight) / F.sum(weight)).alias(f"c{a}") for a in Z])
     gap = reduce(lambda p, q: p + q, [F.pow(F.col(a) - F.col(f"c{a}"), F.lit(2.0)) for a in Z])
@@ -240,9 +241,9 @@ def principal_axis(points: DataFrame, by: list[str]) -> DataFrame:
 
     Six covariance sums combine map-side; the eigenvector is taken from one row per group, in Arrow batches.
     """
-    axes = _axes(points, by)
+    axes = scale.checkpoint(_axes(points, by))
     along = g.dot(g.cols("x", "y", "z"), g.xyz("axis"))
-    ranges = points.join(axes.select(*by, "axis"), by).groupBy(*by).agg(F.min(along).alias("low"), F.max(along).alias("high"))
+    ranges = scale.per_group(points, axes.select(*by, "axis"), by).groupBy(*by).agg(F.min(along).alias("low"), F.max(along).alias("high"))
     return axes.join(ranges, by)
 
 
@@ -310,10 +311,11 @@ def follows_root(branches: DataFrame, roots: DataFrame) -> DataFrame:
     return joined.filter(near <= F.col("_reach")).select(*branches.columns)
 
 
-def add_recovered(candidates: DataFrame, relocated: DataFrame, cap: int, broad: float = 1200.0) -> DataFrame:
-    """Candidates plus relocated roots: disconnected ones only, not broad, new positions only, up to ``cap``.
+def add_recovered(candidates: DataFrame, relocated: DataFrame, cap: int | None = None, broad: float = 1200.0) -> DataFrame:
+    """Candidates plus relocated roots: disconnected ones only, not broad, new positions only.
 
-    The cap keeps existing candidates first, then additions in candidate order.
+    ``position`` counts existing candidates first, then additions in candidate order; a row beyond ``cap`` (the
+    profile's setting, none by default) has the reason ``over_candidate_limit``.
     """
     usable = relocated.filter((F.col("reason") == "disconnected_ostium") & (F.col("volume_mm3") <= broad) & F.col("relocated").isNotNull())
     fresh = usable.select("case_id", "rank", *[F.col(f"relocated.{a}").alias(a) for a in Z], "quality", "volume_mm3")
@@ -321,5 +323,6 @@ def add_recovered(candidates: DataFrame, relocated: DataFrame, cap: int, broad:
     new = first.join(candidates.select("case_id", *Z), ["case_id", *Z], "left_anti").withColumn("added", F.lit(True))
     both = candidates.select("case_id", "rank", *Z, "quality", "volume_mm3").withColumn("added", F.lit(False)).unionByName(
         new.select("case_id", "rank", *Z, "quality", "volume_mm3", "added"))
-    window = Window.partitionBy("case_id").orderBy("added", "rank")
-    return both.withColumn("position", F.row_number().over(window)).filter(F.col("position") <= cap)
+    placed = rank_within(both, ["case_id"], ["added", "rank", *Z], "position")
+    beyond = F.col("position") > cap if cap is not None else F.lit(False)
+    return placed.withColumn("reason", F.when(beyond, "over_candidate_limit"))

@@ -15,30 +15,38 @@ from ostiary.operators.spatial import pairs_within
 # Candidate pairs one task may solve as a single assignment problem.
 CASE_PAIRS = 2_000
 COMPONENT_PAIRS = 20_000
+# Smaller differences of path costs do not count, in the solver and in the joins alike.
+TOLERANCE = 1e-9
 
 
 def assign(left: np.ndarray, right: np.ndarray, cost: np.ndarray) -> np.ndarray:
     """Indices of the chosen pairs: maximum cardinality, then minimum total cost.
 
-    Successive cheapest augmenting paths; a new path per step, found by relaxing the pair list.
+    Successive cheapest augmenting paths; each path is found by relaxing all pairs at once. Pairs come ordered by
+    (left, right), and of equally cheap ones the first is taken.
     """
     left_ids, a = np.unique(left, return_inverse=True)
     right_ids, b = np.unique(right, return_inverse=True)
+    cost = np.asarray(cost, float)
     owner = np.full(len(right_ids), -1)      # pair index that holds each right id
     holder = np.full(len(left_ids), -1)      # pair index that holds each left id
     while True:
         reach_left = np.where(holder < 0, 0.0, np.inf)
         reach_right = np.full(len(right_ids), np.inf)
         via = np.full(len(right_ids), -1)
-        changed = True
-        while changed:
-            changed = False
-            for e in range(len(a)):
-                if owner[b[e]] != e and reach_left[a[e]] + cost[e] < reach_right[b[e]] - 1e-12:
-                    reach_right[b[e]], via[b[e]], changed = reach_left[a[e]] + cost[e], e, True
-                    taken = owner[b[e]]
-                    if taken >= 0 and reach_right[b[e]] - cost[taken] < reach_left[a[taken]] - 1e-12:
-                        reach_left[a[taken]] = reach_right[b[e]] - cost[taken]
+        taken = np.flatnonzero(owner >= 0)
+        while True:
+            offer = reach_left[a] + cost
+            offer[owner[taken]] = np.inf
+            best = np.full(len(right_ids), np.inf)
+            np.minimum.at(best, b, offer)
+            better = best < reach_right - TOLERANCE
+            if not better.any():
+                break
+            reach_right[better] = best[better]
+            hits = np.flatnonzero(better[b] & (offer <= best[b]))[::-1]
+            via[b[hits]] = hits  # the first pair is written last
+            reach_left[a[owner[taken]]] = reach_right[taken] - cost[owner[taken]]
         free = np.where(owner < 0, reach_right, np.inf)
         if not len(free) or not np.isfinite(free.min()):
             return np.sort(owner[owner >= 0])
@@ -112,7 +120,7 @@ def _augment(pairs: DataFrame, keys: list[str]) -> DataFrame:
                 F.min("_cost").alias("_cost")))
             before = reach.select(*keys, "_left", F.col("_cost").alias("_old"))
             moved = merged.join(before, [*keys, "_left"], "left").filter(
-                F.col("_old").isNull() | (F.col("_cost") < F.col("_old") - 1e-9))
+                F.col("_old").isNull() | (F.col("_cost") < F.col("_old") - TOLERANCE))
             if moved.isEmpty():
                 break
             reach = merged
@@ -169,7 +177,7 @@ def match_one_to_one(
 def check_tolerances(tolerances: list[float]) -> None:
     for tolerance in tolerances:
         if not 0 < tolerance < float("inf"):
-            raise ValueError("Matching tolerance must be positive and finite.")
+            raise ValueError("a matching tolerance is a positive, finite distance")
 
 
 def candidate_pairs(predictions: DataFrame, references: DataFrame, tolerance: float, by: list[str]) -> DataFrame:

@@ -11,6 +11,8 @@ from ostiary.operators.spatial import pairs_within
 # Vertices per chunk of a long polyline; also the longest line handled as one array.
 CHUNK = 4096
 PACKED = 512
+# Lines of up to PACKED vertices that may be sent to every executor (12 KB each at most).
+PACKED_LINES = 2_000
 
 
 def segments(lines: DataFrame, by: list[str]) -> DataFrame:
@@ -56,36 +58,56 @@ def nearest_on_polyline(
 
     ``vertices_only`` looks at vertices alone. Lines up to ``packed`` vertices travel as one array and are
     searched inside the row. Longer ones use grid cells whose size doubles until every point is settled.
+    Points with a missing or non-finite coordinate have no nearest place (NULL).
     """
     packed = PACKED if packed is None else packed
+    finite = F.lit(True)
+    for axis in g.xyz(point):
+        finite = finite & g.is_finite(axis)
+    finite = F.coalesce(finite, F.lit(False))
+    nowhere = F.lit(None).cast("double")
+    lost = points.filter(~finite).withColumns({"nearest_mm": nowhere, "position": nowhere})
+    points = points.filter(finite)
     short, long = scale.split_by_size(lines, by, packed)
     if vertices_only:
         found = F.array_min(F.transform("_line", lambda v, i: F.struct(
             g.distance(g.xyz(point), g.xyz(v)).alias("distance"), i.cast("double").alias("position"))))
     else:
         found = g.nearest_on_path(g.xyz(point), F.col("_line"))
-    joined = points.join(_pack(short, by), by, "left" if long is None else "inner").withColumn("_near", found)
+    joined = scale.per_group(points, _pack(short, by), by, "left" if long is None else "inner", PACKED_LINES).withColumn("_near", found)
     done = joined.select(*points.columns, F.col("_near.distance").alias("nearest_mm"), F.col("_near.position").alias("position"))
     if long is None:
-        return done
+        return done.unionByName(lost)
     far = points.join(short.select(*by).distinct(), by, "left_anti")
     found_far = _growing_cells(far, long, by, key, point, vertices_only)
-    return done.unionByName(far.join(found_far, [*by, *key], "left").select(*done.columns))
+    return done.unionByName(far.join(found_far, [*by, *key], "left").select(*done.columns)).unionByName(lost)
 
 
 def _growing_cells(points: DataFrame, lines: DataFrame, by: list[str], key: list[str], point: str, vertices_only: bool) -> DataFrame:
     """A segment is copied to all cells its box reaches with margin r; a point looks into its own cell only.
 
-    Every segment within r of a point is seen, so a hit at most r away is final; the others retry with 2r.
+    Every segment within r of a point is seen, so a hit at most r away is final; the others retry with 2r. Segments
+    longer than a cell are cut into pieces first, so none is copied to more than a few cells.
     """
     pieces = segments(lines, by).select(*by, "seq", "a", "b")
     mean = pieces.agg(F.avg(g.distance(g.xyz("a"), g.xyz("b")))).first()[0]
     if vertices_only:
         pieces = lines.select(*by, "seq", g.point(*g.cols("x", "y", "z")).alias("a"))
         pieces = pieces.withColumn("b", F.col("a"))
-    pieces = scale.checkpoint(pieces)
+    reach = max(float(mean or 0.0), 1e-6)
+    cuts = F.greatest(F.lit(1.0), F.ceil(g.distance(g.xyz("a"), g.xyz("b")) / (2 * reach)).cast("double"))
+    pieces = pieces.withColumn("_cuts", cuts).withColumn("_i", F.explode(F.sequence(F.lit(0), (F.col("_cuts") - 1).cast("int"))))
+
+    def between(share: Column) -> Column:
+        return g.point(*[p + (q - p) * share for p, q in zip(g.xyz("a"), g.xyz("b"))])
+
+    pieces = scale.checkpoint(pieces.select(
+        *by, (F.col("seq") + F.col("_i") / F.col("_cuts")).alias("seq"), (1 / F.col("_cuts")).alias("share"),
+        F.when(F.col("_i") == 0, F.col("a")).otherwise(between(F.col("_i") / F.col("_cuts"))).alias("_from"),
+        F.when(F.col("_i") == F.col("_cuts") - 1, F.col("b")).otherwise(between((F.col("_i") + 1) / F.col("_cuts"))).alias("b"),
+    ).withColumnRenamed("_from", "a"))
     open_points = scale.checkpoint(points.join(lines.select(*by).distinct(), by, "left_semi").select(*by, *key, point))
-    radius, settled = max(float(mean or 0.0), 1e-6), None
+    radius, settled = reach, None
     while not open_points.isEmpty():
         axes = list(zip(g.xyz("a"), g.xyz("b")))
         spans = [F.sequence(F.floor((F.least(a, b) - radius) / (2 * radius)), F.floor((F.greatest(a, b) + radius) / (2 * radius)))
@@ -96,7 +118,7 @@ def _growing_cells(points: DataFrame, lines: DataFrame, by: list[str], key: list
         own = [F.floor(axis / (2 * radius)).alias(f"_c{i}") for i, axis in enumerate(g.xyz(point))]
         fraction, gap = g.segment_projection(g.xyz(point), g.xyz("a"), g.xyz("b"))
         best = open_points.select("*", *own).join(copies, [*by, "_c0", "_c1", "_c2"]).groupBy(*by, *key).agg(
-            F.min(F.struct(gap.alias("nearest_mm"), (F.col("seq") + fraction).alias("position"))).alias("_best"))
+            F.min(F.struct(gap.alias("nearest_mm"), (F.col("seq") + fraction * F.col("share")).alias("position"))).alias("_best"))
         final = scale.checkpoint(best.filter(F.col("_best.nearest_mm") <= radius).select(*by, *key, "_best.*"))
         open_points = scale.checkpoint(open_points.join(final, [*by, *key], "left_anti"))
         settled = final if settled is None else settled.unionByName(final)

@@ -136,7 +136,7 @@ def validate_split(split: DataFrame, reviewed: DataFrame) -> DataFrame:
 
 def validate_threshold(threshold: float) -> None:
     if not 0 <= threshold <= 1:
-        raise ValueError("Candidate threshold must be finite and between zero and one.")
+        raise ValueError("a candidate threshold is a number from 0 to 1")
 
 
 def select_cases(rows: DataFrame, wanted: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -163,6 +163,7 @@ def proposal_gates(parallel: bool = False, minimum_radius: float = 0.7, floor: f
                    minimum_path: float = 5.0, minimum_origin: float = 2.0, broad: float = 1200.0) -> list[tuple[str, Column]]:
     """Rejection order of a traced candidate row; broad contacts are dropped before tracing."""
     c = F.col
+    # Reason codes.
     gates = [
         ("broad_wall_contact", c("volume_mm3") > broad),
         ("no_supported_5mm_path", c("path_points") == 0), ("short_path", c("path_points") < 3),

@@ -2,26 +2,28 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
+from ostiary import scale
 from ostiary.functions import geometry as g
+from ostiary.operators.graph import connected_components
 from ostiary.operators.ordering import rank_within
 from ostiary.operators.polyline import on_path, same_trunk
 from ostiary.operators.spatial import keep_within, pairs_within
 from ostiary.operators.suppress import suppress
 
-MAXIMUM_CANDIDATES = 160
+OVER_LIMIT = "over_candidate_limit"
 
 
-def rank_candidates(roots: DataFrame, by: list[str], order: list, cap: int = MAXIMUM_CANDIDATES) -> DataFrame:
-    """Best ``cap`` rows per case with their ``rank``. The cap is part of the method, and lets Spark drop
-    weaker rows before the shuffle (window group limit)."""
-    window = Window.partitionBy(*by).orderBy(*order)
-    return roots.withColumn("rank", F.row_number().over(window)).filter(F.col("rank") <= cap).withColumn(
-        "rank", F.col("rank").cast("bigint"))
+def rank_candidates(roots: DataFrame, by: list[str], order: list, cap: int | None = None) -> DataFrame:
+    """All rows with their ``rank`` in the case and a ``reason``: set for rows beyond ``cap``, the profile's setting
+    of how many candidates a case may put forward (none by default)."""
+    ranked = rank_within(roots, by, order, "rank")
+    beyond = F.col("rank") > cap if cap is not None else F.lit(False)
+    return ranked.withColumn("reason", F.when(beyond, OVER_LIMIT))
 
 
-def over_limit(roots: DataFrame, by: list[str], cap: int = MAXIMUM_CANDIDATES) -> DataFrame:
+def over_limit(roots: DataFrame, by: list[str], cap: int) -> DataFrame:
     """Cases whose weaker candidates the cap leaves out."""
     return roots.groupBy(*by).agg(F.count("*").alias("candidates")).filter(F.col("candidates") > cap)
 
@@ -73,19 +75,25 @@ def conflict_edges(branches: DataFrame, by: list[str], parallel_clearance: float
 
 
 def resolve_candidates(
-    branches: DataFrame, by: list[str], order: list, cap: int = MAXIMUM_CANDIDATES,
+    branches: DataFrame, by: list[str], order: list, cap: int | None = None,
     parallel_clearance: float = 0.0, spacing: float = 1.0,
 ) -> DataFrame:
     """Accept candidates in rank order; add ``rank`` and ``reason`` (NULL for accepted rows).
 
     A row merges into the first accepted row it competes with. With parallel clearance a row on an accepted
-    path is dropped, and accepted rows on the new row's path are taken back. At most ``cap`` rows per case
-    remain after ranking, so each case folds as one array.
+    path is dropped, and accepted rows on the new row's path are taken back. Rows beyond ``cap`` take no part and
+    keep the reason that :func:`rank_candidates` gave them.
+
+    Only rows that compete with another one are walked, one connected group of them at a time: rows of different
+    groups cannot affect each other, so no case is ever gathered.
     """
-    ranked = rank_candidates(branches, by, order, cap)
-    edges = conflict_edges(ranked, by, parallel_clearance, spacing).groupBy(*by, "rank").agg(
+    ranked = scale.checkpoint(rank_candidates(branches, by, order, cap))
+    taking_part = ranked.filter(F.col("reason").isNull()).drop("reason")
+    conflicts = scale.checkpoint(conflict_edges(taking_part, by, parallel_clearance, spacing))
+    groups = connected_components(conflicts, by, "rank", "earlier").select(*by, F.col("node").alias("rank"), F.col("component").alias("_group"))
+    edges = conflicts.groupBy(*by, "rank").agg(
         F.sort_array(F.collect_list(F.struct("earlier", "reason", "on_other", "under"))).alias("edges"))
-    cases = ranked.select(*by, "rank").join(edges, [*by, "rank"], "left").groupBy(*by).agg(
+    cases = groups.join(edges, [*by, "rank"], "left").groupBy(*by, "_group").agg(
         F.sort_array(F.collect_list(F.struct("rank", "edges"))).alias("rows"))
     outcome = "struct<rank:bigint,reason:string>"
     start = F.struct(F.array().cast("array<bigint>").alias("kept"), F.array().cast(f"array<{outcome}>").alias("out"))
@@ -104,5 +112,6 @@ def resolve_candidates(
             F.when(reason.isNotNull(), F.concat(state["out"], F.array(mine))).otherwise(
                 F.concat(state["out"], taken_back)).alias("out"))
 
-    rejected = cases.select(*by, F.explode(F.aggregate("rows", start, step)["out"]).alias("o")).select(*by, "o.*")
-    return ranked.join(rejected, [*by, "rank"], "left")
+    rejected = cases.select(*by, F.explode(F.aggregate("rows", start, step)["out"]).alias("o")).select(
+        *by, "o.rank", F.col("o.reason").alias("_rejected"))
+    return ranked.join(rejected, [*by, "rank"], "left").withColumn("reason", F.coalesce("reason", "_rejected")).drop("_rejected")

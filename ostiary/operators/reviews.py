@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ostiary import scale
 from ostiary.functions.features import FEATURE_NAMES
 from ostiary.operators.ordering import rank_within
 
@@ -76,12 +75,9 @@ def next_unreviewed(statuses: DataFrame, current: DataFrame, order: str = "ord")
 
 
 def export_reviews(reviews: DataFrame, records_per_envelope: int = 100_000) -> DataFrame:
-    """JSON envelope of review records per case; a case with very many reviews gets several envelopes."""
-    if scale.has_large_group(reviews, ["case_id"], records_per_envelope):
-        ranked = rank_within(reviews, ["case_id"], [F.col("instance_id")], "_n")
-        parts = ranked.withColumn("part", F.floor((F.col("_n") - 1) / records_per_envelope)).drop("_n")
-    else:
-        parts = reviews.withColumn("part", F.lit(0).cast("bigint"))
+    """JSON envelopes of a case's review records, ``records_per_envelope`` in each; ``part`` numbers them from 0."""
+    ranked = rank_within(reviews, ["case_id"], [F.col("instance_id")], "_n")
+    parts = ranked.withColumn("part", F.floor((F.col("_n") - 1) / records_per_envelope)).drop("_n")
     records = F.sort_array(F.collect_list(F.struct(*KEY, *[n for n in reviews.columns if n not in KEY])))
     return parts.groupBy("case_id", "part").agg(F.to_json(F.struct(
         F.lit(1).alias("schema_version"), F.array(*map(F.lit, FEATURE_NAMES)).alias("feature_names"),

@@ -28,7 +28,7 @@ def split_cases(
         raise ValueError("A three-way split needs at least six cases.")
     chosen = [*test, *validation]
     if chosen and cases.filter(F.col("case_id").isin(chosen)).count() != len(chosen):
-        raise ValueError("Requested split cases have no reviews.")
+        raise ValueError("every case chosen for a part of the split needs reviews")
     holdout = max(1, total // 5)
     digest = F.md5(F.concat_ws(":", F.col("case_id").cast("string"), F.lit(str(seed))))
     free = cases.filter(~F.col("case_id").isin(chosen)) if chosen else cases
@@ -36,7 +36,7 @@ def split_cases(
     last_test = 0 if test else holdout
     last_validation = last_test + (0 if validation else max(1, len(test) or holdout))
     if total - len(chosen) <= last_validation:
-        raise ValueError("The requested test and validation cases leave nothing to train on.")
+        raise ValueError("no case is left for training")
     split = ranked.select("case_id", F.when(F.col("_n") <= last_test, "test")
                           .when(F.col("_n") <= last_validation, "validation").otherwise("train").alias("partition"))
     if chosen:

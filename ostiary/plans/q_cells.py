@@ -282,15 +282,15 @@ def recovery(spark, folder):
 
 
 @query("add_recovered", a.oracle("""
-    SELECT case_id, z, y, x, added FROM (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY added, rank) AS p FROM (
+    SELECT case_id, z, y, x, added, p AS position, CASE WHEN p > 2 THEN 'over_candidate_limit' END AS reason FROM (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY added, rank) AS p FROM (
       SELECT case_id, z, y, x, z * 256 + y * 16 + x AS rank, FALSE AS added FROM starts
       UNION ALL SELECT case_id, z, y, x, min(rank), TRUE FROM (
         SELECT case_id, e.z AS z, e.y AS y, e.x AS x, rz * 256 + ry * 16 + rx AS rank FROM ends WHERE rz % 3 <> 0 AND ry * 100 <= 1200) n
-        WHERE NOT EXISTS (SELECT 1 FROM starts s WHERE s.case_id = n.case_id AND s.z = n.z AND s.y = n.y AND s.x = n.x) GROUP BY 1, 2, 3, 4)) WHERE p <= 160""",
+        WHERE NOT EXISTS (SELECT 1 FROM starts s WHERE s.case_id = n.case_id AND s.z = n.z AND s.y = n.y AND s.x = n.x) GROUP BY 1, 2, 3, 4))""",
     "cells", extra=WALK))
 def add_recovered(spark, folder):
     rows = recovery(spark, folder)
-    return c.add_recovered(rows, rows, 160).select("case_id", "z", "y", "x", "added")
+    return c.add_recovered(rows, rows, 2).select("case_id", "z", "y", "x", "added", "position", "reason")
 
 
 # Distance of the point 3 mm above the ostium from each of a path's three segments.

@@ -181,11 +181,11 @@ def profile_summary(spark, folder):
 
 
 @query("rank_candidates", a.oracle("""
-    SELECT case_id, instance_id, rank FROM (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY radius_mm DESC, oz, oy, ox) AS rank FROM cand)
-    WHERE rank <= 3""", "cand"))
+    SELECT case_id, instance_id, rank, CASE WHEN rank > 3 THEN 'over_candidate_limit' END AS reason
+    FROM (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY radius_mm DESC, oz, oy, ox) AS rank FROM cand)""", "cand"))
 def rank_candidates(spark, folder):
     order = [F.col("radius_mm").desc(), "ostium.z", "ostium.y", "ostium.x"]
-    return rs.rank_candidates(a.candidates(spark, folder), ["case_id"], order, 3).select("case_id", "instance_id", "rank")
+    return rs.rank_candidates(a.candidates(spark, folder), ["case_id"], order, 3).select("case_id", "instance_id", "rank", "reason")
 
 
 @query("candidate_limit_warning", a.oracle("""

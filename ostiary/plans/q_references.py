@@ -72,7 +72,7 @@ NORMAL = """
 @query("normalize_references", a.oracle(f"""
     SELECT case_id, index::INTEGER AS index, instance_id, {', '.join(sr4(c, c, 6) for c in ('ox', 'oy', 'oz', 'dx', 'sx', 'radius_mm'))},
       radius_known, NULL::VARCHAR AS problem,
-      CASE layout WHEN 0 THEN 1 WHEN 1 THEN 8 WHEN 2 THEN CASE WHEN index = 0 THEN 7 ELSE 6 END WHEN 3 THEN 8 ELSE 5 END::INTEGER AS notes FROM normal""",
+      CASE layout WHEN 0 THEN 1 WHEN 1 THEN 8 WHEN 2 THEN CASE WHEN index = 0 THEN 8 ELSE 7 END WHEN 3 THEN 8 ELSE 5 END::INTEGER AS notes FROM normal""",
     "cand", extra={"normal": NORMAL}))
 def normalize(spark, folder):
     rows = rf.normalize_references(rf.split_documents(raw_documents(spark, folder)).withColumn(

@@ -15,6 +15,9 @@ from pyspark.sql import DataFrame, functions as F
 TASK_GROUP_ROWS = 200_000
 # Rows of one group folded as an array inside one row.
 FOLD_ROWS = 256
+# Rows of a per-group table that may be sent to every executor (a few MB), and copies of it beyond that.
+BROADCAST_GROUPS = 100_000
+SALTS = 32
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
@@ -31,6 +34,21 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def per_group(rows: DataFrame, table: DataFrame, by: list[str], how: str = "inner", limit: int | None = None) -> DataFrame:
+    """``rows`` with the values that ``table`` holds once per group, without bringing a group together.
+
+    A table of at most ``limit`` rows is broadcast. A larger one is copied SALTS times and joined on the group and a
+    hash of the row, so that a hot group spreads over as many tasks and a later aggregate by group is shuffled anew,
+    after combining map-side, instead of resting on the join's partitioning. ``table`` is materialised.
+    """
+    table = checkpoint(table)
+    if table.count() <= (BROADCAST_GROUPS if limit is None else limit):
+        return rows.join(F.broadcast(table), by, how)
+    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(*rows.columns), F.lit(SALTS)))
+    copies = table.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))))
+    return salted.join(copies, [*by, "_salt"], how).drop("_salt")
+
+
 def has_large_group(df: DataFrame, by: list[str], limit: int) -> bool:
     """True when one group of ``by`` (or the whole table for an empty ``by``) holds over ``limit`` rows."""
     if not by:

@@ -6,17 +6,16 @@ import math
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from ostiary import scale
 from ostiary.functions import geometry as g
 from ostiary.functions.features import FEATURE_NAMES, LogisticModel
 from ostiary.operators.ordering import rank_within
 from ostiary.operators.quality import raise_on, violations
 from ostiary.operators.reviews import KEY, SCOPE
 
-# Rows of one case that go into one nested record; a larger case is written as several records.
+# Rows in one nested record. Every record names its ``part`` and the case's number of ``parts``, whatever the size.
 RECORD_ROWS = 100_000
 PREDICTION_SCHEMA = (
-    "case_id string, parent struct<instance_id:string>, daughters array<struct<instance_id:string,parent_instance_id:string,"
+    "case_id string, part bigint, parts bigint, parent struct<instance_id:string>, daughters array<struct<instance_id:string,parent_instance_id:string,"
     "ostium_xyz_mm:array<double>,seed_xyz_mm:array<double>,radius_mm:double,direction_xyz:array<double>>>"
 )
 
@@ -39,7 +38,7 @@ def scan_cases(files: DataFrame, wanted: list[str] | None = None) -> DataFrame:
     counted = named.groupBy("case_id").agg(F.count_if(image).alias("images"), F.count_if(mask).alias("masks"))
     good = (F.col("images") == 1) & (F.col("masks") == 1)
     return counted.select("case_id", "images", "masks", F.when(good, "ok").otherwise("failed").alias("status"),
-                          F.when(~good, "Expected exactly one CT and one mask.").alias("error"))
+                          F.when(~good, "a case folder needs exactly one scan and one mask").alias("error"))
 
 
 def unknown_cases(scanned: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -74,33 +73,38 @@ def verify_checksums(files: DataFrame, manifest: DataFrame) -> DataFrame:
         "path", F.when(F.col("actual").isNull(), "missing").otherwise("mismatch").alias("rule"))
 
 
-def build_manifest(files: DataFrame, attributes: DataFrame, key: str = "case_id") -> DataFrame:
-    """Per case a name-sorted map of file → sha256, with the case's attributes. Digests are taken before the
-    shuffle, so file contents never move."""
+def build_manifest(files: DataFrame, attributes: DataFrame, key: str = "case_id", rows_per_record: int = RECORD_ROWS) -> DataFrame:
+    """Name-sorted maps of file → sha256 with the case's attributes, a map per ``part`` of a case's ``parts``.
+    Digests are taken before the shuffle, so file contents never move."""
     digests = files.select(key, "name", F.sha2("content", 256).alias("sha256"))
-    parts = _record_parts(digests, [key], ["name"], RECORD_ROWS)
+    parts = record_parts(digests, [key], ["name"], rows_per_record)
     maps = parts.groupBy(key, "part").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("name", "sha256")))).alias("files"))
-    return attributes.join(maps.drop("part"), key, "left")
+    return with_parts(attributes, digests, maps, key, rows_per_record)
 
 
-def _record_parts(rows: DataFrame, by: list[str], order: list[str], rows_per_record: int) -> DataFrame:
-    """``part`` splits a case that is too large for one record; ordinary cases have part 0 only."""
-    if not scale.has_large_group(rows, by, rows_per_record):
-        return rows.withColumn("part", F.lit(0).cast("bigint"))
+def record_parts(rows: DataFrame, by: list[str], order: list[str], rows_per_record: int) -> DataFrame:
+    """``part`` numbers stretches of ``rows_per_record`` rows of a group, from 0, in the given order."""
     ranked = rank_within(rows, by, [F.col(c) for c in order], "_n")
     return ranked.withColumn("part", F.floor((F.col("_n") - 1) / rows_per_record)).drop("_n")
 
 
+def with_parts(groups: DataFrame, rows: DataFrame, nested: DataFrame, key: str, rows_per_record: int) -> DataFrame:
+    """One record per group and part, with ``part`` and ``parts``; a group without rows has one empty part."""
+    counts = rows.groupBy(key).agg(F.ceil(F.count("*") / rows_per_record).alias("parts"))
+    return groups.join(counts, key, "left").join(nested, key, "left").withColumns({
+        "part": F.coalesce("part", F.lit(0).cast("bigint")), "parts": F.coalesce("parts", F.lit(1).cast("bigint"))})
+
+
 def prediction_records(cases: DataFrame, branches: DataFrame, rows_per_record: int = RECORD_ROWS) -> DataFrame:
     """Nested record per case with ids in order; cases without branches keep an empty list."""
     listed = {name: F.array(*g.xyz(name)) for name in ("ostium", "seed", "direction")}
     daughter = F.struct(
         "instance_id", F.lit("aorta").alias("parent_instance_id"), listed["ostium"].alias("ostium_xyz_mm"),
         listed["seed"].alias("seed_xyz_mm"), "radius_mm", listed["direction"].alias("direction_xyz"))
-    parts = _record_parts(branches, ["case_id"], ["instance_id"], rows_per_record)
+    parts = record_parts(branches, ["case_id"], ["instance_id"], rows_per_record)
     nested = parts.groupBy("case_id", "part").agg(F.sort_array(F.collect_list(daughter)).alias("daughters"))
-    return cases.select("case_id").join(nested, "case_id", "left").select(
-        "case_id", F.struct(F.lit("aorta").alias("instance_id")).alias("parent"),
+    return with_parts(cases.select("case_id"), branches, nested, "case_id", rows_per_record).select(
+        "case_id", "part", "parts", F.struct(F.lit("aorta").alias("instance_id")).alias("parent"),
         F.coalesce("daughters", F.array().cast(nested.schema["daughters"].dataType)).alias("daughters"))
 
 
@@ -113,9 +117,14 @@ def write_predictions(cases: DataFrame, branches: DataFrame, path: str) -> None:
     write_once(prediction_records(cases, branches), path)
 
 
-def read_predictions(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(branches, cases); cases without daughters stay in the second table."""
-    records = spark.read.schema(PREDICTION_SCHEMA).json(path, pathGlobFilter="*.json", multiLine=False)
+def read_predictions(spark: SparkSession, path: str, lines: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(branches, cases); cases without daughters stay in the second table.
+
+    Each file holds one JSON document, indented or not, or with ``lines`` one record per line (as written by
+    :func:`write_predictions`). A malformed document is an error. Parts of a case merge by its id.
+    """
+    records = spark.read.schema(PREDICTION_SCHEMA).json(
+        path, pathGlobFilter="*.json", recursiveFileLookup=True, multiLine=not lines, mode="FAILFAST")
     return flatten_predictions(records)
 
 
@@ -132,11 +141,11 @@ def flatten_predictions(records: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def diagnostic_records(runs: DataFrame, log: DataFrame, rows_per_record: int = RECORD_ROWS) -> DataFrame:
     """Run record per case with its decision log nested as ``workflow``."""
-    parts = _record_parts(log, ["case_id"], ["merge_rank"], rows_per_record)
+    parts = record_parts(log, ["case_id"], ["merge_rank"], rows_per_record)
     entry = F.struct("merge_rank", "profile", "instance_id", "score", "decision", "output_instance_id", "suppressor_instance_id")
     nested = parts.groupBy("case_id", "part").agg(F.sort_array(F.collect_list(entry)).alias("decisions"))
     rest = [name for name in runs.columns if name != "case_id"]
-    return runs.join(nested, "case_id", "left").select("case_id", *rest, F.struct(
+    return with_parts(runs, log, nested, "case_id", rows_per_record).select("case_id", "part", "parts", *rest, F.struct(
         F.lit("score-before-merge").alias("name"), F.lit(1).alias("schema_version"), F.lit(3.0).alias("merge_distance_mm"),
         F.lit("strict_first").alias("priority"), "decisions").alias("workflow"))
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ostiary.functions import geometry as g, naming as n
 
@@ -11,22 +11,27 @@ REJECTED_SCOPE = "unreviewed_proposals_not_ground_truth"
 MAP = "map<string,string>"
 
 
-def read_landmark_sets(spark: SparkSession, path: str) -> DataFrame:
+def read_landmark_sets(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
     """``record, raw`` with one row per case object; ``raw`` maps field names to JSON text.
 
     Layouts: one case; a list; ``{"cases": [...]}``; ``{case_id: {...}}``; a case without id takes the file
-    stem. Each file is one JSON document and so one row; the cases inside are exploded at once.
+    stem. Each file is one JSON document and so one row, or with ``lines`` each line is one, so that large inputs
+    are split; the cases inside are exploded at once. A record is known by its file's full path and its position.
     """
-    files = spark.read.text(path, wholetext=True, pathGlobFilter="*.json", recursiveFileLookup=True)
-    named = files.select(F.col("value").alias("text"), F.regexp_replace(
+    files = spark.read.text(path, wholetext=not lines, pathGlobFilter="*.json", recursiveFileLookup=True)
+    named = files.select(F.col("value").alias("text"), F.col("_metadata.file_path").alias("path"), F.regexp_replace(
         F.col("_metadata.file_name"), r"\.json\z", "").alias("stem"))
+    if lines:  # many documents share a file: the text tells them apart
+        named = named.filter(F.trim("text") != "").withColumn("path", F.concat_ws("#", "path", F.sha2("text", 256)))
     return split_documents(named)
 
 
 def split_documents(documents: DataFrame) -> DataFrame:
-    """``text, stem`` → ``record, raw`` for any mix of the five layouts."""
+    """``text, stem`` (and ``path``, by which records are known if it is there) → ``record, raw`` for any mix of the
+    five layouts."""
+    documents = documents.select("text", "stem", (F.col("path") if "path" in documents.columns else F.col("stem")).alias("path"))
     is_list = F.startswith(F.ltrim("text"), F.lit("["))
-    parsed = documents.select("stem", F.when(is_list, F.from_json("text", "array<string>")).alias("items"),
+    parsed = documents.select("stem", "path", F.when(is_list, F.from_json("text", "array<string>")).alias("items"),
                               F.when(~is_list, F.from_json("text", MAP)).alias("top"))
     daughters = F.lit(False)
     for key in n.DAUGHTER_KEYS:
@@ -44,7 +49,7 @@ def split_documents(documents: DataFrame) -> DataFrame:
         .when(F.map_contains_key("top", "cases"), F.transform(
             F.from_json(F.try_element_at("top", F.lit("cases")), "array<string>"), lambda t: item(t, no_id)))
         .otherwise(F.transform(nested, lambda e: item(e["value"], e["key"]))))
-    flagged = parsed.select("stem", (F.try_element_at("top", F.lit("scope")) == REJECTED_SCOPE).alias("rejected"),
+    flagged = parsed.select("stem", "path", (F.try_element_at("top", F.lit("scope")) == REJECTED_SCOPE).alias("rejected"),
                             daughters.alias("single"), F.col("top"), F.posexplode_outer(cases).alias("pos", "case"))
     # A single case keeps its own map, because writing a map of JSON texts again would quote them twice.
     fields = F.when(F.coalesce("single", F.lit(False)), F.col("top")).otherwise(F.from_json("case.text", MAP))
@@ -56,7 +61,7 @@ def split_documents(documents: DataFrame) -> DataFrame:
     merged = F.when(given.isNull(), F.col("_fields")).otherwise(F.map_concat(
         F.map_filter("_fields", lambda k, v: k != "case_id"), F.create_map(F.lit("case_id"), given)))
     return with_fields.filter(F.col("_fields").isNotNull() | F.coalesce("rejected", F.lit(False))).select(
-        F.concat_ws("#", "stem", F.col("pos").cast("string")).alias("record"), merged.alias("raw"),
+        F.concat_ws("#", "path", F.col("pos").cast("string")).alias("record"), merged.alias("raw"),
         F.coalesce(F.col("rejected"), F.lit(False)).alias("rejected"))
 
 
@@ -82,8 +87,11 @@ def normalize_references(raw: DataFrame, headers: DataFrame | None = None) -> Da
             F.map_entries(as_map), lambda e: F.map_concat(
                 F.map_filter(F.from_json(e["value"], MAP), lambda k, v: k != "instance_id"),
                 F.create_map(F.lit("instance_id"), e["key"]))))
+    found = found.withColumn("_entries", entries)
+    entries = F.col("_entries")
+    found = found.withColumn("_repeated", repeated_ids(entries))
     rows = found.select(
-        "record", n.normalize_case_id(F.col("case_value")).alias("case_id"), "case_value", "voxel_space", "rejected",
+        "record", "_repeated", n.normalize_case_id(F.col("case_value")).alias("case_id"), "case_value", "voxel_space", "rejected",
         F.col("list").isNull().alias("no_list"), F.posexplode_outer(entries).alias("index", "entry"))
 
     picked = {field: n.pick_alias(F.col("entry"), aliases) for field, aliases in n.FIELD_ALIASES.items()}
@@ -95,7 +103,7 @@ def normalize_references(raw: DataFrame, headers: DataFrame | None = None) -> Da
     texts = {"ostium": F.coalesce("t_ostium_xyz_mm", F.try_element_at("entry", F.col("voxel_key"))),
              "seed": F.col("t_seed_xyz_mm"), "direction": F.col("t_direction_xyz")}
     rows = rows.select(
-        "record", "case_id", "case_value", "rejected", "no_list", "index", "entry", *[f"k_{f}" for f in picked],
+        "record", "_repeated", "case_id", "case_value", "rejected", "no_list", "index", "entry", *[f"k_{f}" for f in picked],
         "t_radius_mm", F.col("t_instance_id"), use_voxel_key.alias("from_voxel_key"),
         (F.when(use_voxel_key, F.lit(True)).otherwise(F.col("voxel_space"))).alias("voxel"),
         F.col("t_ostium_xyz_mm").isNull().alias("_no_ostium_key"), "voxel_key",
@@ -128,13 +136,14 @@ def normalize_references(raw: DataFrame, headers: DataFrame | None = None) -> Da
     notes = [_note(F.col("case_id") != F.col("case_value"), F.col("case_id"), ": case identifier normalized")]
     for field, aliases in n.FIELD_ALIASES.items():
         key = F.col(f"k_{field}")
-        notes.append(_note(key != aliases[0], label, ": read '", key, f"' as '{aliases[0]}'"))
+        notes.append(_note(key != aliases[0], label, ": field '", key, f"' used for '{aliases[0]}'"))
     notes += [
         _note(F.col("voxel") & F.col("h").isNotNull(), label, ": converted voxel indices to physical mm"),
-        _note(~F.col("direction_given"), label, ": direction derived from seed minus ostium"),
+        _note(~F.col("direction_given"), label, ": no direction given, taken from ostium to seed"),
         _note(F.abs(F.col("norm") - 1) > 0.01 + 1e-5, label, ": direction renormalized"),
         _note(~F.col("seed_given"), label, ": seed placed 5 mm along the direction"),
-        _note(known & halved, label, ": radius taken as half the diameter"), _note(~known, label, ": no radius"),
+        _note(F.col("_repeated"), label, ": identifiers repeat, position appended"),
+        _note(known & halved, label, ": diameter halved to a radius"), _note(~known, label, ": no radius"),
     ]
     problem = F.coalesce(
         F.when(F.col("rejected"), "unreviewed_proposals"), F.when(F.col("case_value").isNull(), "no_case_identifier"),
@@ -146,33 +155,28 @@ def normalize_references(raw: DataFrame, headers: DataFrame | None = None) -> Da
         F.when(F.col("index").isNotNull() & ~F.col("direction_given") & ~F.col("seed_given"), "no_direction_or_seed"),
         F.when(F.col("direction_given") & F.col("norm").isNull(), "bad_direction"),
         F.when(F.col("norm") == 0, "zero_direction"))
-    done = rows.select(
-        "record", "case_id", "index", F.coalesce("t_instance_id", F.concat(
-            F.lit("reference_"), F.lpad((F.col("index") + 1).cast("string"), 3, "0"))).alias("instance_id"),
+    name = F.coalesce("t_instance_id", default_id(F.col("index")))
+    return rows.select(
+        "record", "case_id", "index",
+        F.when(F.col("_repeated"), F.concat(name, F.format_string("_%03d", F.col("index") + 1))).otherwise(name).alias("instance_id"),
         F.lit("aorta").alias("parent_instance_id"), "ostium", "seed", "direction",
         F.when(~known, 1.0).when(halved, value / 2).otherwise(value).alias("radius_mm"), known.alias("radius_known"),
         F.array_compact(F.array(*notes)).alias("notes"), problem.alias("problem"))
-    return suffix_duplicate_ids(done)
 
 
-def suffix_duplicate_ids(rows: DataFrame, by: list[str] | None = None) -> DataFrame:
-    """If any id repeats inside a record, every id of that record gets its position as ``_%03d``.
+def default_id(index: Column) -> Column:
+    return F.format_string("reference_%03d", index + 1)
 
-    A record is one JSON object that came from one row, so a window over it stays small."""
-    by = by or ["record"]
-    copies = F.count("instance_id").over(Window.partitionBy(*by, "instance_id"))
-    position = F.format_string("_%03d", F.col("index") + 1)
-    counted = rows.withColumn("_copies", copies)
-    repeated = F.max("_copies").over(Window.partitionBy(*by)) > 1
-    return counted.withColumn("instance_id", F.when(repeated, F.concat("instance_id", position)).otherwise(
-        F.col("instance_id"))).drop("_copies")
+
+def repeated_ids(entries: Column) -> Column:
+    """True if an id occurs twice in a record's list: then every id of it gets its position as ``_%03d``.
+
+    Found in the list before it is exploded, so records need no window and no shuffle.
+    """
+    names = F.transform(entries, lambda e, i: F.coalesce(n.pick_alias(e, n.FIELD_ALIASES["instance_id"])[0], default_id(i)))
+    return F.coalesce(F.size(names) > F.size(F.array_distinct(names)), F.lit(False))
 
 
 def reference_problems(rows: DataFrame) -> DataFrame:
     return rows.filter(F.col("problem").isNotNull()).select(
         "record", F.col("problem").alias("rule"), F.concat_ws("#", "case_id", F.col("index").cast("string")).alias("detail"))
-
-
-def strip_private(rows: DataFrame) -> DataFrame:
-    """Drop helper columns whose names start with an underscore."""
-    return rows.drop(*[name for name in rows.columns if name.startswith("_")])

@@ -278,7 +278,7 @@ def test_five_reference_layouts(spark, tmp_path):
     for r in rows:
         assert r["problem"] is None and r["instance_id"] == "a" and r["radius_mm"] == 2.0 and r["radius_known"]
         assert tuple(r["seed"]) == (1, 2, 8) and tuple(r["direction"]) == (0, 0, 1)
-        assert any("half the diameter" in t for t in r["notes"])
+        assert any("diameter halved" in t for t in r["notes"])
 
 
 def test_reference_problems_and_voxels(spark):
@@ -315,13 +315,15 @@ def test_predictions_round_trip_and_write_once(spark, tmp_path):
     names = spark.createDataFrame([("a",), ("empty",)], "case_id string")
     target = str(tmp_path / "out")
     files.write_predictions(names, side(spark, {"a": [1.0, 2.0]}), target)
-    rows, found = files.read_predictions(spark, target)
+    rows, found = files.read_predictions(spark, target, lines=True)
     assert {r[0] for r in found.collect()} == {"a", "empty"} and rows.count() == 2
     assert {r["ostium"]["x"] for r in rows.collect()} == {1.0, 2.0}
     with pytest.raises(Exception, match="already exists"):
         files.write_predictions(names, side(spark, {"a": [1.0]}), target)
     split = files.prediction_records(names, side(spark, {"a": [1.0, 2.0, 3.0]}), rows_per_record=2).filter("case_id = 'a'")
-    assert sorted(len(r["daughters"]) for r in split.collect()) == [1, 2]
+    assert sorted((r["part"], r["parts"], len(r["daughters"])) for r in split.collect()) == [(0, 2, 2), (1, 2, 1)]
+    whole = files.prediction_records(names, side(spark, {"a": [1.0]})).collect()
+    assert {(r["case_id"], r["part"], r["parts"], len(r["daughters"])) for r in whole} == {("a", 0, 1, 1), ("empty", 0, 1, 0)}
 
 
 def test_model_round_trip(spark, tmp_path):
