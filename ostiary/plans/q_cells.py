@@ -212,7 +212,28 @@ def axes():
     return [F.col(ax).cast("double").alias(ax) for ax in "xyz"]
 
 
-@query("principal_axis")
+def axis_sql(points: str, key: str) -> dict[str, str]:
+    """Leading eigenvector per key: the covariance matrix squared again and again, scaled to trace 1, tends to its projector."""
+    square = {"a": "a*a + b*b + c*c", "b": "a*b + b*d + c*e", "c": "a*c + b*e + c*f", "d": "b*b + d*d + e*e", "e": "b*c + d*e + e*f", "f": "c*c + e*e + f*f"}
+    trace = f"({square['a']} + {square['d']} + {square['f']})"
+    return {
+        "cov": f"""SELECT {key}, count(*) AS n, covar_pop(x, x) AS a, covar_pop(x, y) AS b, covar_pop(x, z) AS c, covar_pop(y, y) AS d,
+            covar_pop(y, z) AS e, covar_pop(z, z) AS f FROM {points} GROUP BY ALL""",
+        f"powers({key}, i, a, b, c, d, e, f)": f"""
+            SELECT {key}, 0, a / (a + d + f), b / (a + d + f), c / (a + d + f), d / (a + d + f), e / (a + d + f), f / (a + d + f) FROM cov WHERE a + d + f > 0
+            UNION ALL SELECT {key}, i + 1, {', '.join(f'({s}) / {trace}' for s in square.values())} FROM powers WHERE i < 16""",
+        "main_lines": f"""SELECT {key}, CASE WHEN a >= d AND a >= f THEN [a, b, c] WHEN d >= f THEN [b, d, e] ELSE [c, e, f] END AS v FROM powers WHERE i = 16""",
+        "directions": f"SELECT {key}, list_transform(v, lambda u: u / sqrt(v[1]**2 + v[2]**2 + v[3]**2)) AS v FROM main_lines",
+    }
+
+
+MEMBERS = {"members": "SELECT case_id, x::DOUBLE AS x, y::DOUBLE AS y, z::DOUBLE AS z FROM supported WHERE support"}
+
+
+@query("principal_axis", a.oracle(f"""
+    SELECT p.case_id, {', '.join(sr4(f'abs(any_value(v[{i}]))', n) for i, n in ((1, 'ax'), (2, 'ay'), (3, 'az')))},
+      {sr4('max(x * v[1] + y * v[2] + z * v[3]) - min(x * v[1] + y * v[2] + z * v[3])', 'extent')}
+    FROM members p JOIN directions d ON d.case_id = p.case_id GROUP BY 1""", "cells", extra={**WINDOW, **MEMBERS, **axis_sql("members", "case_id")}))
 def principal_axis(spark, folder):
     points = supported(spark, folder).filter("support").select("case_id", *axes())
     found = c.principal_axis(points, ["case_id"])
@@ -220,7 +241,18 @@ def principal_axis(spark, folder):
                         r4(F.col("high") - F.col("low"), "extent"))
 
 
-@query("parent_angle")
+NEAR = {
+    "probes": "SELECT (l_suppkey % 100)::BIGINT AS case_id, case_id AS owner, ord, ox, oy, oz, dx, dy, dz FROM cand",
+    "near": """SELECT p.case_id, p.owner, p.ord, c.x::DOUBLE AS x, c.y::DOUBLE AS y, c.z::DOUBLE AS z FROM probes p JOIN cells c ON c.case_id = p.case_id
+        AND c.parent AND abs(c.x - ox) <= 12 AND abs(c.y - oy) <= 12 AND abs(c.z - oz) <= 12""",
+}
+
+
+@query("parent_angle", a.oracle(f"""
+    SELECT p.case_id, p.ord, {sr4('coalesce(degrees(acos(least(1.0, abs(v[1] * dx + v[2] * dy + v[3] * dz)))), 90)', 'parent_angle', 2)}
+    FROM probes p LEFT JOIN (SELECT d.* FROM directions d JOIN cov USING (case_id, owner, ord) WHERE n >= 3) d
+      ON d.case_id = p.case_id AND d.owner = p.owner AND d.ord = p.ord""",
+    "cells", "cand", extra={**NEAR, **axis_sql("near", "case_id, owner, ord")}))
 def parent_angle(spark, folder):
     members = a.cells(spark, folder).filter("parent").select("case_id", *axes())
     probes = a.candidates(spark, folder).select(
