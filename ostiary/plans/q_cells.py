@@ -2,6 +2,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ostiary import scale
 from ostiary.functions import geometry as g
 from ostiary.functions.profiles import settings
 from ostiary.operators import cells as c, graph, polyline as pl, resolve as rs, rings
@@ -34,12 +35,15 @@ def spacing(spark, folder):
 
 
 def window(spark, folder):
-    return c.intensity_window(a.cells(spark, folder), spacing(spark, folder), CONFIG)
+    """The cells are derived once: the window reads them several times."""
+    return c.intensity_window(scale.checkpoint(a.cells(spark, folder)), spacing(spark, folder), CONFIG)
 
 
 def supported(spark, folder):
-    limits = window(spark, folder).select("case_id", "lower", "upper")
-    return c.support_cells(a.cells(spark, folder).join(limits, "case_id"), 0.5)
+    """Cells with their support flag, written once for all that reads them."""
+    cells = scale.checkpoint(a.cells(spark, folder))
+    limits = c.intensity_window(cells, spacing(spark, folder), CONFIG).select("case_id", "lower", "upper")
+    return scale.checkpoint(c.support_cells(scale.per_group(cells, limits, ["case_id"]), 0.5))
 
 
 def shell(spark, folder):
