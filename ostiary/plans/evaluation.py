@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from ostiary import scale
 from ostiary.functions.features import LogisticModel
 from ostiary.operators import metrics as m
-from ostiary.operators.matching import match_one_to_one
+from ostiary.operators.matching import match_one_to_one, missing_predictions
 from ostiary.plans.workflow import score_candidates, threshold_filter
 
 TOLERANCES_MM = [2.0, 3.0, 5.0]
@@ -30,6 +30,38 @@ def tolerance_report(
     return m.summarize(per_case, ["tolerance_mm"]).join(stats, "tolerance_mm", "left")
 
 
+def scoring_report(
+    reference_cases: DataFrame, predicted_cases: DataFrame, predictions: DataFrame, references: DataFrame,
+    tolerances: list[float] | None = None, mirror_tolerance: float = 5.0,
+) -> dict[str, DataFrame]:
+    """The whole report on a set of prediction records, as tables.
+
+    ``missing``: reference cases without a prediction record; they are listed and count nowhere else. ``cases``: one row
+    per remaining case and tolerance. ``summary``: totals and matched-error statistics per tolerance. ``mirror``: one row
+    with the number of cases that match better with x and y mirrored, and whether there is any. Notes on references come
+    from :func:`ostiary.sources.references.normalize_references` (see :func:`reference_notes`).
+    """
+    tolerances = tolerances or TOLERANCES_MM
+    scored = scale.checkpoint(reference_cases.join(predicted_cases.select("case_id").distinct(), "case_id", "left_semi"))
+    own = predictions.join(scored.select("case_id"), "case_id", "left_semi")
+    truth = references.join(scored.select("case_id"), "case_id", "left_semi")
+    matches = scale.checkpoint(match_one_to_one(own, truth, sorted({*tolerances, mirror_tolerance})))
+    asked = matches.filter(F.col("tolerance_mm").isin([float(t) for t in tolerances]))
+    per_case = scale.checkpoint(m.case_confusion(scored, own, truth, asked, tolerances))
+    checks = m.mirror_check(scored, own, truth, matches, mirror_tolerance)
+    return {
+        "missing": missing_predictions(reference_cases, predicted_cases), "cases": per_case,
+        "summary": m.summarize(per_case, ["tolerance_mm"]).join(m.error_stats(asked, ["tolerance_mm"]).drop("matches"), "tolerance_mm", "left"),
+        "mirror": checks.agg(F.count_if("mirror_suspected").alias("mirrored_cases"),
+                             F.coalesce(F.bool_or("mirror_suspected"), F.lit(False)).alias("mirror_suspected")),
+    }
+
+
+def reference_notes(references: DataFrame) -> DataFrame:
+    """``case_id, note`` of everything that normalisation changed, each once."""
+    return references.select("case_id", F.explode("notes").alias("note")).distinct()
+
+
 def evaluate_bundle(
     branches: DataFrame, references: DataFrame, manifest: DataFrame, model: LogisticModel, tolerance: float,
 ) -> DataFrame:

@@ -217,6 +217,39 @@ def tolerance_report(spark, folder):
     return report.select(*summary_columns("tolerance_mm"), *[r4(c) for c in STAT_COLUMNS])
 
 
+SCORED_CASES = {"recorded": "SELECT * FROM confusion WHERE case_id IN (SELECT case_id FROM pred)"}
+
+
+def scoring(spark, folder):
+    pred, ref = sides(spark, folder)
+    return e.scoring_report(a.cases(spark, folder), pred.select("case_id"), pred, ref)
+
+
+@query("scoring_cases", a.oracle("""
+    SELECT case_id, tolerance_mm, tp, fp, fn FROM recorded""",
+    "pred", "ref", "cases", extra={**matching_sql([2.0, 3.0, 5.0]), **confusion_sql([2.0, 3.0, 5.0]), **SCORED_CASES}))
+def scoring_cases(spark, folder):
+    return scoring(spark, folder)["cases"].select("case_id", "tolerance_mm", "tp", "fp", "fn")
+
+
+@query("scoring_summary", a.oracle(f"""
+    SELECT a.*, b.* EXCLUDE (tolerance_mm) FROM (SELECT tolerance_mm, {TOTALS_SQL} FROM recorded GROUP BY 1) a
+    LEFT JOIN (SELECT tolerance_mm, {STATS_SQL} FROM matched GROUP BY 1) b ON a.tolerance_mm = b.tolerance_mm""",
+    "pred", "ref", "cases", extra={**matching_sql([2.0, 3.0, 5.0]), **confusion_sql([2.0, 3.0, 5.0]), **SCORED_CASES}))
+def scoring_summary(spark, folder):
+    return scoring(spark, folder)["summary"].select(*summary_columns("tolerance_mm"), *[r4(c) for c in STAT_COLUMNS])
+
+
+@query("scoring_mirror", a.oracle("""
+    SELECT count(*) FILTER (flipped > plain + 1) AS mirrored_cases, coalesce(bool_or(flipped > plain + 1), FALSE) AS mirror_suspected FROM (
+      SELECT coalesce(k.n, 0) AS plain, coalesce(f.n, 0) AS flipped FROM (SELECT DISTINCT case_id FROM pred) c
+      LEFT JOIN (SELECT case_id, count(*) AS n FROM picked GROUP BY 1) k ON k.case_id = c.case_id
+      LEFT JOIN (SELECT case_id, count(*) AS n FROM pickedm GROUP BY 1) f ON f.case_id = c.case_id)""",
+    "pred", "ref", "cases", extra={**matching_sql([5.0]), **matching_sql([5.0], sign="-", tag="m")}))
+def scoring_mirror(spark, folder):
+    return scoring(spark, folder)["mirror"]
+
+
 @query("evaluate_bundle", a.oracle(f"""
     SELECT 'unfiltered' AS variant, CASE WHEN grouping(family) = 1 THEN 'overall' ELSE 'group' END AS scope, family, {TOTALS_SQL}
     FROM confusion GROUP BY GROUPING SETS ((family), ())
