@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ostiary import scale
 from ostiary.functions import geometry as g
-from ostiary.operators.spatial import pairs_within
 
 # Vertices per chunk of a long polyline; also the longest line handled as one array.
 CHUNK = 4096
@@ -95,17 +94,7 @@ def _growing_cells(points: DataFrame, lines: DataFrame, by: list[str], key: list
         pieces = lines.select(*by, "seq", g.point(*g.cols("x", "y", "z")).alias("a"))
         pieces = pieces.withColumn("b", F.col("a"))
     reach = max(float(mean or 0.0), 1e-6)
-    cuts = F.greatest(F.lit(1.0), F.ceil(g.distance(g.xyz("a"), g.xyz("b")) / (2 * reach)).cast("double"))
-    pieces = pieces.withColumn("_cuts", cuts).withColumn("_i", F.explode(F.sequence(F.lit(0), (F.col("_cuts") - 1).cast("int"))))
-
-    def between(share: Column) -> Column:
-        return g.point(*[p + (q - p) * share for p, q in zip(g.xyz("a"), g.xyz("b"))])
-
-    pieces = scale.checkpoint(pieces.select(
-        *by, (F.col("seq") + F.col("_i") / F.col("_cuts")).alias("seq"), (1 / F.col("_cuts")).alias("share"),
-        F.when(F.col("_i") == 0, F.col("a")).otherwise(between(F.col("_i") / F.col("_cuts"))).alias("_from"),
-        F.when(F.col("_i") == F.col("_cuts") - 1, F.col("b")).otherwise(between((F.col("_i") + 1) / F.col("_cuts"))).alias("b"),
-    ).withColumnRenamed("_from", "a"))
+    pieces = scale.checkpoint(_cut_segments(pieces, by, 2 * reach))
     open_points = scale.checkpoint(points.join(lines.select(*by).distinct(), by, "left_semi").select(*by, *key, point))
     radius, settled = reach, None
     while not open_points.isEmpty():
@@ -128,6 +117,21 @@ def _growing_cells(points: DataFrame, lines: DataFrame, by: list[str], key: list
     return settled
 
 
+def _cut_segments(pieces: DataFrame, keep: list[str], size: float) -> DataFrame:
+    """Segments ``seq, a, b`` cut into pieces of at most ``size``; ``share`` is a piece's part of its segment."""
+    cuts = F.greatest(F.lit(1.0), F.ceil(g.distance(g.xyz("a"), g.xyz("b")) / size).cast("double"))
+    numbered = pieces.withColumn("_cuts", cuts).withColumn("_i", F.explode(F.sequence(F.lit(0), (F.col("_cuts") - 1).cast("int"))))
+
+    def between(share: Column) -> Column:
+        return g.point(*[p + (q - p) * share for p, q in zip(g.xyz("a"), g.xyz("b"))])
+
+    return numbered.select(
+        *keep, (F.col("seq") + F.col("_i") / F.col("_cuts")).alias("seq"), (1 / F.col("_cuts")).alias("share"),
+        F.when(F.col("_i") == 0, F.col("a")).otherwise(between(F.col("_i") / F.col("_cuts"))).alias("_from"),
+        F.when(F.col("_i") == F.col("_cuts") - 1, F.col("b")).otherwise(between((F.col("_i") + 1) / F.col("_cuts"))).alias("b"),
+    ).withColumnRenamed("_from", "a")
+
+
 def nearest_sample(points: DataFrame, lines: DataFrame, by: list[str], key: list[str], point: str = "point",
                    packed: int | None = None) -> DataFrame:
     """Nearest vertex: ``nearest_mm``, ``index`` and ``progress`` = index / (n - 1)."""
@@ -141,18 +145,25 @@ def nearest_sample(points: DataFrame, lines: DataFrame, by: list[str], key: list
 def stop_at_junction(paths: DataFrame, junctions: DataFrame, by: list[str], key: list[str], tolerance: float) -> DataFrame:
     """Cut each path at the first junction within ``tolerance`` of it (and past its start).
 
-    Only junctions inside the path's reach are compared: the distance join uses the longest path as radius.
+    Segments lie in grid cells of twice the tolerance, cut where they are longer, and a junction looks into its own
+    cell, so the work follows the true neighbours and not the longest path.
     """
     traced = paths.withColumn("_arcs", g.arc_lengths(F.col("path")))
-    longest = traced.agg(F.max(g.last(F.col("_arcs")))).first()[0] or 0.0
-    started = traced.select(*by, *key, "path", "_arcs", F.get("path", F.lit(0)).alias("_start"))
-    near = pairs_within(started, junctions.select(*by, F.col("junction")), by, "_start", "junction", longest + tolerance)
-    # The generator evaluates each projection once and drops junctions off the path.
-    close = F.filter(F.array(g.nearest_on_path(g.xyz("junction"), F.col("path"))), lambda n: n["distance"] <= tolerance)
-    hit = near.select(*by, *key, "_arcs", F.explode(close).alias("_hit"))
-    whole = F.floor("_hit.position").cast("int")
-    base = F.get("_arcs", whole)
-    along = base + (F.coalesce(F.get("_arcs", whole + 1), base) - base) * (F.col("_hit.position") - whole)
+    steps = F.transform(F.slice("path", 2, F.greatest(F.size("path") - 1, F.lit(0))), lambda b, i: F.struct(
+        i.alias("seq"), F.get("path", i).alias("a"), b.alias("b"), F.get("_arcs", i).alias("low"), F.get("_arcs", i + 1).alias("high")))
+    pieces = _cut_segments(traced.select(*by, *key, F.inline(steps)), [*by, *key, F.col("seq").alias("_at"), "low", "high"], 2 * tolerance)
+    cell = F.lit(2.0 * tolerance)
+    for i, (p, q) in enumerate(zip(g.xyz("a"), g.xyz("b"))):
+        pieces = pieces.withColumn(f"_c{i}", F.explode(F.sequence(
+            F.floor((F.least(p, q) - tolerance) / cell), F.floor((F.greatest(p, q) + tolerance) / cell))))
+    own = [F.floor(axis / cell).alias(f"_c{i}") for i, axis in enumerate(g.xyz("junction"))]
+    near = pieces.join(junctions.select(*by, "junction", *own), [*by, "_c0", "_c1", "_c2"])
+    fraction, gap = g.segment_projection(g.xyz("junction"), g.xyz("a"), g.xyz("b"))
+    place = F.col("seq") + fraction * F.col("share")
+    along = F.col("low") + (F.col("high") - F.col("low")) * (place - F.col("_at"))
+    hit = near.select(*by, *key, "junction", F.struct(gap.alias("gap"), place.alias("place"), along.alias("along")).alias("_n")).filter(
+        F.col("_n.gap") <= tolerance).groupBy(*by, *key, "junction").agg(F.min("_n").alias("_hit"))
+    along = F.col("_hit.along")
     stops = hit.withColumn("_along", along).filter(F.col("_along") > 0).groupBy(
         *by, *key).agg(F.min("_along").alias("_stop"))
     stopped = traced.join(stops, [*by, *key], "left")
