@@ -16,7 +16,7 @@ SLICE_ROWS = 1_000
 # Words gathered from consecutive documents before values are looked up together.
 CHUNK_WORDS = 400_000
 # Distinct words, and bytes of them, that one Python worker remembers before it starts anew.
-MEMO_WORDS = 300_000
+MEMO_WORDS = 200_000
 MEMO_BYTES = 24_000_000
 
 
@@ -159,9 +159,13 @@ class WordMemo:
 _KEPT: dict = {}
 
 
-def once_per_worker(key, make: Callable):
-    """``make()`` once per Python worker and key; only the latest keys of each kind are kept."""
-    kind = key[0]
-    if kind not in _KEPT or _KEPT[kind][0] != key:
-        _KEPT[kind] = (key, make())
-    return _KEPT[kind][1]
+def once_per_worker(key: tuple, make: Callable):
+    """``make()`` once per Python worker and key.
+
+    Workers outlive a job, so what belongs to another owner, the key's last part, is dropped first.
+    """
+    if key not in _KEPT:
+        for other in [k for k in _KEPT if k[-1] != key[-1]]:
+            del _KEPT[other]
+        _KEPT[key] = make()
+    return _KEPT[key]
