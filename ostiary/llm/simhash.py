@@ -152,7 +152,8 @@ def links(fingerprints: DataFrame, fp: str = "fp", radius: int = RADIUS) -> Data
 
 
 def components(docs: DataFrame, doc_id: str = "doc_id", fp: str = "fp", radius: int = RADIUS) -> DataFrame:
-    """``fp, component_id, docs`` per different fingerprint: the smallest id reachable, and its number of documents.
+    """``fp, component, component_id, docs`` per different fingerprint: the smallest fingerprint and the smallest id
+    reachable, and its number of documents.
 
     Equal fingerprints are one node, so groups of exact copies of any size cost one row. Null ids are no smallest id
     unless all are null.
@@ -161,24 +162,30 @@ def components(docs: DataFrame, doc_id: str = "doc_id", fp: str = "fp", radius:
     joined = connected_components(links(nodes, "fp", radius), []).select(F.col("node").alias("fp"), "component")
     members = common.checkpoint(nodes.join(joined, "fp"))
     least = members.groupBy("component").agg(F.min("least").alias("component_id"))
-    of_members = members.join(least, "component").select("fp", "component_id")
+    of_members = members.join(least, "component").select("fp", "component", "component_id")
     # written, so that a later join with the documents reads it through a shuffle of its own and a fingerprint that very
     # many documents share can be split
-    return common.checkpoint(nodes.join(of_members, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"), "docs"))
+    return common.checkpoint(nodes.join(of_members, "fp", "left").select(
+        "fp", F.coalesce("component", "fp").alias("component"), F.coalesce("component_id", "least").alias("component_id"), "docs"))
 
 
 def one_per_group(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", radius: int = RADIUS) -> DataFrame:
-    """``docs`` with only the row of the smallest id of each near-duplicate group; of repeated rows one stays."""
-    kept = docs.columns
-    marked = with_fingerprint(docs, text, "_fp")
-    narrow = common.checkpoint(with_fingerprint(docs.select(doc_id, text), text, "_fp").select(doc_id, "_fp"))
-    groups = components(narrow, doc_id, "_fp", radius).groupBy("component_id").agg(F.count("*"))
-    first = common.checkpoint(narrow.join(groups, narrow[doc_id].eqNullSafe(groups["component_id"]), "left_semi")
-                              .groupBy(doc_id).agg(F.count("*").alias("rows"), F.min("_fp").alias("_fp")))
-    stays = lambda ids: marked.join(
-        ids.select(F.col(doc_id).alias("_id"), F.col("_fp").alias("_of")),
-        marked[doc_id].eqNullSafe(F.col("_id")) & (marked["_fp"] == F.col("_of")), "left_semi").select(*kept)
-    alone, repeated = first.filter("rows = 1"), first.filter("rows > 1")
+    """``docs`` with only the row of the smallest id of each near-duplicate group, unchanged; of repeated rows one stays.
+
+    Texts are shuffled once, for the last join on the id. Rows that share an id are told apart by their fingerprints.
+    """
+    narrow = common.checkpoint(with_fingerprint(docs.select(doc_id, text), text, "_fp").select(F.col(doc_id).alias("_id"), "_fp"))
+    found = components(narrow, "_id", "_fp", radius)
+    groups = found.select("component_id").distinct()
+    first = common.checkpoint(narrow.groupBy("_id").agg(F.count("*").alias("rows")).join(
+        groups, F.col("_id").eqNullSafe(F.col("component_id")), "left_semi"))
+    alone, repeated = first.filter("rows = 1").select("_id"), first.filter("rows > 1").select("_id")
+    stays = docs.join(alone, docs[doc_id].eqNullSafe(F.col("_id")), "left_semi")
     if repeated.isEmpty():
-        return stays(alone)
-    return stays(alone).unionByName(stays(repeated).dropDuplicates([doc_id]))
+        return stays
+    chosen = narrow.join(repeated.withColumnRenamed("_id", "_again"), F.col("_id").eqNullSafe(F.col("_again")), "left_semi").join(
+        found.withColumnRenamed("fp", "_fp"), "_fp").filter(F.col("_id").eqNullSafe(F.col("component_id"))).groupBy("component").agg(
+        F.min("_fp").alias("_of"), F.first("_id").alias("_id"))
+    several = with_fingerprint(docs.join(repeated, docs[doc_id].eqNullSafe(F.col("_id")), "left_semi"), text, "_fp")
+    kept = several.join(chosen, several[doc_id].eqNullSafe(F.col("_id")) & (F.col("_fp") == F.col("_of")), "left_semi")
+    return stays.unionByName(kept.dropDuplicates([doc_id, "_fp"]).select(*docs.columns))
