@@ -10,6 +10,8 @@ A pair of tiles returns a spanning forest of its links, at most one row for each
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -158,8 +160,21 @@ def components(docs: DataFrame, doc_id: str = "doc_id", fp: str = "fp", radius:
     Equal fingerprints are one node, so groups of exact copies of any size cost one row. Null ids are no smallest id
     unless all are null.
     """
-    nodes = common.checkpoint(docs.groupBy(F.col(fp).alias("fp")).agg(F.min(doc_id).alias("least"), F.count("*").alias("docs")))
-    joined = connected_components(links(nodes, "fp", radius), []).select(F.col("node").alias("fp"), "component")
+    nodes = common.checkpoint(_nodes(docs, doc_id, fp))
+    return _grouped(nodes, links(nodes, "fp", radius))
+
+
+def components_of(docs: DataFrame, pairs: DataFrame, doc_id: str = "doc_id", fp: str = "fp") -> DataFrame:
+    """The same of given links ``a, b`` between values of ``fp``."""
+    return _grouped(common.checkpoint(_nodes(docs, doc_id, fp)), pairs)
+
+
+def _nodes(docs: DataFrame, doc_id: str, fp: str) -> DataFrame:
+    return docs.groupBy(F.col(fp).alias("fp")).agg(F.min(doc_id).alias("least"), F.count("*").alias("docs"))
+
+
+def _grouped(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
+    joined = connected_components(pairs, []).select(F.col("node").alias("fp"), "component")
     members = common.checkpoint(nodes.join(joined, "fp"))
     least = members.groupBy("component").agg(F.min("least").alias("component_id"))
     of_members = members.join(least, "component").select("fp", "component", "component_id")
@@ -176,6 +191,12 @@ def one_per_group(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", r
     """
     narrow = common.checkpoint(with_fingerprint(docs.select(doc_id, text), text, "_fp").select(F.col(doc_id).alias("_id"), "_fp"))
     found = components(narrow, "_id", "_fp", radius)
+    return first_of_groups(docs, narrow, found, doc_id, lambda rows: with_fingerprint(rows, text, "_fp"))
+
+
+def first_of_groups(docs: DataFrame, narrow: DataFrame, found: DataFrame, doc_id: str, mark: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Rows of ``docs`` that are the first of the groups ``found``; ``narrow`` has each row's ``_id`` and ``_fp``, and
+    ``mark`` adds ``_fp`` to rows of ``docs``."""
     groups = found.select("component_id").distinct()
     first = common.checkpoint(narrow.groupBy("_id").agg(F.count("*").alias("rows")).join(
         groups, F.col("_id").eqNullSafe(F.col("component_id")), "left_semi"))
@@ -186,6 +207,6 @@ def one_per_group(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", r
     chosen = narrow.join(repeated.withColumnRenamed("_id", "_again"), F.col("_id").eqNullSafe(F.col("_again")), "left_semi").join(
         found.withColumnRenamed("fp", "_fp"), "_fp").filter(F.col("_id").eqNullSafe(F.col("component_id"))).groupBy("component").agg(
         F.min("_fp").alias("_of"), F.first("_id").alias("_id"))
-    several = with_fingerprint(docs.join(repeated, docs[doc_id].eqNullSafe(F.col("_id")), "left_semi"), text, "_fp")
+    several = mark(docs.join(repeated, docs[doc_id].eqNullSafe(F.col("_id")), "left_semi"))
     kept = several.join(chosen, several[doc_id].eqNullSafe(F.col("_id")) & (F.col("_fp") == F.col("_of")), "left_semi")
     return stays.unionByName(kept.dropDuplicates([doc_id, "_fp"]).select(*docs.columns))

@@ -1,9 +1,13 @@
 """The pipeline's stages one by one on the smallest tables, and its empty run."""
 
+import random
+
 import pytest
+from helpers import ODD, documents, sentence
 
 import __spark_entry__
 import corpus_pipeline
+from ostiary.llm import near_copies
 
 
 def test_stages(spark, tmp_path):
@@ -32,3 +36,41 @@ def test_stages_on_no_rows(spark):
 def test_registered():
     names = set(__spark_entry__.queries())
     assert {"pipeline"} | {f"op{n}_" for n in range(1, 11)} <= {n if n == "pipeline" else n.split("_")[0] + "_" for n in names}
+
+
+def _groups(texts):
+    """Smallest member by brute force over all pairs."""
+    def shingles(text):
+        words = (text or "").lower().split()
+        return {tuple(words[i:i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+    sets, parent = [shingles(t) for t in texts], list(range(len(texts)))
+
+    def find(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if 10 * len(a & b) >= 8 * len(a | b):
+                x, y = find(i), find(j)
+                parent[max(x, y)] = min(x, y)
+    return {find(i) for i in range(len(texts))}
+
+
+@pytest.mark.parametrize("rounds", [0, near_copies.ROUNDS])
+def test_dedup_stage_links_all_near_copies(spark, monkeypatch, rounds):
+    monkeypatch.setattr(near_copies.links, "__defaults__", (near_copies.LEAST, rounds))
+    rng = random.Random(8)
+    texts = ODD + [sentence(rng, words=rng.randint(3, 150)) + " one very common line in many of the texts" for _ in range(30)]
+    for _ in range(150):  # chains of edits, ends replaced as well as single words
+        words = rng.choice(texts[len(ODD):]).split()
+        for _ in range(rng.randint(1, 3)):
+            words[rng.randrange(len(words))] = "changed" + str(rng.randrange(9))
+        texts.append(" ".join(words[rng.randint(0, 2):]))
+    docs = documents(spark, texts)
+    kept = corpus_pipeline.dedup_stage(spark, docs, "")
+    assert kept.columns == docs.columns and {r["doc_id"] for r in kept.collect()} == _groups(texts)
+    repeated = spark.createDataFrame([(1, "a b c d e"), (1, "a b c d e"), (1, "q r s t u"), (5, "q r s t u"), (2, None), (3, "")], "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in corpus_pipeline.dedup_stage(spark, repeated, "").collect()) == [1, 1, 2]
