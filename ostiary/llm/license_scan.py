@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from ostiary.llm import common
 
 LEVEL = 3
-# Candidates must shrink by this share with the template, and this share of the template's words must be there in order.
+# Candidates must save this share of the template's own compressed size, so that a notice inside a longer line counts in full, and this share of the template's words must be there in order.
 LEAST_REDUCTION = 0.3
 LEAST_WORDING = 0.8
 # How many of the best templates are compared word by word.
@@ -63,8 +63,10 @@ _TRIGGER = re.compile(
     r"\blicen[sc]e[ds]?\b|\bcopyright(?:ed)?\b|\bhereby granted\b|\bredistribut|\bpublic domain\b|\bspdx\b|\ball rights reserved\b"
     r"|\bwaived all\b|\bas[- ]is\b|\bwarrant(?:y|ies)\b|\bsublicense\b|\bfree software\b|\bapache\.org\b|\bmozilla\.org\b"
     r"|\bconditions are met\b|\bfollowing conditions\b|\bfollowing disclaimer\b|\bpermission notice\b", re.I)
-_SENTENCE = re.compile(r"[^\n]{1,2000}?(?:[.!?:;](?=\s|$)|\n|\Z)|\n")
+_SENTENCE = re.compile(r"[^\n]+?(?:[.!?:;](?=\s|$)|\n|\Z)|\n")
 _WORD = re.compile(r"[^\W_]+(?:\.[^\W_]+)*")
+# A longer sentence is looked at in windows around its trigger words.
+LONG = 2_000
 # Sentences with such words at most so many characters apart belong to one block.
 GAP = 400
 
@@ -86,10 +88,25 @@ class Templates:
     def __init__(self, templates: dict[str, str]) -> None:
         self.plain = zstandard.ZstdCompressor(level=LEVEL, write_content_size=False)
         self.known = []
+        # characters on either side of a trigger word that can belong to its notice
+        self.reach = 2 * max(map(len, templates.values()), default=0)
         for name in sorted(templates):
             words = [w.lower() for w in _WORD.findall(templates[name])]
             dictionary = zstandard.ZstdCompressionDict(" ".join(words).encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-            self.known.append((name, words, zstandard.ZstdCompressor(level=LEVEL, dict_data=dictionary, write_content_size=False)))
+            own = len(self.plain.compress(" ".join(words).encode()))
+            self.known.append((name, words, own, zstandard.ZstdCompressor(level=LEVEL, dict_data=dictionary, write_content_size=False)))
+
+    def _inside(self, words: list[str], at: list[int], own: list[str], size: int, compressor: zstandard.ZstdCompressor) -> float:
+        """The largest reduction of windows as long as the template that lay its trigger words over the block's."""
+        slack = 1 + len(own) // 4
+        if len(words) <= len(own) + 2 * slack:
+            return 0.0
+        starts = {max(0, i - j - slack) for i in at for j in _trigger_words(" ".join(own))}
+        best = 0.0
+        for start in starts:
+            part = " ".join(words[start:start + len(own) + 2 * slack]).encode()
+            best = max(best, (len(self.plain.compress(part)) - len(compressor.compress(part))) / size)
+        return best
 
     def best(self, block: str) -> Finding | None:
         """The confirmed winner for a block, with offsets inside it; the fewest wording differences win, then the longest."""
@@ -97,7 +114,9 @@ class Templates:
         words = [m[0].lower() for m in places]
         body = " ".join(words).encode()
         alone = len(self.plain.compress(body))
-        ranked = sorted(((1 - len(c.compress(body)) / alone, name, own) for name, own, c in self.known), key=lambda x: (-x[0], x[1]))
+        at = _trigger_words(body.decode())
+        ranked = sorted(((max((alone - len(c.compress(body))) / size, self._inside(words, at, own, size, c)), name, own)
+                         for name, own, size, c in self.known), key=lambda x: (-x[0], x[1]))
         confirmed = []
         for reduction, name, own in ranked[:RIVALS]:
             if reduction < LEAST_REDUCTION:
@@ -115,17 +134,35 @@ class Templates:
         return min(confirmed, key=lambda x: x[:3])[3] if confirmed else None
 
 
-def sentences(text: str) -> list[tuple[int, int]]:
-    """Offsets of the sentences or lines with a trigger word; a text without any costs one search."""
+def _trigger_words(body: str) -> list[int]:
+    """Numbers of the words at which triggers start in words joined by blanks."""
+    out, words, last = [], 0, 0
+    for m in _TRIGGER.finditer(body):
+        words += body.count(" ", last, m.start())
+        last = m.start()
+        out.append(words)
+    return out
+
+
+def sentences(text: str, reach: int) -> list[tuple[int, int]]:
+    """Offsets of the sentences or lines with a trigger word, long ones as windows of ``reach`` characters on both sides
+    of each trigger word; a text without any costs one search."""
     if _TRIGGER.search(text) is None:
         return []
-    return [m.span() for m in _SENTENCE.finditer(text) if _TRIGGER.search(m[0])]
+    out = []
+    for m in _SENTENCE.finditer(text):
+        if m.end() - m.start() <= LONG:
+            if _TRIGGER.search(m[0]):
+                out.append(m.span())
+        else:
+            out += [(max(m.start(), t.start() - reach), min(m.end(), t.end() + reach)) for t in _TRIGGER.finditer(text, *m.span())]
+    return out
 
 
-def blocks(text: str) -> list[list[tuple[int, int]]]:
+def blocks(text: str, reach: int) -> list[list[tuple[int, int]]]:
     """Candidate blocks: sentences with trigger words that are at most GAP characters apart."""
     out: list[list[tuple[int, int]]] = []
-    for span in sentences(text):
+    for span in sentences(text, reach):
         if out and span[0] - out[-1][-1][1] <= GAP:
             out[-1].append(span)
         else:
@@ -137,7 +174,7 @@ def scan_text(text: str, known: Templates, memo: dict) -> list[Finding]:
     """Notices in order. What a block holds beside its winner is looked at again; a block without a winner is halved
     at its widest gap until single sentences are left."""
     found: list[Finding] = []
-    waiting = blocks(text)
+    waiting = blocks(text, known.reach)
     while waiting:
         spans = waiting.pop()
         start, end = spans[0][0], spans[-1][1]
@@ -149,8 +186,11 @@ def scan_text(text: str, known: Templates, memo: dict) -> list[Finding]:
         best = memo[block]
         if best is not None:
             own = replace(best, start=start + best.start, end=start + best.end)
-            found.append(own)
-            waiting += [rest for rest in ([s for s in spans if s[1] <= own.start], [s for s in spans if s[0] >= own.end]) if rest]
+            if all(own.end <= f.start or own.start >= f.end for f in found):  # windows overlap
+                found.append(own)
+            before = [(a, min(b, own.start)) for a, b in spans if a < own.start]
+            after = [(max(a, own.end), b) for a, b in spans if b > own.end]
+            waiting += [rest for rest in ([s for s in part if _TRIGGER.search(text, *s)] for part in (before, after)) if rest]
         elif len(spans) > 1:
             gaps = [b[0] - a[1] for a, b in zip(spans, spans[1:])]
             cut = gaps.index(max(gaps)) + 1

@@ -241,3 +241,17 @@ def test_license_scan(spark):
     for name, template in license_scan.TEMPLATES.items():  # every template finds itself, without a difference
         assert [(f.license, f.missing, f.added) for f in license_scan.scan_text(template, license_scan.Templates(license_scan.TEMPLATES), {})] == [(name, [], [])], name
     assert license_scan.scan(empty(spark)).count() == 0
+
+
+def test_license_notices_inside_long_lines():
+    known = license_scan.Templates(license_scan.TEMPLATES)
+    notice = "Released under the MIT License"
+    words = [sentence(random.Random(9), words=n) for n in (4, 40, 3_000)]
+    for before in words:
+        for after in words:
+            line = f"{before} | {notice} | {after} | Licensed under CC BY-NC 4.0 | {before}"
+            found = license_scan.scan_text(line, known, {})
+            assert [(f.license, f.missing, f.added) for f in found] == [("MIT", [], []), ("CC-BY-NC-4.0", [], [])]
+            assert line[found[0].start:found[0].end] == notice
+    menu = "About us | Contact | Released under the MIT License | Privacy policy | Terms | Help | Jobs | Press | Blog"
+    assert [f.license for f in license_scan.scan_text(menu, known, {})] == ["MIT"]
