@@ -32,7 +32,8 @@ _LISTS = frozenset(["ul", "ol", "dl", "table", "menu"])
 _LEAVES = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd td th pre blockquote figcaption caption tr".split())
 _NEVER = frozenset("head nav aside form footer menu dialog fieldset label legend".split())
 _WHOLE = frozenset(["html", "body"])
-# Words of class, id and role names. Elements named by the first list go, by the second unless the third names them too.
+# Words of class, id and role names. Elements named by the first list or the second go, unless they are an article or main
+# element or the third list names them too: by the first list such elements lose their weight, and points decide.
 _ALIEN = frozenset("""ad ads adv advert adverts advertising advertisement advertisements adsense sponsor sponsored sponsors promo promos promotion
 comment comments commentlist disqus reply replies respond cookie cookies consent gdpr popup modal newsletter subscribe subscription signup
 login share sharing sharedaddy social related recommended recommendations breadcrumb breadcrumbs navbar nav navigation menu menus sidebar
@@ -45,7 +46,7 @@ _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
 class _Node:
-    __slots__ = ("tag", "parent", "gone", "weight", "points", "size", "linked", "commas")
+    __slots__ = ("tag", "parent", "gone", "weight", "points", "mixed", "size", "linked", "commas")
 
     def __init__(self, tag: str, parent: "_Node | None", attributes: str) -> None:
         self.tag, self.parent = tag, parent
@@ -53,12 +54,14 @@ class _Node:
         self.size = self.linked = self.commas = 0
         names = {w.lower() for m in _NAMES.finditer(attributes) for w in _WORDS.findall(m[2] or m[3] or m[4] or "")} if attributes else ()
         content = bool(names) and not _CONTENT.isdisjoint(names)
-        self.weight = 25.0 * (tag in ("article", "main") or content)
+        body = tag in ("article", "main") or content
+        self.mixed = body and bool(names) and not _ALIEN.isdisjoint(names)
+        self.weight = 25.0 * (body and not self.mixed)
         self.gone = parent is not None and parent.gone
         if self.gone or tag in _WHOLE:
             return
         self.gone = (tag in _NEVER or (tag == "header" and not self._inside("article", "main"))
-                     or bool(names) and (not _ALIEN.isdisjoint(names) or not content and tag not in ("article", "main") and not _DOUBTFUL.isdisjoint(names))
+                     or bool(names) and not body and not (_ALIEN.isdisjoint(names) and _DOUBTFUL.isdisjoint(names))
                      or bool(attributes) and _HIDDEN.search(_NAMES.sub(" ", attributes)) is not None)
 
     def _inside(self, *tags: str) -> bool:
@@ -168,13 +171,19 @@ def main_text(page: str) -> str:
         if n.parent is best.parent and not n.gone and n.size:
             if scores.get(id(n), 0.0) >= bar or n.tag == "p" and n.size > 80 and n.density() < 0.25:
                 kept.add(id(n))
+    # what mixes both kinds of names inside what is kept must earn its place like a sibling
+    above, up = set(), best
+    while up is not None:
+        above.add(id(up))
+        up = up.parent
+    weak = {id(n) for n in nodes if n.mixed and id(n) not in above and scores.get(id(n), 0.0) < bar}
     # lists and boxes of links inside what is kept are menus
     menus = {id(n) for n in nodes if n is not best and n.tag not in ("p", "li", "td", "tr") and n.size and n.density() > 0.5 and n.commas < 10}
     out = []
     for node, text, _ in runs:
         up, inside = node, False
         while up is not None:
-            if id(up) in menus:
+            if id(up) in menus or id(up) in weak:
                 inside = False
                 break
             inside = inside or id(up) in kept

@@ -255,3 +255,12 @@ def test_license_notices_inside_long_lines():
             assert line[found[0].start:found[0].end] == notice
     menu = "About us | Contact | Released under the MIT License | Privacy policy | Terms | Help | Jobs | Press | Blog"
     assert [f.license for f in license_scan.scan_text(menu, known, {})] == ["MIT"]
+
+
+@pytest.mark.parametrize("open_, close", [
+    ("<article class='post has-comments'>", "</article>"), ("<main class='with-sidebar'>", "</main>"), ("<div id='content' class='menu-open'>", "</div>"),
+    ("<div id='page' class='no-sidebar'><main class='with-sidebar'><article class='post has-comments'>", "</article></main></div>")])
+def test_html_article_with_alien_words_in_its_names(open_, close):
+    paragraphs = ["The first paragraph, long enough to count, has some commas, and goes on.", "The second one, too, is as long as it has to be, and ends."]
+    inner = "".join(f"<p>{p}</p>" for p in paragraphs) + "<div class='post-share'>tweet this</div>"
+    assert html_text.main_text(PAGE.format(body=open_ + inner + close)) == " ".join(paragraphs)
