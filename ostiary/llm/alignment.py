@@ -367,28 +367,9 @@ def _composed(opened: DataFrame, last: bool) -> DataFrame:
 
 
 def _digests(closed: DataFrame) -> DataFrame:
-    """``row, n_groups, groups_sha256``: groups of a text in order, streamed through the hash; no text is held as a whole."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        state: list = []  # row, groups so far, hash
-
-        def result() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([state[0]]), pa.array([state[1]]), pa.array([state[2].hexdigest()])],
-                                              names=["row", "n_groups", "groups_sha256"])
-
-        for batch in batches:
-            for row, n, groups in zip(*(batch.column(c).to_pylist() for c in ("row", "n_groups", "groups"))):
-                if state and state[0] == row:
-                    state[1] += n
-                    state[2].update(b";" + groups)
-                else:
-                    if state:
-                        yield result()
-                    state = [row, n, hashlib.sha256(groups)]
-        if state:
-            yield result()
-
-    ordered = closed.select("row", "place", "n_groups", "groups").repartition("row").sortWithinPartitions("row", "place")
-    return ordered.mapInArrow(run, "row long, n_groups long, groups_sha256 string")
+    """``row, n_groups, groups_sha256`` of long texts from their closed groups."""
+    digests = common.joined_digest(closed.select("row", "place", F.col("groups").alias("body")), "row", b";")
+    return closed.groupBy("row").agg(F.sum("n_groups").alias("n_groups")).join(digests, "row").withColumnRenamed("sha256", "groups_sha256")
 
 
 @dataclass

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
@@ -75,6 +76,29 @@ def with_columns(docs: DataFrame, fields: str, compute: Callable[[pa.RecordBatch
     return docs.mapInArrow(run, StructType(kept + list(added)))
 
 
+def joined_digest(parts: DataFrame, key: str, separator: bytes, key_type: str = "long") -> DataFrame:
+    """``key, sha256``: SHA-256 of the ``body`` values of each key joined in the order of ``place``.
+
+    Sorted bodies stream through the hash one by one, so nothing is held as a whole.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, digest = None, None
+        for batch in batches:
+            for name, body in zip(batch.column(key).to_pylist(), batch.column("body").to_pylist()):
+                if digest is not None and name == current:
+                    digest.update(separator + body)
+                    continue
+                if digest is not None:
+                    yield pa.RecordBatch.from_pylist([{key: current, "sha256": digest.hexdigest()}], schema)
+                current, digest = name, hashlib.sha256(body)
+        if digest is not None:
+            yield pa.RecordBatch.from_pylist([{key: current, "sha256": digest.hexdigest()}], schema)
+
+    schema = pa.schema([(key, {"long": pa.int64(), "int": pa.int32(), "string": pa.string()}[key_type]), ("sha256", pa.string())])
+    ordered = parts.select(key, "place", "body").repartition(key).sortWithinPartitions(key, "place").select(key, "body")
+    return ordered.mapInArrow(run, f"`{key}` {key_type}, sha256 string")
+
+
 class _Ids(dict):
     """Word to row number; an unknown word gets the next number and waits in ``fresh``."""
 
