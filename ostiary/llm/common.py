@@ -49,6 +49,12 @@ def bytes_of(batch: pa.RecordBatch, column: str) -> list[bytes]:
     return [x or b"" for x in values.to_pylist()]
 
 
+def free_names(df: DataFrame, count: int) -> list[str]:
+    """Column names that ``df`` does not have, whatever their case."""
+    taken = {c.lower() for c in df.columns}
+    return [n for n in (f"_free{i}" for i in range(count + len(taken))) if n not in taken][:count]
+
+
 def slices(batches: Iterable[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:
     """The same rows in smaller batches: what is built beside a batch stays small."""
     for batch in batches:

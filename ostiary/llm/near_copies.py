@@ -1,11 +1,14 @@
-"""Near copies by the exact Jaccard similarity of word shingles, without a radius that could miss a pair.
+"""Near copies by SimHash in tiles, every link confirmed by the exact Jaccard similarity of 5-word shingles.
 
-A prefix filter finds candidates. Put the shingles of every text in one order that is the same for all texts: two sets
-of similarity LEAST or more then share one of the first ``n - ceil(LEAST * n) + 1`` shingles of each. Rare shingles come
-first, so common lines seldom bring texts together. Candidates are confirmed on their whole sets of shingles.
+Each different text has a 128-bit SimHash of its set of shingles. Texts are dealt into tiles by their number of shingles:
+sets of similarity LEAST or more cannot differ more in size, so most tile pairs are skipped; blocks inside a pair are
+skipped when their numbers of set bits differ beyond the radius. The rest is compared bit for bit in numpy: the first word
+within the first RADIUS, both within the second. At a similarity of exactly LEAST 128 bits differ in about 19 places, in 4 more or
+less; tests measure what the radius loses.
 
-Groups are connected by links, so pairs inside a group that already hangs together are never compared: a few rounds
-compare each text with one head of another group, and only pairs still apart after them are compared each with each.
+A tile pair returns a spanning forest of its candidates, nearest first, never all pairs. Candidates are confirmed on their
+whole sets. Where one failed, what still hangs together by candidates is compared with a few heads, the busiest first, and
+what is apart after that pair by pair, but only between groups that are still apart.
 """
 
 from __future__ import annotations
@@ -23,130 +26,263 @@ from ostiary.operators.graph import connected_components
 
 SHINGLE = 5
 LEAST = 0.8
+RADIUS = (20, 34)
 ROUNDS = 3
-# The order only decides how many candidates there are: it is taken from about so many texts and so many shingles at most.
-ORDER_TEXTS = 20_000
-ORDER_SHINGLES = 100_000
+BLOCK = 512
+LEAST_TILE, MOST_TILE = 4_096, 131_072
+TILES = 24
+STEPS = 64  # size classes: so many to a factor of e
 
 
 def shingles(text: bytes, size: int = SHINGLE) -> np.ndarray:
     """Sorted hashes of the different shingles; a shorter text is one shingle, a wordless text has none."""
     words = text.lower().split()
-    last = max(1, len(words) - size + 1) if words else 0
-    return np.unique(np.array([xxhash.xxh64_intdigest(b" ".join(words[i:i + size]), simhash.SEED) for i in range(last)], "<u8"))
-
-
-def prefix_size(n: int, least: float = LEAST) -> int:
-    return n - math.ceil(least * n - 1e-9) + 1 if n else 0
-
-
-def _marked(docs: DataFrame, text: str) -> DataFrame:
-    """``docs`` with ``_fp``, which stands for the text; null and empty texts are the same."""
-    return docs.withColumn("_fp", F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit(""))))
-
-
-def _common_shingles(texts: DataFrame, total: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted shingles met in several sampled texts, and in how many."""
-    step = max(1, total // ORDER_TEXTS)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in common.slices(batches):
-            parts = [shingles(t) for t in common.bytes_of(batch, "text")]
-            if parts:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(parts).view("<i8"))], names=["h"])
-
-    found = (texts.filter(F.pmod("_fp", F.lit(step)) == 0).select("text").mapInArrow(run, "h long").groupBy("h").count()
-             .filter("count > 2").orderBy(F.desc("count"), "h").limit(ORDER_SHINGLES).toArrow())
-    keys, counts = (found.column(i).to_numpy().astype(np.int64) for i in range(2))
-    by = np.argsort(keys.view("<u8"))
-    return keys.view("<u8")[by], counts[by]
-
-
-def _prefixes(texts: DataFrame, order: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """``h, node, size``: the first shingles of each text and its number of shingles."""
-    shipped = texts.sparkSession.sparkContext.broadcast(order)
-
+    if not words:
+        return np.zeros(0, "<u8")
+    joined = b" ".join(words)
+    sizes = np.array([len(w) for w in words])
+    ends = np.cumsum(sizes + 1) - 1
+    last = ends[min(size, len(words)) - 1:].tolist()
+    digest = xxhash.xxh64_intdigest
+    return np.unique(np.array([digest(joined[a:b], simhash.SEED) for a, b in zip((ends - sizes).tolist(), last)], "<u8"))
+
+
+def _mixed(words: np.ndarray) -> np.ndarray:
+    """Another hash of each hash (finalizer of a public 64-bit mix)."""
+    words = (words ^ (words >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    words = (words ^ (words >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return words ^ (words >> np.uint64(31))
+
+
+def fingerprint(own: np.ndarray) -> tuple[int, int]:
+    """Two words whose bits are set if set in over half the hashes of a set; 0 of none."""
+    found = []
+    for hashes in (own, _mixed(own)):
+        ones = np.zeros(64, np.int64)
+        for at in range(0, len(hashes), 65_536):
+            part = np.ascontiguousarray(hashes[at:at + 65_536]).view(np.uint8).reshape(-1, 8)
+            ones += np.unpackbits(part, axis=1, bitorder="little").sum(0, dtype=np.int64)
+        found.append(int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<i8")[0]))
+    return found[0], found[1]
+
+
+def _marked(docs: DataFrame, text: str, name: str) -> DataFrame:
+    """``docs`` with ``name``, which stands for the text; null and empty texts are the same."""
+    return docs.withColumn(name, F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit(""))))
+
+
+def _nodes(texts: DataFrame) -> DataFrame:
+    """``_id, _fp, size, first, second`` of rows ``_id, _fp, text``; wordless texts are one node, 0."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, counts = shipped.value
         for batch in common.slices(batches):
-            heads, sizes, lengths = [], [], []
-            for text in common.bytes_of(batch, "text"):
-                own = shingles(text)
-                if len(keys) and len(own):
-                    at = np.minimum(np.searchsorted(keys, own), len(keys) - 1)
-                    own = own[np.argsort(np.where(keys[at] == own, counts[at], 0), kind="stable")]
-                # wordless texts are alike: they share one mark
-                heads.append(own[:prefix_size(len(own))] if len(own) else np.zeros(1, "<u8"))
-                sizes.append(len(own))
-                lengths.append(len(heads[-1]))
-            if heads:
-                node = batch.column("_fp").to_numpy()
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(np.concatenate(heads).view("<i8")), pa.array(np.repeat(node, lengths)),
-                    pa.array(np.repeat(np.array(sizes, np.int64), lengths))], names=["h", "node", "size"])
-
-    return texts.select("_fp", "text").mapInArrow(run, "h long, node long, size long")
+            sets = [shingles(t) for t in common.bytes_of(batch, "text")]
+            if sets:
+                words = [fingerprint(s) for s in sets]
+                sizes = np.array([len(s) for s in sets], np.int64)
+                node = np.where(sizes > 0, batch.column("_fp").to_numpy(), 0)
+                yield pa.RecordBatch.from_arrays([batch.column("_id"), pa.array(node), pa.array(sizes), *(pa.array([w[i] for w in words], pa.int64()) for i in (0, 1))],
+                                                 names=["_id", "_fp", "size", "first", "second"])
+
+    kind = texts.schema["_id"].dataType.simpleString()
+    return texts.mapInArrow(run, f"_id {kind}, _fp long, size long, first long, second long")
+
+
+def _forest(parent: np.ndarray, a: np.ndarray, b: np.ndarray, near: np.ndarray) -> np.ndarray:
+    """Unites along edges ``a, b``, those of least ``near`` first at each tree; positions of the edges that united two trees."""
+    used = []
+    at = np.arange(len(a))
+    while True:
+        x, y = simhash._roots(parent, a[at]), simhash._roots(parent, b[at])
+        apart = x != y
+        at, x, y = at[apart], x[apart], y[apart]
+        if not len(at):
+            return np.concatenate(used) if used else at
+        by = np.argsort(near[at], kind="stable")
+        # each tree's nearest edge; a tree's edges are taken in one order, so no circle can close but by the same edge twice
+        trees, first = np.unique(np.stack([x[by], y[by]], 1).ravel(), return_index=True)
+        chosen = np.unique(by[first // 2])
+        low, high = np.minimum(x[chosen], y[chosen]), np.maximum(x[chosen], y[chosen])
+        for i, (lo, hi) in enumerate(zip(low.tolist(), high.tolist())):
+            lo, hi = _root(parent, lo), _root(parent, hi)
+            if lo != hi:
+                parent[max(lo, hi)] = min(lo, hi)
+                used.append(at[chosen[i:i + 1]])
+
+
+def _root(parent: np.ndarray, at: int) -> int:
+    while parent[at] != at:
+        parent[at] = parent[parent[at]]
+        at = parent[at]
+    return int(at)
+
+
+def _candidates(rows: np.ndarray, label: np.ndarray, cols: slice, every: bool, least: float, radius: tuple[int, int] = RADIUS) -> tuple[np.ndarray, np.ndarray]:
+    """Edges between ``rows[:cols.start]`` and the rest, or inside all rows (``cols.start`` 0), between different labels.
+
+    ``rows``: first, second, size. Either a spanning forest over labels or every edge.
+    """
+    order = np.lexsort((np.bitwise_count(rows["first"]), np.arange(len(rows)) >= cols.start if cols.start else np.zeros(len(rows))))
+    rows, label = rows[order], label[order]
+    ones = np.bitwise_count(rows["first"]).astype(np.int16)
+    split = cols.start
+    starts = [np.arange(0, split or len(rows), BLOCK), np.arange(split, len(rows), BLOCK)]
+    ends = [np.minimum(starts[0] + BLOCK, split or len(rows)), np.minimum(starts[1] + BLOCK, len(rows))]
+    _, parent = np.unique(label, return_inverse=True)
+    first_of = np.full(len(rows), len(rows))
+    np.minimum.at(first_of, parent, np.arange(len(rows)))
+    parent = first_of[parent]
+    found: list[tuple[np.ndarray, np.ndarray]] = []
+    first, second, size = rows["first"], rows["second"], rows["size"]
+    for start, end in zip(*(x[0] for x in (starts, ends))):
+        for other, stop in zip(starts[1], ends[1]):
+            if (not split and other < start) or max(ones[other] - ones[end - 1], ones[start] - ones[stop - 1]) > radius[0]:
+                continue
+            bits = np.bitwise_count(first[start:end, None] ^ first[None, other:stop])
+            a, b = np.nonzero(bits <= radius[0])
+            near = bits[a, b].astype(np.int64)
+            a, b = a + start, b + other
+            near += np.bitwise_count(second[a] ^ second[b])
+            fits = (near <= radius[1]) & (np.minimum(size[a], size[b]) >= least * np.maximum(size[a], size[b]) - 1e-9)
+            if not split:
+                fits &= a < b
+            a, b, near = a[fits], b[fits], near[fits]
+            if every:
+                apart = label[a] != label[b]
+                a, b = a[apart], b[apart]
+            elif len(a):
+                edge = _forest(parent, a, b, near)
+                a, b = a[edge], b[edge]
+            if len(a):
+                found.append((order[a], order[b]))
+    if not found:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    return np.concatenate([x for x, _ in found]), np.concatenate([y for _, y in found])
+
+
+def _tiles(sizes: dict[int, int], least: float) -> tuple[dict[int, tuple[int, int]], list[tuple[int, int, int, int]]]:
+    """Size class to (tile, parts), and ``(tile, part, pair, side)`` of all pairs of tiles that can hold a candidate."""
+    rows = min(max(LEAST_TILE, -(-sum(sizes.values()) // TILES)), MOST_TILE)
+    tile_of: dict[int, tuple[int, int]] = {}
+    tiles: list[list[int]] = []  # smallest class, largest class, rows
+    for step in sorted(sizes):
+        if tiles and tiles[-1][2] + sizes[step] <= rows:
+            tiles[-1][1:] = [step, tiles[-1][2] + sizes[step]]
+        else:
+            tiles.append([step, step, sizes[step]])
+        tile_of[step] = (len(tiles) - 1, 1)
+    parts = [-(-n // rows) for _, _, n in tiles]
+    tile_of = {step: (tile, parts[tile]) for step, (tile, _) in tile_of.items()}
+    whole = [(tile, part) for tile in range(len(tiles)) for part in range(parts[tile])]
+    pairs, number = [], 0
+    reach = math.log(1 / least) * STEPS + 1e-6
+    for i, one in enumerate(whole):
+        for two in whole[i:]:
+            if tiles[two[0]][0] - tiles[one[0]][1] - 1 > reach:
+                break
+            pairs += [(*one, number, 0)] + ([(*two, number, 1)] if one != two else [])
+            number += 1
+    return tile_of, pairs
+
+
+def _compared(nodes: DataFrame, every: bool, least: float, radius: tuple[int, int]) -> DataFrame:
+    """``a, b``: candidates between ``nodes`` (``_fp, size, first, second, label``) of different labels."""
+    spark = nodes.sparkSession
+    step = F.floor(F.log(F.col("size")) * STEPS).cast("int")
+    stepped = nodes.filter("size > 0").withColumn("step", step)
+    sizes = {r["step"]: r["n"] for r in stepped.groupBy("step").agg(F.count("*").alias("n")).collect()}  # STEPS for each factor of e
+    tile_of, pairs = _tiles(sizes, least)
+    if not pairs:
+        return spark.createDataFrame([], "a long, b long")
+    classes = spark.createDataFrame([(step, *x) for step, x in tile_of.items()], "step int, tile int, parts int")
+    dealt = stepped.join(F.broadcast(classes), "step").withColumn("part", F.pmod(F.xxhash64("_fp"), F.col("parts")).cast("int"))
+    table = spark.createDataFrame(pairs, "tile int, part int, pair int, side int")
+    rows = dealt.join(F.broadcast(table), ["tile", "part"]).select("pair", "side", "_fp", "size", "first", "second", "label")
+
+    def compare(block: pa.Table) -> pa.Table:
+        side = block.column("side").to_numpy()
+        order = np.argsort(side, kind="stable")
+        rows = np.zeros(len(order), [("first", "<u8"), ("second", "<u8"), ("size", "<i8")])
+        for name in rows.dtype.names:
+            rows[name] = block.column(name).to_numpy()[order].view(rows.dtype[name])
+        right = int((side == 1).sum())
+        a, b = _candidates(rows, block.column("label").to_numpy()[order], slice(len(order) - right if right else 0, None), every, least, radius)
+        fp = block.column("_fp").to_numpy()[order]
+        return pa.table({"a": pa.array(fp[a]), "b": pa.array(fp[b])})
+
+    return rows.groupBy("pair").applyInArrow(compare, "a long, b long")
 
 
 def _confirmed(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
-    """The pairs ``a, b`` of texts whose similarity is ``least`` or more."""
+    """``a, b, near``: the pairs of texts, with whether their similarity is ``least`` or more."""
     needed = pairs.select(F.explode(F.array("a", "b")).alias("_fp")).distinct()
+    known = common.checkpoint(texts.join(needed, "_fp", "left_semi").dropDuplicates(["_fp"]))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last: tuple = (None, None)
         for batch in common.slices(batches):
             near = []
-            for x, y in zip(common.bytes_of(batch, "text_a"), common.bytes_of(batch, "text_b")):
-                x, y = shingles(x), shingles(y)
+            for a, x, y in zip(batch.column("a").to_pylist(), common.bytes_of(batch, "text_a"), common.bytes_of(batch, "text_b")):
+                if last[0] != a:
+                    last = (a, shingles(x))
+                x, y = last[1], shingles(y)
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 near.append(both >= least * (len(x) + len(y) - both) - 1e-9)
-            keep = pa.array(near, pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column("a").filter(keep), batch.column("b").filter(keep)], names=["a", "b"])
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(near, pa.bool_())], names=["a", "b", "near"])
 
     # texts travel instead of their hashes, which no codec makes smaller
-    known = common.checkpoint(texts.join(needed, "_fp", "left_semi").select("_fp", "text").dropDuplicates(["_fp"]))
-    return (pairs.join(known.select(F.col("_fp").alias("b"), F.col("text").alias("text_b")), "b")
-            .join(known.select(F.col("_fp").alias("a"), F.col("text").alias("text_a")), "a")
-            .select("a", "b", "text_a", "text_b").mapInArrow(compare, "a long, b long"))
-
-
-def links(texts: DataFrame, total: int, least: float = LEAST, rounds: int = ROUNDS) -> DataFrame:
-    """``a, b``: links that connect exactly the texts (``_fp, text``) connected by pairs of similarity ``least`` or more."""
-    spark = texts.sparkSession
-    rows = _prefixes(texts, _common_shingles(texts, total))  # read twice: made anew rather than written
-    several = rows.groupBy("h").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo < hi").select("h")
-    shared = common.checkpoint(rows.join(several, "h").select("h", "node", "size").distinct())
-    found = spark.createDataFrame([], "a long, b long")
-    members = shared.withColumn("component", F.col("node"))
-    fits = (F.col("size") >= F.lit(least) * F.col("size_a") - 1e-9) & (F.col("size_a") >= F.lit(least) * F.col("size") - 1e-9)
-    for number in range(rounds):
-        head = F.min(F.struct(F.xxhash64("node", F.lit(number)).alias("by"), F.col("node").alias("a"), F.col("size").alias("size_a"),
-                              F.col("component").alias("of")))
-        apart = members.groupBy("h").agg(head.alias("head"), F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi")
-        tried = members.join(apart.select("h", "head.*"), "h").filter((F.col("component") != F.col("of")) & fits)
-        pairs = common.checkpoint(tried.groupBy(F.col("node").alias("b")).agg(F.min(F.struct("by", "a")).alias("head")).select("head.a", "b"))
-        if pairs.isEmpty():
-            break
-        found = common.checkpoint(found.unionByName(_confirmed(pairs, texts, least)))
-        members = _labelled(shared, found)
-    other = members.select("h", F.col("node").alias("a"), F.col("size").alias("size_a"), F.col("component").alias("of"))
-    spread = members.groupBy("h").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("h")
-    rest = common.checkpoint(members.join(spread, "h").join(other, "h").filter((F.col("a") < F.col("node")) & (F.col("component") != F.col("of")) & fits)
-                             .select("a", F.col("node").alias("b")).distinct())
-    return found if rest.isEmpty() else common.checkpoint(found.unionByName(_confirmed(rest, texts, least)))
+    return common.checkpoint(
+        pairs.join(known.select(F.col("_fp").alias("b"), F.col("text").alias("text_b")), "b")
+        .join(known.select(F.col("_fp").alias("a"), F.col("text").alias("text_a")), "a")
+        .select("a", "b", "text_a", "text_b").mapInArrow(compare, "a long, b long, near boolean"))
+
 
+def _labelled(nodes: DataFrame, found: DataFrame, name: str) -> DataFrame:
+    joined = connected_components(found, []).select(F.col("node").alias("_fp"), "component")
+    return nodes.drop(name).join(joined, "_fp", "left").withColumn(name, F.coalesce("component", "_fp")).drop("component")
 
-def _labelled(shared: DataFrame, found: DataFrame) -> DataFrame:
-    joined = connected_components(found, []).select("node", "component")
-    return common.checkpoint(shared.join(joined, "node", "left").select(
-        "h", "node", "size", F.coalesce("component", "node").alias("component")))
 
+def links(nodes: DataFrame, texts: DataFrame, least: float = LEAST, radius: tuple[int, int] = RADIUS, rounds: int = ROUNDS) -> DataFrame:
+    """``a, b``: links between the candidate texts of similarity ``least`` or more that connect all that such links connect.
 
-def one_per_group(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least: float = LEAST) -> DataFrame:
+    ``nodes``: ``_fp, size, first, second``, one row per different text; ``texts``: ``_fp, text``.
+    """
+    tried = common.checkpoint(_compared(nodes.withColumn("label", F.col("_fp")), False, least, radius))
+    tested = _confirmed(tried, texts, least)
+    found = tested.filter("near").select("a", "b")
+    if tested.filter("NOT near").isEmpty():
+        return found
+    # what hangs together by candidates, and the busiest of it
+    ends = common.checkpoint(tried.select(F.explode(F.array("a", "b")).alias("_fp")).groupBy("_fp").agg(F.count("*").alias("degree")))
+    members = common.checkpoint(_labelled(nodes.join(ends, "_fp"), tried, "of"))
+    for number in range(rounds + 1):
+        members = common.checkpoint(_labelled(members, found, "label"))
+        spread = members.groupBy("of").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("of")
+        members = common.checkpoint(members.join(spread, "of", "left_semi"))
+        if members.isEmpty() or number == rounds:
+            break
+        busiest = F.struct(F.when(F.lit(number) == 0, -F.col("degree")), F.xxhash64("_fp", F.lit(number)), F.col("_fp").alias("a"), F.col("label").alias("head"))
+        heads = members.groupBy("of").agg(F.min(busiest).alias("h")).select("of", "h.a", "h.head")
+        pairs = common.checkpoint(members.join(heads, "of").filter("label <> head").select("a", F.col("_fp").alias("b")).join(tested, ["a", "b"], "left_anti"))
+        more = _confirmed(pairs, texts, least)
+        tested = tested.unionByName(more)
+        found = common.checkpoint(found.unionByName(more.filter("near").select("a", "b")))
+    if not members.isEmpty():
+        known = tested.select("a", "b").unionByName(tested.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        rest = common.checkpoint(_compared(members, True, least, radius).distinct().join(known, ["a", "b"], "left_anti"))
+        found = common.checkpoint(found.unionByName(_confirmed(rest, texts, least).filter("near").select("a", "b")))
+    return found
+
+
+def one_per_group(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least: float = LEAST, radius: tuple[int, int] = RADIUS, rounds: int = ROUNDS) -> DataFrame:
     """``docs`` with only the row of the smallest id of each group of near copies, unchanged; of repeated rows one stays.
 
-    Rows that share an id are told apart by their texts.
+    Null, empty and wordless texts are one group. Rows that share an id are told apart by their texts. Columns of any name
+    pass: no column is added to ``docs``.
     """
-    texts = _marked(docs.select(doc_id, F.col(text).alias("text")), "text")
-    narrow = common.checkpoint(texts.select(F.col(doc_id).alias("_id"), "_fp"))
-    found = simhash.components_of(narrow, links(texts.select("_fp", "text"), narrow.count(), least), "_id", "_fp")
-    return simhash.first_of_groups(docs, narrow, found, doc_id, lambda rows: _marked(rows, text))
+    texts = _marked(docs.select(F.col(doc_id).alias("_id"), F.col(text).cast("string").alias("text")), "text", "_fp")
+    narrow = common.checkpoint(_nodes(texts))
+    nodes = common.checkpoint(narrow.groupBy("_fp").agg(F.first("size").alias("size"), F.first("first").alias("first"), F.first("second").alias("second")))
+    found = simhash.components_of(narrow.select("_id", "_fp"), links(nodes, texts.select("_fp", "text"), least, radius, rounds), "_id", "_fp")
+    wordless = F.length(F.regexp_replace(F.coalesce(F.col(text).cast("string"), F.lit("")), "[\\x20\\x09-\\x0D]+", "")) == 0
+    return simhash.first_of_groups(docs, narrow.select("_id", "_fp"), found, doc_id,
+                                   lambda rows, name: _marked(rows, text, name).withColumn(name, F.when(wordless, 0).otherwise(F.col(name))))

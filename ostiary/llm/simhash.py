@@ -184,29 +184,20 @@ def _grouped(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
         "fp", F.coalesce("component", "fp").alias("component"), F.coalesce("component_id", "least").alias("component_id"), "docs"))
 
 
-def one_per_group(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", radius: int = RADIUS) -> DataFrame:
-    """``docs`` with only the row of the smallest id of each near-duplicate group, unchanged; of repeated rows one stays.
-
-    Texts are shuffled once, for the last join on the id. Rows that share an id are told apart by their fingerprints.
-    """
-    narrow = common.checkpoint(with_fingerprint(docs.select(doc_id, text), text, "_fp").select(F.col(doc_id).alias("_id"), "_fp"))
-    found = components(narrow, "_id", "_fp", radius)
-    return first_of_groups(docs, narrow, found, doc_id, lambda rows: with_fingerprint(rows, text, "_fp"))
-
-
-def first_of_groups(docs: DataFrame, narrow: DataFrame, found: DataFrame, doc_id: str, mark: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def first_of_groups(docs: DataFrame, narrow: DataFrame, found: DataFrame, doc_id: str, mark: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
     """Rows of ``docs`` that are the first of the groups ``found``; ``narrow`` has each row's ``_id`` and ``_fp``, and
-    ``mark`` adds ``_fp`` to rows of ``docs``."""
+    ``mark`` adds the latter to rows of ``docs`` under a given name. Texts are shuffled once, by the last join on the id."""
+    id_, fp, of = common.free_names(docs, 3)
     groups = found.select("component_id").distinct()
     first = common.checkpoint(narrow.groupBy("_id").agg(F.count("*").alias("rows")).join(
         groups, F.col("_id").eqNullSafe(F.col("component_id")), "left_semi"))
-    alone, repeated = first.filter("rows = 1").select("_id"), first.filter("rows > 1").select("_id")
-    stays = docs.join(alone, docs[doc_id].eqNullSafe(F.col("_id")), "left_semi")
+    alone, repeated = (first.filter(f"rows {size} 1").select(F.col("_id").alias(id_)) for size in ("=", ">"))
+    stays = docs.join(alone, docs[doc_id].eqNullSafe(F.col(id_)), "left_semi")
     if repeated.isEmpty():
         return stays
-    chosen = narrow.join(repeated.withColumnRenamed("_id", "_again"), F.col("_id").eqNullSafe(F.col("_again")), "left_semi").join(
+    chosen = narrow.join(repeated, F.col("_id").eqNullSafe(F.col(id_)), "left_semi").join(
         found.withColumnRenamed("fp", "_fp"), "_fp").filter(F.col("_id").eqNullSafe(F.col("component_id"))).groupBy("component").agg(
-        F.min("_fp").alias("_of"), F.first("_id").alias("_id"))
-    several = mark(docs.join(repeated, docs[doc_id].eqNullSafe(F.col("_id")), "left_semi"))
-    kept = several.join(chosen, several[doc_id].eqNullSafe(F.col("_id")) & (F.col("_fp") == F.col("_of")), "left_semi")
-    return stays.unionByName(kept.dropDuplicates([doc_id, "_fp"]).select(*docs.columns))
+        F.min("_fp").alias(of), F.first("_id").alias(id_))
+    several = mark(docs.join(repeated, docs[doc_id].eqNullSafe(F.col(id_)), "left_semi"), fp)
+    kept = several.join(chosen, several[doc_id].eqNullSafe(F.col(id_)) & (F.col(fp) == F.col(of)), "left_semi")
+    return stays.unionByName(kept.dropDuplicates([doc_id, fp]).select(*docs.columns))

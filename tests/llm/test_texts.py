@@ -91,17 +91,6 @@ def test_forest_keeps_every_link(monkeypatch, radius):
         assert edges <= len(both) * len(parts)
 
 
-def test_one_per_group(spark):
-    texts = _similar_texts(random.Random(3))
-    docs = documents(spark, texts)
-    groups = _components({i: _fingerprint(t) for i, t in enumerate(texts)})
-    kept = simhash.one_per_group(docs)
-    assert kept.columns == docs.columns and sorted(r["doc_id"] for r in kept.collect()) == sorted(set(groups.values()))
-    repeated = spark.createDataFrame([(1, "a b c d e"), (1, "a b c d e"), (1, "q r s t u"), (5, "q r s t u"), (None, "v w x y z"), (2, None), (3, "")], "doc_id long, text string")
-    assert sorted((r["doc_id"] or -1) for r in simhash.one_per_group(repeated).collect()) == [-1, 1, 1, 2]
-    assert simhash.one_per_group(empty(spark)).count() == 0
-
-
 def _jaccard(a, b):
     a, b = Counter(_lower(a).split()), Counter(_lower(b).split())
     total = sum((a | b).values())
