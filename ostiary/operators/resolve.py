@@ -2,17 +2,25 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, functions as F
 
 from ostiary import scale
 from ostiary.functions import geometry as g
-from ostiary.operators.graph import connected_components
 from ostiary.operators.ordering import rank_within
-from ostiary.operators.polyline import on_path, same_trunk
-from ostiary.operators.spatial import keep_within, pairs_within
+from ostiary.operators.polyline import same_trunk
+from ostiary.operators.spatial import keep_within, pairs_by_reach, pairs_within
 from ostiary.operators.suppress import suppress
 
 OVER_LIMIT = "over_candidate_limit"
+ON_PATH = "opening_on_another_path"
+# Competing pairs of a case that one task walks in order; a case with more goes through rounds.
+CASE_EDGES = 50_000
+# Earliest open rows of a case that one task walks when a round of joins settles less than this share of the open rows.
+CHUNK_ROWS = 20_000
+SLOW_ROUND = 0.2
 
 
 def rank_candidates(roots: DataFrame, by: list[str], order: list, cap: int | None = None) -> DataFrame:
@@ -44,39 +52,170 @@ def pool_union(review: DataFrame, strict: DataFrame, by: list[str], rank: str, r
 
 
 def conflict_edges(branches: DataFrame, by: list[str], parallel_clearance: float = 0.0, spacing: float = 1.0) -> DataFrame:
-    """Pairs (later, earlier in rank) that compete for one opening, with the reason they would merge.
+    """Pairs (later, earlier in rank) that compete for one opening: the ``reason`` they would merge, ``on_other`` if the later
+    opening lies on the earlier path, ``under`` if the earlier one lies on the later path.
 
-    The path predicates run inside the joined row, on pairs within reach only.
+    Every pair is found at the scale of its larger radius, so a wide row meets its neighbours and leaves the pairs of
+    narrow ones alone; openings meet path vertices in cells of their own. Path predicates run inside the joined row.
     """
     prefix = g.truncate_path(F.col("path"), F.col("_arcs"), F.lit(3.0))
-    fields = ["rank", "ostium", "seed", "radius_mm", "path"]
-    base = branches.withColumn("_arcs", g.arc_lengths(F.col("path"))).select(*by, *fields, prefix.alias("prefix"))
-    later = base.select(*by, *[F.col(c).alias(f"l_{c}") for c in [*fields, "prefix"]])
-    earlier = base.select(*by, *[F.col(c).alias(f"e_{c}") for c in [*fields, "prefix"]])
-    reach = branches.agg(F.greatest(F.lit(2.5), 2 * F.max("radius_mm"))).first()[0] or 2.5
-    if parallel_clearance > 0:
-        longest = branches.agg(F.max(g.path_length(F.col("path")))).first()[0] or 0.0
-        reach = max(reach, 2 * longest + 1.5 * spacing)
-    near = pairs_within(later, earlier, by, "l_ostium", "e_ostium", float(reach)).filter("e_rank < l_rank")
+    base = branches.withColumn("_arcs", g.arc_lengths(F.col("path"))).withColumn("prefix", prefix)
+    fields = ["rank", "ostium", "seed", "radius_mm", "path", "prefix"]
+    reach = F.greatest(F.lit(2.5), 2 * F.coalesce("radius_mm", F.lit(0.0)))
+    near = pairs_by_reach(base.select(*by, *fields), by, "rank", "ostium", reach, 2.5)
+    later, earlier = F.col("row_later"), F.col("row_earlier")
     gap = F.col("distance")
-    competing = gap < F.greatest(F.lit(2.5), F.col("l_radius_mm") + F.col("e_radius_mm"))
-    same_opening = (gap < 2.5) & (g.distance(g.xyz("l_seed"), g.xyz("e_seed")) < 3)
+    competing = gap < F.greatest(F.lit(2.5), later["radius_mm"] + earlier["radius_mm"])
+    same_opening = (gap < 2.5) & (g.distance(g.xyz(later["seed"]), g.xyz(earlier["seed"])) < 3)
     # Evaluated only for pairs that get this far in the CASE.
-    trunk = same_trunk(*[F.col(f"{s}_{c}") for s in "le" for c in ("path", "prefix", "radius_mm")])
+    trunk = same_trunk(*[side[c] for side in (later, earlier) for c in ("path", "prefix", "radius_mm")])
     reason = F.when(competing, F.when(same_opening, "same_opening_and_path").when(trunk, "common_trunk"))
-    none = F.lit(False)
-    on_other = on_path(F.col("l_path"), F.col("e_path"), spacing) if parallel_clearance > 0 else none
-    under = on_path(F.col("e_path"), F.col("l_path"), spacing) if parallel_clearance > 0 else none
-    edge = F.struct(reason.alias("reason"), on_other.alias("on_other"), under.alias("under"))
-    kept = F.filter(F.array(edge), lambda e: e["reason"].isNotNull() | e["on_other"] | e["under"])
     # The generator evaluates the path predicates once and drops pairs without a conflict.
-    return near.select(*by, F.col("l_rank").alias("rank"), F.col("e_rank").alias("earlier"), F.explode(kept).alias("e")).select(
-        *by, "rank", "earlier", "e.*")
+    merging = near.select(*by, later["rank"].alias("rank"), earlier["rank"].alias("earlier"), F.explode(
+        F.filter(F.array(reason), lambda r: r.isNotNull())).alias("reason"))
+    if parallel_clearance <= 0:
+        return merging.select(*by, "rank", "earlier", "reason", F.lit(False).alias("on_other"), F.lit(False).alias("under"))
+    openings = branches.select(*by, F.col("rank").alias("_own"), F.explode(F.slice("path", 1, 2)).alias("_p"))
+    vertices = branches.select(*by, F.col("rank").alias("_other"), F.explode(F.slice("path", 2, F.greatest(F.size("path") - 1, F.lit(0)))).alias("_q"))
+    lying = pairs_within(openings, vertices, by, "_p", "_q", 1.5 * spacing, inclusive=False).filter("_own <> _other").select(
+        *by, F.greatest("_own", "_other").alias("rank"), F.least("_own", "_other").alias("earlier"), F.lit(None).cast("string").alias("reason"),
+        (F.col("_own") > F.col("_other")).alias("on_other"), (F.col("_own") < F.col("_other")).alias("under"))
+    either = merging.select(*by, "rank", "earlier", "reason", F.lit(False).alias("on_other"), F.lit(False).alias("under")).unionByName(lying)
+    return either.groupBy(*by, "rank", "earlier").agg(
+        F.max("reason").alias("reason"), F.bool_or("on_other").alias("on_other"), F.bool_or("under").alias("under"))
+
+
+class _Walk:
+    """The sequential walk over one case's edges, which come in order of rank and earlier rank."""
+
+    def __init__(self) -> None:
+        self.taken: dict[int, int] = {}     # accepted rows that were taken back, and by which row
+        self.rejected: set[int] = set()
+        self.out: list[tuple[int, str | None, int | None]] = []   # rank, reason, taken back by
+        self.rank: int | None = None
+
+    def edge(self, rank: int, earlier: int, reason: str | None, on_other: bool, under: bool, taken_at: int | None = None) -> None:
+        if rank != self.rank:
+            self.settle()
+            self.rank, self.reason, self.blocked, self.below = rank, None, False, []
+        if earlier in self.rejected or min(self.taken.get(earlier, rank), rank if taken_at is None else taken_at) < rank:
+            return
+        if self.reason is None:
+            self.reason = reason
+        self.blocked |= on_other
+        if under:
+            self.below.append(earlier)
+
+    def settle(self) -> None:
+        """Decide the row whose edges have all come."""
+        if self.rank is None:
+            return
+        reason = self.reason or (ON_PATH if self.blocked else None)
+        self.out.append((self.rank, reason, None))
+        if reason is not None:
+            self.rejected.add(self.rank)
+        else:
+            for earlier in self.below:
+                self.taken[earlier] = self.rank
+                self.out.append((earlier, None, self.rank))
+        self.rank = None
+
+
+def _walked(edges: DataFrame, by: list[str]) -> DataFrame:
+    """``by, rank, reason, taken_by``: decisions of the rows of ``edges``, case by case in one stream over sorted rows.
+
+    A row of a decision has no ``taken_by``; a row that was accepted and is taken back has one more row, with it.
+    """
+    kinds = {f.name: f.dataType.simpleString() for f in edges.schema if f.name in by}
+    schema = ", ".join([f"`{n}` {kinds[n]}" for n in by] + ["rank bigint", "reason string", "taken_by bigint"])
+    fields = ["rank", "earlier", "reason", "on_other", "under", "taken_at"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        case, walk = None, None
+        kind: list[pa.DataType] = []
+        done: list[tuple] = []
+
+        def batch_of() -> pa.RecordBatch:
+            columns = list(zip(*done))
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kind + [pa.int64(), pa.string(), pa.int64()])],
+                                              names=[*by, "rank", "reason", "taken_by"])
+
+        for batch in batches:
+            kind = [batch.column(n).type for n in by]
+            keys = zip(*(batch.column(n).to_pylist() for n in by)) if by else iter([()] * batch.num_rows)
+            for key, *row in zip(keys, *(batch.column(n).to_pylist() for n in fields)):
+                if walk is None or key != case:
+                    if walk is not None:
+                        walk.settle()
+                        done.extend((*case, *o) for o in walk.out)
+                    case, walk = key, _Walk()
+                walk.edge(*row)
+            if done:
+                yield batch_of()
+                done = []
+        if walk is not None:
+            walk.settle()
+            done = [(*case, *o) for o in walk.out]
+            if done:
+                yield batch_of()
+
+    known = edges if "taken_at" in edges.columns else edges.withColumn("taken_at", F.lit(None).cast("bigint"))
+    sorted_rows = known.select(*by, *fields)
+    sorted_rows = sorted_rows.repartition(*by) if by else sorted_rows.coalesce(1)
+    return sorted_rows.sortWithinPartitions(*by, "rank", "earlier").mapInArrow(run, schema)
+
+
+def _settled_by_rounds(edges: DataFrame, by: list[str], chunk_rows: int) -> DataFrame:
+    """The same decisions for cases whose edges no task should hold.
+
+    A round settles every row whose earlier rivals are all settled and whose accepted rivals no open row before it can
+    still take back. Where rounds get slow, as on a long chain, the earliest ``chunk_rows`` open rows of each case are
+    walked by one task, given what is settled. Edges to rejected rows are dropped, and each round is checkpointed.
+    """
+    key = [*by, "rank"]
+    # settled: the earlier row is accepted; taken_at: when it was taken back
+    started = edges.select(*key).distinct().withColumnRenamed("rank", "earlier").withColumn("_open", F.lit(True))
+    open_edges = scale.checkpoint(edges.join(started, [*by, "earlier"], "left").select(
+        *key, "earlier", "reason", "on_other", "under", F.col("_open").isNull().alias("settled"), F.lit(None).cast("bigint").alias("taken_at")))
+    open_rows = scale.checkpoint(open_edges.select(*key).distinct())
+    waiting = open_rows.count()
+    found: DataFrame | None = None
+    slow = False
+    while waiting:
+        if slow:
+            first = rank_within(open_rows, by, [F.col("rank")], "_n").filter(F.col("_n") <= chunk_rows).drop("_n")
+            alone = first.join(open_edges, key, "left_anti").select(*key, F.lit(None).cast("string").alias("reason"), F.lit(None).cast("bigint").alias("taken_by"))
+            events = _walked(open_edges.join(first, key, "left_semi"), by).unionByName(alone)
+        else:
+            takers = open_edges.filter("under").groupBy(*by, "earlier").agg(F.min("rank").alias("_taker"))
+            judged = open_edges.join(takers, [*by, "earlier"], "left").groupBy(*key).agg(
+                F.bool_or(~F.col("settled") | F.coalesce(F.col("_taker") < F.col("rank"), F.lit(False))).alias("_waits"),
+                F.min_by("reason", F.when(F.col("reason").isNotNull(), F.col("earlier"))).alias("_merged"),
+                F.bool_or("on_other").alias("_blocked"))
+            ready = open_rows.join(judged, key, "left").filter("_waits IS NULL OR NOT _waits").select(
+                *key, F.coalesce("_merged", F.when(F.col("_blocked"), ON_PATH)).alias("reason"), F.lit(None).cast("bigint").alias("taken_by"))
+            ready = scale.checkpoint(ready)
+            takes = open_edges.filter("under").join(ready.filter("reason IS NULL"), key, "left_semi").select(
+                *by, F.col("earlier").alias("rank"), F.lit(None).cast("string").alias("reason"), F.col("rank").alias("taken_by"))
+            events = ready.unionByName(takes)
+        events = scale.checkpoint(events)
+        found = events if found is None else found.unionByName(events)
+        own = events.filter("taken_by IS NULL").select(*key, "reason")
+        taken = events.filter("taken_by IS NOT NULL").groupBy(*by, F.col("rank").alias("earlier")).agg(F.min("taken_by").alias("_taken"))
+        of_earlier = own.select(*by, F.col("rank").alias("earlier"), F.lit(True).alias("_now"), F.col("reason").isNotNull().alias("_rejected"))
+        left = open_edges.join(own, key, "left_anti").join(of_earlier, [*by, "earlier"], "left").join(taken, [*by, "earlier"], "left")
+        left = left.withColumn("taken_at", F.least("taken_at", "_taken")).filter(
+            "NOT coalesce(_rejected, false) AND coalesce(taken_at >= rank, true)").withColumn("settled", F.col("settled") | F.coalesce("_now", F.lit(False)))
+        open_edges = scale.checkpoint(left.select(*open_edges.columns))
+        open_rows = scale.checkpoint(open_rows.join(own, key, "left_anti"))
+        before, waiting = waiting, open_rows.count()
+        slow = before - waiting < SLOW_ROUND * before
+    return found
 
 
 def resolve_candidates(
-    branches: DataFrame, by: list[str], order: list, cap: int | None = None,
-    parallel_clearance: float = 0.0, spacing: float = 1.0,
+    branches: DataFrame, by: list[str], order: list, cap: int | None = None, parallel_clearance: float = 0.0, spacing: float = 1.0,
+    case_edges: int | None = None, chunk_rows: int | None = None,
 ) -> DataFrame:
     """Accept candidates in rank order; add ``rank`` and ``reason`` (NULL for accepted rows).
 
@@ -84,34 +223,16 @@ def resolve_candidates(
     path is dropped, and accepted rows on the new row's path are taken back. Rows beyond ``cap`` take no part and
     keep the reason that :func:`rank_candidates` gave them.
 
-    Only rows that compete with another one are walked, one connected group of them at a time: rows of different
-    groups cannot affect each other, so no case is ever gathered.
+    Only pairs that compete are walked. A case with up to ``case_edges`` of them is walked in one pass by one task; a
+    larger one is settled in rounds of joins, see :func:`_settled_by_rounds`.
     """
     ranked = scale.checkpoint(rank_candidates(branches, by, order, cap))
     taking_part = ranked.filter(F.col("reason").isNull()).drop("reason")
-    conflicts = scale.checkpoint(conflict_edges(taking_part, by, parallel_clearance, spacing))
-    groups = connected_components(conflicts, by, "rank", "earlier").select(*by, F.col("node").alias("rank"), F.col("component").alias("_group"))
-    edges = conflicts.groupBy(*by, "rank").agg(
-        F.sort_array(F.collect_list(F.struct("earlier", "reason", "on_other", "under"))).alias("edges"))
-    cases = groups.join(edges, [*by, "rank"], "left").groupBy(*by, "_group").agg(
-        F.sort_array(F.collect_list(F.struct("rank", "edges"))).alias("rows"))
-    outcome = "struct<rank:bigint,reason:string>"
-    start = F.struct(F.array().cast("array<bigint>").alias("kept"), F.array().cast(f"array<{outcome}>").alias("out"))
-
-    def step(state: Column, row: Column) -> Column:
-        live = F.filter(F.coalesce(row["edges"], F.array()), lambda e: F.array_contains(state["kept"], e["earlier"]))
-        merged = F.get(F.filter(live, lambda e: e["reason"].isNotNull()), F.lit(0))["reason"]
-        blocked = F.when(F.exists(live, lambda e: e["on_other"]), "opening_on_another_path")
-        reason = F.coalesce(merged, blocked)
-        taken = F.transform(F.filter(live, lambda e: e["under"]), lambda e: e["earlier"])
-        mine = F.struct(row["rank"].alias("rank"), reason.alias("reason"))
-        taken_back = F.transform(taken, lambda r: F.struct(r.alias("rank"), F.lit("opening_on_another_path").alias("reason")))
-        return F.struct(
-            F.when(reason.isNotNull(), state["kept"]).otherwise(
-                F.concat(F.array_except(state["kept"], taken), F.array(row["rank"]))).alias("kept"),
-            F.when(reason.isNotNull(), F.concat(state["out"], F.array(mine))).otherwise(
-                F.concat(state["out"], taken_back)).alias("out"))
-
-    rejected = cases.select(*by, F.explode(F.aggregate("rows", start, step)["out"]).alias("o")).select(
-        *by, "o.rank", F.col("o.reason").alias("_rejected"))
+    edges = scale.checkpoint(conflict_edges(taking_part, by, parallel_clearance, spacing))
+    small, large = scale.split_by_size(edges, by, CASE_EDGES if case_edges is None else case_edges)
+    events = _walked(small, by)
+    if large is not None:
+        events = events.unionByName(_settled_by_rounds(scale.checkpoint(large), by, chunk_rows or CHUNK_ROWS))
+    reason = F.when(F.col("taken_by").isNotNull(), ON_PATH).otherwise(F.col("reason"))
+    rejected = events.withColumn("_rejected", reason).filter("_rejected IS NOT NULL").select(*by, "rank", "_rejected")
     return ranked.join(rejected, [*by, "rank"], "left").withColumn("reason", F.coalesce("reason", "_rejected")).drop("_rejected")

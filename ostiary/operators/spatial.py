@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
+from ostiary import scale
 from ostiary.functions import geometry as g
 
 CELL = ["_c0", "_c1", "_c2"]
@@ -38,6 +39,33 @@ def pairs_within(
     return joined.filter(near).withColumn(name, gap).drop(*CELL)
 
 
+def pairs_by_reach(rows: DataFrame, by: list[str], key: str, point: str, reach: Column, base: float) -> DataFrame:
+    """``by, row_later, row_earlier, distance``: pairs of rows of one table nearer than the larger ``reach`` of the two, each once.
+
+    Both are rows as structs, the one with the larger ``key`` first. ``reach`` is at least
+    ``base``. A row lives on the grid level of its own reach, whose cells double in size from level to level, and looks
+    up its cell on that level and on every coarser one in use; so a few rows of wide reach add pairs of their own only.
+    """
+    level = F.greatest(F.lit(0), F.ceil(F.log2(reach / F.lit(base)))).cast("int")
+    whole = scale.checkpoint(rows.withColumn("_level", level).withColumn("_reach", reach))
+    used = sorted(r["_level"] for r in whole.select("_level").distinct().collect()) or [0]  # binary exponents: about 2,000 at most
+    radius = F.lit(base * (1 + 1e-9)) * F.pow(F.lit(2.0), F.col("_level"))
+    row = F.struct(*[c for c in rows.columns if c not in by], "_level", "_reach")
+    copies = whole.select(*by, "_level", row.alias("_wide"), F.col(point).alias("_at"), radius.alias("_radius"))
+    for cell, axis in zip(CELL, g.xyz("_at")):
+        ball = F.col("_radius")
+        copies = copies.withColumn(cell, F.explode(F.sequence(F.floor((axis - ball) / (3 * ball)), F.floor((axis + ball) / (3 * ball)))))
+    looked = whole.select(*by, row.alias("_row"), F.col(point).alias("_here"), F.explode(F.filter(
+        F.array(*[F.lit(v) for v in used]), lambda v: v >= F.col("_level"))).alias("_level"))
+    looked = looked.select("*", *[F.floor(axis / (3 * radius)).alias(cell) for axis, cell in zip(g.xyz("_here"), CELL)])
+    mine, other = F.col("_row"), F.col("_wide")
+    gap = g.distance(g.xyz(mine[point]), g.xyz(other[point]))
+    once = (mine["_level"] < other["_level"]) | (mine[key] > other[key])
+    near = looked.join(copies.drop("_at", "_radius"), [*by, "_level", *CELL]).filter((mine[key] != other[key]) & once & (gap < F.greatest(mine["_reach"], other["_reach"])))
+    first = mine[key] > other[key]
+    return near.select(*by, F.when(first, mine).otherwise(other).alias("row_later"), F.when(first, other).otherwise(mine).alias("row_earlier"), gap.alias("distance"))
+
+
 def keep_within(
     left: DataFrame, right: DataFrame, by: list[str], left_point: str, right_point: str, radius: float,
     inclusive: bool = True, found: bool = True,

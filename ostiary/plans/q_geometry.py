@@ -222,14 +222,65 @@ def pool_union(spark, folder):
     return pool.select("case_id", "instance_id", "added")
 
 
-@query("resolve_candidates")
+_POINTS = "[[{0}.ox,{0}.oy,{0}.oz],[{0}.ox+2*{0}.dx,{0}.oy+2*{0}.dy,{0}.oz+2*{0}.dz],[{0}.sx,{0}.sy,{0}.sz],[{0}.sx+1.5,{0}.sy+{0}.tax*10,{0}.sz+{0}.discount*20]]"
+_PREFIX = "[[{0}.ox,{0}.oy,{0}.oz],[{0}.ox+2*{0}.dx,{0}.oy+2*{0}.dy,{0}.oz+2*{0}.dz],[{0}.ox+3*{0}.dx,{0}.oy+3*{0}.dy,{0}.oz+3*{0}.dz]]"
+
+
+def _off(point: str, path: str) -> str:
+    """Distance of a point from the nearest of a path's three segments."""
+    v = [f"({path}[j+1][{i}]-{path}[j][{i}])" for i in (1, 2, 3)]
+    w = [f"({point}[{i}]-{path}[j][{i}])" for i in (1, 2, 3)]
+    dot = "+".join(f"{x}*{y}" for x, y in zip(v, w))
+    t = f"greatest(0, least(1, ({dot}) / ({'+'.join(f'{x}**2' for x in v)})))"
+    return f"list_min(list_transform([1,2,3], lambda j: sqrt({'+'.join(f'({y}-{t}*{x})**2' for x, y in zip(v, w))})))"
+
+
+def _trunk(prefix: str, path: str, radius: str) -> str:
+    return f"list_max(list_transform({prefix}, lambda p: {_off('p', path)})) <= greatest(1.5, 1.2 * {radius})"
+
+
+def _lies(a_path: str, b_path: str) -> str:
+    return f"""list_min(list_transform([1,2], lambda i: list_min(list_transform([2,3,4], lambda j: sqrt(
+      ({a_path}[i][1]-{b_path}[j][1])**2 + ({a_path}[i][2]-{b_path}[j][2])**2 + ({a_path}[i][3]-{b_path}[j][3])**2))))) < 1.5"""
+
+
+def walked(parallel: bool) -> dict[str, str]:
+    """Views of the sequential walk: pairs of a case with why they conflict, then one row after the other."""
+    return {
+        "rk": "SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY radius_mm DESC, oz, oy, ox) AS k FROM cand",
+        "pair": f"""SELECT a.case_id, a.k AS k, b.k AS e, a.radius_mm AS ar, b.radius_mm AS br, sqrt((a.ox-b.ox)**2+(a.oy-b.oy)**2+(a.oz-b.oz)**2) AS gap,
+            sqrt((a.sx-b.sx)**2+(a.sy-b.sy)**2+(a.sz-b.sz)**2) AS seeds, {_POINTS.format('a')} AS ap, {_POINTS.format('b')} AS bp,
+            {_PREFIX.format('a')} AS aq, {_PREFIX.format('b')} AS bq FROM rk a JOIN rk b ON b.case_id = a.case_id AND b.k < a.k""",
+        "edge": f"""SELECT case_id, k, list({{'e': e, 'reason': CASE WHEN gap < greatest(2.5, ar + br) THEN CASE WHEN gap < 2.5 AND seeds < 3
+              THEN 'same_opening_and_path' WHEN {_trunk('aq', 'bp', 'br')} OR {_trunk('bq', 'ap', 'ar')} THEN 'common_trunk' END END,
+              'on_other': {_lies('ap', 'bp') if parallel else 'FALSE'}, 'under': {_lies('bp', 'ap') if parallel else 'FALSE'}}} ORDER BY e) AS es FROM pair GROUP BY ALL""",
+        "ready": "SELECT r.case_id, r.k, coalesce(es, []) AS es FROM rk r LEFT JOIN edge e ON e.case_id = r.case_id AND e.k = r.k",
+        "walk(case_id, k, kept, gone)": """
+            SELECT case_id, k, [k], [{'k': k, 'reason': NULL::VARCHAR}][1:0] FROM ready WHERE k = 1
+            UNION ALL
+            SELECT case_id, k, CASE WHEN reason IS NULL THEN list_append(list_filter(kept, lambda x: NOT list_contains(below, x)), k) ELSE kept END,
+              list_concat(gone, CASE WHEN reason IS NOT NULL THEN [{'k': k, 'reason': reason}]
+                ELSE list_transform(below, lambda x: {'k': x, 'reason': 'opening_on_another_path'}) END)
+            FROM (SELECT *, coalesce(list_filter(live, lambda e: e.reason IS NOT NULL)[1].reason,
+                CASE WHEN len(list_filter(live, lambda e: e.on_other)) > 0 THEN 'opening_on_another_path' END) AS reason,
+                list_transform(list_filter(live, lambda e: e.under), lambda e: e.e) AS below
+              FROM (SELECT r.case_id, r.k, w.kept, w.gone, list_filter(r.es, lambda e: list_contains(w.kept, e.e)) AS live
+                FROM walk w JOIN ready r ON r.case_id = w.case_id AND r.k = w.k + 1))""",
+        "outcome": "SELECT case_id, unnest(arg_max(gone, k)) AS g FROM walk GROUP BY case_id",
+    }
+
+
+RESOLVED = """SELECT r.case_id, instance_id, r.k AS rank, o.g.reason AS reason FROM rk r LEFT JOIN outcome o ON o.case_id = r.case_id AND o.g.k = r.k"""
+
+
+@query("resolve_candidates", a.oracle(RESOLVED, "cand", extra=walked(False)))
 def resolve(spark, folder):
     order = [F.col("radius_mm").desc(), "ostium.z", "ostium.y", "ostium.x"]
     done = rs.resolve_candidates(a.candidates(spark, folder), ["case_id"], order)
     return done.select("case_id", "instance_id", "rank", "reason")
 
 
-@query("resolve_parallel")
+@query("resolve_parallel", a.oracle(RESOLVED, "cand", extra=walked(True)))
 def resolve_parallel(spark, folder):
     order = [F.col("radius_mm").desc(), "ostium.z", "ostium.y", "ostium.x"]
     done = rs.resolve_candidates(a.candidates(spark, folder), ["case_id"], order, parallel_clearance=2.5)
