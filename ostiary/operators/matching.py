@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from bisect import bisect_right
+from heapq import heappop, heappush
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
@@ -12,9 +15,10 @@ from ostiary.functions import geometry as g
 from ostiary.operators.graph import connected_components
 from ostiary.operators.spatial import pairs_within
 
-# Candidate pairs one task may solve as a single assignment problem.
-CASE_PAIRS = 2_000
-COMPONENT_PAIRS = 20_000
+# Candidate pairs one task may solve as a single assignment problem: of a whole case, and of a component of a larger one
+# (about ten seconds and 30 MB at the limit).
+CASE_PAIRS = 10_000
+COMPONENT_PAIRS = 150_000
 # Smaller differences of path costs do not count, in the solver and in the joins alike.
 TOLERANCE = 1e-9
 
@@ -22,40 +26,80 @@ TOLERANCE = 1e-9
 def assign(left: np.ndarray, right: np.ndarray, cost: np.ndarray) -> np.ndarray:
     """Indices of the chosen pairs: maximum cardinality, then minimum total cost.
 
-    Successive cheapest augmenting paths; each path is found by relaxing all pairs at once. Pairs come ordered by
-    (left, right), and of equally cheap ones the first is taken.
+    Left ids are put in one after the other by a cheapest alternating path, found with potentials that keep every pair's
+    remaining cost at zero or more, so a search looks at a few pairs around its start. Leaving an id out costs more than
+    all pairs together. Pairs come ordered by (left, right), and of equally cheap ones the first is taken.
     """
     left_ids, a = np.unique(left, return_inverse=True)
     right_ids, b = np.unique(right, return_inverse=True)
+    if not len(left_ids):
+        return np.zeros(0, int)
     cost = np.asarray(cost, float)
-    owner = np.full(len(right_ids), -1)      # pair index that holds each right id
-    holder = np.full(len(left_ids), -1)      # pair index that holds each left id
-    while True:
-        reach_left = np.where(holder < 0, 0.0, np.inf)
-        reach_right = np.full(len(right_ids), np.inf)
-        via = np.full(len(right_ids), -1)
-        taken = np.flatnonzero(owner >= 0)
+    order = np.argsort(a, kind="stable")
+    begin = np.searchsorted(a[order], np.arange(len(left_ids) + 1)).tolist()
+    pair, to, price = order.tolist(), b[order].tolist(), cost[order].tolist()
+    out = (min(len(left_ids), len(right_ids)) + 1) * (float(cost.max()) + 1.0)  # what leaving a left id out costs
+    u = np.minimum.reduceat(cost[order], begin[:-1]).tolist()
+    v = [0.0] * len(right_ids)
+    owner = [-1] * len(right_ids)   # left id that holds a right id
+    holder = [-1] * len(left_ids)   # position of the pair that a left id holds
+    waiting = []
+    for i in range(len(left_ids)):
+        for e in range(begin[i], begin[i + 1]):
+            if price[e] == u[i] and owner[to[e]] < 0:
+                owner[to[e]], holder[i] = i, e
+                break
+        else:
+            waiting.append(i)
+    for start in waiting:
+        reached = {}                # right id: least remaining cost of a path to it
+        via = {}                    # right id: position of the path's last pair
+        done: list[int] = []        # right ids whose path is final, in that order
+        walked = [(start, 0.0)]     # left ids on final paths
+        heap: list[tuple[float, int]] = []
+        ends, end = out - u[start], start   # cheapest way to end so far: leave `end` out
+        at, so_far, free = start, 0.0, -1
+        while True:
+            base = so_far - u[at]
+            for e in range(begin[at], begin[at + 1]):
+                r = to[e]
+                offer = base + price[e] - v[r]
+                if offer < ends and offer < reached.get(r, ends) - TOLERANCE:
+                    reached[r], via[r] = offer, e
+                    heappush(heap, (offer, r))
+            while heap and heap[0][0] > reached[heap[0][1]]:
+                heappop(heap)
+            if not heap or heap[0][0] >= ends:
+                break
+            so_far, r = heappop(heap)
+            reached[r] = so_far
+            if owner[r] < 0:
+                ends, free = so_far, r
+                break
+            done.append(r)
+            at = owner[r]
+            walked.append((at, so_far))
+            if so_far + out - u[at] < ends:
+                ends, end = so_far + out - u[at], at
+        for r in done:
+            v[r] -= ends - reached[r]
+        for i, gone in walked:
+            u[i] += ends - gone
+        if free < 0:
+            if end == start:
+                continue
+            free, holder[end] = to[holder[end]], -1
         while True:
-            offer = reach_left[a] + cost
-            offer[owner[taken]] = np.inf
-            best = np.full(len(right_ids), np.inf)
-            np.minimum.at(best, b, offer)
-            better = best < reach_right - TOLERANCE
-            if not better.any():
+            e = via[free]
+            i = _left_of(begin, e)
+            owner[free], (free, holder[i]) = i, (to[holder[i]] if holder[i] >= 0 else -1, e)
+            if i == start:
                 break
-            reach_right[better] = best[better]
-            hits = np.flatnonzero(better[b] & (offer <= best[b]))[::-1]
-            via[b[hits]] = hits  # the first pair is written last
-            reach_left[a[owner[taken]]] = reach_right[taken] - cost[owner[taken]]
-        free = np.where(owner < 0, reach_right, np.inf)
-        if not len(free) or not np.isfinite(free.min()):
-            return np.sort(owner[owner >= 0])
-        node = int(free.argmin())
-        while node >= 0:
-            e = via[node]
-            previous = holder[a[e]]
-            owner[node], holder[a[e]] = e, e
-            node = b[previous] if previous >= 0 else -1
+    return np.sort(np.array([pair[e] for e in holder if e >= 0], int))
+
+
+def _left_of(begin: list[int], position: int) -> int:
+    return bisect_right(begin, position) - 1
 
 
 @F.pandas_udf(ArrayType(IntegerType()))
