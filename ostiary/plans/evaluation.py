@@ -31,30 +31,38 @@ def tolerance_report(
 
 
 def scoring_report(
-    reference_cases: DataFrame, predicted_cases: DataFrame, predictions: DataFrame, references: DataFrame,
-    tolerances: list[float] | None = None, mirror_tolerance: float = 5.0,
+    reference_cases: DataFrame, predicted_cases: DataFrame, predictions: DataFrame, references: DataFrame, tolerances: list[float] | None = None,
 ) -> dict[str, DataFrame]:
     """The whole report on a set of prediction records, as tables.
 
     ``missing``: reference cases without a prediction record; they are listed and count nowhere else. ``cases``: one row
-    per remaining case and tolerance. ``summary``: totals and matched-error statistics per tolerance. ``mirror``: one row
-    with the number of cases that match better with x and y mirrored, and whether there is any. Notes on references come
-    from :func:`ostiary.sources.references.normalize_references` (see :func:`reference_notes`).
+    per remaining case and tolerance, with what mirroring x and y would match at the largest tolerance. ``matches``: the
+    pairs behind them. ``summary``: totals and matched-error statistics per tolerance. ``mirror``: one row with the number
+    of cases that match better mirrored, and whether there is any. ``notes``: what normalising the references changed, if
+    they carry ``notes``.
+
+    A reference without ``radius_known`` has a placeholder radius: it has no radius error, in matches and statistics.
     """
     tolerances = tolerances or TOLERANCES_MM
     scored = scale.checkpoint(reference_cases.join(predicted_cases.select("case_id").distinct(), "case_id", "left_semi"))
     own = predictions.join(scored.select("case_id"), "case_id", "left_semi")
     truth = references.join(scored.select("case_id"), "case_id", "left_semi")
-    matches = scale.checkpoint(match_one_to_one(own, truth, sorted({*tolerances, mirror_tolerance})))
-    asked = matches.filter(F.col("tolerance_mm").isin([float(t) for t in tolerances]))
-    per_case = scale.checkpoint(m.case_confusion(scored, own, truth, asked, tolerances))
-    checks = m.mirror_check(scored, own, truth, matches, mirror_tolerance)
-    return {
-        "missing": missing_predictions(reference_cases, predicted_cases), "cases": per_case,
-        "summary": m.summarize(per_case, ["tolerance_mm"]).join(m.error_stats(asked, ["tolerance_mm"]).drop("matches"), "tolerance_mm", "left"),
+    matches = match_one_to_one(own, truth, tolerances)
+    if "radius_known" in references.columns:
+        matches = m.mask_unknown_radii(matches, truth)
+    matches = scale.checkpoint(matches)
+    checks = scale.checkpoint(m.mirror_check(scored, own, truth, matches, float(max(tolerances))))
+    per_case = scale.checkpoint(m.case_confusion(scored, own, truth, matches, tolerances).join(
+        checks.select("case_id", "mirror_tp", "mirror_suspected"), "case_id"))
+    report = {
+        "missing": missing_predictions(reference_cases, predicted_cases), "cases": per_case, "matches": matches,
+        "summary": m.summarize(per_case, ["tolerance_mm"]).join(m.error_stats(matches, ["tolerance_mm"]).drop("matches"), "tolerance_mm", "left"),
         "mirror": checks.agg(F.count_if("mirror_suspected").alias("mirrored_cases"),
                              F.coalesce(F.bool_or("mirror_suspected"), F.lit(False)).alias("mirror_suspected")),
     }
+    if "notes" in references.columns:
+        report["notes"] = reference_notes(references)
+    return report
 
 
 def reference_notes(references: DataFrame) -> DataFrame:

@@ -220,22 +220,37 @@ def tolerance_report(spark, folder):
 SCORED_CASES = {"recorded": "SELECT * FROM confusion WHERE case_id IN (SELECT case_id FROM pred)"}
 
 
-def scoring(spark, folder):
+def scoring(spark, folder, tolerances=None):
+    """Every third reference has a radius that nobody measured."""
     pred, ref = sides(spark, folder)
-    return e.scoring_report(a.cases(spark, folder), pred.select("case_id"), pred, ref)
+    known = ref.withColumn("radius_known", F.col("ord") % 3 != 0)
+    return e.scoring_report(a.cases(spark, folder), pred.select("case_id"), pred, known, tolerances)
+
 
+KNOWN = {"known": "SELECT * REPLACE (CASE WHEN r_ord % 3 <> 0 THEN radius_error_mm END AS radius_error_mm) FROM matched"}
 
-@query("scoring_cases", a.oracle("""
-    SELECT case_id, tolerance_mm, tp, fp, fn FROM recorded""",
-    "pred", "ref", "cases", extra={**matching_sql([2.0, 3.0, 5.0]), **confusion_sql([2.0, 3.0, 5.0]), **SCORED_CASES}))
+
+@query("scoring_cases", a.oracle(f"""
+    SELECT r.case_id, tolerance_mm, n_pred AS predicted, n_ref AS reference, tp, fp, fn, fp - fn AS signed_error, abs(fp - fn) AS absolute_error,
+      {RATIO_SQL.format(t='tp', p='fp', n='fn')}, coalesce(f.n, 0) AS mirror_tp, coalesce(f.n, 0) > coalesce(k.n, 0) + 1 AS mirror_suspected
+    FROM recorded r LEFT JOIN (SELECT case_id, count(*) AS n FROM picked WHERE tol = 5 GROUP BY 1) k ON k.case_id = r.case_id
+      LEFT JOIN (SELECT case_id, count(*) AS n FROM pickedm GROUP BY 1) f ON f.case_id = r.case_id""",
+    "pred", "ref", "cases", extra={**matching_sql([2.0, 3.0, 5.0]), **confusion_sql([2.0, 3.0, 5.0]), **SCORED_CASES, **matching_sql([5.0], sign="-", tag="m")}))
 def scoring_cases(spark, folder):
-    return scoring(spark, folder)["cases"].select("case_id", "tolerance_mm", "tp", "fp", "fn")
+    return scoring(spark, folder)["cases"].select("case_id", "tolerance_mm", "predicted", "reference", "tp", "fp", "fn", "signed_error", "absolute_error",
+                                                  r4("precision"), r4("recall"), r4("f1"), "mirror_tp", "mirror_suspected")
+
+
+@query("scoring_matches", a.oracle(f"SELECT tolerance_mm, case_id, prediction_id, reference_id, {ERROR_SQL} FROM known",
+                                   "pred", "ref", extra={**matching_sql([2.0, 3.0, 5.0]), **KNOWN}))
+def scoring_matches(spark, folder):
+    return scoring(spark, folder)["matches"].select("tolerance_mm", "case_id", "prediction_id", "reference_id", *[r4(x) for x in m.ERRORS])
 
 
 @query("scoring_summary", a.oracle(f"""
     SELECT a.*, b.* EXCLUDE (tolerance_mm) FROM (SELECT tolerance_mm, {TOTALS_SQL} FROM recorded GROUP BY 1) a
-    LEFT JOIN (SELECT tolerance_mm, {STATS_SQL} FROM matched GROUP BY 1) b ON a.tolerance_mm = b.tolerance_mm""",
-    "pred", "ref", "cases", extra={**matching_sql([2.0, 3.0, 5.0]), **confusion_sql([2.0, 3.0, 5.0]), **SCORED_CASES}))
+    LEFT JOIN (SELECT tolerance_mm, {STATS_SQL} FROM known GROUP BY 1) b ON a.tolerance_mm = b.tolerance_mm""",
+    "pred", "ref", "cases", extra={**matching_sql([2.0, 3.0, 5.0]), **confusion_sql([2.0, 3.0, 5.0]), **SCORED_CASES, **KNOWN}))
 def scoring_summary(spark, folder):
     return scoring(spark, folder)["summary"].select(*summary_columns("tolerance_mm"), *[r4(c) for c in STAT_COLUMNS])
 
@@ -245,9 +260,9 @@ def scoring_summary(spark, folder):
       SELECT coalesce(k.n, 0) AS plain, coalesce(f.n, 0) AS flipped FROM (SELECT DISTINCT case_id FROM pred) c
       LEFT JOIN (SELECT case_id, count(*) AS n FROM picked GROUP BY 1) k ON k.case_id = c.case_id
       LEFT JOIN (SELECT case_id, count(*) AS n FROM pickedm GROUP BY 1) f ON f.case_id = c.case_id)""",
-    "pred", "ref", "cases", extra={**matching_sql([5.0]), **matching_sql([5.0], sign="-", tag="m")}))
+    "pred", "ref", "cases", extra={**matching_sql([3.0]), **matching_sql([3.0], sign="-", tag="m")}))
 def scoring_mirror(spark, folder):
-    return scoring(spark, folder)["mirror"]
+    return scoring(spark, folder, [2.0, 3.0])["mirror"]
 
 
 @query("evaluate_bundle", a.oracle(f"""
