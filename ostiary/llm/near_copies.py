@@ -7,8 +7,8 @@ within the first RADIUS, both within the second. At a similarity of exactly LEAS
 less; tests measure what the radius loses.
 
 A tile pair returns a spanning forest of its candidates, nearest first, never all pairs. Candidates are confirmed on their
-whole sets. Where one failed, what still hangs together by candidates is compared with a few heads, the busiest first, and
-what is apart after that pair by pair, but only between groups that are still apart.
+whole sets. Where one failed, the texts that still hang together by candidates are compared once more, exactly, in blocks
+of whole sets; a block pair counts common shingles by products of 0-1 matrices and returns a forest of the links it found.
 """
 
 from __future__ import annotations
@@ -27,8 +27,10 @@ from ostiary.operators.graph import connected_components
 SHINGLE = 5
 LEAST = 0.8
 RADIUS = (20, 34)
-ROUNDS = 3
 BLOCK = 512
+# Texts, and shingles of them, in one side of a block pair of whole sets; sets multiplied at once, and columns.
+BLOCK_TEXTS, BLOCK_SHINGLES = 1_000, 500_000
+PRODUCT, COLUMNS = 256, 8_192
 LEAST_TILE, MOST_TILE = 4_096, 131_072
 TILES = 24
 STEPS = 64  # size classes: so many to a factor of e
@@ -116,21 +118,17 @@ def _root(parent: np.ndarray, at: int) -> int:
     return int(at)
 
 
-def _candidates(rows: np.ndarray, label: np.ndarray, cols: slice, every: bool, least: float, radius: tuple[int, int] = RADIUS) -> tuple[np.ndarray, np.ndarray]:
-    """Edges between ``rows[:cols.start]`` and the rest, or inside all rows (``cols.start`` 0), between different labels.
+def _candidates(rows: np.ndarray, split: int, least: float, radius: tuple[int, int] = RADIUS) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest of the candidates between ``rows[:split]`` and the rest, or inside all rows (``split`` 0).
 
-    ``rows``: first, second, size. Either a spanning forest over labels or every edge.
+    ``rows``: first, second, size.
     """
-    order = np.lexsort((np.bitwise_count(rows["first"]), np.arange(len(rows)) >= cols.start if cols.start else np.zeros(len(rows))))
-    rows, label = rows[order], label[order]
+    order = np.lexsort((np.bitwise_count(rows["first"]), np.arange(len(rows)) >= split if split else np.zeros(len(rows))))
+    rows = rows[order]
     ones = np.bitwise_count(rows["first"]).astype(np.int16)
-    split = cols.start
     starts = [np.arange(0, split or len(rows), BLOCK), np.arange(split, len(rows), BLOCK)]
     ends = [np.minimum(starts[0] + BLOCK, split or len(rows)), np.minimum(starts[1] + BLOCK, len(rows))]
-    _, parent = np.unique(label, return_inverse=True)
-    first_of = np.full(len(rows), len(rows))
-    np.minimum.at(first_of, parent, np.arange(len(rows)))
-    parent = first_of[parent]
+    parent = np.arange(len(rows))
     found: list[tuple[np.ndarray, np.ndarray]] = []
     first, second, size = rows["first"], rows["second"], rows["size"]
     for start, end in zip(*(x[0] for x in (starts, ends))):
@@ -146,14 +144,9 @@ def _candidates(rows: np.ndarray, label: np.ndarray, cols: slice, every: bool, l
             if not split:
                 fits &= a < b
             a, b, near = a[fits], b[fits], near[fits]
-            if every:
-                apart = label[a] != label[b]
-                a, b = a[apart], b[apart]
-            elif len(a):
-                edge = _forest(parent, a, b, near)
-                a, b = a[edge], b[edge]
             if len(a):
-                found.append((order[a], order[b]))
+                edge = _forest(parent, a, b, near)
+                found.append((order[a[edge]], order[b[edge]]))
     if not found:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     return np.concatenate([x for x, _ in found]), np.concatenate([y for _, y in found])
@@ -184,8 +177,8 @@ def _tiles(sizes: dict[int, int], least: float) -> tuple[dict[int, tuple[int, in
     return tile_of, pairs
 
 
-def _compared(nodes: DataFrame, every: bool, least: float, radius: tuple[int, int]) -> DataFrame:
-    """``a, b``: candidates between ``nodes`` (``_fp, size, first, second, label``) of different labels."""
+def _compared(nodes: DataFrame, least: float, radius: tuple[int, int]) -> DataFrame:
+    """``a, b``: candidates that connect all of ``nodes`` (``_fp, size, first, second``) that candidates connect."""
     spark = nodes.sparkSession
     step = F.floor(F.log(F.col("size")) * STEPS).cast("int")
     stepped = nodes.filter("size > 0").withColumn("step", step)
@@ -196,7 +189,7 @@ def _compared(nodes: DataFrame, every: bool, least: float, radius: tuple[int, in
     classes = spark.createDataFrame([(step, *x) for step, x in tile_of.items()], "step int, tile int, parts int")
     dealt = stepped.join(F.broadcast(classes), "step").withColumn("part", F.pmod(F.xxhash64("_fp"), F.col("parts")).cast("int"))
     table = spark.createDataFrame(pairs, "tile int, part int, pair int, side int")
-    rows = dealt.join(F.broadcast(table), ["tile", "part"]).select("pair", "side", "_fp", "size", "first", "second", "label")
+    rows = dealt.join(F.broadcast(table), ["tile", "part"]).select("pair", "side", "_fp", "size", "first", "second")
 
     def compare(block: pa.Table) -> pa.Table:
         side = block.column("side").to_numpy()
@@ -205,18 +198,15 @@ def _compared(nodes: DataFrame, every: bool, least: float, radius: tuple[int, in
         for name in rows.dtype.names:
             rows[name] = block.column(name).to_numpy()[order].view(rows.dtype[name])
         right = int((side == 1).sum())
-        a, b = _candidates(rows, block.column("label").to_numpy()[order], slice(len(order) - right if right else 0, None), every, least, radius)
+        a, b = _candidates(rows, len(order) - right if right else 0, least, radius)
         fp = block.column("_fp").to_numpy()[order]
         return pa.table({"a": pa.array(fp[a]), "b": pa.array(fp[b])})
 
     return rows.groupBy("pair").applyInArrow(compare, "a long, b long")
 
 
-def _confirmed(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
+def _confirmed(pairs: DataFrame, known: DataFrame, least: float) -> DataFrame:
     """``a, b, near``: the pairs of texts, with whether their similarity is ``least`` or more."""
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("_fp")).distinct()
-    known = common.checkpoint(texts.join(needed, "_fp", "left_semi").dropDuplicates(["_fp"]))
-
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last: tuple = (None, None)
         for batch in common.slices(batches):
@@ -241,39 +231,96 @@ def _labelled(nodes: DataFrame, found: DataFrame, name: str) -> DataFrame:
     return nodes.drop(name).join(joined, "_fp", "left").withColumn(name, F.coalesce("component", "_fp")).drop("component")
 
 
-def links(nodes: DataFrame, texts: DataFrame, least: float = LEAST, radius: tuple[int, int] = RADIUS, rounds: int = ROUNDS) -> DataFrame:
+def common_shingles(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of every left with every right set, as products of 0-1 matrices."""
+    keys = np.concatenate(left + right)
+    row = np.repeat(np.arange(len(left) + len(right)), [len(x) for x in left + right])
+    _, column = np.unique(keys, return_inverse=True)
+    mine = row < len(left)
+    both = (np.bincount(column[mine], minlength=column.max(initial=-1) + 1) > 0) & (np.bincount(column[~mine], minlength=column.max(initial=-1) + 1) > 0)
+    number = np.cumsum(both) - 1
+    keep = both[column]
+    row, column, mine = row[keep], number[column[keep]], mine[keep]
+    total = np.zeros((len(left), len(right)), np.int64)
+    for at in range(0, int(both.sum()), COLUMNS):
+        inside = (column >= at) & (column < at + COLUMNS)
+        sides = [np.zeros((len(left), COLUMNS), np.float32), np.zeros((len(right), COLUMNS), np.float32)]
+        sides[0][row[inside & mine], column[inside & mine] - at] = 1
+        sides[1][row[inside & ~mine] - len(left), column[inside & ~mine] - at] = 1
+        total += np.rint(sides[0] @ sides[1].T).astype(np.int64)  # sums below 2 ** 24 are exact
+    return total
+
+
+def _exact_forest(sets: list[np.ndarray], label: np.ndarray, split: int, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Links of similarity ``least`` or more that connect different labels, between sets[:split] and the rest or (0) inside."""
+    size = np.array([len(s) for s in sets])
+    _, first, parent = np.unique(label, return_index=True, return_inverse=True)
+    parent = first[parent]
+    found = []
+    sides = (range(0, split or len(sets), PRODUCT), range(split, len(sets), PRODUCT))
+    for start in sides[0]:
+        left = np.arange(start, min(start + PRODUCT, split or len(sets)))
+        for other in sides[1]:
+            right = np.arange(other, min(other + PRODUCT, len(sets)))
+            if (not split and other < start) or len(np.unique(simhash._roots(parent, np.concatenate([left, right])))) == 1:
+                continue
+            both = common_shingles([sets[i] for i in left], [sets[i] for i in right])
+            total = size[left][:, None] + size[right][None, :] - both
+            a, b = np.nonzero(both >= least * total - 1e-9)
+            a, b = left[a], right[b]
+            if len(a):
+                edge = _forest(parent, a, b, np.zeros(len(a)))
+                found.append((a[edge], b[edge]))
+    return tuple(np.concatenate([f[i] for f in found]) if found else np.zeros(0, np.int64) for i in (0, 1))
+
+
+def _in_blocks(members: DataFrame, known: DataFrame, least: float) -> DataFrame:
+    """``a, b``: links between ``members`` (``_fp, size, of, label``) of one ``of`` and different labels that connect all
+    that such links connect. Members of one ``of`` are dealt into parts of bounded size; every pair of parts is one group."""
+    spread = members.groupBy("of").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.greatest(
+        F.ceil(F.count("*") / BLOCK_TEXTS), F.ceil(F.sum("size") / BLOCK_SHINGLES)).cast("int").alias("parts")).filter("lo < hi").select("of", "parts")
+    rows = members.join(spread, "of").withColumn("part", F.pmod(F.xxhash64("_fp"), F.col("parts")).cast("int")).join(known, "_fp")
+    copies = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select(
+        "of", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), (F.col("part") > F.col("other")).alias("right"), "_fp", "label", "text")
+
+    def compare(block: pa.Table) -> pa.Table:
+        right = block.column("right").to_numpy()
+        order = np.argsort(right, kind="stable")
+        texts = block.column("text").cast(pa.binary()).to_pylist()
+        sets = [shingles(texts[i] or b"") for i in order]
+        split = int((~right).sum()) if right.any() else 0
+        a, b = _exact_forest(sets, block.column("label").to_numpy()[order], split, least)
+        fp = block.column("_fp").to_numpy()[order]
+        return pa.table({"a": pa.array(fp[a]), "b": pa.array(fp[b])})
+
+    # a pair of parts that got no row of its left part compares nothing
+    return copies.groupBy("of", "i", "j").applyInArrow(compare, "a long, b long")
+
+
+def links(nodes: DataFrame, texts: DataFrame, least: float = LEAST, radius: tuple[int, int] = RADIUS) -> DataFrame:
     """``a, b``: links between the candidate texts of similarity ``least`` or more that connect all that such links connect.
 
     ``nodes``: ``_fp, size, first, second``, one row per different text; ``texts``: ``_fp, text``.
     """
-    tried = common.checkpoint(_compared(nodes.withColumn("label", F.col("_fp")), False, least, radius))
-    tested = _confirmed(tried, texts, least)
+    spark = nodes.sparkSession
+    tried = common.checkpoint(_compared(nodes, least, radius))
+    ends = tried.select(F.explode(F.array("a", "b")).alias("_fp")).distinct()
+    path = common.shared_folder(spark, "near-copies")
+    texts.join(ends, "_fp", "left_semi").dropDuplicates(["_fp"]).write.parquet(path)
+    known = spark.read.parquet(path)
+    tested = _confirmed(tried, known, least)
     found = tested.filter("near").select("a", "b")
-    if tested.filter("NOT near").isEmpty():
+    failed = tested.filter("NOT near")
+    if failed.isEmpty():
         return found
-    # what hangs together by candidates, and the busiest of it
-    ends = common.checkpoint(tried.select(F.explode(F.array("a", "b")).alias("_fp")).groupBy("_fp").agg(F.count("*").alias("degree")))
-    members = common.checkpoint(_labelled(nodes.join(ends, "_fp"), tried, "of"))
-    for number in range(rounds + 1):
-        members = common.checkpoint(_labelled(members, found, "label"))
-        spread = members.groupBy("of").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("of")
-        members = common.checkpoint(members.join(spread, "of", "left_semi"))
-        if members.isEmpty() or number == rounds:
-            break
-        busiest = F.struct(F.when(F.lit(number) == 0, -F.col("degree")), F.xxhash64("_fp", F.lit(number)), F.col("_fp").alias("a"), F.col("label").alias("head"))
-        heads = members.groupBy("of").agg(F.min(busiest).alias("h")).select("of", "h.a", "h.head")
-        pairs = common.checkpoint(members.join(heads, "of").filter("label <> head").select("a", F.col("_fp").alias("b")).join(tested, ["a", "b"], "left_anti"))
-        more = _confirmed(pairs, texts, least)
-        tested = tested.unionByName(more)
-        found = common.checkpoint(found.unionByName(more.filter("near").select("a", "b")))
-    if not members.isEmpty():
-        known = tested.select("a", "b").unionByName(tested.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        rest = common.checkpoint(_compared(members, True, least, radius).distinct().join(known, ["a", "b"], "left_anti"))
-        found = common.checkpoint(found.unionByName(_confirmed(rest, texts, least).filter("near").select("a", "b")))
-    return found
-
-
-def one_per_group(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least: float = LEAST, radius: tuple[int, int] = RADIUS, rounds: int = ROUNDS) -> DataFrame:
+    # whatever hangs together with a candidate that failed
+    members = _labelled(nodes.select("_fp", "size").join(ends, "_fp"), tried, "of")
+    apart = members.join(failed.select(F.col("a").alias("_fp")), "_fp", "left_semi").select("of").distinct()
+    members = common.checkpoint(_labelled(members.join(apart, "of", "left_semi"), found, "label"))
+    return found.unionByName(common.checkpoint(_in_blocks(members, known, least)))
+
+
+def one_per_group(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least: float = LEAST, radius: tuple[int, int] = RADIUS) -> DataFrame:
     """``docs`` with only the row of the smallest id of each group of near copies, unchanged; of repeated rows one stays.
 
     Null, empty and wordless texts are one group. Rows that share an id are told apart by their texts. Columns of any name
@@ -282,7 +329,7 @@ def one_per_group(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", l
     texts = _marked(docs.select(F.col(doc_id).alias("_id"), F.col(text).cast("string").alias("text")), "text", "_fp")
     narrow = common.checkpoint(_nodes(texts))
     nodes = common.checkpoint(narrow.groupBy("_fp").agg(F.first("size").alias("size"), F.first("first").alias("first"), F.first("second").alias("second")))
-    found = simhash.components_of(narrow.select("_id", "_fp"), links(nodes, texts.select("_fp", "text"), least, radius, rounds), "_id", "_fp")
+    found = simhash.components_of(narrow.select("_id", "_fp"), links(nodes, texts.select("_fp", "text"), least, radius), "_id", "_fp")
     wordless = F.length(F.regexp_replace(F.coalesce(F.col(text).cast("string"), F.lit("")), "[\\x20\\x09-\\x0D]+", "")) == 0
     return simhash.first_of_groups(docs, narrow.select("_id", "_fp"), found, doc_id,
                                    lambda rows, name: _marked(rows, text, name).withColumn(name, F.when(wordless, 0).otherwise(F.col(name))))

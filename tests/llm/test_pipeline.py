@@ -71,13 +71,14 @@ def _edited(rng, count):
     return texts
 
 
-@pytest.mark.parametrize("rounds, radius", [(0, (64, 128)), (near_copies.ROUNDS, (64, 128)), (near_copies.ROUNDS, near_copies.RADIUS)])
-def test_groups_of_near_copies(spark, monkeypatch, rounds, radius):
+@pytest.mark.parametrize("texts_of_block, radius", [(1_000, (64, 128)), (9, (64, 128)), (1_000, near_copies.RADIUS)])
+def test_groups_of_near_copies(spark, monkeypatch, texts_of_block, radius):
     """With a radius that holds every pair, so that most candidates fail, groups equal brute force; the one in use loses hardly a link."""
     monkeypatch.setattr(near_copies, "LEAST_TILE", 20)
+    monkeypatch.setattr(near_copies, "BLOCK_TEXTS", texts_of_block)
     texts = _edited(random.Random(8), 150)
     docs = documents(spark, texts).withColumnRenamed("part", "_fp").withColumnRenamed("fp", "_free0")
-    kept = near_copies.one_per_group(docs, radius=radius, rounds=rounds)
+    kept = near_copies.one_per_group(docs, radius=radius)
     found, want = {r["doc_id"] for r in kept.collect()}, _groups(texts)
     assert kept.columns == docs.columns and found >= want and len(found - want) <= (0 if radius[1] == 128 else 2)
 
@@ -116,12 +117,33 @@ def test_forest_connects_what_candidates_connect():
         for name in ("first", "second"):  # few bits: many pairs are near
             rows[name] &= np.uint64(0x8421084210)
         rows["first"] ^= rng.integers(0, 2**40, size).astype("<u8") & np.uint64(rng.integers(0, 2**40))
-        label = np.arange(size)
-        a, b = near_copies._candidates(rows, label, slice(split, None), False, 0.8)
-        x, y = near_copies._candidates(rows, label, slice(split, None), True, 0.8)
+        a, b = near_copies._candidates(rows, split, 0.8)
+        left = np.arange(split or size)
+        x, y = np.array([(i, j) for i in left for j in range(max(split, i + 1), size)
+                         if (d := int(rows["first"][i] ^ rows["first"][j]).bit_count()) <= 20 and d + int(rows["second"][i] ^ rows["second"][j]).bit_count() <= 34
+                         and min(rows["size"][[i, j]]) >= 0.8 * max(rows["size"][[i, j]])]).T
         parents = []
         for i, j in ((a, b), (x, y)):
             parent = np.arange(size)
             simhash._join(parent, i.copy(), j.copy())
             parents.append(simhash._roots(parent, np.arange(size)).tolist())
         assert parents[0] == parents[1] and len(a) == size - len(set(parents[0]))  # a forest, no circle
+
+
+def test_common_shingles_by_products(monkeypatch):
+    rng = random.Random(2)
+    sets = [np.unique(np.array(rng.sample(range(300), rng.randint(0, 60)), "<u8")) for _ in range(70)]
+    monkeypatch.setattr(near_copies, "COLUMNS", 17)
+    found = near_copies.common_shingles(sets[:30], sets[30:])
+    assert found.tolist() == [[len(set(x) & set(y)) for y in sets[30:]] for x in sets[:30]]
+    assert near_copies.common_shingles(sets[:1], [np.zeros(0, "<u8")]).tolist() == [[0]]
+    monkeypatch.setattr(near_copies, "PRODUCT", 8)
+    near = [np.unique(np.append(s, rng.randrange(300))).astype("<u8") for s in sets if len(s)] * 2
+    for split in (0, 40):
+        a, b = near_copies._exact_forest(near, np.arange(len(near)), split, 0.8)
+        parents = [np.arange(len(near)) for _ in range(2)]
+        simhash._join(parents[0], a.copy(), b.copy())
+        pairs = [(i, j) for i in range(split or len(near)) for j in range(max(split, i + 1), len(near))
+                 if len(set(near[i]) & set(near[j])) >= 0.8 * len(set(near[i]) | set(near[j]))]
+        simhash._join(parents[1], *np.array(pairs).T)
+        assert simhash._roots(parents[0], np.arange(len(near))).tolist() == simhash._roots(parents[1], np.arange(len(near))).tolist()
