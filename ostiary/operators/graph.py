@@ -7,22 +7,25 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ostiary import scale
 
 Z = ["z", "y", "x"]
+# A node with more links is one of the busiest, which are joined by broadcast: HOT_KEYS of them at most.
+HUB_LINKS = 500
 
 
 def connected_components(edges: DataFrame, by: list[str], a: str = "a", b: str = "b") -> DataFrame:
     """``by, node, component`` where the component is its smallest node id; isolated nodes are not listed.
 
     Alternating large-star and small-star steps: every step links nodes to a smaller neighbour, found with a
-    partial minimum, so a node with very many neighbours is never gathered in one place. The number of
+    partial minimum, and the busiest nodes' links stay where they are, so a node with very many neighbours is never
+    gathered in one place. The number of
     rounds grows with the logarithm of the component size. Every round is checkpointed.
     """
     links = scale.checkpoint(edges.select(
         *by, F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u <> v").distinct())
-    signature = None
+    signature, busiest = None, _busiest(links, by)
     while True:
-        links = _star(links, by, large=True)
-        links = scale.checkpoint(_star(links, by, large=False))
-        now = links.agg(F.count("*"), F.sum(F.xxhash64(*by, "u", "v").cast("decimal(38,0)"))).first()
+        links = _star(links, by, True, busiest)
+        links = scale.checkpoint(_star(links, by, False, busiest))
+        *now, busiest = _state(links, by)
         if now == signature:
             break
         signature = now
@@ -30,14 +33,35 @@ def connected_components(edges: DataFrame, by: list[str], a: str = "a", b: str =
     return links.select(*by, F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
 
 
-def _star(links: DataFrame, by: list[str], large: bool) -> DataFrame:
+def _busiest(links: DataFrame, by: list[str]) -> int:
+    ends = links.select(*by, "u").unionByName(links.select(*by, F.col("v").alias("u")))
+    return ends.groupBy(*by, "u").count().agg(F.max("count")).first()[0] or 0
+
+
+def _state(links: DataFrame, by: list[str]) -> tuple:
+    """Number of links, a sum that tells them apart, and the most links of one smaller end, from one pass."""
+    mixed = F.xxhash64(*by, "u", "v").cast("decimal(38,0)")
+    ends = links.groupBy(*by, "v").agg(F.count("*").alias("n"), F.sum(mixed).alias("h"))
+    return tuple(ends.agg(F.sum("n"), F.sum("h"), F.coalesce(F.max("n"), F.lit(0))).first())
+
+
+def _with_lowest(links: DataFrame, lowest: DataFrame, by: list[str], busiest: int) -> DataFrame:
+    """``links`` with the lowest neighbour of ``u``. The few busiest nodes of a star are looked up without a shuffle."""
+    if busiest <= HUB_LINKS:
+        return links.join(lowest.drop("n"), [*by, "u"])
+    hubs = F.broadcast(lowest.filter(F.col("n") > HUB_LINKS).orderBy(F.desc("n")).limit(scale.HOT_KEYS).drop("n"))
+    rest = links.join(hubs.drop("m"), [*by, "u"], "left_anti").join(lowest.drop("n"), [*by, "u"])
+    return rest.unionByName(links.join(hubs, [*by, "u"]))
+
+
+def _star(links: DataFrame, by: list[str], large: bool, busiest: int) -> DataFrame:
     if large:
         both = links.unionByName(links.select(*by, F.col("v").alias("u"), F.col("u").alias("v")))
-        lowest = both.groupBy(*by, "u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        moved = both.filter("v > u").join(lowest, [*by, "u"]).select(*by, F.col("v").alias("u"), F.col("m").alias("v"))
+        lowest = both.groupBy(*by, "u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n"))
+        moved = _with_lowest(both.filter("v > u"), lowest, by, busiest).select(*by, F.col("v").alias("u"), F.col("m").alias("v"))
     else:
-        lowest = links.groupBy(*by, "u").agg(F.min("v").alias("m"))
-        joined = links.join(lowest, [*by, "u"])
+        lowest = links.groupBy(*by, "u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        joined = _with_lowest(links, lowest, by, busiest)
         moved = joined.select(*by, F.col("v").alias("u"), F.col("m").alias("v")).unionByName(
             lowest.select(*by, "u", F.col("m").alias("v")))
     moved = moved.filter("u <> v")

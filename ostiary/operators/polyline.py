@@ -11,7 +11,6 @@ from ostiary.functions import geometry as g
 CHUNK = 4096
 PACKED = 512
 # Lines of up to PACKED vertices that may be sent to every executor (12 KB each at most).
-PACKED_LINES = 2_000
 
 
 def segments(lines: DataFrame, by: list[str]) -> DataFrame:
@@ -73,7 +72,7 @@ def nearest_on_polyline(
             g.distance(g.xyz(point), g.xyz(v)).alias("distance"), i.cast("double").alias("position"))))
     else:
         found = g.nearest_on_path(g.xyz(point), F.col("_line"))
-    joined = scale.per_group(points, _pack(short, by), by, "left" if long is None else "inner", PACKED_LINES).withColumn("_near", found)
+    joined = scale.per_group(points, _pack(short, by), by, "left" if long is None else "inner").withColumn("_near", found)
     done = joined.select(*points.columns, F.col("_near.distance").alias("nearest_mm"), F.col("_near.position").alias("position"))
     if long is None:
         return done.unionByName(lost)

@@ -15,8 +15,10 @@ from pyspark.sql import DataFrame, functions as F
 TASK_GROUP_ROWS = 200_000
 # Rows of one group folded as an array inside one row.
 FOLD_ROWS = 256
-# Rows of a per-group table that may be sent to every executor (a few MB), and copies of it beyond that.
-BROADCAST_GROUPS = 100_000
+# A key is hot if it is one of the HOT_KEYS with most rows and has over HOT_ROWS: no other key can hold more than
+# 1 / HOT_KEYS of a table's rows. Rows of hot keys spread over SALTS tasks.
+HOT_ROWS = 20_000
+HOT_KEYS = 64
 SALTS = 32
 
 
@@ -34,18 +36,29 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def per_group(rows: DataFrame, table: DataFrame, by: list[str], how: str = "inner", limit: int | None = None) -> DataFrame:
-    """``rows`` with the values that ``table`` holds once per group, without bringing a group together.
+def hot_keys(rows: DataFrame, by: list[str]) -> DataFrame | None:
+    """The hot keys of ``by``, at most HOT_KEYS rows, or None. Counts combine map-side and only the largest are kept."""
+    counted = rows.groupBy(*by).count().filter(F.col("count") > HOT_ROWS)
+    found = counted.orderBy(F.desc("count")).limit(HOT_KEYS).select(*by).collect()
+    return rows.sparkSession.createDataFrame(found, rows.select(*by).schema) if found else None
 
-    A table of at most ``limit`` rows is broadcast. A larger one is copied SALTS times and joined on the group and a
-    hash of the row, so that a hot group spreads over as many tasks and a later aggregate by group is shuffled anew,
-    after combining map-side, instead of resting on the join's partitioning. ``table`` is materialised.
+
+def per_group(rows: DataFrame, table: DataFrame, by: list[str], how: str = "inner") -> DataFrame:
+    """``rows`` with the values that ``table`` holds once per group, without bringing a hot group together.
+
+    Without hot groups this is a plain join, which adaptive execution broadcasts if the table is small. Rows of hot
+    groups alone are salted, and the table's rows for them copied SALTS times, so that a hot group spreads over as many
+    tasks and a later aggregate by group is shuffled anew, after combining map-side, instead of resting on the join's
+    partitioning.
     """
-    table = checkpoint(table)
-    if table.count() <= (BROADCAST_GROUPS if limit is None else limit):
-        return rows.join(F.broadcast(table), by, how)
-    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(*rows.columns), F.lit(SALTS)))
-    copies = table.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))))
+    hot = hot_keys(rows, by)
+    if hot is None:
+        return rows.join(table, by, how)
+    hot = F.broadcast(hot.withColumn("_hot", F.lit(True)))  # HOT_KEYS rows at most
+    salt = F.when(F.col("_hot"), F.pmod(F.xxhash64(*rows.columns), F.lit(SALTS))).otherwise(F.lit(0)).cast("int")
+    salted = rows.join(hot, by, "left").withColumn("_salt", salt).drop("_hot")
+    copies = table.join(hot, by, "left").withColumn("_salt", F.explode(F.when(
+        F.col("_hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0))))).drop("_hot")
     return salted.join(copies, [*by, "_salt"], how).drop("_salt")
 
 

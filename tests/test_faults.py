@@ -95,20 +95,52 @@ def test_rows_over_the_candidate_limit_stay(spark):
     assert capped.filter("(rank > 2) <> (reason <=> 'over_candidate_limit')").count() == 0
 
 
-@pytest.mark.parametrize("limit", [10_000, 0])
+@pytest.mark.parametrize("limit", [10_000, 50])
 def test_per_group_values(spark, monkeypatch, limit):
-    monkeypatch.setattr(scale, "BROADCAST_GROUPS", limit)
+    """Only rows of the hot group are salted, and no row is lost or repeated."""
+    monkeypatch.setattr(scale, "HOT_ROWS", limit)
     rows = spark.createDataFrame([(1 if i % 3 else i, i) for i in range(300)], "case_id int, v int")
     table = rows.groupBy("case_id").agg(F.max("v").alias("top"))
     got = scale.per_group(rows, table, ["case_id"])
     assert got.count() == 300 and got.filter("top < v").count() == 0
     plan = got.groupBy("case_id").count()._jdf.queryExecution().executedPlan().toString()
-    assert ("_salt" in plan) == (limit == 0) and "hashpartitioning(case_id" in plan  # the aggregate has a shuffle of its own
+    assert ("_salt" in plan) == (limit == 50) and "hashpartitioning(case_id" in plan  # the aggregate has a shuffle of its own
+    if limit == 50:
+        assert [r["case_id"] for r in scale.hot_keys(rows, ["case_id"]).collect()] == [1]
+        spread = got.repartition(64, "case_id", F.pmod(F.xxhash64("case_id", "v"), F.lit(scale.SALTS)))  # the salt's tasks
+        assert max(len(p) for p in spread.rdd.glom().collect()) < 0.2 * 300
+        assert scale.per_group(rows, table.filter("case_id <> 1"), ["case_id"], "left").filter("top IS NULL").count() == 200
+    else:
+        assert scale.hot_keys(rows, ["case_id"]) is None
 
 
-@pytest.mark.parametrize("limit", [100_000, 0])
+def test_core_queries_register_without_text_libraries():
+    """A text library that is missing costs the text queries alone."""
+    import os
+    import subprocess
+    import sys
+
+    code = "import sys; sys.modules['ahocorasick'] = None; import __spark_entry__ as e; q = e.queries(); print(len(q), any(n.startswith('op') for n in q), len(e.oracle_sql()))"
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    count, text, sql = subprocess.run([sys.executable, "-c", code], cwd=root, capture_output=True, text=True, check=True).stdout.split()
+    assert int(count) > 130 and text == "False" and int(sql) > 120
+
+
+def test_hub_links_stay_spread(spark, monkeypatch):
+    from ostiary.operators import graph
+
+    edges = [(0, i) for i in range(1, 400)] + [(i, i + 400) for i in range(1, 100)] + [(9_000, 9_001), (9_001, 9_002)]
+    frame = spark.createDataFrame(edges, "a long, b long")
+    want = {n: 0 for e in edges for n in e if n < 9_000} | {9_000: 9_000, 9_001: 9_000, 9_002: 9_000}
+    for limit in (10, 10_000):
+        monkeypatch.setattr(graph, "HUB_LINKS", limit)
+        assert {r["node"]: r["component"] for r in graph.connected_components(frame, []).collect()} == want
+    assert graph._busiest(frame.toDF("u", "v"), []) == 399
+
+
+@pytest.mark.parametrize("limit", [100_000, 100])
 def test_axis_of_a_hot_case(spark, monkeypatch, limit):
-    monkeypatch.setattr(scale, "BROADCAST_GROUPS", limit)
+    monkeypatch.setattr(scale, "HOT_ROWS", limit)
     rng = np.random.default_rng(3)
     points = [(int(i % 3 == 0) * (i % 50), *map(float, rng.normal(size=3) * (5, 1, 0.5))) for i in range(3_000)]
     table = spark.createDataFrame(points, "case_id int, x double, y double, z double")
