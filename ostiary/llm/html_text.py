@@ -30,38 +30,50 @@ _ENDS_PARAGRAPH = _BLOCKS - {"html", "head", "body", "label", "legend"}
 _ENDS_LIKE = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
 _LISTS = frozenset(["ul", "ol", "dl", "table", "menu"])
 _LEAVES = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd td th pre blockquote figcaption caption tr".split())
-_NEVER = frozenset("head nav aside form footer menu dialog fieldset label legend".split())
+_NEVER = frozenset("head nav aside footer menu dialog fieldset label legend".split())
 _WHOLE = frozenset(["html", "body"])
-# Words of class, id and role names. Elements named by the first list or the second go, unless they are an article or main
-# element or the third list names them too: by the first list such elements lose their weight, and points decide.
+# Words of the names in class, id and role. A name is one item, as post-comments, and its words together say what the element
+# is: any word of the first three lists makes it such a thing, whatever else the name holds, unless a word of state or
+# layout is among them (has-comments, menu-open). Names of the fourth list count only without a content word.
+_READERS = frozenset("comment comments commentlist commenter disqus reply replies respond reaction reactions".split())
+_FOOT = frozenset("footer footers foot copyright colophon".split())
 _ALIEN = frozenset("""ad ads adv advert adverts advertising advertisement advertisements adsense sponsor sponsored sponsors promo promos promotion
-comment comments commentlist disqus reply replies respond cookie cookies consent gdpr popup modal newsletter subscribe subscription signup
+cookie cookies consent gdpr popup modal newsletter subscribe subscription signup
 login share sharing sharedaddy social related recommended recommendations breadcrumb breadcrumbs navbar nav navigation menu menus sidebar
 sidebars pagination pager banner banners notice notices alert skyscraper outbrain taboola paywall complementary contentinfo search""".split())
-_DOUBTFUL = frozenset("header footer foot side widget widgets toolbar masthead meta tags tools byline copyright legal disclaimer toc rail links site top bottom".split())
+_DOUBTFUL = frozenset("header side widget widgets toolbar masthead meta tags tools byline legal disclaimer toc rail links site top bottom".split())
 _CONTENT = frozenset("article articles body content entry main post story text hentry page column blog prose".split())
+_STATES = frozenset("has with without no open opened closed enabled disabled on off layout".split())
+# A form, or an element named like a part of a layout, that holds this share of the page's paragraphs is their container.
+_CONTAINS = 0.8
 _NAMES = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|$)|aria-hidden\s*=\s*["']?true|display\s*:\s*none|visibility\s*:\s*hidden""", re.I)
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
 class _Node:
-    __slots__ = ("tag", "parent", "gone", "weight", "points", "mixed", "size", "linked", "commas")
+    __slots__ = ("tag", "parent", "gone", "weight", "points", "mixed", "size", "linked", "commas", "doubted", "paragraphs")
 
     def __init__(self, tag: str, parent: "_Node | None", attributes: str) -> None:
         self.tag, self.parent = tag, parent
         self.points = 0.0
-        self.size = self.linked = self.commas = 0
-        names = {w.lower() for m in _NAMES.finditer(attributes) for w in _WORDS.findall(m[2] or m[3] or m[4] or "")} if attributes else ()
-        content = bool(names) and not _CONTENT.isdisjoint(names)
-        body = tag in ("article", "main") or content
-        self.mixed = body and bool(names) and not _ALIEN.isdisjoint(names)
+        self.size = self.linked = self.commas = self.paragraphs = 0
+        names = [{w.lower() for w in _WORDS.findall(name)} for m in _NAMES.finditer(attributes) for name in (m[2] or m[3] or m[4] or "").split()]
+        named = [n for n in names if _STATES.isdisjoint(n)]
+        readers, alien, foot = (any(not words.isdisjoint(n) for n in named) for words in (_READERS, _ALIEN, _FOOT))
+        content = any(not _CONTENT.isdisjoint(n) and n.isdisjoint(_READERS) and n.isdisjoint(_ALIEN) and n.isdisjoint(_FOOT) for n in names)
+        doubtful = any(not _DOUBTFUL.isdisjoint(n) and n.isdisjoint(_CONTENT) for n in named)
+        piece = tag in ("article", "main")
+        body = piece or content
+        self.mixed = body and (readers or alien)
         self.weight = 25.0 * (body and not self.mixed)
         self.gone = parent is not None and parent.gone
+        # gone unless it turns out to hold the page's paragraphs
+        self.doubted = tag == "form" or alien and not readers and not body and tag not in _WHOLE
         if self.gone or tag in _WHOLE:
             return
-        self.gone = (tag in _NEVER or (tag == "header" and not self._inside("article", "main"))
-                     or bool(names) and not body and not (_ALIEN.isdisjoint(names) and _DOUBTFUL.isdisjoint(names))
+        self.gone = (tag in _NEVER or (tag == "header" and not self._inside("article", "main")) or readers and not (piece and content)
+                     or foot and not piece or doubtful and not body
                      or bool(attributes) and _HIDDEN.search(_NAMES.sub(" ", attributes)) is not None)
 
     def _inside(self, *tags: str) -> bool:
@@ -143,10 +155,28 @@ def _read(page: str) -> tuple[list[_Node], list[tuple[_Node, str, int]]]:
     return nodes, runs
 
 
+def _lasting(nodes: list[_Node], runs: list[tuple[_Node, str, int]]) -> list[tuple[_Node, str, int]]:
+    """Runs outside forms and boxes named like parts of a layout; such an element stays if it holds the page's paragraphs."""
+    if not any(n.doubted for n in nodes):
+        return runs
+    total = 0
+    for node, text, linked in runs:
+        if node.tag == "p":
+            total += len(text) - linked
+            up = node
+            while up is not None:
+                up.paragraphs += len(text) - linked
+                up = up.parent
+    for node in nodes:  # parents come before their children
+        node.gone |= node.parent is not None and node.parent.gone
+        node.gone |= node.doubted and not (total and node.paragraphs >= _CONTAINS * total)
+    return [r for r in runs if not r[0].gone]
+
+
 def main_text(page: str) -> str:
     """Text of the main article: blocks in page order joined by a blank; empty if there is none."""
     nodes, runs = _read(page)
-    runs = [r for r in runs if not r[0].gone]
+    runs = _lasting(nodes, [r for r in runs if not r[0].gone])
     if not runs:
         return ""
     for node, text, linked in runs:

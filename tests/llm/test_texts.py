@@ -253,3 +253,26 @@ def test_html_article_with_alien_words_in_its_names(open_, close):
     paragraphs = ["The first paragraph, long enough to count, has some commas, and goes on.", "The second one, too, is as long as it has to be, and ends."]
     inner = "".join(f"<p>{p}</p>" for p in paragraphs) + "<div class='post-share'>tweet this</div>"
     assert html_text.main_text(PAGE.format(body=open_ + inner + close)) == " ".join(paragraphs)
+
+
+_SAYS = "I read this with interest, although, as others said, some of it was known before, and I doubt the rest of it, too."
+
+
+@pytest.mark.parametrize("name", ["post-comments", "comment-body", "entry-comments", "comments-content", "article-comments", "comments", "replyList", "page-footer", "site-footer", "sponsored-content"])
+@pytest.mark.parametrize("inside", [True, False])
+def test_readers_comments_and_footers_go(name, inside):
+    paragraphs = [f"Paragraph {i} of the article, with words, and more words, so that it counts for something." for i in range(4)]
+    article = "".join(f"<p>{p}</p>" for p in paragraphs)
+    box = f'<div class="{name}">' + f"<p>{_SAYS}</p>" * 8 + "</div>"
+    body = f'<div class="entry-content">{article}{box if inside else ""}</div>{"" if inside else box}'
+    assert html_text.main_text(f"<html><body>{body}</body></html>") == " ".join(paragraphs)
+
+
+@pytest.mark.parametrize("open_, close", [("<form id='aspnetForm'>", "</form>"), ("<div class='sidebar-layout'>", "</div>"), ("<div class='modal social'><div>", "</div></div>"),
+                                          ("<div id='content' class='menu-open'>", "</div>"), ("<main class='with-sidebar'>", "</main>"), ("<form><div class='post'>", "</div></form>")])
+def test_elements_around_the_whole_page_are_containers(open_, close):
+    paragraphs = [f"Paragraph {i} of the article, with words, and more words, so that it counts for something." for i in range(6)]
+    body = open_ + "<nav><a href='/'>Home</a></nav>" + "".join(f"<p>{p}</p>" for p in paragraphs) + close
+    assert html_text.main_text(f"<html><body>{body}</body></html>") == " ".join(paragraphs)
+    search = "<form><p>Search here</p><input></form><div class='related'><p>See this, too</p></div>"
+    assert html_text.main_text(f"<html><body>{body}{search}</body></html>") == " ".join(paragraphs)
