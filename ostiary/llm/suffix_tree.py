@@ -4,6 +4,10 @@ A text is its lower-cased (A-Z) words joined by single blanks and closed by an e
 longest retained context of up to DEPTH bytes before it. All training texts are counted. A context is retained when its
 next-symbol distribution differs from its parent's (the context without its first byte) by more than a code-length test
 allows; its distribution is smoothed with its parent's. Scoring walks the tree's suffix states as an automaton.
+
+Every context that passes is kept. A tree of more than PART_CONTEXTS contexts is cut into parts by the last two bytes of a
+context, which a position shows before the tree is asked: each part is an automaton of its own, broadcast in a pass of its
+own, and scores the positions after its pairs of bytes.
 """
 
 from __future__ import annotations
@@ -23,8 +27,8 @@ from ostiary.llm import common
 
 DEPTH = 5
 END = 10  # a line feed is in no word: it closes a text and stands for what is before its first byte
-# Largest number of retained contexts; beyond it those that shorten the code most are kept. Bounds what is broadcast.
-MAX_CONTEXTS = 40_000
+# Contexts in one part of the tree: bounds what is broadcast and built at a time.
+PART_CONTEXTS = 200_000
 # Words whose counts go to every executor; the counts of all others are looked up by a join.
 COMMON_WORDS = 200_000
 FLUSH_WORDS = 200_000
@@ -132,8 +136,20 @@ class Tree:
     n: np.ndarray
 
 
-def grow(windows: DataFrame, max_contexts: int = MAX_CONTEXTS) -> Tree:
-    """Tree of the contexts that pass the divergence test, and of their ancestors.
+@dataclass
+class Forest:
+    """The tree in parts. ``part_of`` is the part that scores a position, by the two bytes before it."""
+
+    parts: list[DataFrame]
+    part_of: np.ndarray
+
+    def trees(self) -> Iterator[Tree]:
+        for part in self.parts:  # PART_CONTEXTS contexts, one part at a time
+            yield Tree(uuid.uuid4().hex, *(c.to_numpy() for c in part.toArrow().columns))
+
+
+def retained(windows: DataFrame) -> DataFrame:
+    """``depth, context, symbol, n`` of the contexts that pass the divergence test, of their ancestors and of the root.
 
     Summed over its occurrences, a context's divergence from its parent must exceed half the logarithm of its count for
     each symbol seen after it (the cost of stating its distribution).
@@ -153,16 +169,27 @@ def grow(windows: DataFrame, max_contexts: int = MAX_CONTEXTS) -> Tree:
     tested = (full.filter("depth > 0").select("*", above).join(parent, ["depth", "above", "symbol"])
               .groupBy("depth", "context").agg(gain.alias("gain"), F.max("total").alias("total"), F.count("*").alias("symbols")))
     passed = tested.filter(F.col("gain") > F.col("symbols") * F.log("total") / 2)
-    best = largest(common.checkpoint(passed), "gain", max_contexts).select("depth", "context").toArrow()
-    kept = {(0, 0)}
-    for depth, context in zip(*(c.to_pylist() for c in best.columns)):
-        while depth:
-            kept.add((depth, context))
-            depth, context = depth - 1, context & ((1 << (8 * (depth - 1))) - 1)
-    spark = windows.sparkSession
-    wanted = spark.createDataFrame(sorted(kept), "depth int, context long")  # DEPTH * max_contexts rows at most
-    table = counted.join(F.broadcast(wanted), ["depth", "context"]).select("depth", "context", "symbol", "n").toArrow()
-    return Tree(uuid.uuid4().hex, *(c.to_numpy() for c in table.columns))
+    shorter = F.explode(F.sequence(F.lit(1), F.col("depth"))).alias("to")
+    wanted = passed.select("context", shorter).select(F.col("to").alias("depth"), F.expr("context & (shiftleft(1L, 8 * to) - 1)").alias("context")).distinct()
+    return common.checkpoint(counted.join(wanted, ["depth", "context"], "left_semi").unionByName(counted.filter("depth = 0")))
+
+
+def grow(windows: DataFrame, part_contexts: int = PART_CONTEXTS) -> Forest:
+    """The tree of all retained contexts. Contexts of up to one byte are in every part."""
+    table = retained(windows)
+    pair = F.expr("cast(context & 65535 AS int)").alias("pair")
+    sizes = table.filter("depth > 1").select("depth", "context", pair).distinct().groupBy("pair").count().collect()  # 65,536 rows at most
+    part_of, part, held = np.zeros(1 << 16, np.int32), 0, 0
+    for row in sorted(sizes, key=lambda r: r["pair"]):
+        if held and held + row["count"] > part_contexts:
+            part, held = part + 1, 0
+        part_of[row["pair"]] = part
+        held += row["count"]
+    if part == 0:
+        return Forest([table], part_of)
+    places = table.sparkSession.createDataFrame([(r["pair"], int(part_of[r["pair"]])) for r in sizes], "pair int, part int")
+    placed = common.checkpoint(table.withColumn("pair", pair).join(F.broadcast(places), "pair", "left"))
+    return Forest([placed.filter((F.col("depth") < 2) | (F.col("part") == i)).select(table.columns) for i in range(part + 1)], part_of)
 
 
 class Automaton:
@@ -193,11 +220,12 @@ class Automaton:
             link[i] = number[(max(size, 0), c & ((1 << (8 * max(size, 0))) - 1))] if d else 0
             if d:
                 child[d - 1].append((number[(d - 1, c >> 8)], classes[c & 255], i))
-        counts = np.zeros((len(ordered), width), np.float32)
-        at = [number[s] for s in zip(tree.depth.tolist(), tree.context.tolist())]
-        np.add.at(counts, (at, classes[tree.symbol]), tree.n)
+        at = np.array([number[s] for s in zip(tree.depth.tolist(), tree.context.tolist())], np.int64)
+        symbol = classes[tree.symbol]
+        total, kinds = np.bincount(at, tree.n, len(ordered)), np.bincount(at, minlength=len(ordered))
         # root: symbols with one half added each, unseen bytes included
-        root = counts[0].astype(np.float64) + 0.5
+        root = np.full(width, 0.5)
+        root[symbol[at == 0]] += tree.n[at == 0]
         root[0] = 0.5 * unseen
         probability = np.zeros((len(ordered), width), np.float32)
         probability[0] = root / root.sum()
@@ -208,19 +236,21 @@ class Automaton:
             if not len(rows):
                 continue
             if depth:
-                follow[rows] = follow[link[rows]]
-                kinds = (counts[rows] > 0).sum(1, keepdims=True)
-                total = counts[rows].sum(1, keepdims=True)
                 # Witten and Bell: as much weight for the shorter context as there are different symbols after this one
-                probability[rows] = np.where(total > 0, (counts[rows] + kinds * probability[link[rows]]) / np.maximum(total + kinds, 1),
-                                             probability[link[rows]])
-            for parent, symbol, i in child[depth]:
-                follow[parent, symbol] = i
-        self.follow = (follow * width).ravel()
-        self.logs = np.log10(probability).ravel()
-
-    def score(self, texts: list[bytes]) -> np.ndarray:
-        """log10 probability of each joined text with its end."""
+                weight = np.where(total > 0, kinds / np.maximum(total + kinds, 1), 1.0).astype(np.float32)
+                for part in np.array_split(rows, -(-len(rows) // 4_096)):
+                    follow[part] = follow[link[part]]
+                    probability[part] = probability[link[part]] * weight[part, None]
+                own = np.flatnonzero(depths[at] == depth)
+                probability[at[own], symbol[own]] += (tree.n[own] / (total + kinds)[at[own]]).astype(np.float32)
+            for parent, byte, i in child[depth]:
+                follow[parent, byte] = i
+        follow *= width
+        self.follow = follow.ravel()
+        self.logs = np.log10(probability, out=probability).ravel()
+
+    def score(self, texts: list[bytes], mine: np.ndarray | None = None) -> np.ndarray:
+        """log10 probability of each joined text with its end; with ``mine`` of the bytes after those pairs of bytes only."""
         stream, ends = _stream(texts)
         classes = self.classes[stream]
         lanes = -(-len(classes) // LANE)
@@ -239,13 +269,27 @@ class Automaton:
         found = out.T.ravel()[:len(classes)]
         for j in range(DEPTH):  # the padding is certain
             found[np.concatenate([[0], ends[:-1]]) + j] = 0
+        if mine is not None:  # a text starts after END symbols, so the pair before its first byte is known too
+            found[2:][~mine[stream[:-2].astype(np.int64) << 8 | stream[1:-1]]] = 0
         return np.add.reduceat(found, np.concatenate([[0], ends[:-1]]), dtype=np.float64)
 
 
+def _with_part(rows: DataFrame, text: str, shipped: Broadcast) -> DataFrame:
+    """``rows`` with the scores of one more part of the tree added to ``score``."""
+    def add(batch: pa.RecordBatch) -> list:
+        tree, mine = shipped.value
+        automaton = common.once_per_worker(("tree", tree.key), lambda: Automaton(tree))
+        more = [automaton.score(part, mine) for part in _batches(map(_joined, common.bytes_of(batch, text)))]
+        return [np.concatenate(more) + batch.column("score").to_numpy()]
+
+    return common.with_columns(rows, "score double", add)
+
+
 FIELDS = "n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
-def score(docs: DataFrame, train: DataFrame, doc_id: str = "doc_id", text: str = "text", common_words: int = COMMON_WORDS) -> DataFrame:
+def score(docs: DataFrame, train: DataFrame, doc_id: str = "doc_id", text: str = "text", common_words: int = COMMON_WORDS,
+          part_contexts: int = PART_CONTEXTS) -> DataFrame:
     """``docs`` without its text, with FIELDS: whole texts scored by a tree grown from all of ``train``'s texts.
 
     ``base_score`` is the unigram model with 0.1 added to every count, ``n_known`` the tokens seen in training; the end
@@ -261,17 +305,20 @@ def score(docs: DataFrame, train: DataFrame, doc_id: str = "doc_id", text: str =
     found = largest(words, "n", common_words).toArrow()
     frequent = dict(zip(found.column("word").to_pylist(), found.column("n").to_pylist()))
     complete = len(frequent) == sums["kinds"]
-    tree = grow(count_windows(train, text))
-    shipped: Broadcast = spark.sparkContext.broadcast((tree, frequent))
+    forest = grow(count_windows(train, text), part_contexts)
+    trees = forest.trees()
+    several = len(forest.parts) > 1
+    mine = [forest.part_of == i if several else None for i in range(len(forest.parts))]
+    shipped: Broadcast = spark.sparkContext.broadcast((next(trees), mine[0], frequent))
     unknown, end = math.log10(0.1 / divisor), math.log10((texts_seen + 0.1) / divisor)
 
     def compute(batch: pa.RecordBatch) -> list:
-        tree, frequent = shipped.value
+        tree, mine, frequent = shipped.value
         automaton = common.once_per_worker(("tree", tree.key), lambda: Automaton(tree))
         points = common.once_per_worker(("points", tree.key), lambda: {w: math.log10((n + 0.1) / divisor) for w, n in frequent.items()})
         scores, sizes, known, base, rest = [], [], [], [], []
         for part in _batches(map(_joined, common.bytes_of(batch, text))):
-            scores.append(automaton.score(part))
+            scores.append(automaton.score(part, mine))
             for body in part:
                 own = body.split()
                 found = list(map(points.get, own))
@@ -282,8 +329,10 @@ def score(docs: DataFrame, train: DataFrame, doc_id: str = "doc_id", text: str =
                 rest.append(missing)
         return [pa.array(sizes, pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()), np.concatenate(scores), pa.array(rest, pa.list_(pa.binary()))]
 
-    rows = common.with_columns(docs, "n_tokens long, _known long, _base double, score double, _rest array<binary>", compute).drop(text)
-    rows = rows.withColumn("train_tokens", F.lit(total).cast("long"))
+    rows = common.with_columns(docs, "n_tokens long, _known long, _base double, score double, _rest array<binary>", compute)
+    for tree, of_part in zip(trees, mine[1:]):  # a pass for each further part, over what the passes before it wrote
+        rows = _with_part(common.checkpoint(rows), text, spark.sparkContext.broadcast((tree, of_part)))
+    rows = rows.drop(text).withColumn("train_tokens", F.lit(total).cast("long"))
     names = [c for c in docs.columns if c != text and c.lower() not in ("n_tokens", "n_known", "train_tokens", "base_score", "score")]
     if complete:  # every training word is in every executor's table
         return rows.select(*names, "n_tokens", F.col("_known").alias("n_known"), "train_tokens",

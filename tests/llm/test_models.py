@@ -137,7 +137,38 @@ def test_base_scores(spark, common_words):
 
 
 def _grown(spark, texts):
-    return suffix_tree.grow(suffix_tree.count_windows(documents(spark, texts), "text"))
+    return next(suffix_tree.grow(suffix_tree.count_windows(documents(spark, texts), "text")).trees())
+
+
+def test_every_context_that_passes_is_kept(spark):
+    """The divergence test by its definition, over all contexts of the texts."""
+    rng = random.Random(6)
+    texts = [sentence(rng, rng.choice(["en", "fr"]), words=120) for _ in range(25)]
+    counts = defaultdict(Counter)
+    for text in texts:
+        whole = b"\n" * suffix_tree.DEPTH + b" ".join(text.encode().lower().split()) + b"\n"
+        for at in range(suffix_tree.DEPTH, len(whole)):
+            for depth in range(suffix_tree.DEPTH + 1):
+                counts[whole[at - depth:at]][whole[at]] += 1
+    kept = {b""}
+    for context, own in counts.items():
+        if context:
+            total, above = sum(own.values()), counts[context[1:]]
+            gain = sum(n * (math.log(n / total) - math.log(above[s] / sum(above.values()))) for s, n in own.items())
+            if gain > len(own) * math.log(total) / 2:
+                kept |= {context[i:] for i in range(len(context))}
+    tree = _grown(spark, texts)
+    found = {c.to_bytes(8, "big")[8 - d:] if d else b"" for d, c in zip(tree.depth.tolist(), tree.context.tolist())}
+    assert found == kept and len(kept) > 100
+
+
+def test_parts_of_the_tree_give_the_same_scores(spark):
+    rng = random.Random(7)
+    docs = documents(spark, ODD + [sentence(rng, rng.choice(["en", "fr"]), words=rng.randint(1, 150)) for _ in range(40)]).drop("score")
+    whole, cut = ({r["doc_id"]: r["score"] for r in suffix_tree.score(docs, docs.select("text"), part_contexts=n).collect()} for n in (10**6, 60))
+    forest = suffix_tree.grow(suffix_tree.count_windows(docs, "text"), 60)
+    assert len(forest.parts) > 3 and set(whole) == set(cut)
+    assert [cut[i] for i in sorted(cut)] == pytest.approx([whole[i] for i in sorted(whole)], rel=1e-5)
 
 
 def test_tree_scores_equal_longest_suffixes(spark):
