@@ -8,6 +8,7 @@ from ostiary import scale
 from ostiary.functions.features import LogisticModel
 from ostiary.operators import metrics as m
 from ostiary.operators.matching import match_one_to_one, missing_predictions
+from ostiary.operators.quality import raise_on
 from ostiary.plans.workflow import score_candidates, threshold_filter
 
 TOLERANCES_MM = [2.0, 3.0, 5.0]
@@ -82,6 +83,37 @@ def evaluate_bundle(
     return frames[0].unionByName(frames[1])
 
 
+def benchmark_report(
+    files: DataFrame, manifest: DataFrame, manifest_files: DataFrame, branches: DataFrame, references: DataFrame, runs: DataFrame,
+    model: LogisticModel, split: DataFrame, tolerance: float, sensitivity: list[float] | None = None,
+) -> dict[str, DataFrame]:
+    """The whole benchmark over a dataset whose files are first checked against their digests: a difference is an error.
+
+    ``files`` and ``manifest_files`` have ``path, sha256``, ``manifest`` ``case_id, family``, ``runs`` ``case_id, total_s,
+    filter_s``, ``split`` ``partition, case_id``. Tables: ``cases`` with family and runtime; ``summary`` of the filtered and
+    ``unfiltered`` predictions, per family too; ``sensitivity`` of the filtered ones to the tolerance; ``overlap`` of the
+    model's split with the dataset; ``runtime``.
+    """
+    broken = manifest_files.select("path", F.col("sha256").alias("stated")).join(files.select("path", "sha256"), "path", "left").filter(
+        F.col("sha256").isNull() | (F.col("sha256") != F.col("stated")))
+    raise_on(broken.select(F.lit("integrity").alias("rule"), F.col("path").alias("detail")))
+    sensitivity = sensitivity or TOLERANCES_MM
+    branches = scale.checkpoint(score_candidates(branches, model))
+    asked = sorted({float(tolerance), *map(float, sensitivity)})
+    per_tolerance, _ = evaluate(manifest, threshold_filter(branches, model.threshold), references, asked)
+    per_tolerance = scale.checkpoint(per_tolerance)
+    chosen = per_tolerance.filter(F.col("tolerance_mm") == float(tolerance))
+    plain, _ = evaluate(manifest, branches, references, [tolerance])
+    variants = [m.summarize_by(rows, "family").withColumn("variant", F.lit(name)) for name, rows in (("filtered", chosen), ("unfiltered", plain))]
+    runtime = F.col("total_s") + F.coalesce("filter_s", F.lit(0.0))
+    return {
+        "cases": chosen.join(runs.select("case_id", runtime.alias("runtime_s")), "case_id", "left"),
+        "summary": variants[0].unionByName(variants[1]),
+        "sensitivity": m.summarize(per_tolerance.filter(F.col("tolerance_mm").isin([float(t) for t in sensitivity])), ["tolerance_mm"]),
+        "overlap": dataset_overlap(split, manifest), "runtime": m.runtime_stats(runs.join(manifest.select("case_id"), "case_id", "left_semi")),
+    }
+
+
 def dataset_overlap(split: DataFrame, evaluated: DataFrame) -> DataFrame:
     """Evaluated cases that the model's split already contains, one row per partition and case."""
     return split.join(evaluated.select("case_id").distinct(), "case_id").select("partition", "case_id").distinct()

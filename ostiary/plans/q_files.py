@@ -103,6 +103,34 @@ def diagnostic_records(spark, folder):
                           F.coalesce(F.size(kept), F.lit(0)).cast("bigint").alias("retained"))
 
 
+@query("prediction_record_rows", a.oracle(f"""
+    SELECT case_id, 0::BIGINT AS part, 1::BIGINT AS parts, 'aorta' AS parent, row_number() OVER (PARTITION BY case_id ORDER BY instance_id) AS place, instance_id,
+      'aorta' AS parent_instance_id, {', '.join(sr4(c, c, 6) for c in ('ox', 'oy', 'oz', 'sx', 'sy', 'sz', 'dx', 'dy', 'dz', 'radius_mm'))} FROM pred""", "pred"))
+def prediction_record_rows(spark, folder):
+    """Every field of every record, in the order of the record."""
+    records = fl.prediction_records(a.cases(spark, folder), a.side(a.candidates(spark, folder), "O"))
+    rows = records.select("case_id", "part", "parts", F.col("parent.instance_id").alias("parent"), F.posexplode("daughters").alias("i", "d"))
+    vectors = [r4(F.get(F.col(f"d.{name}"), F.lit(i)), f"{short}{axis}", 6) for name, short in (("ostium_xyz_mm", "o"), ("seed_xyz_mm", "s"), ("direction_xyz", "d"))
+               for i, axis in enumerate("xyz")]
+    return rows.select("case_id", "part", "parts", "parent", (F.col("i") + 1).cast("bigint").alias("place"), "d.instance_id", "d.parent_instance_id", *vectors,
+                       r4(F.col("d.radius_mm"), "radius_mm", 6))
+
+
+@query("diagnostic_record_rows", a.oracle(f"""
+    SELECT s.case_id, row_number() OVER (PARTITION BY s.case_id ORDER BY s.profile = 'review', s.ord) AS place, s.profile, s.instance_id AS source_instance_id,
+      round(s.score + 1e-7, 4) + 0.0 AS score, {', '.join(sr4('s.' + c, c, 6) for c in ('ox', 'sy', 'dz', 'radius_mm'))},
+      CASE WHEN s.score < 0.35 THEN 'below_threshold' WHEN p.no IS NOT NULL THEN 'retained' ELSE 'merged' END AS decision,
+      CASE WHEN p.no IS NOT NULL THEN printf('branch_%03d', p.no) END AS output_instance_id, CASE WHEN m.no IS NOT NULL THEN printf('branch_%03d', m.no) END AS suppressor_instance_id
+    FROM scored s LEFT JOIN alive c ON c.case_id = s.case_id AND c.ord = s.ord LEFT JOIN kept p ON p.case_id = c.case_id AND p.k = c.k
+      LEFT JOIN suppressed m ON m.case_id = c.case_id AND m.k = c.k""", "cand", extra={"scored": SCORED, "alive": RANKED, **greedy(3.0)}))
+def diagnostic_record_rows(spark, folder):
+    records = fl.diagnostic_records(a.cases(spark, folder).select("case_id"), decision_log(spark, folder))
+    rows = records.select("case_id", F.posexplode("workflow.decisions").alias("i", "d"))
+    parts = [r4(F.get(F.col(f"d.candidate.{name}"), F.lit(i)), short, 6) for name, i, short in (("ostium_xyz_mm", 0, "ox"), ("seed_xyz_mm", 1, "sy"), ("direction_xyz", 2, "dz"))]
+    return rows.select("case_id", (F.col("i") + 1).cast("bigint").alias("place"), "d.profile", "d.source_instance_id", r4(F.col("d.score"), "score"), *parts,
+                       r4(F.col("d.candidate.radius_mm"), "radius_mm", 6), "d.decision", "d.output_instance_id", "d.suppressor_instance_id")
+
+
 @query("read_reviews", a.oracle("""
     SELECT case_id::VARCHAR AS case_id, instance_id, label FROM latest""", "reviews", extra={"latest": LATEST}))
 def read_reviews(spark, folder):

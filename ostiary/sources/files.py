@@ -140,9 +140,11 @@ def flatten_predictions(records: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def diagnostic_records(runs: DataFrame, log: DataFrame, rows_per_record: int = RECORD_ROWS) -> DataFrame:
-    """Run record per case with its decision log nested as ``workflow``."""
+    """Run record per case (:func:`ostiary.plans.batch.run_records`) with its decisions, candidates included, as ``workflow``."""
     parts = record_parts(log, ["case_id"], ["merge_rank"], rows_per_record)
-    entry = F.struct("merge_rank", "profile", "instance_id", "score", "decision", "output_instance_id", "suppressor_instance_id")
+    candidate = F.struct(*[F.array(*g.xyz(c)).alias(n) for c, n in (("ostium", "ostium_xyz_mm"), ("seed", "seed_xyz_mm"), ("direction", "direction_xyz"))], "radius_mm")
+    entry = F.struct("merge_rank", "profile", F.col("instance_id").alias("source_instance_id"), "score", candidate.alias("candidate"), "decision",
+                     "output_instance_id", "suppressor_instance_id")
     nested = parts.groupBy("case_id", "part").agg(F.sort_array(F.collect_list(entry)).alias("decisions"))
     rest = [name for name in runs.columns if name != "case_id"]
     return with_parts(runs, log, nested, "case_id", rows_per_record).select("case_id", "part", "parts", *rest, F.struct(
