@@ -2,25 +2,93 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import StructField, StructType
 
 from ostiary import scale
 
 Z = ["z", "y", "x"]
 # A node with more links is one of the busiest, which are joined by broadcast: HOT_KEYS of them at most.
 HUB_LINKS = 500
+# Links of one group that a task unites in memory (a few MB).
+TASK_LINKS = 20_000
 
 
 def connected_components(edges: DataFrame, by: list[str], a: str = "a", b: str = "b") -> DataFrame:
     """``by, node, component`` where the component is its smallest node id; isolated nodes are not listed.
 
-    Alternating large-star and small-star steps: every step links nodes to a smaller neighbour, found with a
+    Groups of up to TASK_LINKS links are united by one task each, many of them in one stream. Larger ones go through
+    alternating large-star and small-star steps: every step links nodes to a smaller neighbour, found with a
     partial minimum, and the busiest nodes' links stay where they are, so a node with very many neighbours is never
     gathered in one place. The number of
     rounds grows with the logarithm of the component size. Every round is checkpointed.
     """
     links = scale.checkpoint(edges.select(
         *by, F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u <> v").distinct())
+    small, large = scale.split_by_size(links, by, TASK_LINKS) if by else (
+        (links, None) if links.count() <= TASK_LINKS else (None, links))
+    found = None if small is None else _united(small, by)
+    if large is not None:
+        stars = _by_stars(large, by)
+        found = stars if found is None else found.unionByName(stars)
+    return found
+
+
+def _united(links: DataFrame, by: list[str]) -> DataFrame:
+    """Components of groups that a task can hold, one after the other over rows sorted by group."""
+    schema = StructType([*(links.schema[c] for c in by), StructField("node", links.schema["u"].dataType), StructField("component", links.schema["u"].dataType)])
+    nested = isinstance(links.schema["u"].dataType, StructType)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parent: dict = {}
+        group: tuple | None = None
+        kinds: list[pa.DataType] = []
+        names: list[str] = []
+        done: list[tuple] = []
+
+        def root(node):
+            while parent[node] != node:
+                parent[node] = parent[parent[node]]
+                node = parent[node]
+            return node
+
+        def values(column: pa.Array) -> list:
+            rows = column.to_pylist()
+            return [tuple(r.values()) for r in rows] if nested else rows
+
+        def out() -> pa.RecordBatch:
+            arrays = list(zip(*done))
+            if nested:
+                arrays[-2:] = [[dict(zip(names, v)) for v in column] for column in arrays[-2:]]
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(arrays, kinds)], names=[*by, "node", "component"])
+
+        for batch in batches:
+            kinds = [batch.column(c).type for c in [*by, "u", "u"]]
+            names = [f.name for f in kinds[-1]] if nested else []
+            keys = zip(*(batch.column(c).to_pylist() for c in by)) if by else iter([()] * batch.num_rows)
+            for key, u, v in zip(keys, values(batch.column("u")), values(batch.column("v"))):
+                if key != group:
+                    done.extend((*group, n, root(n)) for n in parent)  # nothing before the first group
+                    parent, group = {}, key
+                u, v = root(parent.setdefault(u, u)), root(parent.setdefault(v, v))
+                if u != v:
+                    parent[max(u, v)] = min(u, v)
+            if done:
+                yield out()
+                done = []
+        if group is not None:
+            done = [(*group, n, root(n)) for n in parent]
+            yield out()
+
+    rows = links.select(*by, "u", "v")
+    rows = rows.repartition(*by).sortWithinPartitions(*by) if by else rows.coalesce(1)
+    return rows.mapInArrow(run, schema)
+
+
+def _by_stars(links: DataFrame, by: list[str]) -> DataFrame:
     signature, busiest = None, _busiest(links, by)
     while True:
         links = _star(links, by, True, busiest)

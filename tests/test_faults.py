@@ -126,14 +126,51 @@ def test_core_queries_register_without_text_libraries():
     assert int(count) > 130 and text == "False" and int(sql) > 120
 
 
+def test_components_by_tasks_and_by_stars(spark, monkeypatch):
+    """Random graphs in groups of different sizes, with plain and struct nodes, by either route and by both."""
+    import random
+
+    from ostiary.operators import graph
+
+    rng = random.Random(1)
+    edges = [(g, rng.randrange(60), rng.randrange(60)) for g, n in ((1, 40), (2, 90), (None, 20), (7, 3)) for _ in range(n)]
+    parent = {}
+
+    def root(x):
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+
+    for g, x, y in edges:
+        if g is not None and x != y:
+            lo, hi = sorted((root((g, x)), root((g, y))))
+            parent[hi] = lo
+    want = sorted((g, n, root((g, n))[1]) for g, n in parent)
+    frame = spark.createDataFrame(edges, "g int, a long, b long").filter("g IS NOT NULL")
+    for task in (0, 50, 1_000):
+        monkeypatch.setattr(graph, "TASK_LINKS", task)
+        assert sorted(tuple(r) for r in graph.connected_components(frame, ["g"]).collect()) == want
+        cell = F.struct(F.lit(1).alias("z"), (F.col("a") % 8).alias("y"), F.col("a").alias("x")), F.struct(F.lit(1).alias("z"), (F.col("b") % 8).alias("y"), F.col("b").alias("x"))
+        cells_ = graph.connected_components(frame.select("g", cell[0].alias("a"), cell[1].alias("b")), ["g"]).collect()
+        groups, wanted = {}, {}
+        for r in cells_:
+            groups.setdefault((r["g"], tuple(r["component"])), set()).add(r["node"]["x"])
+        for g, n, c in want:
+            wanted.setdefault((g, c), set()).add(n)
+        assert sorted(map(sorted, groups.values())) == sorted(map(sorted, wanted.values()))
+        assert all((c[1], c[2]) == min((n % 8, n) for n in nodes) for (_, c), nodes in groups.items())
+        assert graph.connected_components(frame.limit(0), ["g"]).count() == 0 and graph.connected_components(frame.limit(0).select("a", "b"), []).count() == 0
+
+
 def test_hub_links_stay_spread(spark, monkeypatch):
     from ostiary.operators import graph
 
     edges = [(0, i) for i in range(1, 400)] + [(i, i + 400) for i in range(1, 100)] + [(9_000, 9_001), (9_001, 9_002)]
     frame = spark.createDataFrame(edges, "a long, b long")
     want = {n: 0 for e in edges for n in e if n < 9_000} | {9_000: 9_000, 9_001: 9_000, 9_002: 9_000}
-    for limit in (10, 10_000):
+    for limit, task in ((10, 0), (10_000, 0), (10, 20_000)):
         monkeypatch.setattr(graph, "HUB_LINKS", limit)
+        monkeypatch.setattr(graph, "TASK_LINKS", task)
         assert {r["node"]: r["component"] for r in graph.connected_components(frame, []).collect()} == want
     assert graph._busiest(frame.toDF("u", "v"), []) == 399
 
