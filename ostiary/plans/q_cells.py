@@ -201,13 +201,50 @@ def cap_cells(spark, folder):
     return c.cap_cells(a.cells(spark, folder), 2.0, 3.0).select("case_id", "z", "y", "x", "excluded")
 
 
-@query("junctions")
+_OFF_CENTRE = "sqrt((s.x-c.cx)**2 + (s.y-c.cy)**2 + (s.z-c.cz)**2)"
+CROSSINGS = {
+    **SHELL, **{k: v for k, v in components_sql("shell", tag="s").items() if k in ("nodess", "linkss")},
+    "knots": """SELECT n.case_id, n.z, n.y, n.x FROM nodess n JOIN shell h ON h.case_id = n.case_id AND h.z = n.z AND h.y = n.y AND h.x = n.x
+        JOIN (SELECT a, count(*) AS n FROM linkss GROUP BY 1 HAVING count(*) >= 3) l ON l.a = n.id WHERE NOT h.parent""",
+    **components_sql("knots", tag="k"),
+    "centres": "SELECT case_id, label, avg(x) AS cx, avg(y) AS cy, avg(z) AS cz FROM labelledk GROUP BY 1, 2",
+    "arms": f"""SELECT c.label AS case_id, s.z, s.y, s.x, {_OFF_CENTRE} AS d FROM centres c JOIN shell s ON s.case_id = c.case_id
+        WHERE {_OFF_CENTRE} > 2 AND {_OFF_CENTRE} <= 5""",
+    **components_sql("arms", tag="a"),
+    "reaching": """SELECT l.case_id AS junction, l.label FROM labelleda l JOIN arms a ON a.case_id = l.case_id AND a.z = l.z AND a.y = l.y AND a.x = l.x
+        GROUP BY 1, 2 HAVING min(d) <= 3.5 AND max(d) >= 4""",
+}
+
+
+@query("junctions", a.oracle(f"""
+    SELECT c.case_id, {sr4('cx', 'cx')}, {sr4('cy', 'cy')}, {sr4('cz', 'cz')}, n AS arms FROM centres c
+      JOIN (SELECT junction, count(*) AS n FROM reaching GROUP BY 1 HAVING count(*) >= 3) r ON r.junction = c.label""", "cells", extra=CROSSINGS))
 def junctions(spark, folder):
     found = c.junctions(shell(spark, folder).select("case_id", "z", "y", "x", "parent"))
     return found.select("case_id", *[r4(F.col(f"centre.{ax}"), f"c{ax}") for ax in "xyz"], "arms")
 
 
-@query("slice_curve")
+_OFF_PLANE = "(c.z-k.cz)**2 + (c.y-k.cy)**2 + (c.x-k.cx)**2"
+CENTRE_LINE = {
+    "axis": """SELECT case_id, CASE WHEN max(z)-min(z) >= max(y)-min(y) AND max(z)-min(z) >= max(x)-min(x) THEN 'z' WHEN max(y)-min(y) >= max(x)-min(x) THEN 'y'
+        ELSE 'x' END AS axis FROM cells WHERE parent GROUP BY 1""",
+    "placed": "SELECT c.*, CASE axis WHEN 'z' THEN z WHEN 'y' THEN y ELSE x END AS level FROM cells c JOIN axis a ON a.case_id = c.case_id WHERE parent",
+    "centres": """SELECT case_id, level, sum(z * inside**2) / sum(inside**2) AS cz, sum(y * inside**2) / sum(inside**2) AS cy, sum(x * inside**2) / sum(inside**2) AS cx
+        FROM placed GROUP BY 1, 2""",
+    "snapped": f"""SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY level) - 1 AS seq, count(*) OVER (PARTITION BY case_id) AS n FROM (
+        SELECT c.case_id, c.level, c.z::DOUBLE AS z, c.y::DOUBLE AS y, c.x::DOUBLE AS x,
+          row_number() OVER (PARTITION BY c.case_id, c.level ORDER BY {_OFF_PLANE}, c.z, c.y, c.x) AS place
+        FROM placed c JOIN centres k ON k.case_id = c.case_id AND k.level = c.level) WHERE place = 1""",
+    "smooth": """SELECT l.case_id, l.seq, sum(w * s.z) / sum(w) AS sz, sum(w * s.y) / sum(w) AS sy, sum(w * s.x) / sum(w) AS sx FROM (
+        SELECT case_id, seq, n, o, exp(-0.5 * (o / 2.0) ** 2) AS w, (((seq + o) % (2*n)) + 2*n) % (2*n) AS turn FROM snapped, (SELECT unnest(range(-8, 9)) AS o)) l
+        JOIN snapped s ON s.case_id = l.case_id AND s.seq = CASE WHEN turn < l.n THEN turn ELSE 2*l.n - 1 - turn END GROUP BY 1, 2""",
+}
+
+
+@query("slice_curve", a.oracle(f"""
+    SELECT s.case_id, s.level, {', '.join(sr4(f'CASE WHEN m.case_id IS NULL THEN s.{c} ELSE k.s{c} END', c) for c in 'zyx')} FROM snapped s
+      JOIN smooth k ON k.case_id = s.case_id AND k.seq = s.seq LEFT JOIN placed m ON m.case_id = s.case_id
+        AND m.z = round_even(sz, 0) AND m.y = round_even(sy, 0) AND m.x = round_even(sx, 0)""", "cells", extra=CENTRE_LINE))
 def slice_curve(spark, folder):
     return c.slice_curve(a.cells(spark, folder)).select("case_id", "level", *[r4(ax) for ax in ("z", "y", "x")])
 

@@ -192,3 +192,15 @@ def fit(spark, folder):
     model = tr.fit_logistic(partitioned(spark, folder).filter("partition = 'train'"))
     return scored(spark, folder).agg(F.count("*").alias("rows")).select(
         "rows", F.array(*[F.lit(round(w, 4)) for w in model.weights]).alias("weights"), F.lit(round(model.bias, 4)).alias("bias"))
+
+
+@query("fit_logistic_gradient", "SELECT i AS weight, 0.0::DOUBLE AS gradient FROM range(14) t(i)")
+def fit_gradient(spark, folder):
+    """Slope of the penalised loss at the fitted model along each weight and, last, the bias: all zero at the minimum."""
+    train = partitioned(spark, folder).filter("partition = 'train'")
+    model = tr.fit_logistic(train)
+    standard = F.array(*[(F.get("features", F.lit(i)) - model.mean[i]) / model.scale[i] for i in range(13)])
+    logit = F.aggregate(F.zip_with("x", F.array(*map(F.lit, model.weights)), lambda a, b: a * b), F.lit(float(model.bias)), lambda t, v: t + v)
+    missed = train.select(standard.alias("x"), F.col("label")).select("x", (1 / (1 + F.exp(-logit)) - (F.col("label") == "confirmed").cast("double")).alias("e"))
+    slopes = missed.agg(F.array(*[F.avg(F.col("e") * F.get("x", F.lit(i))) + 0.1 * w for i, w in enumerate(model.weights)], F.avg("e")).alias("g"))
+    return slopes.select(F.posexplode("g").alias("i", "v")).select(F.col("i").cast("bigint").alias("weight"), (F.round("v", 4) + F.lit(0.0)).alias("gradient"))
