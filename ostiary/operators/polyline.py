@@ -55,7 +55,7 @@ def nearest_on_polyline(
     """Add ``nearest_mm`` and ``position`` (segment index + fraction) of the closest place on the case's line.
 
     ``vertices_only`` looks at vertices alone. Lines up to ``packed`` vertices travel as one array and are
-    searched inside the row. Longer ones use grid cells whose size doubles until every point is settled.
+    searched inside the row. Longer ones use grid cells of each line's own sizes, see :func:`_growing_cells`.
     Points with a missing or non-finite coordinate have no nearest place (NULL).
     """
     packed = PACKED if packed is None else packed
@@ -82,41 +82,47 @@ def nearest_on_polyline(
 
 
 def _growing_cells(points: DataFrame, lines: DataFrame, by: list[str], key: list[str], point: str, vertices_only: bool) -> DataFrame:
-    """A segment is copied to all cells its box reaches with margin r; a point looks into its own cell only.
+    """Nearest places on lines of any length, by cells of each line's own sizes.
 
-    Every segment within r of a point is seen, so a hit at most r away is final; the others retry with 2r. Segments
-    longer than a cell are cut into pieces first, so none is copied to more than a few cells.
+    On level k a line's cells have margin r = 2^k times its mean segment. A segment is copied to all cells its box reaches
+    with that margin; a point looks into its own cell only. Every segment within r of a point is seen, so a hit at most r
+    away is final; the others retry one level up. A point starts where r reaches the line's bounding box, so one far away
+    does not climb through all levels, and a round copies lines on the levels that open points ask for. Segments longer
+    than a cell are cut into pieces first, so none is copied to more than a few cells.
     """
     pieces = segments(lines, by).select(*by, "seq", "a", "b")
-    mean = pieces.agg(F.avg(g.distance(g.xyz("a"), g.xyz("b")))).first()[0]
+    mean = F.greatest(F.avg(g.distance(g.xyz("a"), g.xyz("b"))), F.lit(1e-6)).alias("_size")
+    sizes = pieces.groupBy(*by).agg(mean)
+    boxes = lines.groupBy(*by).agg(*[f(axis).alias(f"_{name}{axis}") for axis in "xyz" for name, f in (("lo", F.min), ("hi", F.max))])
+    stats = scale.checkpoint(boxes.join(sizes, by, "left").withColumn("_size", F.coalesce("_size", F.lit(1e-6))))
     if vertices_only:
         pieces = lines.select(*by, "seq", g.point(*g.cols("x", "y", "z")).alias("a"))
         pieces = pieces.withColumn("b", F.col("a"))
-    reach = max(float(mean or 0.0), 1e-6)
-    pieces = scale.checkpoint(_cut_segments(pieces, by, 2 * reach))
-    open_points = scale.checkpoint(points.join(lines.select(*by).distinct(), by, "left_semi").select(*by, *key, point))
-    radius, settled = reach, None
+    pieces = scale.checkpoint(_cut_segments(scale.per_group(pieces, stats.select(*by, "_size"), by), [*by, "_size"], 2 * F.col("_size")))
+    outside = g.norm(tuple(F.greatest(F.col(f"_lo{n}") - axis, axis - F.col(f"_hi{n}"), F.lit(0.0)) for n, axis in zip("xyz", g.xyz(point))))
+    level = F.greatest(F.lit(0), F.ceil(F.log2(outside / F.col("_size")))).cast("int")
+    started = scale.per_group(points, stats, by)
+    open_points = scale.checkpoint(started.select(*by, *key, point, "_size", F.coalesce(level, F.lit(0)).alias("_level")))
+    radius = F.col("_size") * F.pow(F.lit(2.0), F.col("_level"))
+    settled = None
     while not open_points.isEmpty():
-        axes = list(zip(g.xyz("a"), g.xyz("b")))
-        spans = [F.sequence(F.floor((F.least(a, b) - radius) / (2 * radius)), F.floor((F.greatest(a, b) + radius) / (2 * radius)))
-                 for a, b in axes]
-        copies = pieces
-        for i, span in enumerate(spans):
-            copies = copies.withColumn(f"_c{i}", F.explode(span))
+        copies = pieces.join(open_points.select(*by, "_level").distinct(), by).withColumn("_r", radius)
+        for i, (a, b) in enumerate(zip(g.xyz("a"), g.xyz("b"))):
+            r = F.col("_r")
+            copies = copies.withColumn(f"_c{i}", F.explode(F.sequence(F.floor((F.least(a, b) - r) / (2 * r)), F.floor((F.greatest(a, b) + r) / (2 * r)))))
         own = [F.floor(axis / (2 * radius)).alias(f"_c{i}") for i, axis in enumerate(g.xyz(point))]
         fraction, gap = g.segment_projection(g.xyz(point), g.xyz("a"), g.xyz("b"))
-        best = open_points.select("*", *own).join(copies, [*by, "_c0", "_c1", "_c2"]).groupBy(*by, *key).agg(
-            F.min(F.struct(gap.alias("nearest_mm"), (F.col("seq") + fraction * F.col("share")).alias("position"))).alias("_best"))
-        final = scale.checkpoint(best.filter(F.col("_best.nearest_mm") <= radius).select(*by, *key, "_best.*"))
-        open_points = scale.checkpoint(open_points.join(final, [*by, *key], "left_anti"))
+        best = open_points.select(*by, *key, point, "_level", *own).join(copies.drop("_size"), [*by, "_level", "_c0", "_c1", "_c2"]).groupBy(*by, *key).agg(
+            F.min(F.struct(gap.alias("nearest_mm"), (F.col("seq") + fraction * F.col("share")).alias("position"))).alias("_best"), F.max("_r").alias("_r"))
+        final = scale.checkpoint(best.filter(F.col("_best.nearest_mm") <= F.col("_r")).select(*by, *key, "_best.*"))
+        open_points = scale.checkpoint(open_points.join(final, [*by, *key], "left_anti").withColumn("_level", F.col("_level") + 1))
         settled = final if settled is None else settled.unionByName(final)
-        radius *= 2
     if settled is None:
         return open_points.select(*by, *key, F.lit(None).cast("double").alias("nearest_mm"), F.lit(None).cast("double").alias("position"))
     return settled
 
 
-def _cut_segments(pieces: DataFrame, keep: list[str], size: float) -> DataFrame:
+def _cut_segments(pieces: DataFrame, keep: list[str], size: float | Column) -> DataFrame:
     """Segments ``seq, a, b`` cut into pieces of at most ``size``; ``share`` is a piece's part of its segment."""
     cuts = F.greatest(F.lit(1.0), F.ceil(g.distance(g.xyz("a"), g.xyz("b")) / size).cast("double"))
     numbered = pieces.withColumn("_cuts", cuts).withColumn("_i", F.explode(F.sequence(F.lit(0), (F.col("_cuts") - 1).cast("int"))))

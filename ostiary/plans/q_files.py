@@ -35,11 +35,13 @@ def scan_cases(spark, folder):
 
 
 @query("file_availability", a.oracle("""
-    SELECT lang AS case_id, bool_and(NOT starts_with(body, 'version https://git-lfs')) AS available, 0::BIGINT AS gzipped, count(*) AS files FROM (
-      SELECT lang, CASE WHEN doc_id % 333 = 1 THEN 'version https://git-lfs.github.com/spec/v1' ELSE '' END || text AS body FROM documents) GROUP BY 1"""))
+    SELECT lang AS case_id, bool_and(NOT starts_with(body, 'version https://git-lfs')) AS available, count(*) FILTER (doc_id % 5 = 2 AND doc_id % 333 <> 1) AS gzipped, count(*) AS files FROM (
+      SELECT lang, doc_id, CASE WHEN doc_id % 333 = 1 THEN 'version https://git-lfs.github.com/spec/v1' ELSE '' END || text AS body FROM documents) GROUP BY 1"""))
 def file_availability(spark, folder):
     pointer = F.when(F.col("doc_id") % 333 == 1, F.lit("version https://git-lfs.github.com/spec/v1")).otherwise(F.lit(""))
-    rows = a.table(spark, folder, "documents").select("lang", F.encode(F.concat(pointer, "text"), "UTF-8").alias("content"))
+    packed = (F.col("doc_id") % 5 == 2) & (F.col("doc_id") % 333 != 1)
+    rows = a.table(spark, folder, "documents").select("lang", F.concat(F.when(packed, F.lit(b"\x1f\x8b")).otherwise(F.lit(b"")), F.encode(
+        F.concat(pointer, "text"), "UTF-8")).alias("content"))
     return fl.file_availability(rows, F.col("lang"))
 
 

@@ -74,6 +74,32 @@ def nearest_on_polyline(spark, folder):
     return found.select("case_id", "ord", r4("nearest_mm"), r4("position"))
 
 
+LONG_LINE = {
+    "long": """SELECT o_orderpriority AS case_id, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderkey) - 1 AS seq,
+        o_orderkey * 0.05::DOUBLE AS x, o_totalprice / 10000 AS y, (o_orderkey % 5)::DOUBLE AS z FROM orders""",
+    "span": """SELECT *, lead(x) OVER w AS x2, lead(y) OVER w AS y2, lead(z) OVER w AS z2 FROM long WINDOW w AS (PARTITION BY case_id ORDER BY seq)""",
+    "spot": """SELECT c_custkey AS id, p.o_orderpriority AS case_id, c_custkey * 0.5::DOUBLE AS x, c_acctbal / 100 AS y, CASE WHEN c_custkey % 50 = 0 THEN 5000.0::DOUBLE ELSE 1.0 END AS z
+        FROM customer JOIN (SELECT o_orderpriority, row_number() OVER (ORDER BY o_orderpriority) - 1 AS i FROM (SELECT DISTINCT o_orderpriority FROM orders)) p ON p.i = c_custkey % 5""",
+    "shot": """SELECT s.id, l.*, greatest(0, least(1, ((s.x-l.x)*(x2-l.x) + (s.y-l.y)*(y2-l.y) + (s.z-l.z)*(z2-l.z))
+        / greatest((x2-l.x)**2 + (y2-l.y)**2 + (z2-l.z)**2, 1e-8))) AS t, s.x AS px, s.y AS py, s.z AS pz FROM spot s JOIN span l ON l.case_id = s.case_id WHERE x2 IS NOT NULL""",
+}
+
+
+@query("nearest_on_long_line", a.oracle(f"""
+    SELECT id, {sr4('min(sqrt((px-x-t*(x2-x))**2 + (py-y-t*(y2-y))**2 + (pz-z-t*(z2-z))**2))', 'nearest_mm')} FROM shot GROUP BY 1""", extra=LONG_LINE))
+def nearest_on_long_line(spark, folder):
+    """Five lines through all orders and points at customers, some of them far away: no line fits one row."""
+    orders = a.table(spark, folder, "orders")
+    vertices = orders.select(F.col("o_orderpriority").alias("case_id"), (F.col("o_orderkey") * 0.05).alias("x"), (F.col("o_totalprice") / 10000).alias("y"),
+                             (F.col("o_orderkey") % 5).cast("double").alias("z"), "o_orderkey")
+    line = rank_within(vertices, ["case_id"], ["o_orderkey"], "seq").withColumn("seq", F.col("seq") - 1).drop("o_orderkey")
+    cases = sorted(r[0] for r in orders.select("o_orderpriority").distinct().collect())  # five priorities
+    key = F.col("c_custkey")
+    spots = a.table(spark, folder, "customer").select(key.alias("id"), F.get(F.array(*map(F.lit, cases)), (key % 5).cast("int")).alias("case_id"), g.point(
+        key * 0.5, F.col("c_acctbal") / 100, F.when(key % 50 == 0, 5000.0).otherwise(1.0)).alias("point"))
+    return pl.nearest_on_polyline(spots, line, ["case_id"], ["id"]).select("id", r4("nearest_mm"))
+
+
 @query("nearest_sample", a.oracle(f"""
     SELECT case_id, ord, {sr4('d', 'nearest_mm')}, seq AS index, {sr4('seq / nullif(last, 0)', 'progress')} FROM (
       SELECT c.case_id, c.ord, l.seq, max(l.seq) OVER (PARTITION BY c.case_id) AS last,
@@ -107,11 +133,14 @@ def stop_at_junction(spark, folder):
 
 @query("self_check", a.oracle(f"""
     SELECT case_id, ord, {sr4('angle', 'chord_angle')},
-      concat_ws(',', CASE WHEN angle > 35 THEN 'direction_diverges' END, CASE WHEN radius_mm < 1.5 OR radius_mm > 7 THEN 'radius_near_limit' END) AS warnings
+      concat_ws(',', CASE WHEN angle > 35 THEN 'direction_diverges' END, CASE WHEN ord % 6 = 5 THEN 'seed_off_path' END,
+        CASE WHEN radius_mm < 1.5 OR radius_mm > 7 THEN 'radius_near_limit' END) AS warnings
     FROM (SELECT *, degrees(acos(least(1, greatest(-1, (dx*(dx*5+1.5) + dy*(dy*5+tax*10) + dz*(dz*5+discount*20)) / chord)))) AS angle FROM cand)""", "cand"))
 def self_check(spark, folder):
-    return q.self_check(a.candidates(spark, folder)).select(
-        "case_id", "ord", r4("chord_angle"), F.concat_ws(",", "warnings").alias("warnings"))
+    """Every sixth seed is moved away from its path."""
+    x, y, z = g.xyz("seed")
+    rows = a.candidates(spark, folder).withColumn("seed", F.when(F.col("ord") % 6 == 5, g.point(x, y, z + 50)).otherwise(F.col("seed")))
+    return q.self_check(rows).select("case_id", "ord", r4("chord_angle"), F.concat_ws(",", "warnings").alias("warnings"))
 
 
 @query("origin_eligibility", a.oracle("""
