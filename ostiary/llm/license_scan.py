@@ -2,7 +2,8 @@
 
 Candidate blocks, short stretches of lines around words that licence notices use, are compressed with zstandard alone
 and with each template as a raw dictionary. Templates are ranked by the reduction in size; a winner is confirmed by its
-exact wording differences: the words that the block lacks and those put in between.
+exact wording differences: the words that the block lacks and those put in between. A difference in a word that names a
+licence, or in its version, is another licence: such a template does not win, however small the difference.
 """
 
 from __future__ import annotations
@@ -22,8 +23,53 @@ LEVEL = 3
 LEAST_REDUCTION = 0.3
 LEAST_WORDING = 0.8
 # How many of the best templates are compared word by word.
-RIVALS = 4
-# Wording of common public licence notices.
+RIVALS = 10
+_MIT = (
+    "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation "
+    "files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, "
+    "modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the "
+    "Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice "
+    "shall be included in all copies or substantial portions of the Software.")
+_MIT_DISCLAIMER = (
+    " THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF "
+    "MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR "
+    "ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH "
+    "THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.")
+_ISC = (
+    "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, "
+    "provided that the above copyright notice and this permission notice appear in all copies.")
+_ISC_DISCLAIMER = (
+    " THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES "
+    "OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY "
+    "DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, "
+    "ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.")
+_BSD = (
+    "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following "
+    "conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the "
+    "following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and "
+    "the following disclaimer in the documentation and/or other materials provided with the distribution.")
+_BSD_NAMES = (
+    " Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this "
+    "software without specific prior written permission.")
+_BSD_DISCLAIMER = (
+    " THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT "
+    "LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT "
+    "HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT "
+    "LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY "
+    "THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF "
+    "THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.")
+
+
+def _gnu(name: str, version: str) -> str:
+    return f"This work is licensed under the GNU {name} Public License, version {version}."
+
+
+def _gnu_header(name: str, version: str, subject: str = "program") -> str:
+    return (f"This {subject} is free software: you can redistribute it and/or modify it under the terms of the GNU {name} Public License as published "
+            f"by the Free Software Foundation, either version {version} of the License, or (at your option) any later version.")
+
+
+# Wording of common public licence notices and whole short licences.
 TEMPLATES = {
     "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
     "Apache-2.0-header": (
@@ -33,36 +79,38 @@ TEMPLATES = {
         "OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and "
         "limitations under the License."),
     "MIT": "Released under the MIT License.",
-    "MIT-text": (
-        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation "
-        "files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, "
-        "modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the "
-        "Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice "
-        "shall be included in all copies or substantial portions of the Software."),
-    "ISC-text": (
-        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, "
-        "provided that the above copyright notice and this permission notice appear in all copies."),
-    "BSD-2-Clause": (
-        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following "
-        "conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the "
-        "following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and "
-        "the following disclaimer in the documentation and/or other materials provided with the distribution."),
-    "GPL-3.0": "This work is licensed under the GNU General Public License, version 3.",
-    "GPL-3.0-or-later": (
-        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License "
-        "as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    "MIT-text": _MIT, "MIT-body": _MIT + _MIT_DISCLAIMER,
+    "ISC": "Released under the ISC License.", "ISC-text": _ISC, "ISC-body": _ISC + _ISC_DISCLAIMER,
+    "BSD": "Released under the BSD License.", "BSD-2-Clause": _BSD, "BSD-2-Clause-body": _BSD + _BSD_DISCLAIMER,
+    "BSD-3-Clause": _BSD + _BSD_NAMES, "BSD-3-Clause-body": _BSD + _BSD_NAMES + _BSD_DISCLAIMER,
+    **{f"GPL-{v}.0": _gnu("General", v) for v in "23"}, **{f"GPL-{v}.0-or-later": _gnu_header("General", v) for v in "23"},
+    "LGPL-2.1": _gnu("Lesser General", "2.1"), "LGPL-3.0": _gnu("Lesser General", "3"), "LGPL-2.1-or-later": _gnu_header("Lesser General", "2.1", "library"),
+    **{f"{short}-{v}-name": f"GNU {name} Public License, version {v}." for short, name, v in (
+        ("GPL", "General", "2.0"), ("GPL", "General", "3.0"), ("LGPL", "Lesser General", "2.1"), ("LGPL", "Lesser General", "3.0"), ("AGPL", "Affero General", "3.0"))},
+    "AGPL-3.0": _gnu("Affero General", "3"), "AGPL-3.0-or-later": _gnu_header("Affero General", "3"),
     "MPL-2.0": (
         "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not "
         "distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."),
+    "EPL-2.0": "This program and the accompanying materials are made available under the terms of the Eclipse Public License, version 2.0.",
+    "BSL-1.0": "Distributed under the Boost Software License, Version 1.0.",
     "CC-BY-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
-    "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
+    "CC-BY-SA-4.0": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
+    **{f"CC-{parts}-4.0-name" if parts in ("BY", "BY-SA") else f"CC-{parts}-4.0": f"Licensed under CC {parts} 4.0."
+       for parts in ("BY", "BY-SA", "BY-ND", "BY-NC", "BY-NC-SA", "BY-NC-ND")},
     "CC0-1.0": "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.",
+    "Unlicense": "This is free and unencumbered software released into the public domain.",
+    "reserved": "All rights reserved.",
 }
+# Words that make it another licence when they are missing or added.
+NAMING = frozenset("""mit bsd isc apache gnu gpl lgpl agpl general lesser library affero mozilla mpl eclipse epl boost cc by nc nd sa creative commons
+attribution noncommercial sharealike noderivatives noderivs public unlicense""".split())
+_VERSION = re.compile(r"v?(\d+(?:\.\d+)*?)(?:\.0)*\Z")
 
 _TRIGGER = re.compile(
-    r"\blicen[sc]e[ds]?\b|\bcopyright(?:ed)?\b|\bhereby granted\b|\bredistribut|\bpublic domain\b|\bspdx\b|\ball rights reserved\b"
+    r"\blicen[sc]e[ds]?\b|\bunlicense\b|\bunencumbered\b|\bcopyright(?:ed)?\b|\bhereby granted\b|\bredistribut|\bpublic domain\b|\bspdx\b|\ball rights reserved\b"
     r"|\bwaived all\b|\bas[- ]is\b|\bwarrant(?:y|ies)\b|\bsublicense\b|\bfree software\b|\bapache\.org\b|\bmozilla\.org\b"
-    r"|\bconditions are met\b|\bfollowing conditions\b|\bfollowing disclaimer\b|\bpermission notice\b", re.I)
+    r"|\bconditions are met\b|\bfollowing conditions\b|\bfollowing disclaimer\b|\bpermission notice\b|\bin no event shall\b|\bliability\b"
+    r"|\bspecific prior written permission\b", re.I)
 _SENTENCE = re.compile(r"[^\n]+?(?:[.!?:;](?=\s|$)|\n|\Z)|\n")
 _WORD = re.compile(r"[^\W_]+(?:\.[^\W_]+)*")
 # A longer sentence is looked at in windows around its trigger words.
@@ -82,6 +130,17 @@ class Finding:
     added: list[str]
 
 
+def _spelled(word: str) -> str:
+    """A word for comparison: lower case, versions without v and final zeros."""
+    found = _VERSION.match(word.lower())
+    return found[1] if found else word.lower()
+
+
+def _renames(missing: list[str], added: list[str]) -> bool:
+    """True if the differences touch the name or the version of the licence."""
+    return any(w in NAMING or w[0].isdigit() for w in missing) or not NAMING.isdisjoint(added)
+
+
 class Templates:
     """Compressors and words of each template."""
 
@@ -91,7 +150,7 @@ class Templates:
         # characters on either side of a trigger word that can belong to its notice
         self.reach = 2 * max(map(len, templates.values()), default=0)
         for name in sorted(templates):
-            words = [w.lower() for w in _WORD.findall(templates[name])]
+            words = [_spelled(w) for w in _WORD.findall(templates[name])]
             dictionary = zstandard.ZstdCompressionDict(" ".join(words).encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
             own = len(self.plain.compress(" ".join(words).encode()))
             self.known.append((name, words, own, zstandard.ZstdCompressor(level=LEVEL, dict_data=dictionary, write_content_size=False)))
@@ -111,7 +170,7 @@ class Templates:
     def best(self, block: str) -> Finding | None:
         """The confirmed winner for a block, with offsets inside it; the fewest wording differences win, then the longest."""
         places = list(_WORD.finditer(block))
-        words = [m[0].lower() for m in places]
+        words = [_spelled(m[0]) for m in places]
         body = " ".join(words).encode()
         alone = len(self.plain.compress(body))
         at = _trigger_words(body.decode())
@@ -129,6 +188,8 @@ class Templates:
             first, last = equal[0][3], equal[-1][4]  # words around the notice are not part of it
             missing = [w for kind, a, b, _, _ in steps if kind != "equal" for w in own[a:b]]
             added = [w for kind, _, _, c, d in steps if kind != "equal" and first <= c and d <= last for w in words[c:d]]
+            if _renames(missing, added):
+                continue
             confirmed.append((len(missing) + len(added), -len(own), name, Finding(
                 places[first].start(), places[last - 1].end(), name, reduction, wording, missing, added)))
         return min(confirmed, key=lambda x: x[:3])[3] if confirmed else None
