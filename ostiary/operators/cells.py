@@ -22,6 +22,7 @@ from ostiary.operators.polyline import smooth_series
 from ostiary.operators.spatial import pairs_within
 
 CASE = ["case_id"]
+SLAB_BLOCK = 16
 
 
 def support_cells(cells: DataFrame, floor: float) -> DataFrame:
@@ -126,22 +127,32 @@ def _longest_axis() -> Column:
 def cap_cells(cells: DataFrame, cap: float, margin: float, spacing: float = 1.0, minimum: int = 8) -> DataFrame:
     """Flag ``excluded`` cells: slabs at both ends of each parent component's longest axis.
 
-    Component boxes are few next to the cells; the flag is a semi join on case with range conditions.
+    A slab is cut into grid blocks of SLAB_BLOCK cells a side, so a cell meets the slabs of its own block only: the join is
+    on case and block, with the slab's borders as a last test, and stops at the first slab found.
     """
     labelled = label_cells(cells.filter("parent"), CASE, 6)
     boxes = _boxes(labelled, [*CASE, "component"]).filter(F.col("cells") >= minimum).withColumn("axis", _longest_axis())
     width, pad = max(1, math.ceil(cap / spacing)), math.ceil(margin / spacing)
-    slabs = boxes.select(*CASE, "axis", *[
-        F.struct((F.col(f"lo_{a}") - pad).alias("lo"), (F.col(f"hi_{a}") + pad).alias("hi"),
-                 F.col(f"lo_{a}").alias("first"), F.col(f"hi_{a}").alias("final")).alias(f"box_{a}") for a in Z])
-    outside_ends, conditions = F.lit(False), []
+
+    def slab(low_end: bool) -> Column:
+        borders = []
+        for a in Z:
+            lo, hi = F.col(f"lo_{a}") - pad, F.col(f"hi_{a}") + pad
+            along = F.col("axis") == a
+            if low_end:
+                hi = F.when(along, F.least(hi, F.col(f"lo_{a}") + width - 1)).otherwise(hi)
+            else:
+                lo = F.when(along, F.greatest(lo, F.col(f"hi_{a}") - width + 1)).otherwise(lo)
+            borders += [lo.cast("bigint").alias(f"s_lo_{a}"), hi.cast("bigint").alias(f"s_hi_{a}")]
+        return F.struct(*borders)
+
+    slabs = boxes.select(*CASE, F.inline(F.array(slab(True), slab(False)))).distinct()
     for a in Z:
-        box, own = F.col(f"box_{a}"), F.col(a)
-        conditions.append(own.between(box["lo"], box["hi"]))
-        outside_ends = outside_ends | ((F.col("axis") == a) & ((own < box["first"] + width) | (own > box["final"] - width)))
-    hit = reduce(lambda p, q: p & q, conditions) & outside_ends
-    slabs = slabs.withColumnRenamed("case_id", "_case")
-    excluded = cells.select(*CASE, *Z).join(slabs, (F.col("case_id") == F.col("_case")) & hit, "left_semi").withColumn("excluded", F.lit(True))
+        slabs = slabs.withColumn(f"_b{a}", F.explode(F.sequence(F.floor(F.col(f"s_lo_{a}") / SLAB_BLOCK), F.floor(F.col(f"s_hi_{a}") / SLAB_BLOCK))))
+    own = cells.select(*CASE, *Z, *[F.floor(F.col(a) / SLAB_BLOCK).alias(f"_b{a}") for a in Z])
+    slabs = slabs.withColumnsRenamed({c: f"s{c}" for c in ("_bz", "_by", "_bx")}).withColumnRenamed("case_id", "_case")
+    same = [F.col("case_id") == F.col("_case"), *[F.col(f"_b{a}") == F.col(f"s_b{a}") for a in Z], *[F.col(a).between(F.col(f"s_lo_{a}"), F.col(f"s_hi_{a}")) for a in Z]]
+    excluded = own.join(slabs, reduce(lambda p, q: p & q, same), "left_semi").select(*CASE, *Z, F.lit(True).alias("excluded"))
     return cells.join(excluded, [*CASE, *Z], "left").withColumn("excluded", F.coalesce("excluded", F.lit(False)))
 
 
