@@ -171,6 +171,9 @@ def retained(windows: DataFrame) -> DataFrame:
     passed = tested.filter(F.col("gain") > F.col("symbols") * F.log("total") / 2)
     shorter = F.explode(F.sequence(F.lit(1), F.col("depth"))).alias("to")
     wanted = passed.select("context", shorter).select(F.col("to").alias("depth"), F.expr("context & (shiftleft(1L, 8 * to) - 1)").alias("context")).distinct()
+    wanted = common.checkpoint(wanted)
+    if wanted.count() <= PART_CONTEXTS:  # a few MB: all counts stay where they are
+        wanted = F.broadcast(wanted)
     return common.checkpoint(counted.join(wanted, ["depth", "context"], "left_semi").unionByName(counted.filter("depth = 0")))
 
 
