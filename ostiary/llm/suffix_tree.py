@@ -7,7 +7,7 @@ allows; its distribution is smoothed with its parent's. Scoring walks the tree's
 
 Every context that passes is kept. A tree of more than PART_CONTEXTS contexts is cut into parts by the last two bytes of a
 context, which a position shows before the tree is asked: each part is an automaton of its own, broadcast in a pass of its
-own, and scores the positions after its pairs of bytes.
+own, and scores the positions after its pairs of bytes. What further parts add to a text is joined by the text's hashes.
 """
 
 from __future__ import annotations
@@ -21,14 +21,14 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ostiary.llm import common
 
 DEPTH = 5
 END = 10  # a line feed is in no word: it closes a text and stands for what is before its first byte
 # Contexts in one part of the tree: bounds what is broadcast and built at a time.
-PART_CONTEXTS = 200_000
+PART_CONTEXTS = 120_000
 # Words whose counts go to every executor; the counts of all others are looked up by a join.
 COMMON_WORDS = 200_000
 FLUSH_WORDS = 200_000
@@ -277,15 +277,35 @@ class Automaton:
         return np.add.reduceat(found, np.concatenate([[0], ends[:-1]]), dtype=np.float64)
 
 
-def _with_part(rows: DataFrame, text: str, shipped: Broadcast) -> DataFrame:
-    """``rows`` with the scores of one more part of the tree added to ``score``."""
-    def add(batch: pa.RecordBatch) -> list:
-        tree, mine = shipped.value
-        automaton = common.once_per_worker(("tree", tree.key), lambda: Automaton(tree))
-        more = [automaton.score(part, mine) for part in _batches(map(_joined, common.bytes_of(batch, text)))]
-        return [np.concatenate(more) + batch.column("score").to_numpy()]
+def _of_text(text: str) -> list[Column]:
+    """Two hashes that stand for a text; null and empty texts are the same."""
+    body = F.coalesce(F.col(text).cast("string"), F.lit(""))
+    return [F.xxhash64(body), F.xxhash64(F.lit(7), body)]
+
+
+def _further(docs: DataFrame, text: str, trees: Iterator[Tree], mine: list[np.ndarray]) -> DataFrame:
+    """``h, g, more``: what the parts of the tree after the first add to each different text, a pass for each part."""
+    spark = docs.sparkSession
+    h, g = _of_text(text)
+    rows = docs.select(h.alias("h"), g.alias("g"), F.col(text).alias("text"))
+
+    def part_of(shipped: Broadcast):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            tree, of_part = shipped.value
+            automaton = common.once_per_worker(("tree", tree.key), lambda: Automaton(tree))
+            for batch in common.slices(batches):
+                found = [automaton.score(part, of_part) for part in _batches(map(_joined, common.bytes_of(batch, "text")))]
+                if found:
+                    yield pa.RecordBatch.from_arrays([batch.column("h"), batch.column("g"), pa.array(np.concatenate(found))], names=["h", "g", "more"])
+
+        return run
 
-    return common.with_columns(rows, "score double", add)
+    found = None
+    for tree, of_part in zip(trees, mine):
+        one = rows.mapInArrow(part_of(spark.sparkContext.broadcast((tree, of_part))), "h long, g long, more double")
+        one = common.checkpoint(one.groupBy("h", "g").agg(F.max("more").alias("more")))  # equal texts, equal scores
+        found = one if found is None else found.unionByName(one)
+    return common.checkpoint(found.groupBy("h", "g").agg(F.sum("more").alias("more")))
 
 
 FIELDS = "n_tokens long, n_known long, train_tokens long, base_score double, score double"
@@ -332,19 +352,25 @@ def score(docs: DataFrame, train: DataFrame, doc_id: str = "doc_id", text: str =
                 rest.append(missing)
         return [pa.array(sizes, pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()), np.concatenate(scores), pa.array(rest, pa.list_(pa.binary()))]
 
-    rows = common.with_columns(docs, "n_tokens long, _known long, _base double, score double, _rest array<binary>", compute)
-    for tree, of_part in zip(trees, mine[1:]):  # a pass for each further part, over what the passes before it wrote
-        rows = _with_part(common.checkpoint(rows), text, spark.sparkContext.broadcast((tree, of_part)))
+    marks = common.free_names(docs, 2)
+    marked = docs.withColumns(dict(zip(marks, _of_text(text)))) if several else docs
+    rows = common.with_columns(marked, "n_tokens long, _known long, _base double, score double, _rest array<binary>", compute)
     rows = rows.drop(text).withColumn("train_tokens", F.lit(total).cast("long"))
     names = [c for c in docs.columns if c != text and c.lower() not in ("n_tokens", "n_known", "train_tokens", "base_score", "score")]
+    kept = [*names, *(marks if several else [])]
     if complete:  # every training word is in every executor's table
-        return rows.select(*names, "n_tokens", F.col("_known").alias("n_known"), "train_tokens",
-                           (F.col("_base") + F.size("_rest") * F.lit(unknown)).alias("base_score"), "score")
-    # written once, so that a row keeps its number
-    rows = common.checkpoint(rows).withColumn("_row", F.monotonically_increasing_id())
-    rare = rows.select("_row", F.explode("_rest").alias("word"))
-    found = rare.join(words, "word", "left").groupBy("_row").agg(
-        F.count("n").alias("found"), F.sum(F.coalesce(F.log10((F.col("n") + 0.1) / F.lit(divisor)), F.lit(unknown))).alias("points"))
-    return rows.drop("_rest").join(found, "_row", "left").select(
-        *names, "n_tokens", (F.col("_known") + F.coalesce("found", F.lit(0))).alias("n_known"), "train_tokens",
-        (F.col("_base") + F.coalesce("points", F.lit(0.0))).alias("base_score"), "score")
+        out = rows.select(*kept, "n_tokens", F.col("_known").alias("n_known"), "train_tokens",
+                          (F.col("_base") + F.size("_rest") * F.lit(unknown)).alias("base_score"), "score")
+    else:
+        # written once, so that a row keeps its number
+        rows = common.checkpoint(rows).withColumn("_row", F.monotonically_increasing_id())
+        rare = rows.select("_row", F.explode("_rest").alias("word"))
+        found = rare.join(words, "word", "left").groupBy("_row").agg(
+            F.count("n").alias("found"), F.sum(F.coalesce(F.log10((F.col("n") + 0.1) / F.lit(divisor)), F.lit(unknown))).alias("points"))
+        out = rows.drop("_rest").join(found, "_row", "left").select(
+            *kept, "n_tokens", (F.col("_known") + F.coalesce("found", F.lit(0))).alias("n_known"), "train_tokens",
+            (F.col("_base") + F.coalesce("points", F.lit(0.0))).alias("base_score"), "score")
+    if several:
+        more = _further(docs, text, trees, mine[1:]).select(F.col("h").alias(marks[0]), F.col("g").alias(marks[1]), F.col("more"))
+        out = out.withColumnRenamed("score", "_score").join(more, marks, "left").withColumn("score", F.col("_score") + F.col("more")).drop(*marks, "_score", "more")
+    return out
