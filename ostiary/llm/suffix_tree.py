@@ -352,7 +352,7 @@ def score(docs: DataFrame, train: DataFrame, doc_id: str = "doc_id", text: str =
                 rest.append(missing)
         return [pa.array(sizes, pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()), np.concatenate(scores), pa.array(rest, pa.list_(pa.binary()))]
 
-    marks = common.free_names(docs, 2)
+    *marks, first_part = common.free_names(docs, 3)
     marked = docs.withColumns(dict(zip(marks, _of_text(text)))) if several else docs
     rows = common.with_columns(marked, "n_tokens long, _known long, _base double, score double, _rest array<binary>", compute)
     rows = rows.drop(text).withColumn("train_tokens", F.lit(total).cast("long"))
@@ -371,6 +371,7 @@ def score(docs: DataFrame, train: DataFrame, doc_id: str = "doc_id", text: str =
             *kept, "n_tokens", (F.col("_known") + F.coalesce("found", F.lit(0))).alias("n_known"), "train_tokens",
             (F.col("_base") + F.coalesce("points", F.lit(0.0))).alias("base_score"), "score")
     if several:
-        more = _further(docs, text, trees, mine[1:]).select(F.col("h").alias(marks[0]), F.col("g").alias(marks[1]), F.col("more"))
-        out = out.withColumnRenamed("score", "_score").join(more, marks, "left").withColumn("score", F.col("_score") + F.col("more")).drop(*marks, "_score", "more")
+        more = _further(docs, text, trees, mine[1:]).select(F.col("h").alias(marks[0]), F.col("g").alias(marks[1]), F.col("more").alias(first_part + "_more"))
+        out = out.withColumnRenamed("score", first_part).join(more, marks, "left").select(
+            *names, "n_tokens", "n_known", "train_tokens", "base_score", (F.col(first_part) + F.col(first_part + "_more")).alias("score"))
     return out
