@@ -162,6 +162,25 @@ def test_components_by_tasks_and_by_stars(spark, monkeypatch):
         assert graph.connected_components(frame.limit(0), ["g"]).count() == 0 and graph.connected_components(frame.limit(0).select("a", "b"), []).count() == 0
 
 
+@pytest.mark.parametrize("block", [2, 16, 1_000])
+def test_cap_slabs_in_blocks(spark, monkeypatch, block):
+    """Slabs of two components, one long and one at negative coordinates, by any size of block."""
+    monkeypatch.setattr(cells, "SLAB_BLOCK", block)
+    parent = [(0, z, y, 0) for z in range(30) for y in range(3)] + [(0, -20, y, x) for y in range(2) for x in range(-40, -20)] + [(0, 90, 90, 90)]
+    other = [(0, z, 5, 4) for z in range(-10, 45)] + [(0, -20, 3, x) for x in range(-50, -10)] + [(1, 0, 0, 0)]
+    table = spark.createDataFrame([(*c, True) for c in parent] + [(*c, False) for c in other], "case_id int, z int, y int, x int, parent boolean")
+    got = {(r["case_id"], r["z"], r["y"], r["x"]): r["excluded"] for r in cells.cap_cells(table, 2.0, 4.0).collect()}
+
+    def inside(case, z, y, x):
+        if case:
+            return False
+        first = -4 <= z <= 33 and -4 <= y <= 6 and -4 <= x <= 4 and (z < 2 or z > 27)
+        second = -24 <= z <= -16 and -4 <= y <= 5 and -44 <= x <= -17 and (x < -38 or x > -23)
+        return first or second
+
+    assert got == {c: inside(*c) for c in parent + other}
+
+
 def test_hub_links_stay_spread(spark, monkeypatch):
     from ostiary.operators import graph
 
