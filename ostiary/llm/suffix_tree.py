@@ -230,10 +230,12 @@ class Automaton:
         root = np.full(width, 0.5)
         root[symbol[at == 0]] += tree.n[at == 0]
         root[0] = 0.5 * unseen
-        probability = np.zeros((len(ordered), width), np.float32)
+        # next state and probability side by side: a step of the walk looks up one place
+        self.table = np.zeros(len(ordered) * width, "<i8")
+        follow = self.table.view("<i4").reshape(len(ordered), width, 2)[:, :, 0]
+        probability = self.table.view("<f4").reshape(len(ordered), width, 2)[:, :, 1]
         probability[0] = root / root.sum()
         probability[0, 0] /= unseen
-        follow = np.zeros((len(ordered), width), np.int32)
         for depth in range(DEPTH + 1):
             rows = np.flatnonzero(depths == depth)
             if not len(rows):
@@ -249,8 +251,11 @@ class Automaton:
             for parent, byte, i in child[depth]:
                 follow[parent, byte] = i
         follow *= width
-        self.follow = follow.ravel()
-        self.logs = np.log10(probability, out=probability).ravel()
+        np.log10(probability, out=probability)
+
+    @property
+    def logs(self) -> np.ndarray:
+        return self.table.view("<f4").reshape(-1, 2)[:, 1]
 
     def score(self, texts: list[bytes], mine: np.ndarray | None = None) -> np.ndarray:
         """log10 probability of each joined text with its end; with ``mine`` of the bytes after those pairs of bytes only."""
@@ -261,14 +266,17 @@ class Automaton:
         padded[DEPTH:DEPTH + len(classes)] = classes
         # every lane starts DEPTH bytes early: that many bytes fix the state
         view = np.lib.stride_tricks.as_strided(padded, (lanes, LANE + DEPTH), (padded.itemsize * LANE, padded.itemsize))
-        columns = np.ascontiguousarray(view.T).astype(np.int32)
-        state = np.zeros(lanes, np.int32)
-        out = np.empty((LANE, lanes), np.float32)
+        columns = np.ascontiguousarray(view.T).astype(np.intp)
+        entry = np.zeros(lanes, "<i8")
+        state, log = entry.view("<i4").reshape(-1, 2).T
+        edge = np.empty(lanes, np.intp)
+        out = np.empty((LANE, lanes), "<i4")
         for step, column in enumerate(columns):
-            edge = state + column
+            np.add(state, column, out=edge)
+            np.take(self.table, edge, out=entry, mode="clip")  # always inside: clipping only spares a copy
             if step >= DEPTH:
-                out[step - DEPTH] = self.logs[edge]
-            state = self.follow[edge]
+                out[step - DEPTH] = log
+        out = out.view("<f4")
         found = out.T.ravel()[:len(classes)]
         for j in range(DEPTH):  # the padding is certain
             found[np.concatenate([[0], ends[:-1]]) + j] = 0
