@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from ostiary import scale
 from ostiary.functions.features import FEATURE_NAMES, LogisticModel, logistic_score, with_feature_vector
 from ostiary.functions.geometry import is_finite
 from ostiary.operators.quality import raise_on, validate_threshold, violations
@@ -28,7 +29,7 @@ def score_candidates(branches: DataFrame, model: LogisticModel) -> DataFrame:
     """Add ``score``; NULL when a feature is missing or not finite, which is never the same as a low score."""
     vectors = with_feature_vector(branches, "_vector")
     usable = (F.size("_vector") == len(FEATURE_NAMES)) & F.forall("_vector", is_finite)
-    return vectors.withColumn("score", F.when(usable, logistic_score(F.col("_vector"), model))).drop("_vector")
+    return scale.computed_once(vectors, "score", F.when(usable, logistic_score(F.col("_vector"), model))).drop("_vector")
 
 
 def require_features(scored: DataFrame) -> None:
