@@ -2,6 +2,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ostiary import scale
 from ostiary.functions import geometry as g
 from ostiary.functions.features import FEATURE_NAMES, context_features, evidence_score, with_feature_vector
 from ostiary.operators import metrics as m, polyline as pl, reviews as rv
@@ -157,8 +158,8 @@ def review_rules(spark, folder):
 
 def reviewed(spark, folder):
     """Branches with a fingerprint, and one review per branch of which every fourth is out of date."""
-    rows = with_feature_vector(a.candidates(spark, folder), "vector")
-    branches = rows.select("case_id", "instance_id", "ord", "radius_mm", "direction", "seed", "path", "ostium", rv.fingerprint().alias("fingerprint"))
+    rows = scale.computed_once(with_feature_vector(a.candidates(spark, folder), "vector"), "fingerprint", rv.fingerprint())
+    branches = rows.select("case_id", "instance_id", "ord", "radius_mm", "direction", "seed", "path", "ostium", "fingerprint")
     quantity = F.col("radius_mm") * 10 - 7
     stale = F.col("ord") % 4 == 0
     marks = branches.select("case_id", "instance_id", F.when(F.round(quantity).cast("bigint") % 2 == 0, "confirmed").otherwise("rejected").alias("label"),
