@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import MapType
 
 from ostiary import scale
 from ostiary.functions import geometry as g
+from ostiary.operators import spatial
 from ostiary.operators.ordering import rank_within
-from ostiary.operators.polyline import same_trunk
+from ostiary.operators.polyline import on_path, same_trunk
 from ostiary.operators.spatial import keep_within, pairs_by_reach, pairs_within
 from ostiary.operators.suppress import suppress
 
@@ -55,24 +58,53 @@ def conflict_edges(branches: DataFrame, by: list[str], parallel_clearance: float
     """Pairs (later, earlier in rank) that compete for one opening: the ``reason`` they would merge, ``on_other`` if the later
     opening lies on the earlier path, ``under`` if the earlier one lies on the later path.
 
-    Every pair is found at the scale of its larger radius, so a wide row meets its neighbours and leaves the pairs of
-    narrow ones alone; openings meet path vertices in cells of their own. Path predicates run inside the joined row.
+    Cases of up to CASE_ROWS rows are joined with themselves, and the path predicates run inside the joined row. In the
+    others every pair is found at the scale of its larger radius, so a wide row meets its neighbours and leaves the pairs of
+    narrow ones alone; openings meet path vertices in cells of their own.
     """
-    prefix = g.truncate_path(F.col("path"), F.col("_arcs"), F.lit(3.0))
-    base = branches.withColumn("_arcs", g.arc_lengths(F.col("path"))).withColumn("prefix", prefix)
     fields = ["rank", "ostium", "seed", "radius_mm", "path", "prefix"]
-    reach = F.greatest(F.lit(2.5), 2 * F.coalesce("radius_mm", F.lit(0.0)))
-    near = pairs_by_reach(base.select(*by, *fields), by, "rank", "ostium", reach, 2.5)
+    prefix = g.truncate_path(F.col("path"), F.col("_arcs"), F.lit(3.0))
+    rows = branches.withColumn("_arcs", g.arc_lengths(F.col("path"))).withColumn("prefix", prefix).select(*by, *fields)
+    (few, _), (many, _) = scale.small_cases(rows, rows, by, spatial.CASE_ROWS)
+    found = []
+    if few is not None:
+        later, earlier = (few.select(*by, F.struct(*fields).alias(name)) for name in ("row_later", "row_earlier"))
+        found.append(_edges_inside(later.join(earlier, by).filter("row_later.rank > row_earlier.rank"), by, parallel_clearance, spacing))
+    if many is not None:
+        found.append(_edges_by_cells(scale.checkpoint(many), by, fields, parallel_clearance, spacing))
+    return reduce(DataFrame.unionByName, found)
+
+
+def _merging(gap: Column) -> Column:
+    """Why the rows of a pair ``gap`` apart would merge; the path predicates are evaluated only where the CASE gets to them."""
     later, earlier = F.col("row_later"), F.col("row_earlier")
-    gap = F.col("distance")
     competing = gap < F.greatest(F.lit(2.5), later["radius_mm"] + earlier["radius_mm"])
     same_opening = (gap < 2.5) & (g.distance(g.xyz(later["seed"]), g.xyz(earlier["seed"])) < 3)
-    # Evaluated only for pairs that get this far in the CASE.
     trunk = same_trunk(*[side[c] for side in (later, earlier) for c in ("path", "prefix", "radius_mm")])
-    reason = F.when(competing, F.when(same_opening, "same_opening_and_path").when(trunk, "common_trunk"))
+    return F.when(competing, F.when(same_opening, "same_opening_and_path").when(trunk, "common_trunk"))
+
+
+def _edges_inside(pairs: DataFrame, by: list[str], parallel_clearance: float, spacing: float) -> DataFrame:
+    later, earlier = F.col("row_later"), F.col("row_earlier")
+
+    def lies(path: Column, other: Column) -> Column:
+        return F.coalesce(on_path(path, other, spacing), F.lit(False)) if parallel_clearance > 0 else F.lit(False)
+
+    edge = F.struct(
+        _merging(g.distance(g.xyz(later["ostium"]), g.xyz(earlier["ostium"]))).alias("reason"),
+        lies(later["path"], earlier["path"]).alias("on_other"), lies(earlier["path"], later["path"]).alias("under"))
+    # The generator evaluates the predicates once and drops pairs without a conflict.
+    conflicts = F.filter(F.array(edge), lambda e: e["reason"].isNotNull() | e["on_other"] | e["under"])
+    return pairs.select(*by, later["rank"].alias("rank"), earlier["rank"].alias("earlier"), F.inline(conflicts))
+
+
+def _edges_by_cells(branches: DataFrame, by: list[str], fields: list[str], parallel_clearance: float, spacing: float) -> DataFrame:
+    reach = F.greatest(F.lit(2.5), 2 * F.coalesce("radius_mm", F.lit(0.0)))
+    near = pairs_by_reach(branches.select(*by, *fields), by, "rank", "ostium", reach, 2.5)
+    later, earlier = F.col("row_later"), F.col("row_earlier")
     # The generator evaluates the path predicates once and drops pairs without a conflict.
     merging = near.select(*by, later["rank"].alias("rank"), earlier["rank"].alias("earlier"), F.explode(
-        F.filter(F.array(reason), lambda r: r.isNotNull())).alias("reason"))
+        F.filter(F.array(_merging(F.col("distance"))), lambda r: r.isNotNull())).alias("reason"))
     if parallel_clearance <= 0:
         return merging.select(*by, "rank", "earlier", "reason", F.lit(False).alias("on_other"), F.lit(False).alias("under"))
     openings = branches.select(*by, F.col("rank").alias("_own"), F.explode(F.slice("path", 1, 2)).alias("_p"))
@@ -226,7 +258,9 @@ def resolve_candidates(
     Only pairs that compete are walked. A case with up to ``case_edges`` of them is walked in one pass by one task; a
     larger one is settled in rounds of joins, see :func:`_settled_by_rounds`.
     """
-    ranked = scale.checkpoint(rank_candidates(branches, by, order, cap))
+    # Ties go by all other columns: the ranking is computed where it is needed, and each time it must be the same.
+    rest = [F.sort_array(F.map_entries(f.name)) if isinstance(f.dataType, MapType) else F.col(f.name) for f in branches.schema]
+    ranked = rank_candidates(branches, by, [*order, *rest], cap)
     taking_part = ranked.filter(F.col("reason").isNull()).drop("reason")
     edges = scale.checkpoint(conflict_edges(taking_part, by, parallel_clearance, spacing))
     small, large = scale.split_by_size(edges, by, CASE_EDGES if case_edges is None else case_edges)

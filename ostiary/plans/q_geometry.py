@@ -302,17 +302,21 @@ def walked(parallel: bool) -> dict[str, str]:
 RESOLVED = """SELECT r.case_id, instance_id, r.k AS rank, o.g.reason AS reason FROM rk r LEFT JOIN outcome o ON o.case_id = r.case_id AND o.g.k = r.k"""
 
 
+def proposals(spark, folder):
+    return a.candidates(spark, folder).select("case_id", "instance_id", "ostium", "seed", "radius_mm", "path")
+
+
 @query("resolve_candidates", a.oracle(RESOLVED, "cand", extra=walked(False)))
 def resolve(spark, folder):
     order = [F.col("radius_mm").desc(), "ostium.z", "ostium.y", "ostium.x"]
-    done = rs.resolve_candidates(a.candidates(spark, folder), ["case_id"], order)
+    done = rs.resolve_candidates(proposals(spark, folder), ["case_id"], order)
     return done.select("case_id", "instance_id", "rank", "reason")
 
 
 @query("resolve_parallel", a.oracle(RESOLVED, "cand", extra=walked(True)))
 def resolve_parallel(spark, folder):
     order = [F.col("radius_mm").desc(), "ostium.z", "ostium.y", "ostium.x"]
-    done = rs.resolve_candidates(a.candidates(spark, folder), ["case_id"], order, parallel_clearance=2.5)
+    done = rs.resolve_candidates(proposals(spark, folder), ["case_id"], order, parallel_clearance=2.5)
     return done.select("case_id", "instance_id", "rank", "reason")
 
 
