@@ -10,6 +10,8 @@ from ostiary.functions import geometry as g
 # Vertices per chunk of a long polyline; also the longest line handled as one array.
 CHUNK = 4096
 PACKED = 512
+# Junctions of a case that travel with each of its paths.
+CASE_ROWS = 64
 # Lines of up to PACKED vertices that may be sent to every executor (12 KB each at most).
 
 
@@ -150,10 +152,36 @@ def nearest_sample(points: DataFrame, lines: DataFrame, by: list[str], key: list
 def stop_at_junction(paths: DataFrame, junctions: DataFrame, by: list[str], key: list[str], tolerance: float) -> DataFrame:
     """Cut each path at the first junction within ``tolerance`` of it (and past its start).
 
-    Segments lie in grid cells of twice the tolerance, cut where they are longer, and a junction looks into its own
-    cell, so the work follows the true neighbours and not the longest path.
+    Junctions of cases with up to CASE_ROWS of them travel as one array per case and are looked for inside the path's row.
+    The others meet the paths in grid cells, see :func:`_stops_by_cells`.
     """
     traced = paths.withColumn("_arcs", g.arc_lengths(F.col("path")))
+    spots = junctions.select(*by, "junction").filter(F.col("junction").isNotNull())
+    few, many = scale.split_by_size(spots, by, CASE_ROWS)
+    listed = few.groupBy(*by).agg(F.collect_set("junction").alias("_spots"))
+    hits = F.transform("_spots", lambda j: g.nearest_on_path(g.xyz(j), F.col("path")))
+    inside = F.filter(hits, lambda h: h["distance"] <= tolerance)
+
+    def along(hit: Column) -> Column:
+        at = F.least(F.floor(hit["position"]), F.size("path") - 2).cast("int")
+        low = F.get("_arcs", at)
+        return F.coalesce(low + (F.get("_arcs", at + 1) - low) * (hit["position"] - at), F.lit(0.0))
+
+    first = F.array_min(F.filter(F.transform(inside, along), lambda arc: arc > 0))
+    met = traced if many is None else traced.join(many.select(*by).distinct(), by, "left_anti")
+    stopped = scale.per_group(met, listed, by, "left").withColumn("_stop", first)
+    cut = F.when(F.col("_stop").isNull(), F.col("path")).otherwise(g.truncate_path(F.col("path"), F.col("_arcs"), F.col("_stop")))
+    done = stopped.withColumn("path", cut).select(*paths.columns)
+    if many is None:
+        return done
+    busy = traced.join(many.select(*by).distinct(), by, "left_semi")
+    stops = _stops_by_cells(busy, many, by, key, tolerance)
+    return done.unionByName(busy.join(stops, [*by, *key], "left").withColumn("path", cut).select(*paths.columns))
+
+
+def _stops_by_cells(traced: DataFrame, junctions: DataFrame, by: list[str], key: list[str], tolerance: float) -> DataFrame:
+    """``by, key, _stop``: segments lie in grid cells of twice the tolerance, cut where they are longer, and a junction looks
+    into its own cell, so the work follows the true neighbours and not the longest path."""
     steps = F.transform(F.slice("path", 2, F.greatest(F.size("path") - 1, F.lit(0))), lambda b, i: F.struct(
         i.alias("seq"), F.get("path", i).alias("a"), b.alias("b"), F.get("_arcs", i).alias("low"), F.get("_arcs", i + 1).alias("high")))
     pieces = _cut_segments(traced.select(*by, *key, F.inline(steps)), [*by, *key, F.col("seq").alias("_at"), "low", "high"], 2 * tolerance)
@@ -169,11 +197,8 @@ def stop_at_junction(paths: DataFrame, junctions: DataFrame, by: list[str], key:
     hit = near.select(*by, *key, "junction", F.struct(gap.alias("gap"), place.alias("place"), along.alias("along")).alias("_n")).filter(
         F.col("_n.gap") <= tolerance).groupBy(*by, *key, "junction").agg(F.min("_n").alias("_hit"))
     along = F.col("_hit.along")
-    stops = hit.withColumn("_along", along).filter(F.col("_along") > 0).groupBy(
+    return hit.withColumn("_along", along).filter(F.col("_along") > 0).groupBy(
         *by, *key).agg(F.min("_along").alias("_stop"))
-    stopped = traced.join(stops, [*by, *key], "left")
-    cut = g.truncate_path(F.col("path"), F.col("_arcs"), F.col("_stop"))
-    return stopped.withColumn("path", F.when(F.col("_stop").isNull(), F.col("path")).otherwise(cut)).select(*paths.columns)
 
 
 def shares_prefix(prefix: Column, other: Column, tolerance: Column) -> Column:
