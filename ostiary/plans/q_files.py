@@ -63,16 +63,18 @@ def verify_checksums(spark, folder):
     return fl.verify_checksums(changed, manifest)
 
 
-@query("build_manifest", a.oracle("""
-    SELECT l.lang AS case_id, l.n_docs, string_agg(d.name || '=' || sha256(d.text), ',' ORDER BY d.name) AS files
-    FROM (SELECT lang, count(*) AS n_docs FROM documents GROUP BY 1) l JOIN (SELECT lang, 'doc' || doc_id AS name, text FROM documents) d ON d.lang = l.lang GROUP BY 1, 2"""))
+@query("build_manifest", a.oracle(f"""
+    SELECT case_id, n_docs, part, parts, string_agg(name || '=' || sha256, ',' ORDER BY name) AS files FROM (
+      SELECT lang AS case_id, name, sha256(text) AS sha256, count(*) OVER (PARTITION BY lang) AS n_docs,
+        (row_number() OVER (PARTITION BY lang ORDER BY name) - 1) // {fl.RECORD_ROWS} AS part, (count(*) OVER (PARTITION BY lang) + {fl.RECORD_ROWS - 1}) // {fl.RECORD_ROWS} AS parts
+      FROM (SELECT lang, 'doc' || doc_id AS name, text FROM documents WHERE lang IS NOT NULL)) GROUP BY ALL"""))
 def build_manifest(spark, folder):
     documents = a.table(spark, folder, "documents")
     attributes = documents.groupBy(F.col("lang").alias("case_id")).agg(F.count("*").alias("n_docs"))
     rows = documents.select(F.col("lang").alias("case_id"), F.concat(F.lit("doc"), F.col("doc_id").cast("string")).alias("name"), F.encode("text", "UTF-8").alias("content"))
     manifest = fl.build_manifest(rows, attributes)
     text = F.transform(F.map_entries("files"), lambda x: F.concat_ws("=", x["key"], x["value"]))
-    return manifest.select("case_id", "n_docs", F.array_join(text, ",").alias("files"))
+    return manifest.select("case_id", "n_docs", "part", "parts", F.array_join(text, ",").alias("files"))
 
 
 @query("prediction_records", a.oracle("""
