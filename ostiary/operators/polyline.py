@@ -12,6 +12,8 @@ CHUNK = 4096
 PACKED = 512
 # Junctions of a case that travel with each of its paths.
 CASE_ROWS = 64
+# Level of cells from which a point meets bins of a line's pieces before the pieces.
+BIN_LEVEL = 3
 # Lines of up to PACKED vertices that may be sent to every executor (12 KB each at most).
 
 
@@ -90,7 +92,8 @@ def _growing_cells(points: DataFrame, lines: DataFrame, by: list[str], key: list
     with that margin; a point looks into its own cell only. Every segment within r of a point is seen, so a hit at most r
     away is final; the others retry one level up. A point starts where r reaches the line's bounding box, so one far away
     does not climb through all levels, and a round copies lines on the levels that open points ask for. Segments longer
-    than a cell are cut into pieces first, so none is copied to more than a few cells.
+    than a cell are cut into pieces first, so none is copied to more than a few cells. From level BIN_LEVEL on, points meet
+    bins of pieces first, so a point far away does not look at all of the line within its radius.
     """
     pieces = segments(lines, by).select(*by, "seq", "a", "b")
     mean = F.greatest(F.avg(g.distance(g.xyz("a"), g.xyz("b"))), F.lit(1e-6)).alias("_size")
@@ -106,16 +109,23 @@ def _growing_cells(points: DataFrame, lines: DataFrame, by: list[str], key: list
     started = scale.per_group(points, stats, by)
     open_points = scale.checkpoint(started.select(*by, *key, point, "_size", F.coalesce(level, F.lit(0)).alias("_level")))
     radius = F.col("_size") * F.pow(F.lit(2.0), F.col("_level"))
+    fraction, gap = g.segment_projection(g.xyz(point), g.xyz("a"), g.xyz("b"))
+    place = F.min(F.struct(gap.alias("nearest_mm"), (F.col("seq") + fraction * F.col("share")).alias("position"))).alias("_best")
     settled = None
     while not open_points.isEmpty():
-        copies = pieces.join(open_points.select(*by, "_level").distinct(), by).withColumn("_r", radius)
-        for i, (a, b) in enumerate(zip(g.xyz("a"), g.xyz("b"))):
-            r = F.col("_r")
-            copies = copies.withColumn(f"_c{i}", F.explode(F.sequence(F.floor((F.least(a, b) - r) / (2 * r)), F.floor((F.greatest(a, b) + r) / (2 * r)))))
-        own = [F.floor(axis / (2 * radius)).alias(f"_c{i}") for i, axis in enumerate(g.xyz(point))]
-        fraction, gap = g.segment_projection(g.xyz(point), g.xyz("a"), g.xyz("b"))
-        best = open_points.select(*by, *key, point, "_level", *own).join(copies.drop("_size"), [*by, "_level", "_c0", "_c1", "_c2"]).groupBy(*by, *key).agg(
-            F.min(F.struct(gap.alias("nearest_mm"), (F.col("seq") + fraction * F.col("share")).alias("position"))).alias("_best"), F.max("_r").alias("_r"))
+        rounds = []
+        for far in (False, True):
+            here = open_points.filter(F.col("_level") >= BIN_LEVEL if far else F.col("_level") < BIN_LEVEL)
+            looked = pieces.join(here.select(*by, "_level").distinct(), by).withColumn("_r", radius)
+            own = here.select(*by, *key, point, "_level", *[F.floor(axis / (2 * radius)).alias(f"_c{i}") for i, axis in enumerate(g.xyz(point))])
+            if far:
+                met = _pieces_of_near_bins(own, looked, by, key, point)
+            else:
+                for i, (a, b) in enumerate(zip(g.xyz("a"), g.xyz("b"))):
+                    looked = looked.withColumn(f"_c{i}", _reached_cells(F.least(a, b), F.greatest(a, b)))
+                met = own.join(looked.drop("_size"), [*by, "_level", "_c0", "_c1", "_c2"])
+            rounds.append(met.groupBy(*by, *key).agg(place, F.max("_r").alias("_r")))
+        best = rounds[0].unionByName(rounds[1])
         final = scale.checkpoint(best.filter(F.col("_best.nearest_mm") <= F.col("_r")).select(*by, *key, "_best.*"))
         open_points = scale.checkpoint(open_points.join(final, [*by, *key], "left_anti").withColumn("_level", F.col("_level") + 1))
         settled = final if settled is None else settled.unionByName(final)
@@ -124,6 +134,36 @@ def _growing_cells(points: DataFrame, lines: DataFrame, by: list[str], key: list
     return settled
 
 
+def _reached_cells(low: Column, high: Column) -> Column:
+    """Cells of size 2 ``_r`` that a box reaches with margin ``_r``, along one axis."""
+    r = F.col("_r")
+    return F.explode(F.sequence(F.floor((low - r) / (2 * r)), F.floor((high + r) / (2 * r))))
+
+
+def _pieces_of_near_bins(points: DataFrame, pieces: DataFrame, by: list[str], key: list[str], point: str) -> DataFrame:
+    """Pairs of a point and a piece that may be its nearest, for points far from their line, whose cells hold much of it.
+
+    Pieces lie in bins of 1/64 of the level's radius, and a point meets the bins' boxes first. A bin stays if its box is no
+    farther away than the whole of some other bin, so the nearest piece is among those of the bins that stay.
+    """
+    bins = ["_b0", "_b1", "_b2"]
+    edge = F.greatest(F.col("_size"), F.col("_r") / 64)
+    binned = pieces.select("*", *[F.floor(axis / edge).alias(c) for c, axis in zip(bins, g.xyz("a"))])
+    ends = list(zip("xyz", g.xyz("a"), g.xyz("b")))
+    boxes = binned.groupBy(*by, "_level", "_r", *bins).agg(
+        *[F.min(F.least(a, b)).alias(f"_lo{n}") for n, a, b in ends], *[F.max(F.greatest(a, b)).alias(f"_hi{n}") for n, a, b in ends])
+    for i, n in enumerate("xyz"):
+        boxes = boxes.withColumn(f"_c{i}", _reached_cells(F.col(f"_lo{n}"), F.col(f"_hi{n}")))
+    met = points.join(boxes, [*by, "_level", "_c0", "_c1", "_c2"])
+    sides = [(axis, F.col(f"_lo{n}"), F.col(f"_hi{n}")) for n, axis in zip("xyz", g.xyz(point))]
+    least = g.norm(tuple(F.greatest(low - p, p - high, F.lit(0.0)) for p, low, high in sides))
+    most = g.norm(tuple(F.greatest(F.abs(p - low), F.abs(p - high)) for p, low, high in sides))
+    bounded = met.select(*by, *key, point, "_level", *bins, least.alias("_least"), most.alias("_most"))
+    surest = F.min("_most").over(Window.partitionBy(*by, *key))
+    near = bounded.withColumn("_surest", surest).filter(F.col("_least") <= F.col("_surest") * (1 + 1e-9))
+    return near.select(*by, *key, point, "_level", *bins).join(binned.drop("_size"), [*by, "_level", *bins])
+
+
 def _cut_segments(pieces: DataFrame, keep: list[str], size: float | Column) -> DataFrame:
     """Segments ``seq, a, b`` cut into pieces of at most ``size``; ``share`` is a piece's part of its segment."""
     cuts = F.greatest(F.lit(1.0), F.ceil(g.distance(g.xyz("a"), g.xyz("b")) / size).cast("double"))
