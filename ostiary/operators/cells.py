@@ -12,7 +12,7 @@ from functools import reduce
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
-from pyspark.sql.types import ArrayType, DoubleType
+from pyspark.sql.types import ArrayType, ByteType, DoubleType, IntegerType, ShortType
 
 from ostiary import scale
 from ostiary.functions import geometry as g
@@ -261,18 +261,37 @@ def principal_axis(points: DataFrame, by: list[str]) -> DataFrame:
 def parent_angle(probes: DataFrame, members: DataFrame, by: list[str], key: list[str], box: float = 12.0) -> DataFrame:
     """Angle between each probe's direction and the principal axis of the members in a box around it (90 if < 3).
 
-    The box is written as cell lookups: members stay in their cell, probes are copied to the cells they touch.
+    The box is written as cell lookups: members stay in their cell, probes are copied to the cells they touch. Where members
+    lie on a grid of whole numbers, probes whose boxes hold the same grid places are looked up once, so the work follows the
+    different boxes that a case can have and not the probes.
     """
-    size = 2 * box
+    size, place = 2 * box, dict(zip("xyz", g.xyz("point")))
     own = members.select(*by, "x", "y", "z", *[F.floor(F.col(a) / size).alias(f"_c{i}") for i, a in enumerate("xyz")])
-    copies = probes.select(*by, *key, "point")
-    for i, axis in enumerate(g.xyz("point")):
-        copies = copies.withColumn(f"_c{i}", F.explode(F.sequence(F.floor((axis - box) / size), F.floor((axis + box) / size))))
-    inside = reduce(lambda p, q: p & q, [F.abs(F.col(a) - c) <= box for a, c in zip("xyz", g.xyz("point"))])
-    near = copies.join(own, [*by, "_c0", "_c1", "_c2"]).filter(inside)
-    axes = _axes(near, [*by, *key]).filter("n >= 3").select(*by, *key, "axis")
+    if all(isinstance(members.schema[a].dataType, (ByteType, ShortType, IntegerType)) for a in "xyz"):
+        boxed = {f"_{end}{a}": _box_end(place[a], box, end) for a in "xyz" for end in ("low", "high")}
+        limits = {a: (F.col(f"_low{a}"), F.col(f"_high{a}")) for a in "xyz"}
+        inside = [F.col(a).between(*limits[a]) for a in "xyz"]
+        ends = F.struct(*[value.alias(name) for name, value in boxed.items()])
+        probes, one = scale.computed_once(probes, "_box", ends).select("*", "_box.*").drop("_box"), [*by, *boxed]
+        copies = probes.select(*one).distinct()
+    else:
+        boxed, one = {}, [*by, *key]
+        limits = {a: (place[a] - box, place[a] + box) for a in "xyz"}
+        inside = [F.abs(F.col(a) - place[a]) <= box for a in "xyz"]
+        copies = probes.select(*one, "point")
+    for i, (low, high) in enumerate(limits.values()):
+        copies = copies.withColumn(f"_c{i}", F.explode(F.sequence(F.floor(low / size), F.floor(high / size))))
+    near = copies.join(own, [*by, "_c0", "_c1", "_c2"]).filter(reduce(lambda p, q: p & q, inside))
+    axes = _axes(near, one).filter("n >= 3").select(*one, "axis")
     cosine = F.least(F.lit(1.0), F.abs(g.dot(g.xyz("axis"), g.xyz("direction"))))
-    return probes.join(axes, [*by, *key], "left").withColumn("parent_angle", F.coalesce(F.degrees(F.acos(cosine)), F.lit(90.0))).drop("axis")
+    return probes.join(axes, one, "left").withColumn("parent_angle", F.coalesce(F.degrees(F.acos(cosine)), F.lit(90.0))).drop("axis", *boxed)
+
+
+def _box_end(axis: Column, box: float, end: str) -> Column:
+    """First or last whole number at most ``box`` from ``axis``, by the same rounding as that comparison; NULL far off the grid."""
+    step, near = (-1, F.ceil(axis - box)) if end == "low" else (1, F.floor(axis + box))
+    found = F.when(F.abs(near + step - axis) <= box, near + step).when(F.abs(near - axis) <= box, near).otherwise(near - step)
+    return F.when(F.abs(axis) < 2.0**52, found)
 
 
 def coverage(cells: DataFrame, lengths: DataFrame, spacing: float = 1.0) -> DataFrame:

@@ -295,7 +295,7 @@ NEAR = {
       ON d.case_id = p.case_id AND d.owner = p.owner AND d.ord = p.ord""",
     "cells", "cand", extra={**NEAR, **axis_sql("near", "case_id, owner, ord")}))
 def parent_angle(spark, folder):
-    members = a.cells(spark, folder).filter("parent").select("case_id", *axes())
+    members = a.cells(spark, folder).filter("parent").select("case_id", "x", "y", "z")
     probes = a.candidates(spark, folder).select(
         F.col("features")["candidate_volume_mm3"].cast("bigint").alias("case_id"), F.struct("case_id", "ord").alias("probe"),
         F.col("ostium").alias("point"), "direction")
