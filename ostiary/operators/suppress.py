@@ -16,7 +16,7 @@ TAIL_ROWS = 20_000
 
 def suppress(
     df: DataFrame, by: list[str], rank: str, point: str, radius: float, alive: Column | None = None,
-    fold_rows: int | None = None, tail_rows: int | None = None,
+    fold_rows: int | None = None, tail_rows: int | None = None, sized: DataFrame | None = None,
 ) -> DataFrame:
     """Add ``decision``, ``suppressor_rank``, ``suppressor_no`` and ``output_no`` to every row.
 
@@ -25,11 +25,12 @@ def suppress(
     closer than ``radius``; the suppressor is the earliest such row).
 
     Small cases are folded in one pass as an array per case. Larger ones go through rounds on a grid, see
-    :func:`_kept_by_rounds`; both give the sequential result.
+    :func:`_kept_by_rounds`; both give the sequential result. ``sized`` may be counted in place of ``df``, see
+    :func:`scale.split_by_size`.
     """
     fold_rows = scale.FOLD_ROWS if fold_rows is None else fold_rows
     marked = df.withColumn("_alive", F.coalesce(alive, F.lit(False)) if alive is not None else F.lit(True))
-    small, large = scale.split_by_size(marked, by, fold_rows)
+    small, large = scale.split_by_size(marked, by, fold_rows, sized)
     done = _fold(small, by, rank, point, radius)
     if large is not None:
         done = done.unionByName(_large(large, by, rank, point, radius, tail_rows or TAIL_ROWS))

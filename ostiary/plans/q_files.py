@@ -102,7 +102,7 @@ def read_predictions(spark, folder):
       LEFT JOIN alive c ON c.case_id = s.case_id AND c.ord = s.ord LEFT JOIN kept p ON p.case_id = c.case_id AND p.k = c.k GROUP BY 1""",
     "cand", extra={"scored": SCORED, "alive": RANKED, **greedy(3.0)}))
 def diagnostic_records(spark, folder):
-    records = fl.diagnostic_records(a.cases(spark, folder).select("case_id"), decision_log(spark, folder))
+    records = fl.diagnostic_records(a.cases(spark, folder).select("case_id"), decision_log(spark, folder), proposals=a.candidates(spark, folder))
     kept = F.filter("workflow.decisions", lambda d: d["decision"] == "retained")
     return records.select("case_id", F.coalesce(F.size("workflow.decisions"), F.lit(0)).cast("bigint").alias("decisions"),
                           F.coalesce(F.size(kept), F.lit(0)).cast("bigint").alias("retained"))
@@ -129,7 +129,7 @@ def prediction_record_rows(spark, folder):
     FROM scored s LEFT JOIN alive c ON c.case_id = s.case_id AND c.ord = s.ord LEFT JOIN kept p ON p.case_id = c.case_id AND p.k = c.k
       LEFT JOIN suppressed m ON m.case_id = c.case_id AND m.k = c.k""", "cand", extra={"scored": SCORED, "alive": RANKED, **greedy(3.0)}))
 def diagnostic_record_rows(spark, folder):
-    records = fl.diagnostic_records(a.cases(spark, folder).select("case_id"), decision_log(spark, folder))
+    records = fl.diagnostic_records(a.cases(spark, folder).select("case_id"), decision_log(spark, folder), proposals=a.candidates(spark, folder))
     rows = records.select("case_id", F.posexplode("workflow.decisions").alias("i", "d"))
     parts = [r4(F.get(F.col(f"d.candidate.{name}"), F.lit(i)), short, 6) for name, i, short in (("ostium_xyz_mm", 0, "ox"), ("seed_xyz_mm", 1, "sy"), ("direction_xyz", 2, "dz"))]
     return rows.select("case_id", (F.col("i") + 1).cast("bigint").alias("place"), "d.profile", "d.source_instance_id", r4(F.col("d.score"), "score"), *parts,

@@ -55,13 +55,14 @@ def score_before_merge(
     """
     limit = model.threshold if threshold is None else threshold
     validate_threshold(limit)
-    scored = score_candidates(union_profiles(strict, review, order), model)
+    proposals = union_profiles(strict, review, order)
+    scored = score_candidates(proposals, model)
     if require:
         require_features(scored)
     needed = scored.select(
         "case_id", "instance_id", "profile", "merge_rank", "ostium", "seed", "direction", "radius_mm", "score",
     )
-    log = suppress(needed, ["case_id"], "merge_rank", "ostium", MERGE_DISTANCE_MM, F.col("score") >= limit)
+    log = suppress(needed, ["case_id"], "merge_rank", "ostium", MERGE_DISTANCE_MM, F.col("score") >= limit, sized=proposals)
     log = log.withColumn("decision", F.when(F.col("score").isNull(), "invalid_features").otherwise(F.col("decision")))
     return log.withColumn("output_instance_id", branch_id("output_no")).withColumn(
         "suppressor_instance_id", branch_id("suppressor_no"))

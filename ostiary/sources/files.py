@@ -6,6 +6,7 @@ import math
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from ostiary import scale
 from ostiary.functions import geometry as g
 from ostiary.functions.features import FEATURE_NAMES, LogisticModel
 from ostiary.operators.ordering import rank_within
@@ -82,9 +83,21 @@ def build_manifest(files: DataFrame, attributes: DataFrame, key: str = "case_id"
     Digests are taken before the shuffle, so file contents never move; without ``content`` they are streamed from ``path``."""
     hashed = files.withColumn("sha256", F.sha2("content", 256)) if "content" in files.columns else digests(files)
     hashed = hashed.select(key, "name", "sha256")
-    parts = record_parts(hashed, [key], ["name"], rows_per_record)
-    maps = parts.groupBy(key, "part").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("name", "sha256")))).alias("files"))
-    return with_parts(attributes, hashed, maps, key, rows_per_record)
+    maps = F.map_from_entries(F.sort_array(F.collect_list(F.struct("name", "sha256")))).alias("files")
+    return nest(attributes, hashed, key, ["name"], maps, rows_per_record, files)
+
+
+def nest(groups: DataFrame, rows: DataFrame, key: str, order: list[str], entries: Column, rows_per_record: int, sized: DataFrame | None = None) -> DataFrame:
+    """One record per group and part, as :func:`with_parts`, with the rows' ``entries`` collected.
+
+    Where no group fills a record, rows need neither ranks nor counts and are read once. ``sized`` is a table with at least as many
+    rows of each group as ``rows``, whose sizes are looked at in place of theirs when it is cheaper to count.
+    """
+    if not scale.has_large_group(rows if sized is None else sized, [key], rows_per_record):
+        whole = rows.groupBy(key).agg(entries)
+        return groups.join(whole, key, "left").withColumns({"part": F.lit(0).cast("bigint"), "parts": F.lit(1).cast("bigint")})
+    parts = record_parts(rows, [key], order, rows_per_record)
+    return with_parts(groups, rows, parts.groupBy(key, "part").agg(entries), key, rows_per_record)
 
 
 def record_parts(rows: DataFrame, by: list[str], order: list[str], rows_per_record: int) -> DataFrame:
@@ -106,9 +119,9 @@ def prediction_records(cases: DataFrame, branches: DataFrame, rows_per_record: i
     daughter = F.struct(
         "instance_id", F.lit("aorta").alias("parent_instance_id"), listed["ostium"].alias("ostium_xyz_mm"),
         listed["seed"].alias("seed_xyz_mm"), "radius_mm", listed["direction"].alias("direction_xyz"))
-    parts = record_parts(branches, ["case_id"], ["instance_id"], rows_per_record)
-    nested = parts.groupBy("case_id", "part").agg(F.sort_array(F.collect_list(daughter)).alias("daughters"))
-    return with_parts(cases.select("case_id"), branches, nested, "case_id", rows_per_record).select(
+    listed = F.sort_array(F.collect_list(daughter)).alias("daughters")
+    nested = nest(cases.select("case_id"), branches, "case_id", ["instance_id"], listed, rows_per_record)
+    return nested.select(
         "case_id", "part", "parts", F.struct(F.lit("aorta").alias("instance_id")).alias("parent"),
         F.coalesce("daughters", F.array().cast(nested.schema["daughters"].dataType)).alias("daughters"))
 
@@ -144,15 +157,16 @@ def flatten_predictions(records: DataFrame) -> tuple[DataFrame, DataFrame]:
     return rows, records.select("case_id").distinct()
 
 
-def diagnostic_records(runs: DataFrame, log: DataFrame, rows_per_record: int = RECORD_ROWS) -> DataFrame:
-    """Run record per case (:func:`ostiary.plans.batch.run_records`) with its decisions, candidates included, as ``workflow``."""
-    parts = record_parts(log, ["case_id"], ["merge_rank"], rows_per_record)
+def diagnostic_records(runs: DataFrame, log: DataFrame, rows_per_record: int = RECORD_ROWS, proposals: DataFrame | None = None) -> DataFrame:
+    """Run record per case (:func:`ostiary.plans.batch.run_records`) with its decisions, candidates included, as ``workflow``.
+
+    ``proposals`` are the rows that the log was made from: cases are counted there, which does not repeat the decisions."""
     candidate = F.struct(*[F.array(*g.xyz(c)).alias(n) for c, n in (("ostium", "ostium_xyz_mm"), ("seed", "seed_xyz_mm"), ("direction", "direction_xyz"))], "radius_mm")
     entry = F.struct("merge_rank", "profile", F.col("instance_id").alias("source_instance_id"), "score", candidate.alias("candidate"), "decision",
                      "output_instance_id", "suppressor_instance_id")
-    nested = parts.groupBy("case_id", "part").agg(F.sort_array(F.collect_list(entry)).alias("decisions"))
+    decisions = F.sort_array(F.collect_list(entry)).alias("decisions")
     rest = [name for name in runs.columns if name != "case_id"]
-    return with_parts(runs, log, nested, "case_id", rows_per_record).select("case_id", "part", "parts", *rest, F.struct(
+    return nest(runs, log, "case_id", ["merge_rank"], decisions, rows_per_record, proposals).select("case_id", "part", "parts", *rest, F.struct(
         F.lit("score-before-merge").alias("name"), F.lit(1).alias("schema_version"), F.lit(3.0).alias("merge_distance_mm"),
         F.lit("strict_first").alias("priority"), "decisions").alias("workflow"))
 
