@@ -39,10 +39,10 @@ def over_limit(roots: DataFrame, by: list[str], cap: int) -> DataFrame:
     return roots.groupBy(*by).agg(F.count("*").alias("candidates")).filter(F.col("candidates") > cap)
 
 
-def renumber(branches: DataFrame, by: list[str], tie: list[str]) -> DataFrame:
-    """New ``branch_%03d`` ids in z, y, x order of the ostium."""
+def renumber(branches: DataFrame, by: list[str], tie: list[str], large: bool | None = None) -> DataFrame:
+    """New ``branch_%03d`` ids in z, y, x order of the ostium; ``large`` as for :func:`rank_within`."""
     order = [F.col("ostium.z"), F.col("ostium.y"), F.col("ostium.x"), *[F.col(t) for t in tie]]
-    ranked = rank_within(branches, by, order, "_n")
+    ranked = rank_within(branches, by, order, "_n", large=large)
     return ranked.withColumn("instance_id", F.format_string("branch_%03d", F.col("_n"))).drop("_n")
 
 
@@ -50,7 +50,7 @@ def pool_union(review: DataFrame, strict: DataFrame, by: list[str], rank: str, r
     """Review rows plus strict rows at least ``radius`` from every review row and every strict row added
     before them; added rows carry a flag."""
     far = keep_within(strict, review, by, "ostium", "ostium", radius, inclusive=False, found=False)
-    added = suppress(far, by, rank, "ostium", radius).filter("decision = 'retained'").select(*strict.columns)
+    added = suppress(far, by, rank, "ostium", radius, sized=strict).filter("decision = 'retained'").select(*strict.columns)
     return review.withColumn("added", F.lit(False)).unionByName(added.withColumn("added", F.lit(True)))
 
 

@@ -96,9 +96,11 @@ def candidate_pool(review: DataFrame, strict: DataFrame, by: list[str], rank: st
     """(branches, counts): the review pool with the strict branches that it lacks, under new ids in z, y, x order.
 
     ``source_id`` keeps a branch's own id. An added branch says so in ``warnings``; ``counts`` has the cases' number of
-    branches and of added ones (``strict_only_added``).
+    branches and of added ones (``strict_only_added``). Counts need no numbers, so either table is made without the other.
     """
     pool = rs.pool_union(review, strict, by, rank)
     told = pool.withColumn("warnings", F.when(F.col("added"), F.array_append("warnings", F.lit(STRICT_ONLY))).otherwise(F.col("warnings")))
-    numbered = scale.checkpoint(rs.renumber(told.withColumn("source_id", F.col("instance_id")), by, ["added", rank]))
-    return numbered, numbered.groupBy(*by).agg(F.count("*").alias("branches"), F.count_if("added").alias("strict_only_added"))
+    proposals = review.select(*by).unionByName(strict.select(*by))  # the pool has no other rows
+    large = scale.has_large_group(proposals, by, scale.TASK_GROUP_ROWS)
+    numbered = rs.renumber(told.withColumn("source_id", F.col("instance_id")), by, ["added", rank], large)
+    return numbered, pool.groupBy(*by).agg(F.count("*").alias("branches"), F.count_if("added").alias("strict_only_added"))
