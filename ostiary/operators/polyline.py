@@ -76,7 +76,8 @@ def nearest_on_polyline(
             g.distance(g.xyz(point), g.xyz(v)).alias("distance"), i.cast("double").alias("position"))))
     else:
         found = g.nearest_on_path(g.xyz(point), F.col("_line"))
-    joined = scale.per_group(points, _pack(short, by), by, "left" if long is None else "inner").withColumn("_near", found)
+    met = scale.per_group(points, _pack(short, by), by, "left" if long is None else "inner")
+    joined = scale.computed_once(met, "_near", found)
     done = joined.select(*points.columns, F.col("_near.distance").alias("nearest_mm"), F.col("_near.position").alias("position"))
     if long is None:
         return done.unionByName(lost)

@@ -2,18 +2,26 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ostiary import scale
 from ostiary.operators.ordering import exact_percentiles
 from ostiary.operators.polyline import CHUNK, nearest_on_polyline
 
 
-def fill_gaps(series: DataFrame, by: list[str], value: str = "value") -> DataFrame:
+def fill_gaps(series: DataFrame, by: list[str], value: str = "value", large: bool = True) -> DataFrame:
     """NULL becomes the mean of the nearest filled values on both sides, else the one that exists, else 0.
 
-    Windows run over chunks of ``seq``; what a chunk lacks comes from the nearest filled chunk before or after.
+    Windows run over chunks of ``seq``; what a chunk lacks comes from the nearest filled chunk before or after. Where the caller
+    knows that no group is ``large``, one window goes over each group and the series is read once.
     """
+    others = [c for c in series.columns if c != value]
+    if not large:
+        whole = Window.partitionBy(*by).orderBy("seq")
+        left = F.last(value, True).over(whole.rowsBetween(Window.unboundedPreceding, 0))
+        right = F.first(value, True).over(whole.rowsBetween(0, Window.unboundedFollowing))
+        return series.select(*others, value, left.alias("_l"), right.alias("_r")).select(*others, _filled(
+            F.col(value), F.col("_l"), F.col("_r")).alias(value))
     keys = [*by, "_chunk"]
     rows = series.withColumn("_chunk", F.floor(F.col("seq") / CHUNK))
     inside = Window.partitionBy(*keys).orderBy("seq")
@@ -26,8 +34,11 @@ def fill_gaps(series: DataFrame, by: list[str], value: str = "value") -> DataFra
         F.first("_first", True).over(chunks.rowsBetween(1, Window.unboundedFollowing))[value].alias("_right_of"))
     near = rows.withColumns({"_l": F.last(value, True).over(before), "_r": F.first(value, True).over(after)}).join(edges, keys)
     left, right = F.coalesce("_l", "_left_of"), F.coalesce("_r", "_right_of")
-    return near.select(*[c for c in series.columns if c != value], F.coalesce(
-        F.col(value), (left + right) / 2, left, right, F.lit(0.0)).alias(value))
+    return near.select(*others, _filled(F.col(value), left, right).alias(value))
+
+
+def _filled(value: Column, left: Column, right: Column) -> Column:
+    return F.coalesce(value, (left + right) / 2, left, right, F.lit(0.0))
 
 
 def ring_radii(vertices: DataFrame, samples: DataFrame, by: list[str], key: list[str], limit: int | None = None) -> DataFrame:
@@ -37,7 +48,7 @@ def ring_radii(vertices: DataFrame, samples: DataFrame, by: list[str], key: list
     large = scale.has_large_group(vertices, by, limit or scale.TASK_GROUP_ROWS)  # bounds every ring of the case
     medians = exact_percentiles(assigned, [*by, "seq"], "nearest_mm", {"radius": 0.5}, limit, large)
     rings = samples.select(*by, F.col("seq").cast("bigint").alias("seq")).join(medians, [*by, "seq"], "left")
-    return fill_gaps(rings, by, "radius")
+    return fill_gaps(rings, by, "radius", scale.has_large_group(samples, by, limit or scale.TASK_GROUP_ROWS))
 
 
 def trimmed_range(
@@ -51,9 +62,16 @@ def trimmed_range(
     wanted = {"low": low, "high": high}
     rings = scale.checkpoint(rings)  # read by both ranges and the result
     large = scale.has_large_group(rings, by, limit or scale.TASK_GROUP_ROWS)
-    trimmed = exact_percentiles(rings.join(around, [*by, "seq"], "left_anti"), by, "radius", wanted, limit, large)
-    whole = exact_percentiles(rings, by, "radius", wanted, limit, large).withColumnsRenamed({"low": "_low", "high": "_high"})
-    ranges = whole.join(trimmed, by, "left").select(*by, F.coalesce("low", "_low").alias("low"), F.coalesce("high", "_high").alias("high"))
+    if large:
+        trimmed = exact_percentiles(rings.join(around, [*by, "seq"], "left_anti"), by, "radius", wanted, limit, large)
+        whole = exact_percentiles(rings, by, "radius", wanted, limit, large).withColumnsRenamed({"low": "_low", "high": "_high"})
+        ranges = whole.join(trimmed, by, "left")
+    else:
+        away = F.when(F.col("_near").isNull(), F.col("radius"))
+        marked = rings.join(around.withColumn("_near", F.lit(True)), [*by, "seq"], "left").filter(F.col("radius").isNotNull())
+        ranges = marked.groupBy(*by).agg(*[F.percentile(of, p).alias(f"{mark}{name}") for of, mark in ((away, ""), (F.col("radius"), "_"))
+                                           for name, p in wanted.items()])
+    ranges = ranges.select(*by, F.coalesce("low", "_low").alias("low"), F.coalesce("high", "_high").alias("high"))
     span = F.greatest(F.col("high") - F.col("low"), F.lit(1e-6))
     return rings.join(ranges, by).withColumn("scaled", (F.col("radius") - F.col("low")) / span)
 
