@@ -9,6 +9,8 @@ from ostiary.functions import geometry as g, naming as n
 # Fixed value: marker of files that must not be used as references.
 REJECTED_SCOPE = "unreviewed_proposals_not_ground_truth"
 MAP = "map<string,string>"
+# A JSON list read as one field of an object, so that the parser tells when an element is no object.
+ITEMS = "_ostiary_items array<map<string,string>>, _ostiary_bad string"
 
 
 def read_landmark_sets(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
@@ -31,40 +33,57 @@ def split_documents(documents: DataFrame) -> DataFrame:
     five layouts."""
     documents = documents.select("text", "stem", (F.col("path") if "path" in documents.columns else F.col("stem")).alias("path"))
     is_list = F.startswith(F.ltrim("text"), F.lit("["))
-    parsed = documents.select("stem", "path", F.when(is_list, F.from_json("text", "array<string>")).alias("items"),
-                              F.when(~is_list, F.from_json("text", MAP)).alias("top"))
+    # Each step stands on stored columns, so that no text is parsed twice.
+    parsed = documents.select("stem", "path", F.when(is_list, F.col("text")).alias("items"), F.when(~is_list, F.from_json("text", MAP)).alias("top"))
     daughters = F.lit(False)
     for key in n.DAUGHTER_KEYS:
         daughters = daughters | F.map_contains_key("top", key)
+    parsed = parsed.select(
+        "stem", "path", "top", daughters.alias("single"), (F.try_element_at("top", F.lit("scope")) == REJECTED_SCOPE).alias("rejected"),
+        F.map_contains_key("top", "cases").alias("_in_cases"),
+        F.coalesce("items", F.when(~daughters, F.try_element_at("top", F.lit("cases")))).alias("items"))
+    parsed = parsed.withColumn("_read", read_objects(F.col("items")))
     nested = F.filter(F.map_entries("top"), lambda e: F.startswith(F.ltrim(e["value"]), F.lit("{")))
     no_id = F.lit(None).cast("string")
-    top_text = F.to_json("top")
-
-    def item(text: Column, case: Column) -> Column:
-        return F.struct(text.alias("text"), case.alias("case"))
-
-    cases = (
-        F.when(F.col("items").isNotNull(), F.transform("items", lambda t: item(t, no_id)))
-        .when(daughters, F.array(item(top_text, no_id)))
-        .when(F.map_contains_key("top", "cases"), F.transform(
-            F.from_json(F.try_element_at("top", F.lit("cases")), "array<string>"), lambda t: item(t, no_id)))
-        .otherwise(F.transform(nested, lambda e: item(e["value"], e["key"]))))
-    flagged = parsed.select("stem", "path", (F.try_element_at("top", F.lit("scope")) == REJECTED_SCOPE).alias("rejected"),
-                            daughters.alias("single"), F.col("top"), F.posexplode_outer(cases).alias("pos", "case"))
+
+    def item(fields: Column, case: Column) -> Column:
+        return F.struct(fields.alias("fields"), case.alias("case"))
+
     # A single case keeps its own map, because writing a map of JSON texts again would quote them twice.
-    fields = F.when(F.coalesce("single", F.lit(False)), F.col("top")).otherwise(F.from_json("case.text", MAP))
+    cases = F.when(F.col("single"), F.array(item(F.col("top"), no_id))).when(
+        F.col("top").isNull() | F.col("_in_cases"), F.transform(objects(F.col("items"), F.col("_read")), lambda m: item(m, no_id))).otherwise(
+        F.transform(nested, lambda e: item(F.from_json(e["value"], MAP), e["key"])))
+    # The generator parses the cases; parsed above it, they would be parsed once more in the filter.
+    flagged = parsed.select("stem", "path", "rejected", "single", F.posexplode_outer(cases).alias("pos", "case"))
+    fields = F.col("case.fields")
     own_id = F.lit(False)
     for key in n.CASE_KEYS:
-        own_id = own_id | F.map_contains_key("_fields", key)
+        own_id = own_id | F.map_contains_key(fields, key)
     given = F.coalesce("case.case", F.when(F.coalesce("single", F.lit(False)) & ~own_id, F.col("stem")))
-    with_fields = flagged.withColumn("_fields", fields)
-    merged = F.when(given.isNull(), F.col("_fields")).otherwise(F.map_concat(
-        F.map_filter("_fields", lambda k, v: k != "case_id"), F.create_map(F.lit("case_id"), given)))
-    return with_fields.filter(F.col("_fields").isNotNull() | F.coalesce("rejected", F.lit(False))).select(
+    with_id = flagged.filter(fields.isNotNull() | F.coalesce("rejected", F.lit(False))).withColumn("_given", given)
+    merged = F.when(F.col("_given").isNull(), fields).otherwise(F.map_concat(
+        F.map_filter(fields, lambda k, v: k != "case_id"), F.create_map(F.lit("case_id"), F.col("_given"))))
+    return with_id.select(
         F.concat_ws("#", "path", F.col("pos").cast("string")).alias("record"), merged.alias("raw"),
         F.coalesce(F.col("rejected"), F.lit(False)).alias("rejected"))
 
 
+def read_objects(text: Column) -> Column:
+    """A JSON list of objects as one parse gives it, for :func:`objects`; store it as a column."""
+    whole = F.concat(F.lit('{"_ostiary_items":'), text, F.lit("}"))
+    return F.when(F.startswith(F.ltrim(text), F.lit("[")), F.from_json(whole, ITEMS, {"columnNameOfCorruptRecord": "_ostiary_bad"}))
+
+
+def objects(text: Column, read: Column) -> Column:
+    """The elements of a JSON list as maps of field names to JSON text, NULL for those that are no objects.
+
+    A list that holds anything but objects is read again, element by element.
+    """
+    whole = read["_ostiary_bad"].isNull() & read["_ostiary_items"].isNotNull()
+    return F.when(whole, read["_ostiary_items"]).otherwise(
+        F.transform(F.from_json(text, "array<string>"), lambda t: F.from_json(t, MAP)))
+
+
 def _note(condition: Column, *text) -> Column:
     return F.when(F.coalesce(condition, F.lit(False)), F.concat(*[F.lit(t) if isinstance(t, str) else t for t in text]))
 
@@ -81,24 +100,27 @@ def normalize_references(raw: DataFrame, headers: DataFrame | None = None) -> Da
     space = F.coalesce(F.try_element_at("raw", F.lit("coordinate_space")), F.try_element_at("raw", F.lit("units")))
     found = raw.select("record", case_value.alias("case_value"), list_text.alias("list"), n.has_voxel_hint(space).alias("voxel_space"),
                        (F.col("rejected") | F.coalesce(scope, F.lit(False))).alias("rejected"))
+    found = found.withColumns({"case_id": n.normalize_case_id(F.col("case_value")), "_read": read_objects(F.col("list"))})
     as_map = F.from_json("list", MAP)
-    entries = F.when(F.startswith(F.ltrim("list"), F.lit("[")), F.transform(
-        F.from_json("list", "array<string>"), lambda t: F.from_json(t, MAP))).otherwise(F.transform(
-            F.map_entries(as_map), lambda e: F.map_concat(
-                F.map_filter(F.from_json(e["value"], MAP), lambda k, v: k != "instance_id"),
-                F.create_map(F.lit("instance_id"), e["key"]))))
+    entries = F.when(F.startswith(F.ltrim("list"), F.lit("[")), objects(F.col("list"), F.col("_read"))).otherwise(F.transform(
+        F.map_entries(as_map), lambda e: F.map_concat(
+            F.map_filter(F.from_json(e["value"], MAP), lambda k, v: k != "instance_id"),
+            F.create_map(F.lit("instance_id"), e["key"]))))
     found = found.withColumn("_entries", entries)
     entries = F.col("_entries")
     found = found.withColumn("_repeated", repeated_ids(entries))
     rows = found.select(
-        "record", "_repeated", n.normalize_case_id(F.col("case_value")).alias("case_id"), "case_value", "voxel_space", "rejected",
+        "record", "_repeated", "case_id", "case_value", "voxel_space", "rejected",
         F.col("list").isNull().alias("no_list"), F.posexplode_outer(entries).alias("index", "entry"))
 
-    picked = {field: n.pick_alias(F.col("entry"), aliases) for field, aliases in n.FIELD_ALIASES.items()}
-    voxel_key = F.get(F.filter(F.map_keys("entry"), lambda k: n.has_voxel_hint(k) & F.contains(F.lower(k), F.lit("ost"))), F.lit(0))
-    rows = rows.select(
-        *rows.columns, *[key.alias(f"k_{field}") for field, (_, key) in picked.items()],
-        *[value.alias(f"t_{field}") for field, (value, _) in picked.items()], voxel_key.alias("voxel_key"))
+    picked = list(n.FIELD_ALIASES)
+    rows = rows.select("*", *[n.present_alias(F.col("entry"), aliases).alias(f"k_{field}") for field, aliases in n.FIELD_ALIASES.items()])
+    # Looked for only where no ostium field is present.
+    lowered = F.transform(F.map_keys("entry"), lambda k: F.struct(k.alias("key"), F.lower(k).alias("low")))
+    voxel_key = F.when(F.col("t_ostium_xyz_mm").isNull(), F.get(F.filter(
+        lowered, lambda k: F.contains(k["low"], F.lit("ost")) & n.holds_voxel_hint(k["low"])), F.lit(0))["key"])
+    rows = rows.select("*", *[F.try_element_at("entry", F.col(f"k_{field}")).alias(f"t_{field}") for field in picked])
+    rows = rows.withColumn("voxel_key", voxel_key)
     use_voxel_key = F.col("t_ostium_xyz_mm").isNull()
     texts = {"ostium": F.coalesce("t_ostium_xyz_mm", F.try_element_at("entry", F.col("voxel_key"))),
              "seed": F.col("t_seed_xyz_mm"), "direction": F.col("t_direction_xyz")}
@@ -113,14 +135,18 @@ def normalize_references(raw: DataFrame, headers: DataFrame | None = None) -> Da
     rows = rows.select(
         *[c for c in rows.columns if not c.startswith(("listed_", "named_"))],
         *[n.to_vector(F.col(f"listed_{name}"), F.col(f"named_{name}")).alias(name) for name in texts])
+    # Plain numbers rather than arrays: what is generated for this step stays short enough to be compiled.
+    frame = {f"_{part}{i}": F.get(part, F.lit(i)) for part, size in (("origin", 3), ("spacing", 3), ("direction", 9)) for i in range(size)}
     if headers is not None:
-        rows = rows.join(headers.select("case_id", F.struct("origin", "spacing", "direction").alias("h")), "case_id", "left")
+        rows = rows.join(headers.select("case_id", F.lit(True).alias("_h"), *[v.alias(c) for c, v in frame.items()]), "case_id", "left")
     else:
-        rows = rows.withColumn("h", F.lit(None).cast("struct<origin:array<double>,spacing:array<double>,direction:array<double>>"))
+        rows = rows.withColumns({"_h": F.lit(None).cast("boolean"), **{c: F.lit(None).cast("double") for c in frame}})
+    header = F.col("_h").isNotNull()
+    parts = [[F.col(c) for c in frame if c.startswith(f"_{part}")] for part in ("origin", "spacing", "direction")]
 
     def physical(name: str) -> Column:
-        moved = g.point(*g.index_to_physical(g.xyz(name), F.col("h.origin"), F.col("h.spacing"), F.col("h.direction")))
-        return F.when(F.col("voxel"), F.when(F.col("h").isNotNull() & F.col(name).isNotNull(), moved)).otherwise(F.col(name))
+        moved = g.point(*g.index_to_physical(g.xyz(name), *parts))
+        return F.when(F.col("voxel"), F.when(header & F.col(name).isNotNull(), moved)).otherwise(F.col(name))
 
     rows = rows.withColumns({"ostium": physical("ostium"), "seed": physical("seed")})
     derived = g.point(*g.subtract(g.xyz("seed"), g.xyz("ostium")))
@@ -132,13 +158,13 @@ def normalize_references(raw: DataFrame, headers: DataFrame | None = None) -> Da
     value = F.col("t_radius_mm").try_cast("double")
     known = F.coalesce(g.is_finite(value) & (value > 0), F.lit(False))
     halved = F.col("k_radius_mm") == "diameter_mm"
-    label = F.concat(F.col("case_id"), F.lit("#"), F.col("index").cast("string"))
-    notes = [_note(F.col("case_id") != F.col("case_value"), F.col("case_id"), ": case identifier normalized")]
-    for field, aliases in n.FIELD_ALIASES.items():
-        key = F.col(f"k_{field}")
-        notes.append(_note(key != aliases[0], label, ": field '", key, f"' used for '{aliases[0]}'"))
-    notes += [
-        _note(F.col("voxel") & F.col("h").isNotNull(), label, ": converted voxel indices to physical mm"),
+    rows = rows.withColumn("_label", F.concat(F.col("case_id"), F.lit("#"), F.col("index").cast("string")))
+    label = F.col("_label")
+    renamed = _note(F.col("case_id") != F.col("case_value"), F.col("case_id"), ": case identifier normalized")
+    used = F.array(*[F.struct(F.col(f"k_{field}").alias("key"), F.lit(aliases[0]).alias("meant")) for field, aliases in n.FIELD_ALIASES.items()])
+    aliased = F.transform(used, lambda u: _note(u["key"] != u["meant"], label, ": field '", u["key"], "' used for '", u["meant"], "'"))
+    notes = [
+        _note(F.col("voxel") & header, label, ": converted voxel indices to physical mm"),
         _note(~F.col("direction_given"), label, ": no direction given, taken from ostium to seed"),
         _note(F.abs(F.col("norm") - 1) > 0.01 + 1e-5, label, ": direction renormalized"),
         _note(~F.col("seed_given"), label, ": seed placed 5 mm along the direction"),
@@ -149,7 +175,7 @@ def normalize_references(raw: DataFrame, headers: DataFrame | None = None) -> Da
         F.when(F.col("rejected"), "unreviewed_proposals"), F.when(F.col("case_value").isNull(), "no_case_identifier"),
         F.when(F.col("no_list"), "no_daughter_list"),
         F.when(F.col("index").isNotNull() & F.col("_no_ostium_key") & F.col("voxel_key").isNull(), "no_ostium"),
-        F.when(F.col("index").isNotNull() & F.col("voxel") & F.col("h").isNull(), "voxel_without_header"),
+        F.when(F.col("index").isNotNull() & F.col("voxel") & ~header, "voxel_without_header"),
         F.when(F.col("index").isNotNull() & F.col("ostium").isNull(), "bad_ostium"),
         F.when(F.col("seed_given") & F.col("seed").isNull(), "bad_seed"),
         F.when(F.col("index").isNotNull() & ~F.col("direction_given") & ~F.col("seed_given"), "no_direction_or_seed"),
@@ -161,7 +187,7 @@ def normalize_references(raw: DataFrame, headers: DataFrame | None = None) -> Da
         F.when(F.col("_repeated"), F.concat(name, F.format_string("_%03d", F.col("index") + 1))).otherwise(name).alias("instance_id"),
         F.lit("aorta").alias("parent_instance_id"), "ostium", "seed", "direction",
         F.when(~known, 1.0).when(halved, value / 2).otherwise(value).alias("radius_mm"), known.alias("radius_known"),
-        F.array_compact(F.array(*notes)).alias("notes"), problem.alias("problem"))
+        F.array_compact(F.concat(F.array(renamed), aliased, F.array(*notes))).alias("notes"), problem.alias("problem"))
 
 
 def default_id(index: Column) -> Column:
@@ -174,7 +200,7 @@ def repeated_ids(entries: Column) -> Column:
     Found in the list before it is exploded, so records need no window and no shuffle.
     """
     names = F.transform(entries, lambda e, i: F.coalesce(n.pick_alias(e, n.FIELD_ALIASES["instance_id"])[0], default_id(i)))
-    return F.coalesce(F.size(names) > F.size(F.array_distinct(names)), F.lit(False))
+    return F.when(F.size(entries) > 1, F.size(names) > F.size(F.array_distinct(names))).otherwise(F.lit(False))
 
 
 def reference_problems(rows: DataFrame) -> DataFrame:
