@@ -58,7 +58,7 @@ def conflict_edges(branches: DataFrame, by: list[str], parallel_clearance: float
     """Pairs (later, earlier in rank) that compete for one opening: the ``reason`` they would merge, ``on_other`` if the later
     opening lies on the earlier path, ``under`` if the earlier one lies on the later path.
 
-    Cases of up to CASE_ROWS rows are joined with themselves, and the path predicates run inside the joined row. In the
+    Cases of up to CASE_ROWS rows are one row each, and the path predicates run on its pairs that are near enough. In the
     others every pair is found at the scale of its larger radius, so a wide row meets its neighbours and leaves the pairs of
     narrow ones alone; openings meet path vertices in cells of their own.
     """
@@ -68,34 +68,57 @@ def conflict_edges(branches: DataFrame, by: list[str], parallel_clearance: float
     (few, _), (many, _) = scale.small_cases(rows, rows, by, spatial.CASE_ROWS)
     found = []
     if few is not None:
-        later, earlier = (few.select(*by, F.struct(*fields).alias(name)) for name in ("row_later", "row_earlier"))
-        found.append(_edges_inside(later.join(earlier, by).filter("row_later.rank > row_earlier.rank"), by, parallel_clearance, spacing))
+        found.append(_edges_inside(few, by, fields, parallel_clearance, spacing))
     if many is not None:
         found.append(_edges_by_cells(scale.checkpoint(many), by, fields, parallel_clearance, spacing))
     return reduce(DataFrame.unionByName, found)
 
 
+def _competing(gap: Column) -> Column:
+    return gap < F.greatest(F.lit(2.5), F.col("row_later.radius_mm") + F.col("row_earlier.radius_mm"))
+
+
 def _merging(gap: Column) -> Column:
     """Why the rows of a pair ``gap`` apart would merge; the path predicates are evaluated only where the CASE gets to them."""
     later, earlier = F.col("row_later"), F.col("row_earlier")
-    competing = gap < F.greatest(F.lit(2.5), later["radius_mm"] + earlier["radius_mm"])
     same_opening = (gap < 2.5) & (g.distance(g.xyz(later["seed"]), g.xyz(earlier["seed"])) < 3)
     trunk = same_trunk(*[side[c] for side in (later, earlier) for c in ("path", "prefix", "radius_mm")])
-    return F.when(competing, F.when(same_opening, "same_opening_and_path").when(trunk, "common_trunk"))
+    return F.when(_competing(gap), F.when(same_opening, "same_opening_and_path").when(trunk, "common_trunk"))
 
 
-def _edges_inside(pairs: DataFrame, by: list[str], parallel_clearance: float, spacing: float) -> DataFrame:
+def _edges_inside(rows: DataFrame, by: list[str], fields: list[str], parallel_clearance: float, spacing: float) -> DataFrame:
+    """The pairs of each case from one row that holds the case in rank order, so that its rows are worked out once.
+
+    Most pairs neither compete nor have an opening in reach of the box around the other's later vertices; they go before any
+    path is looked at.
+    """
     later, earlier = F.col("row_later"), F.col("row_earlier")
+    ends = {"head": F.slice("path", 1, 2), "tail": F.slice("path", 2, F.greatest(F.size("path") - 1, F.lit(0)))}
+    boxes = [end(vertices[axis]).alias(f"{name}_{side}_{axis}") for name, vertices in ends.items()
+             for axis in "xyz" for side, end in (("low", F.array_min), ("high", F.array_max))]
+    boxed = rows.select(*by, F.struct(*fields, *(boxes if parallel_clearance > 0 else [])).alias("_row"))
+    cases = boxed.groupBy(*by).agg(F.sort_array(F.collect_list("_row")).alias("_rows"))  # ranks are the first field and unique
+    placed = cases.select(*by, "_rows", F.posexplode("_rows").alias("_at", "row_later"))
+    pairs = placed.select(*by, "row_later", F.explode(F.slice("_rows", F.lit(1), F.col("_at"))).alias("row_earlier"))
+    gap = g.distance(g.xyz(later["ostium"]), g.xyz(earlier["ostium"]))
+
+    def in_reach(path: Column, other: Column) -> Column:
+        """False only if no opening or first point of ``path`` can lie on ``other``."""
+        reach = 1.5 * spacing * (1 + 1e-9)  # the margin is for rounding
+        gaps = [low - high for a in "xyz" for low, high in (
+            (path[f"head_low_{a}"], other[f"tail_high_{a}"]), (other[f"tail_low_{a}"], path[f"head_high_{a}"]))]
+        return ~reduce(lambda p, q: p | q, [F.coalesce((d > reach) & ~F.isnan(d), F.lit(False)) for d in gaps])
 
     def lies(path: Column, other: Column) -> Column:
-        return F.coalesce(on_path(path, other, spacing), F.lit(False)) if parallel_clearance > 0 else F.lit(False)
+        return F.coalesce(on_path(path["path"], other["path"], spacing), F.lit(False)) if parallel_clearance > 0 else F.lit(False)
 
-    edge = F.struct(
-        _merging(g.distance(g.xyz(later["ostium"]), g.xyz(earlier["ostium"]))).alias("reason"),
-        lies(later["path"], earlier["path"]).alias("on_other"), lies(earlier["path"], later["path"]).alias("under"))
+    near = F.coalesce(_competing(gap), F.lit(False))
+    if parallel_clearance > 0:
+        near = near | in_reach(later, earlier) | in_reach(earlier, later)
+    edge = F.struct(_merging(gap).alias("reason"), lies(later, earlier).alias("on_other"), lies(earlier, later).alias("under"))
     # The generator evaluates the predicates once and drops pairs without a conflict.
     conflicts = F.filter(F.array(edge), lambda e: e["reason"].isNotNull() | e["on_other"] | e["under"])
-    return pairs.select(*by, later["rank"].alias("rank"), earlier["rank"].alias("earlier"), F.inline(conflicts))
+    return pairs.filter(near).select(*by, later["rank"].alias("rank"), earlier["rank"].alias("earlier"), F.inline(conflicts))
 
 
 def _edges_by_cells(branches: DataFrame, by: list[str], fields: list[str], parallel_clearance: float, spacing: float) -> DataFrame:
