@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ostiary import scale
 from ostiary.functions.features import FEATURE_NAMES
+from ostiary.operators import spatial
 from ostiary.operators.ordering import rank_within
 
 KEY = ["case_id", "instance_id"]
@@ -38,11 +42,23 @@ def dedupe_reviews(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     return grouped.filter(agreed).select(*KEY, "_row.*"), grouped.filter(~agreed).select(*KEY, "copies")
 
 
-def review_status(branches: DataFrame, reviews: DataFrame) -> DataFrame:
-    """Label of the review with the same fingerprint, else ``unreviewed``."""
+def review_status(branches: DataFrame, reviews: DataFrame, sized: DataFrame | None = None) -> DataFrame:
+    """Label of the review with the same fingerprint, else ``unreviewed``.
+
+    Cases of up to CASE_ROWS rows in both tables meet by the case alone, so rows that already lie by case are not shuffled;
+    the others meet by all keys. ``sized``, a table with at least as many rows of each case, is counted in place of both.
+    """
     known = reviews.select(*KEY, "fingerprint", F.col("label").alias("status"))
-    return branches.join(known, [*KEY, "fingerprint"], "left").withColumn(
-        "status", F.coalesce("status", F.lit("unreviewed")))
+    rest = [name for name in branches.columns if name not in (*KEY, "fingerprint")]
+    (few, few_known), (many, many_known) = scale.small_cases(branches, known, ["case_id"], spatial.CASE_ROWS, sized)
+    found = []
+    if few is not None:
+        listed = few_known.groupBy("case_id").agg(F.collect_list(F.struct("instance_id", "fingerprint", "status")).alias("_known"))
+        same = F.filter("_known", lambda r: (r["instance_id"] == F.col("instance_id")) & (r["fingerprint"] == F.col("fingerprint")))
+        found.append(few.join(listed, "case_id", "left").select(*KEY, "fingerprint", *rest, F.explode_outer(same["status"]).alias("status")))
+    if many is not None:
+        found.append(many.join(many_known, [*KEY, "fingerprint"], "left").select(*KEY, "fingerprint", *rest, "status"))
+    return reduce(DataFrame.unionByName, found).withColumn("status", F.coalesce("status", F.lit("unreviewed")))
 
 
 def reconcile_reviews(reviews: DataFrame, branches: DataFrame, rerun_cases: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -172,8 +172,13 @@ def reviewed(spark, folder):
 STATUS_SQL = """SELECT *, CASE WHEN ord % 5 = 0 OR ord % 4 = 0 THEN 'unreviewed' WHEN quantity::BIGINT % 2 = 0 THEN 'confirmed' ELSE 'rejected' END AS status FROM cand"""
 
 
+def case_rows(spark, folder):
+    """The cases of :func:`reviewed`, a row for each branch; no case has more reviews than branches."""
+    return a.candidates(spark, folder).select("case_id")
+
+
 def statuses(spark, folder):
-    return rv.review_status(*reviewed(spark, folder))
+    return rv.review_status(*reviewed(spark, folder), case_rows(spark, folder))
 
 
 @query("review_status", a.oracle("SELECT case_id, instance_id, status FROM statuses", "cand", extra={"statuses": STATUS_SQL}))
@@ -200,7 +205,9 @@ def next_unreviewed(spark, folder):
 def review_progress(spark, folder):
     from ostiary.operators.quality import self_check
 
-    return rv.review_progress(self_check(statuses(spark, folder)))
+    branches, marks = reviewed(spark, folder)
+    # Checked before they are joined: what is joined is short then.
+    return rv.review_progress(rv.review_status(self_check(branches), marks, case_rows(spark, folder)))
 
 
 @query("reconcile_reviews", a.oracle("""
