@@ -7,10 +7,12 @@ only per-case medians need an order, and they use the exact percentile operator
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.types import ArrayType, ByteType, DoubleType, IntegerType, ShortType
 
@@ -23,6 +25,8 @@ from ostiary.operators.spatial import pairs_within
 
 CASE = ["case_id"]
 SLAB_BLOCK = 16
+# Cells of whole cases that a task walks at a time.
+BATCH_CELLS = 100_000
 
 
 def support_cells(cells: DataFrame, floor: float) -> DataFrame:
@@ -305,33 +309,128 @@ def max_projection(cells: DataFrame, axis: str) -> DataFrame:
     return cells.groupBy(*CASE, *others).agg(F.max("value").alias("value"), F.bool_or("parent").alias("parent"))
 
 
-def relocate_root(roots: DataFrame, cells: DataFrame, spacing: float = 1.0, maximum: float = 6.0) -> DataFrame:
+def relocate_root(roots: DataFrame, cells: DataFrame, spacing: float = 1.0, maximum: float = 6.0, task_cells: int | None = None) -> DataFrame:
     """Move each root along supported non-parent cells to the nearest one that touches the parent.
 
     The walk starts at the contact cells and spreads outwards over faces, at most floor(maximum / spacing)
     steps: every lumen cell learns its nearest contact (ties to the smallest z, y, x) once, and all roots
-    then look theirs up. The work depends on the cells only. ``relocated`` is NULL when nothing is near.
+    then look theirs up. The work depends on the cells only. ``relocated`` is NULL when nothing is near. A case of up to
+    ``task_cells`` cells is walked by one task, a larger one in joins.
     """
     by = CASE
-    cells = scale.checkpoint(cells.filter(F.col("support") | F.col("parent")).select(*by, *Z, "support", "parent", "excluded"))
-    lumen = cells.filter(F.col("support") & ~F.col("parent") & ~F.col("excluded")).select(*by, *Z)
+    cells = scale.checkpoint(cells.filter(F.col("support") | F.col("parent")).select(
+        *by, *Z, (F.col("support") & ~F.col("parent") & ~F.col("excluded")).alias("_lumen"), F.col("parent").alias("_parent")))
+    cells = cells.dropna(subset=[*by, *Z])  # they touch nothing
+    steps = int(maximum / spacing + 1e-9)
+    small, large = scale.split_by_size(cells, by, scale.TASK_GROUP_ROWS if task_cells is None else task_cells)
+    found = [_walked_cells(small, steps)]
+    if large is not None:
+        found.append(_walk_by_joins(scale.checkpoint(large), steps))
+    found = scale.checkpoint(reduce(DataFrame.unionByName, found))
+    return roots.join(found.select(*by, *Z, "relocated", (F.col("steps") * spacing).alias("walk_mm")), [*by, *Z], "left")
+
+
+def _walked_cells(cells: DataFrame, steps: int) -> DataFrame:
+    """``case_id, z, y, x, relocated, steps`` of the lumen cells reached, for cases that a task can hold.
+
+    Cells travel once, sorted by case; whole cases are walked together, BATCH_CELLS cells or more at a time.
+    """
+    place = ", ".join(f"{a}: {cells.schema[a].dataType.simpleString()}" for a in Z)
+    schema = f"case_id {cells.schema['case_id'].dataType.simpleString()}, {place.replace(':', '')}, relocated struct<{place}>, steps int"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            held.append(batch)
+            if sum(b.num_rows for b in held) >= BATCH_CELLS:
+                rows = pa.Table.from_batches(held).combine_chunks()
+                last = _first_of_last(rows.column("case_id").combine_chunks())
+                if last:
+                    yield from _reached(rows.slice(0, last), steps)
+                held = rows.slice(last).to_batches()
+        if held:
+            yield from _reached(pa.Table.from_batches(held).combine_chunks(), steps)
+
+    return cells.repartition(*CASE).sortWithinPartitions(*CASE).mapInArrow(run, schema)
+
+
+def _first_of_last(cases: pa.Array) -> int:
+    """Where the last case of sorted rows begins."""
+    codes = cases.dictionary_encode().indices.to_numpy(zero_copy_only=False)
+    return int(np.argmax(codes == codes[-1]))
+
+
+def _ranks(*values: np.ndarray) -> np.ndarray:
+    """Numbers in the order of ``values``, one apart where only the last value differs and by one, two apart otherwise."""
+    order = np.lexsort(values[::-1])
+    steps = np.diff(values[-1][order])
+    for value in values[:-1]:
+        steps = np.where(np.diff(value[order]) != 0, 2, steps)
+    found = np.empty(len(order), dtype=np.int64)
+    found[order] = np.concatenate(([1], 1 + np.cumsum(np.minimum(steps, 2))))
+    return found
+
+
+def _reached(rows: pa.Table, steps: int) -> Iterator[pa.RecordBatch]:
+    """The walk over whole cases: contact cells are step 0, and each further step takes the smallest contact of its neighbours."""
+    cases = rows.column("case_id").combine_chunks()
+    codes = cases.dictionary_encode().indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    z, y, x = (rows.column(a).to_numpy().astype(np.int64) for a in Z)
+    across, along = _ranks(y), _ranks(x)
+    wide, deep = along.max() + 2, across.max() + 2
+    key = (_ranks(codes, z) * deep + across) * wide + along
+    lumen, parent = (rows.column(c).combine_chunks().fill_null(False).to_numpy(zero_copy_only=False) for c in ("_lumen", "_parent"))
+    places, first = np.unique(key[lumen], return_index=True)
+    walls = np.unique(key[parent])
+    if not len(places) or not len(walls):
+        return
+    moves = [sign * size for size in (1, wide, wide * deep) for sign in (-1, 1)]
+
+    def at(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
+        where = np.minimum(np.searchsorted(table, keys), len(table) - 1)
+        return np.where(table[where] == keys, where, -1)
+
+    nearest = np.full(len(places), len(places))
+    step_of = np.full(len(places), -1, dtype=np.int32)
+    fresh = np.flatnonzero(reduce(np.logical_or, [at(walls, places + m) >= 0 for m in moves]))
+    nearest[fresh], step_of[fresh] = fresh, 0
+    for step in range(1, steps + 1):
+        best = np.full(len(places), len(places))
+        for move in moves:
+            where = at(places, places[fresh] + move)
+            np.minimum.at(best, where[where >= 0], nearest[fresh][where >= 0])
+        fresh = np.flatnonzero((best < len(places)) & (step_of < 0))
+        if not len(fresh):
+            break
+        nearest[fresh], step_of[fresh] = best[fresh], step
+    seen = np.flatnonzero(step_of >= 0)
+    own = np.flatnonzero(lumen)[first]
+    here, there = (rows.select(["case_id", *Z]).take(pa.array(own[i])) for i in (seen, nearest[seen]))
+    relocated = pa.StructArray.from_arrays([there.column(a).combine_chunks() for a in Z], names=Z)
+    found = pa.Table.from_arrays([*(here.column(c) for c in ("case_id", *Z)), relocated, pa.array(step_of[seen])], names=["case_id", *Z, "relocated", "steps"])
+    yield from found.combine_chunks().to_batches()
+
+
+def _walk_by_joins(cells: DataFrame, steps: int) -> DataFrame:
+    """The same walk for cases that no task should hold, step by step in joins."""
+    by = CASE
+    lumen = cells.filter("_lumen").select(*by, *Z)
     turned = {a: f"n{a}" for a in Z}
     pairs = neighbour_pairs(cells, by, 6)
     inside = pairs.join(lumen, [*by, *Z], "left_semi")
-    parents = cells.filter("parent").select(*by, *Z).withColumnsRenamed(turned)
-    steps = scale.checkpoint(inside.join(lumen.withColumnsRenamed(turned), [*by, *turned.values()], "left_semi"))
+    parents = cells.filter("_parent").select(*by, *Z).withColumnsRenamed(turned)
+    hops = scale.checkpoint(inside.join(lumen.withColumnsRenamed(turned), [*by, *turned.values()], "left_semi"))
     contact = inside.join(parents, [*by, *turned.values()], "left_semi").select(*by, *Z).distinct()
     seen = scale.checkpoint(contact.select(*by, *Z, F.struct(*Z).alias("relocated"), F.lit(0).alias("steps")))
     frontier = seen
-    for step in range(1, int(maximum / spacing + 1e-9) + 1):
-        reached = frontier.join(steps, [*by, *Z]).groupBy(*by, *turned.values()).agg(F.min("relocated").alias("relocated"))
+    for step in range(1, steps + 1):
+        reached = frontier.join(hops, [*by, *Z]).groupBy(*by, *turned.values()).agg(F.min("relocated").alias("relocated"))
         fresh = reached.select(*by, *[F.col(f"n{a}").alias(a) for a in Z], "relocated", F.lit(step).alias("steps"))
         frontier = scale.checkpoint(fresh.join(seen, [*by, *Z], "left_anti"))
         if frontier.isEmpty():
             break
         seen = seen.unionByName(frontier)
-    found = seen.select(*by, *Z, "relocated", (F.col("steps") * spacing).alias("walk_mm"))
-    return roots.join(found, [*by, *Z], "left")
+    return seen
 
 
 def follows_root(branches: DataFrame, roots: DataFrame) -> DataFrame:

@@ -362,7 +362,7 @@ def recovery(spark, folder):
         WHERE NOT EXISTS (SELECT 1 FROM starts s WHERE s.case_id = n.case_id AND s.z = n.z AND s.y = n.y AND s.x = n.x) GROUP BY 1, 2, 3, 4))""",
     "cells", extra=WALK))
 def add_recovered(spark, folder):
-    rows = recovery(spark, folder)
+    rows = scale.checkpoint(recovery(spark, folder))  # read three times
     return c.add_recovered(rows, rows, 2).select("case_id", "z", "y", "x", "added", "position", "reason")
 
 
