@@ -316,14 +316,15 @@ def max_projection(spark, folder):
     return c.max_projection(a.cells(spark, folder), "y").select("case_id", "z", "x", r4("value"), "parent")
 
 
-def roots(spark, folder):
+def roots(cells):
     """Supported cells a few steps outside the parent stand in for candidate roots."""
-    return supported(spark, folder).filter("support AND NOT parent AND outside >= 3").select(
+    return cells.filter("support AND NOT parent AND outside >= 3").select(
         "case_id", "z", "y", "x", F.struct("z", "y", "x").alias("root_id"))
 
 
-def walk_cells(spark, folder):
-    return supported(spark, folder).withColumn("excluded", F.col("y") == 0)
+def moved_roots(spark, folder):
+    cells = supported(spark, folder)
+    return c.relocate_root(roots(cells), cells.withColumn("excluded", F.col("y") == 0))
 
 
 WALK = {**WINDOW, "lumen": "SELECT case_id, z, y, x FROM supported WHERE support AND NOT parent AND y <> 0",
@@ -342,12 +343,12 @@ WALK = {**WINDOW, "lumen": "SELECT case_id, z, y, x FROM supported WHERE support
     SELECT s.case_id, s.z, s.y, s.x, e.e.z AS to_z, e.e.y AS to_y, e.e.x AS to_x, e.e.d::DOUBLE AS walk_mm FROM starts s
       LEFT JOIN ends e ON e.case_id = s.case_id AND e.rz = s.z AND e.ry = s.y AND e.rx = s.x""", "cells", extra=WALK))
 def relocate_root(spark, folder):
-    moved = c.relocate_root(roots(spark, folder), walk_cells(spark, folder))
+    moved = moved_roots(spark, folder)
     return moved.select("case_id", "z", "y", "x", *[F.col(f"relocated.{ax}").alias(f"to_{ax}") for ax in "zyx"], "walk_mm")
 
 
 def recovery(spark, folder):
-    moved = c.relocate_root(roots(spark, folder), walk_cells(spark, folder))
+    moved = moved_roots(spark, folder)
     rank = F.col("z") * 256 + F.col("y") * 16 + F.col("x")
     return moved.select("case_id", "z", "y", "x", rank.cast("bigint").alias("rank"), F.col("x").cast("double").alias("quality"),
                         (F.col("y") * 100.0).alias("volume_mm3"), "relocated",

@@ -5,6 +5,7 @@ import random
 import pytest
 
 from ostiary.operators import cells
+from ostiary.plans import q_cells
 
 SCHEMA = "case_id string, z int, y int, x int, parent boolean, support boolean, excluded boolean"
 
@@ -46,3 +47,11 @@ def test_small_cases_make_no_pairs(spark, monkeypatch):
     monkeypatch.setattr(cells, "neighbour_pairs", refuse)
     rows = grids(spark)
     assert cells.relocate_root(rows.select("case_id", "z", "y", "x"), rows).filter("relocated IS NOT NULL").count() > 0
+
+
+def test_supported_cells_are_made_once(spark, monkeypatch):
+    made = []
+    build = q_cells.supported
+    monkeypatch.setattr(q_cells, "supported", lambda *given: made.append(given) or build(*given))
+    q_cells.moved_roots(spark, "/root/testdata/sf0.001")
+    assert len(made) == 1
